@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash_dedup, substring_dedup
+from millrace.llm import decontaminate, mixing, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +47,59 @@ FROM w LEFT JOIN k USING (doc_id)
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "match.*")
+    ids = F.sha2(F.concat_ws(",", "items"), 256)
+    return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op2_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+win AS (SELECT item_id, least(13, len(words)) AS n, array_to_string(words[i:i + 12], ' ') AS w
+        FROM b, unnest(range(1, greatest(len(words) - 12, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END) + 1)) AS t(i)),
+k AS (SELECT DISTINCT n FROM win),
+p AS (SELECT d.doc_id, k.n, t.i, array_to_string(d.words[t.i:t.i + k.n - 1], ' ') AS w FROM d, k, unnest(range(1, len(d.words) - k.n + 2)) AS t(i)),
+h AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM p JOIN win ON p.w = win.w AND p.n = win.n),
+c AS (SELECT doc_id, count(DISTINCT i + o.k) AS n_hit FROM h, range(0, 13) AS o(k) WHERE o.k < h.n GROUP BY doc_id),
+x AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(x.ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(x.ids, ','), '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.words) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of labelled documents: 2 for good ones, 0.5 for others; documents without a label weigh 1."""
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5)
+    return table(spark, sf_dir, "labels").select("doc_id", weight.alias("weight"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+ORACLE_SQL["op10_mixing"] = r"""
+WITH q AS (SELECT doc_id, avg(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS q FROM labels GROUP BY doc_id),
+d AS (SELECT documents.doc_id, coalesce(source, '') AS s, source IS NULL AS z, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      -ln((('0x' || substr(md5('mix:' || coalesce(CAST(documents.doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(q.q, 1.0::DOUBLE) AS key
+      FROM documents LEFT JOIN q USING (doc_id)),
+src AS (SELECT s, z, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY z, s) AS rank FROM d GROUP BY s, z),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM src),
+lv AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+       FROM w WINDOW b AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fin AS (SELECT arg_min(level, (cap / w, rank)) AS level FROM lv WHERE cap / w > level),
+g AS (SELECT lv.s, lv.z, lv.source_size, least(lv.cap, coalesce(fin.level * lv.w, lv.cap)) AS target FROM lv LEFT JOIN fin ON true),
+r AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.s, d.z ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN g ON d.s = g.s AND d.z = g.z),
+t AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM r)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
+       CAST(size * (whole + CASE WHEN size > 0 AND run - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM t
+"""
