@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, simhash_dedup, substring_dedup
+from millrace.llm import decontaminate, mixing, simhash_dedup, substring_dedup, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,3 +103,8 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6
        CAST(size * (whole + CASE WHEN size > 0 AND run - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM t
 """
+
+
+@query
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_trial(table(spark, sf_dir, "documents"))
