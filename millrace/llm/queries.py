@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, simhash_dedup, substring_dedup, winnowing
+from millrace.llm import decontaminate, mixing, simhash_dedup, substring_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,14 @@ FROM t
 @query
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_trial(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_index(*token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
