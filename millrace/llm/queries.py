@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archive, decontaminate, mixing, simhash_dedup, substring_dedup, token_store, winnowing
+from millrace.llm import archive, decontaminate, language_id, mixing, simhash_dedup, substring_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,3 +135,20 @@ SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html
        CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f USING (html)
 """
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learned from labelled rows of documents whose crc32(doc_id) mod 3 is not 1; language_id.sample states the bounds."""
+    return language_id.train(language_id.sample(docs, _remainder() != 1))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs), with_runs=False)
+    held = F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, F.col("language.lang").alias("lang_pred"), "language.score")
