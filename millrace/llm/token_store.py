@@ -32,15 +32,26 @@ MAGIC = b"MRANS01\n"
 SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 512, 1 << 19, 512
 _LOW = np.uint64(1 << 31)
 #: Pieces that one worker remembers the ids of.
-MEMORY = 1_200_000
+MEMORY = 600_000
 
 #: Stands before a text's first piece in the memory, which has no space in front.
 _OPENS = "\ufffe"
 _MARKS = ".,;:!?|"
-_BESIDE_SPACE = re.compile(r"\s | \s")
+_BESIDE_SPACE = re.compile(r" (?:(?<=\s\s)|(?=\s))")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Symbols(dict):
+    """What the byte-level pre-tokenizer makes of each character, found on demand."""
+
+    def __init__(self, pre_tokenizer) -> None:
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = made = self.pre_tokenizer.pre_tokenize_str(chr(code))[0][0]
+        return made
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, word by word through a memory.
 
@@ -68,13 +79,17 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.space = self.bytes.pre_tokenize_str(" ")[0][0]
+        self.symbols = _Symbols(self.bytes)
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # each piece is asked once
         self._clear()
 
     def _clear(self) -> None:
         self.marks: dict[str, list[int]] = {}
         self.place: dict[str, int] = {}
         self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        self.hits = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -91,30 +106,47 @@ class Encoder:
         codes = np.fromiter(map(self.place.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
         new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(codes < 0).tolist()))
         if len(self.place) + len(new) > MEMORY:
-            self._clear()
-            codes[:] = -1
-            new = list(dict.fromkeys(pieces))
+            codes = self._shed(codes)
+            new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(codes < 0).tolist()))
         if new:
             self._learn(new)
             missing = np.flatnonzero(codes < 0)
             codes[missing] = [self.place[pieces[i]] for i in missing.tolist()]
+        self.hits += np.bincount(codes, minlength=len(self.hits))
         counts = self.count[codes]
         ends = np.cumsum(counts)
         take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[codes] - (ends - counts), counts)
         per_text = np.add.reduceat(counts, at) if len(counts) else np.zeros(0, dtype=np.int64)
-        return self.flat[take], per_text
+        return self.flat[take].astype(np.uint32), per_text
+
+    def _shed(self, codes: np.ndarray) -> np.ndarray:
+        """Forget the pieces met once; all if that leaves too many. codes, renumbered (-1: forgotten)."""
+        keep = self.hits > 1
+        if keep.sum() > MEMORY // 2:
+            keep[:] = False
+        moved = np.where(keep, np.cumsum(keep) - 1, -1)
+        counts = self.count[keep]
+        take = np.arange(counts.sum()) + np.repeat(self.first[keep] - (np.cumsum(counts) - counts), counts)
+        self.place = {k: i for i, k in enumerate(itertools.compress(self.place, keep.tolist()))}
+        self.flat, self.count, self.first = self.flat[take], counts, np.cumsum(counts) - counts
+        self.hits = np.zeros(len(counts), dtype=np.int64)
+        return np.where(codes >= 0, moved[codes], -1) if len(moved) else codes
 
     def _learn(self, keys: list[str]) -> None:
         """Ids of new pieces. A run of letters, and marks after it, are pre-tokens on their own and go straight to the model."""
         found: list[list[int] | None] = []
         other = []
         for key in keys:
+            if self.cuts and key.isalpha():
+                found.append(self._word(" ", key))
+                continue
             opens = key[:1] == _OPENS
             body = key[1:] if opens else key
             word = body.rstrip(_MARKS)
             if self.cuts and word.isalpha():
-                ids = self._model(word if opens else " " + word)
-                found.append(ids + self._model(body[len(word) :]) if len(word) < len(body) else ids)
+                known = None if opens else self.place.get(word)
+                ids = self._word("" if opens else " ", word) if known is None else self.flat[self.first[known] : self.first[known] + self.count[known]].tolist()
+                found.append(ids + self._after(body[len(word) :]) if len(word) < len(body) else ids)
             else:
                 found.append(None)
                 other.append(body if opens else " " + body)
@@ -124,18 +156,17 @@ class Encoder:
         self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, counts.sum())))
-
-    def _model(self, part: str) -> list[int]:
-        """Ids of one pre-token."""
-        if part in self.marks:
-            return self.marks[part]
-        plain = part.isascii() and part[1:].isalpha() and part[0] == " "
-        symbols = self.space + part[1:] if plain else self.bytes.pre_tokenize_str(part)[0][0]
-        ids = [x.id for x in self.model.tokenize(symbols)]
-        if not part[-1].isalpha():
-            self.marks[part] = ids
-        return ids
+        self.hits = np.concatenate((self.hits, np.zeros(len(keys), dtype=np.int64)))
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint16 if self.size <= 1 << 16 else np.uint32, counts.sum())))
+
+    def _word(self, space: str, word: str) -> list[int]:
+        symbols = (self.space if space else "") + (word if word.isascii() else word.translate(self.symbols))
+        return [x.id for x in self.model.tokenize(symbols)]
+
+    def _after(self, marks: str) -> list[int]:
+        if marks not in self.marks:
+            self.marks[marks] = [x.id for x in self.model.tokenize(self.bytes.pre_tokenize_str(marks)[0][0])]
+        return self.marks[marks]
 
 
 class Table:
