@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archive, decontaminate, language_id, mixing, simhash_dedup, substring_dedup, token_store, winnowing
+from millrace.llm import archive, decontaminate, language_id, license_scan, line_dedup, mixing, simhash_dedup, substring_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,3 +152,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(docs.select("doc_id", "text"), language_model(docs), with_runs=False)
     held = F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out")
     return found.select("doc_id", held, F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+
+
+def _license_oracle() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.LICENSES.items())
+    return f"""
+WITH known AS (SELECT min(id) AS license_id, digest FROM (SELECT id, sha256({license_scan.canonical_sql("body")}) AS digest FROM (VALUES {rows}) AS t(id, body)) GROUP BY digest),
+d AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS digest FROM documents)
+SELECT d.doc_id, d.digest, known.license_id FROM d LEFT JOIN known ON d.digest = known.digest AND d.digest <> sha256('')
+"""
+
+
+ORACLE_SQL["op7_license_scan"] = _license_oracle()
