@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,13 +68,18 @@ def id_chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
     return np.unique(bounds)
 
 
+def chunks_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The chunk (0-based) of each id; null ids sort last and go to the last chunk."""
+    at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right") - 1
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), max(len(bounds) - 1, 0), np.maximum(at, 0)).astype(np.int32)
+
+
 def chunk_of(id_col: str, bounds: np.ndarray) -> Column:
-    """The chunk (0-based) of an id; null ids sort last and go to the last chunk."""
+    """chunks_of() as a column."""
 
-    @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right") - 1
-        return pd.Series(np.where(ids.isna(), max(len(bounds) - 1, 0), np.maximum(at, 0)).astype(np.int32))
+    @F.arrow_udf("int")
+    def find(ids: pa.Array) -> pa.Array:
+        return pa.array(chunks_of(ids, bounds))
 
     return find(F.col(id_col))
 

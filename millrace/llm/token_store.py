@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import CHUNK_BYTES, chunk_of, forget, id_chunks, slices, text_bytes, workspace
+from millrace.llm._common import CHUNK_BYTES, chunks_of, forget, id_chunks, slices, text_bytes, workspace
 from millrace.llm._files import RangeFile, write_file
 
 MAGIC = b"MRANS01\n"
@@ -317,7 +317,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 _ROW = "chunk int, doc_ids array<bigint>, counts array<int>, n long, ids binary"
 
 
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
@@ -326,7 +326,7 @@ def _tokenize(path: str, end_id: int):
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, np.uint32(end_id))
                 counts = counts + 1
-                chunks = part["chunk"].to_numpy()
+                chunks = chunks_of(part["doc_id"].combine_chunks(), bounds)
                 doc_ids = part["doc_id"].to_pylist()
                 of = np.repeat(chunks, counts)
                 rows = []
@@ -391,9 +391,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("chunk", chunk_of("doc_id", id_chunks(rows, "doc_id", "text", chunk_bytes)))
+    bounds = id_chunks(rows, "doc_id", "text", chunk_bytes)
     held, folder = workspace(spark, "ids"), workspace(spark, "shards")
-    rows.mapInArrow(_tokenize(tokenizer, end_id), _ROW).write.option("compression", "none").parquet(held)
+    rows.mapInArrow(_tokenize(tokenizer, end_id, bounds), _ROW).write.option("compression", "none").parquet(held)
     ids = spark.read.schema(_ROW).parquet(held)
     size = max(Encoder.of(tokenizer).size, end_id + 1)
     counts = np.zeros(size, dtype=np.int64)
