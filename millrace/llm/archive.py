@@ -118,21 +118,31 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}:{digest}')}>"
 
 
-def surt(url: str) -> str:
-    parts = urlsplit(url)
+def target(url: str | None, page_id: int | None) -> str:
+    """A URI without blanks or line ends; a name made of the page's id for a null or empty URL."""
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page_id}"
+
+
+def surt(uri: str) -> str:
+    """Sort-friendly form; a URI that can't be taken apart stays as it is."""
+    try:
+        parts = urlsplit(uri)
+    except ValueError:
+        return uri
+    if not parts.hostname:
+        return uri
     return f"{','.join(reversed((parts.hostname or '').split('.')))}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, first_id: int | None, first_url: str | None, date: str) -> bytes:
     """One response record, or a revisit record if first_id is given; not yet compressed."""
-    uri = lambda u, p: quote(u, safe="%/:=&?~#+!$,;'@()*[]") if u else f"urn:page:{p}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if first_id is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first_id is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri(url, page_id)}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first_id is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url, page_id)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if first_id is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first_id, digest)}", f"WARC-Refers-To-Target-URI: {uri(first_url, first_id)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {first_id}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first_id, digest)}", f"WARC-Refers-To-Target-URI: {target(first_url, first_id)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {first_id}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -192,7 +202,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             for page_id, url, payload, digest, first_id, first_url in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "first_id", "first_url"))):
                 data = gzip.compress(warc_record(page_id, url, payload, digest, first_id, first_url, date), 3, mtime=0)
                 entry = {"url": url, "page": page_id, "digest": f"sha256:{digest}", "offset": size, "length": len(data), "filename": DATA}
-                index.append(f"{surt(url) if url else f'urn:page:{page_id}'} {stamp} {json.dumps(entry)}\n")
+                index.append(f"{surt(target(url, page_id))} {stamp} {json.dumps(entry)}\n")
                 body.append(data)
                 size += len(data)
                 if size >= archive_bytes:

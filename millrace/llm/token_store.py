@@ -34,8 +34,8 @@ _LOW = np.uint64(1 << 31)
 #: Pieces that one worker remembers the ids of.
 MEMORY = 600_000
 
-#: Stands before a text's first piece in the memory, which has no space in front.
-_OPENS = "\ufffe"
+#: Stands before a text's first piece in the memory, which has no space in front: a surrogate, which no text from UTF-8 has.
+_OPENS = "\ud800"
 _MARKS = ".,;:!?|"
 _BESIDE_SPACE = re.compile(r" (?:(?<=\s\s)|(?=\s))")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
