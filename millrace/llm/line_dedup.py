@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,26 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is `similarity` or more. What two lines share at both ends needs no comparing."""
+    most = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    start = len(commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if max(len(a), len(b)) <= most:
+        return True
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
+def _verified(similarity: float):
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([alike(x, y, similarity) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    return run
+
+
 def _forest(max_bits: int, similarity: float):
     """Spanning forest of the verified links between the lines of one tile of a hot bucket."""
 
@@ -114,7 +135,7 @@ def _forest(max_bits: int, similarity: float):
         for i in range(len(sim)):
             for j in (i + 1 + np.flatnonzero((np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= max_bits) & ((side[i + 1 :] | side[i]) == 3))).tolist():
                 x, y = root(i), root(j)
-                if x != y and edit_distance(norm[i], norm[j]) <= (1 - similarity) * max(len(norm[i]), len(norm[j])) + 1e-9:
+                if x != y and alike(norm[i], norm[j], similarity):
                     parent[x] = y
                     out.append((int(hashes[i]), int(hashes[j])))
         return pa.table([[u for u, _ in out], [v for _, v in out]], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
@@ -146,8 +167,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_
     texts = line_rows(docs, id_col, text_col, True).select("hash", "norm").join(wanted.hint("merge"), "hash", "left_semi")
     texts = stored(texts.groupBy("hash").agg(F.min("norm").alias("norm")), "texts")
     left, right = texts.toDF("u", "norm_u"), texts.toDF("v", "norm_v")
-    allowed = F.floor((1 - similarity) * F.greatest(F.length("norm_u"), F.length("norm_v")) + 1e-9).cast("int")
-    good = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(F.levenshtein("norm_u", "norm_v") <= allowed).select("u", "v")
+    good = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(_verified(similarity)("norm_u", "norm_v")).select("u", "v")
     # Tiles of hot buckets: each line of part p goes to the tiles (p, q) and (q, p) of all parts q.
     parts = F.ceil(F.col("c") / tile).cast("int")
     own = F.pmod(F.xxhash64("hash"), parts).cast("int")

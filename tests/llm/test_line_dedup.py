@@ -20,6 +20,8 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 20))) for _ in "xy")
         assert line_dedup.edit_distance(a, b) == slow_edit(a, b)
+        for least in (0.0, 0.5, 0.8, 1.0):
+            assert line_dedup.alike(a, b, least) == (slow_edit(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9)
 
 
 def brute(spark, frame, rows, max_bits=3, similarity=0.8):
