@@ -55,24 +55,23 @@ class Filter:
 
     predicate: Column
 
-    def _true(self) -> Column:
-        return F.coalesce(self.predicate, F.lit(False))
-
+    # Conjunction and disjunction of three-valued predicates are true exactly where the two-valued ones are, so only
+    # negation needs the null made false; what stays plain can be pushed down.
     def __and__(self, other: Filter) -> Filter:
-        return Filter(self._true() & other._true())
+        return Filter(self.predicate & other.predicate)
 
     def __or__(self, other: Filter) -> Filter:
-        return Filter(self._true() | other._true())
+        return Filter(self.predicate | other.predicate)
 
     def __invert__(self) -> Filter:
-        return Filter(~self._true())
+        return Filter(~F.coalesce(self.predicate, F.lit(False)))
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return fail_where(df, ~self._true(), error("Filtered out", PERMANENT, FILTERED))
+        return fail_where(df, ~F.coalesce(self.predicate, F.lit(False)), error("Filtered out", PERMANENT, FILTERED))
 
     def compact(self, df: DataFrame) -> DataFrame:
         """The same rows dropped, so that the predicate can reach the scan."""
-        return df.where(self._true())
+        return df.where(self.predicate)
 
 
 @dataclass(frozen=True)

@@ -101,10 +101,10 @@ class Pipeline:
 
         def stop() -> None:
             late.set()
-            spark.interruptTag(tag)
+            spark.sparkContext.cancelJobGroup(tag)
 
         timer = threading.Timer(s.total_timeout_s, stop)
-        spark.addTag(tag)
+        spark.sparkContext.setJobGroup(tag, self.name or "millrace", interruptOnCancel=True)
         timer.start()
         try:
             fan_out(df, self._all_sinks())
@@ -115,7 +115,8 @@ class Pipeline:
             raise
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                spark.sparkContext.setLocalProperty(name, None)
         figures = dict(seen.get) | {"elapsed_ms": (time.monotonic() - began) * 1000}
         if s.on_metrics:
             s.on_metrics(figures)

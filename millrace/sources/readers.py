@@ -160,13 +160,14 @@ class DeadLetterSource:
         ddl = self.schema if isinstance(self.schema, str) else _ddl(self.schema)
         value = f"struct<{ddl}>" if not isinstance(self.schema, str) else f"struct<{self.schema}>"
         text = spark.read.text(self.path, wholetext=True).select(F.trim("value").alias("value"))
-        lines = text.select(F.when(F.col("value").startswith("["), F.array("value")).when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(F.split("value", "\n")).alias("parts"))
+        lines = text.select(F.when(F.col("value").startswith("[") | F.try_parse_json(F.split("value", "\n")[0]).isNull(), F.array("value")).otherwise(F.split("value", "\n")).alias("parts"))
         parts = lines.select(F.explode("parts").alias("value")).where("trim(value) <> ''")
         norm = F.regexp_replace(F.regexp_replace(F.col("value"), r'(?i)"is_?success"\s*:', '"is_success":'), r'(?i)"value"\s*:', '"value":')
         parts = parts.select(norm.alias("value"))
-        arrays = parts.where(F.col("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<value:{value},is_success:boolean>>", {"mode": "FAILFAST"})).alias("v"))
-        single = parts.where(~F.col("value").startswith("[")).select(F.from_json("value", f"value {value}, is_success boolean", {"mode": "FAILFAST"}).alias("v"))
-        return replay(arrays.unionByName(single).select("v.value", "v.is_success"))
+        # A single object is an array of one, so that one parser reads both.
+        one = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+        rows = parts.select(F.explode(F.from_json(one, f"array<struct<value:{value},is_success:boolean>>", {"mode": "FAILFAST"})).alias("v"))
+        return replay(rows.select("v.value", "v.is_success"))
 
 
 @dataclass(frozen=True)
