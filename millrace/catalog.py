@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +14,12 @@ from millrace.functions.hashing import fnv1a64, mix64
 from millrace.operators import controllers, resilience, sketches
 from millrace.operators.resilience import Attempted, RetryPolicy
 from millrace.operators.transforms import Composite, Compress, Conditional, CsvReshape, Filter, JsonReshape, MapFields, Middleware, PythonMiddleware, Validation, gunzip
+from millrace.operators.udf import PartitionTransform
 from millrace.plans import envelope
 from millrace.plans.pipeline import Pipeline
+from millrace.plans.storage import workspace
 from millrace.sources.readers import Concat, ParquetSource, SqlSource, TableSource, merge
-from millrace.streaming import metrics
+from millrace.streaming import metrics, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,6 +495,70 @@ def secret_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(sf_dir, "documents").read(spark).select("doc_id", F.sha2(secrets.redact(F.col("text")), 256).alias("digest"))
 
 
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def newest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.newest_per_key(table(sf_dir, "events").read(spark), ["user_id"], ["ts", "event_id"], 3).select("event_id", "user_id")
+
+
+class _Halver:
+    """Halves account balances of customers; refuses negative ones."""
+
+    def open(self) -> None:
+        self.factor = 0.5
+
+    def apply(self, batch: pd.DataFrame) -> pd.DataFrame:
+        if (batch["c_acctbal"] < 0).any():
+            raise ValueError("negative balance")
+        return batch.assign(c_acctbal=batch["c_acctbal"] * self.factor)
+
+    def close(self) -> None: ...
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE c_acctbal * 0.5 END, 4) AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'negative balance' END AS message FROM customer")
+def partition_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = start(spark, sf_dir, "customer", "c_custkey").select("c_custkey", "c_acctbal", *envelope.ENVELOPE)
+    return PartitionTransform(_Halver).apply(df).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"), F.col("_error.message").alias("message"))
+
+
+# Streams, run over all that has arrived, into the shared folder
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder
+
+
+def _settled(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream writes; of updates, each batch's rows with its number."""
+    spark = df.sparkSession
+    out, marks = workspace(spark, "stream"), workspace(spark, "marks")
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*df.schema, T.StructField("batch", T.LongType())])).parquet(out)
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event arrives twice; one of each pair stays."""
+    df = _arrived(spark, sf_dir)
+    return _settled(runner.stream_dedup(merge(df, df), ["event_id"], "ts", "1 hour"), "append").select("event_id", "user_id")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aggs = (F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    out = _settled(runner.tumbling(_arrived(spark, sf_dir), "ts", "1 hour", "6 hours", ["event_type"], *aggs), "complete")
+    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each user's running state has seen after the last batch."""
+    out = _settled(runner.stream_ema(_arrived(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value"), "update")
+    return out.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
 # SQL through the SQL source
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -99,6 +99,13 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | No
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
+    """The last n rows of each key in an order: what a bounded queue that drops its oldest rows would hold."""
+    turned = [(F.col(c) if isinstance(c, str) else c).desc() for c in order]
+    w = Window.partitionBy(*keys).orderBy(*turned)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def remove_keys(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The delete of a dedup set: rows whose keys aren't in `gone`."""
     return df.join(gone.select(*keys).distinct(), list(keys), "left_anti")
