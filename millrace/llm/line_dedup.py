@@ -34,7 +34,10 @@ def normal_lines(text: bytes) -> list[bytes]:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """One row per line that has words, and one (line -1, hash null) per document. norm is null unless with_text."""
+    """One row per line that has words, and one (line -1, hash null) per document.
+
+    with_text: norm is filled, copies of a line within a slice of rows are given once, and there are no rows of documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 40, 0
@@ -70,6 +73,10 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> D
                     features = np.concatenate((words, pairs[~last[:-1]]))[order]
                     sim = majority_bits(features, 2 * n - 1).view(np.int64)
                     of = np.array(docs_of)
+                    if with_text:  # copies in one slice are one row: a hot line doesn't travel as often as it occurs
+                        once = np.unique(whole, return_index=True)[1]
+                        of, whole, sim, size = of[once], whole[once], sim[once], size[once]
+                        places, lines = [places[i] for i in once.tolist()], [lines[i] for i in once.tolist()]
                     norm = pa.array(lines, pa.binary()).cast(pa.string()) if with_text else pa.nulls(len(lines), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(number[of]), ids.take(pa.array(of)), pa.array(np.array(counts, dtype=np.int32)[of]), pa.array(places, pa.int32()), pa.array(whole), pa.array(sim), pa.array(size.astype(np.int32)), norm], schema=_LINE)
 
