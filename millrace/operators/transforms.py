@@ -233,4 +233,4 @@ class Guarded:
         return self.inner.apply(fail_where(df, self.open_when, error("Circuit breaker is open", TRANSIENT, "CircuitBreaker")))
 
 
-__all__ = ["Composite", "Compress", "Conditional", "CsvReshape", "ERROR", "Filter", "Guarded", "JsonReshape", "MapFields", "Middleware", "PythonMiddleware", "Transform", "Validation", "gunzip"]
+__all__ = ["Composite", "Compress", "Conditional", "CsvReshape", "Filter", "Guarded", "JsonReshape", "MapFields", "Middleware", "PythonMiddleware", "Transform", "Validation", "gunzip"]
