@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
