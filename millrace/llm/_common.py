@@ -17,8 +17,9 @@ from millrace.plans.storage import workspace
 
 #: Text bytes that a task works on at once.
 SLICE_BYTES = 2_000_000
-#: Text bytes of one id chunk (the unit that grouped tasks hold in memory).
-CHUNK_BYTES = 8_000_000
+#: Text bytes of one id chunk (the unit that grouped tasks hold in memory); larger ones, up to LARGE_CHUNK_BYTES, keep a very
+#: large corpus to some MANY_CHUNKS of them.
+CHUNK_BYTES, LARGE_CHUNK_BYTES, MANY_CHUNKS = 8_000_000, 64_000_000, 100_000
 #: Quantiles asked of one sketch; finer chunks subdivide them.
 MAX_QUANTILES = 4096
 
@@ -43,6 +44,7 @@ def id_chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
     The driver gets one row: a sketch's quantiles, at most MAX_QUANTILES longs; beyond that, ranges are subdivided evenly.
     """
     size, n = df.agg(F.sum(F.octet_length(text_col)), F.count(id_col)).first()
+    chunk_bytes = max(chunk_bytes, min(LARGE_CHUNK_BYTES, (size or 0) // MANY_CHUNKS))
     chunks = max(1, math.ceil((size or 0) / chunk_bytes))
     if not n or chunks == 1:
         low = df.agg(F.min(id_col)).first()[0]

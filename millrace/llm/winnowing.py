@@ -135,7 +135,15 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(1, len(lows))
     own = F.struct(F.lit(0).alias("guest"), F.col("chunk"))
     before = F.struct(F.lit(1).alias("guest"), ((F.col("chunk") + n - 1) % n).cast("int").alias("chunk"))
-    is_first = F.col("doc_id").isin(lows) if lows else F.lit(True)
-    places = F.when(is_first, F.array(own, before)).otherwise(F.array(own))
-    dealt = rows.withColumn("chunk", chunk_of("doc_id", np.array(lows, dtype=np.int64))).select("doc_id", "text", F.inline(places))
+    bounds = np.array(lows, dtype=np.int64)
+
+    @F.arrow_udf("boolean")
+    def is_first(ids: pa.Array) -> pa.Array:
+        if not len(bounds):
+            return ids.is_null()
+        known = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), bounds)
+        return pa.array(known & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    places = F.when(F.col("first"), F.array(own, before)).otherwise(F.array(own))
+    dealt = rows.withColumns({"chunk": chunk_of("doc_id", bounds), "first": is_first("doc_id")}).select("doc_id", "text", F.inline(places))
     return dealt.groupBy("chunk").applyInArrow(_compare(k, w), _OUT)
