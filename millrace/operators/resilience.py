@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,22 +93,22 @@ class Attempted:
     category: str | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        names = payload_of(df)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "attempts") + ", attempts int"
+        names = [c for c in payload_of(df) if c != "attempts"]
+        df = df.drop("attempts")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", attempts int"
         me = self
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = concurrent.futures.ThreadPoolExecutor(1) if me.timeout_s else None
             for batch in batches:
-                rows = []
-                for row in batch.to_dict("records"):
+                rows = batch.to_pylist()
+                for row in rows:
                     row["attempts"] = 0
                     if row[ERROR] is None:
                         me._one(row, names, pool)
-                    rows.append(row)
-                yield pd.DataFrame(rows, columns=[c for c in batch.columns if c != "attempts"] + ["attempts"])
+                yield pa.RecordBatch.from_pylist(rows, batch.schema.append(pa.field("attempts", pa.int32())))
 
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
 
     def _one(self, row: dict, names: list[str], pool: Any) -> None:
         payload = {k: row[k] for k in names}

@@ -7,12 +7,17 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.operators.resilience import classify
 from millrace.plans.envelope import ERROR, payload_of
 
 
+#: Whole numbers and booleans stay exact where there are nulls.
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
 class Worker(Protocol):
     """open() and close() once per partition; apply() on batches of rows that have not failed, index and row order kept."""
 
@@ -34,30 +39,38 @@ class PartitionTransform:
     def apply(self, df: DataFrame) -> DataFrame:
         names, make, category = payload_of(df), self.make, self.category
 
-        def one(worker: Worker, row: pd.DataFrame) -> pd.DataFrame:
-            try:
-                return worker.apply(row[names]).assign(**{ERROR: None})
-            except Exception as exc:
-                kind, _ = classify(exc)
-                return row[names].assign(**{ERROR: [{"message": str(exc), "type": kind, "category": category, "exception": type(exc).__name__}]})
+        def failure(exc: Exception) -> dict:
+            return {"message": str(exc), "type": classify(exc)[0], "category": category, "exception": type(exc).__name__}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def attempt(worker: Worker, frame: pd.DataFrame, errors: list) -> pd.DataFrame:
+            try:
+                return worker.apply(frame)[names]
+            except Exception:
+                parts = []
+                for k in range(len(frame)):
+                    row = frame.iloc[[k]]
+                    try:
+                        parts.append(worker.apply(row)[names])
+                    except Exception as exc:
+                        errors[row.index[0]] = failure(exc)
+                        parts.append(row)
+                return pd.concat(parts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worker = make()
             worker.open()
             try:
                 for batch in batches:
-                    good = batch[batch[ERROR].isna()]
-                    if len(good):
-                        try:
-                            batch.loc[good.index, names] = worker.apply(good[names])[names]
-                        except Exception:
-                            for i in good.index:
-                                made = one(worker, good.loc[[i]])
-                                for c in names:
-                                    batch.at[i, c] = made[c].iloc[0]
-                                batch.at[i, ERROR] = made[ERROR].iloc[0]
-                    yield batch
+                    errors = batch.column(ERROR).to_pylist()
+                    payload = pa.Table.from_batches([batch]).select(names).to_pandas(types_mapper=_NULLABLE.get)
+                    todo = [i for i, e in enumerate(errors) if e is None]
+                    if todo:
+                        made = attempt(worker, payload.loc[todo], errors)
+                        payload = made if len(todo) == len(errors) else pd.concat([made, payload.drop(index=todo)]).sort_index()
+                    columns = {n: pa.Array.from_pandas(payload[n], type=batch.schema.field(n).type) for n in names}
+                    columns[ERROR] = pa.array(errors, batch.schema.field(ERROR).type)
+                    yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], schema=batch.schema)
             finally:
                 worker.close()
 
-        return df.mapInPandas(run, df.schema)
+        return df.mapInArrow(run, df.schema)

@@ -130,3 +130,27 @@ def test_as_result(people):
     rows = {r.trace_id: r for r in envelope.as_result(Filter(F.col("age") >= 18).apply(people)).collect()}
     assert rows[1].is_success and rows[1].value.name == "Alice" and rows[1].error is None
     assert not rows[2].is_success and rows[2].value is None
+
+
+def test_python_code_keeps_large_numbers_beside_nulls(spark):
+    from millrace.operators.udf import PartitionTransform
+
+    class Odd:
+        def open(self):
+            self.calls = 0
+
+        def apply(self, batch):
+            if (batch["id"] % 2 == 0).any():
+                raise OSError("even")
+            return batch.assign(name=batch["name"] + "!")
+
+        def close(self):
+            pass
+
+    rows = [(1, 2**60 + 1, "a"), (2, None, "b"), (3, None, "c"), (4, 2**60 + 3, None)]
+    df = envelope.wrap(spark.createDataFrame(rows, "id long, big long, name string"), "id")
+    df = envelope.fail_where(df, F.col("id") == 3, envelope.error("earlier"))
+    out = {r.id: (r.big, r.name, r["_error"] and (r["_error"]["message"], r["_error"]["type"])) for r in PartitionTransform(Odd).apply(df).collect()}
+    assert out == {1: (2**60 + 1, "a!", None), 2: (None, "b", ("even", "Transient")), 3: (None, "c", ("earlier", "Permanent")), 4: (2**60 + 3, None, ("even", "Transient"))}
+    same = {r.id: r.big for r in PythonMiddleware(lambda row: {"name": "x"}).apply(df).collect()}
+    assert same == {1: 2**60 + 1, 2: None, 3: None, 4: 2**60 + 3}
