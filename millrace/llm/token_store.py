@@ -15,6 +15,7 @@ import itertools
 import json
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,13 +35,19 @@ _LOW = np.uint64(1 << 31)
 #: Pieces that one worker remembers the ids of.
 MEMORY = 600_000
 
-#: Stands before a text's first piece in the memory, which has no space in front: a surrogate, which no text from UTF-8 has.
+#: Stands before pieces that have no space in front: a surrogate, which no text from UTF-8 has.
 _OPENS = "\ud800"
-_MARKS = ".,;:!?|"
+_MARKS = string.punctuation
 _BESIDE_SPACE = re.compile(r" (?:(?<=\s\s)|(?=\s))")
+_BESIDE_LINE = re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _lines(text: str) -> str:
+    """A lone newline is a piece of its own, and what follows it has no space in front: so written, blanks cut there too."""
+    return text if "\n" not in text or _BESIDE_LINE.search(text) else text.replace("\n", f" \n {_OPENS}")
+
+
 class _Symbols(dict):
     """What the byte-level pre-tokenizer makes of each character, found on demand."""
 
@@ -56,7 +63,8 @@ class Encoder:
     """Ids of whole texts by a tokenizers file, word by word through a memory.
 
     A byte-level pre-tokenizer never joins what stands before and after a lone space between two other characters: the
-    space opens the next piece. Texts are cut there only, and each distinct piece is encoded by the library once.
+    space opens the next piece; a lone newline is a piece. Texts are cut there only, and each distinct piece is encoded by
+    the library once. Pieces are keyed without their space; those without one by a mark in front, a lone newline as itself.
     """
 
     _made: dict[str, Encoder] = {}
@@ -82,6 +90,7 @@ class Encoder:
         self.symbols = _Symbols(self.bytes)
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # each piece is asked once
+        self.bare = Tokenizer(self.model)
         self._clear()
 
     def _clear(self) -> None:
@@ -96,10 +105,9 @@ class Encoder:
         pieces: list[str] = []
         sizes = []
         for text in texts:
-            own = [text] if not self.cuts else _LONE_SPACE.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
+            own = [text] if not self.cuts else _LONE_SPACE.split(text) if _BESIDE_SPACE.search(text) else _lines(text).split(" ")
             sizes.append(len(own))
             pieces += own
-        # All pieces but a text's first are keyed without their space; a first one is keyed by a mark in front.
         at = np.cumsum([0, *sizes[:-1]]) if sizes else []
         for i in at:
             pieces[i] = _OPENS + pieces[i]
@@ -134,30 +142,38 @@ class Encoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Ids of new pieces. A run of letters, and marks after it, are pre-tokens on their own and go straight to the model."""
-        found: list[list[int] | None] = []
+        plain = [k for k in keys if self.cuts and k.isalpha()]
+        if plain:
+            symbols = [self.space + (k if k.isascii() else k.translate(self.symbols)) for k in plain]
+            groups = [symbols[i : i + 1000] for i in range(0, len(symbols), 1000)]
+            found = self.bare.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+            counts = [np.bincount(np.array(x.word_ids), minlength=len(g)) for x, g in zip(found, groups)]
+            self._add(plain, np.concatenate(counts), np.concatenate([np.array(x.ids, dtype=self.flat.dtype) for x in found]))
+        ids: list[list[int] | None] = []
+        rest = [k for k in keys if not (self.cuts and k.isalpha())]
         other = []
-        for key in keys:
-            if self.cuts and key.isalpha():
-                found.append(self._word(" ", key))
-                continue
+        for key in rest:
             opens = key[:1] == _OPENS
             body = key[1:] if opens else key
             word = body.rstrip(_MARKS)
             if self.cuts and word.isalpha():
                 known = None if opens else self.place.get(word)
-                ids = self._word("" if opens else " ", word) if known is None else self.flat[self.first[known] : self.first[known] + self.count[known]].tolist()
-                found.append(ids + self._after(body[len(word) :]) if len(word) < len(body) else ids)
+                own = self._word("" if opens else " ", word) if known is None else self.flat[self.first[known] : self.first[known] + self.count[known]].tolist()
+                ids.append(own + self._after(body[len(word) :]) if len(word) < len(body) else own)
             else:
-                found.append(None)
-                other.append(body if opens else " " + body)
-        rest = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
-        found = [next(rest).ids if x is None else x for x in found]
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                ids.append(None)
+                other.append(body if opens or key == "\n" else " " + body)
+        whole = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        ids = [next(whole).ids if x is None else x for x in ids]
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self._add(rest, counts, np.fromiter(itertools.chain.from_iterable(ids), self.flat.dtype, counts.sum()))
+
+    def _add(self, keys: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
         self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
         self.hits = np.concatenate((self.hits, np.zeros(len(keys), dtype=np.int64)))
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint16 if self.size <= 1 << 16 else np.uint32, counts.sum())))
+        self.flat = np.concatenate((self.flat, flat))
 
     def _word(self, space: str, word: str) -> list[int]:
         symbols = (self.space if space else "") + (word if word.isascii() else word.translate(self.symbols))

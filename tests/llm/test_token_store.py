@@ -26,7 +26,7 @@ def mine(encoder, texts):
     return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
 
 
-TRICKY = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\tb", "x y z", "don't 'tis we'll", "foo, bar.baz!! 12 3.5", "<|endoftext|> hi <|endoftext|>", "Äpfel über　日本 語", "a  b", "￾ mark", "é́ combining", "1 2 3", "word... word", "²³ x² y", "a .b", "\r\n x"]
+TRICKY = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\tb", "x y z", "don't 'tis we'll", "foo, bar.baz!! 12 3.5", "<|endoftext|> hi <|endoftext|>", "Äpfel über　日本 語", "a  b", "￾ mark", "é́ combining", "1 2 3", "word... word", "²³ x² y", "a .b", "\r\n x", "a.\nB c", "\na", "a\n", "\n", "a\n\nb", "a \nb", "a\n b", "a\r\nb", "x\ny\nz w", "foo$$$ bar'' it's' a's. ''s &x& don't'", "end's"]
 
 
 def test_encoder_equals_the_library(encoder):
