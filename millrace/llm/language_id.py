@@ -21,7 +21,7 @@ from millrace.llm._common import SLICE_BYTES, slices, text_bytes
 BITS = 15
 NONE = "und"
 #: Words (and their letters) that one worker remembers the scores of.
-MEMORY, MEMORY_CHARS = 600_000, 20_000_000
+MEMORY, MEMORY_CHARS = 300_000, 10_000_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _EDGE = 10
 

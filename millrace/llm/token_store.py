@@ -33,7 +33,7 @@ MAGIC = b"MRANS01\n"
 SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 512, 1 << 19, 512
 _LOW = np.uint64(1 << 31)
 #: Pieces that one worker remembers the ids of.
-MEMORY = 600_000
+MEMORY = 450_000
 
 #: Stands before pieces that have no space in front: a surrogate, which no text from UTF-8 has.
 _OPENS = "\ud800"
