@@ -154,3 +154,11 @@ def test_secrets(spark):
 
 def test_log_of_base():
     assert math.trunc(math.log(500) / math.log(sketches.LogHistogram().base)) == 44
+
+
+@given(st.integers(0, 2**64 - 1))
+def test_fnv(key):
+    h = 0xCBF29CE484222325
+    for b in key.to_bytes(8, "little"):
+        h = (h ^ b) * 0x100000001B3 % 2**64
+    assert int(hashing.fnv_array(np.array([key], dtype=np.uint64))[0]) == h
