@@ -80,11 +80,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.size = self.tokenizer.get_vocab_size()
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.added = re.compile("|".join(added)) if added else None
         self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.space = self.bytes.pre_tokenize_str(" ")[0][0]
         self.symbols = _Symbols(self.bytes)
@@ -101,7 +102,18 @@ class Encoder:
         self.flat = np.zeros(0, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
+        """All ids in a row, and how many each text has. Texts that hold an added token's string go to the library whole."""
+        whole = [i for i, t in enumerate(texts) if self.added.search(t)] if self.cuts and self.added else []
+        if not whole:
+            return self._pieces(texts)
+        asked = set(whole)
+        flat, per_text = self._pieces([t for i, t in enumerate(texts) if i not in asked])
+        rest = iter(np.split(flat, np.cumsum(per_text)[:-1]))
+        found = iter(self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))
+        ids = [np.array(next(found).ids, dtype=np.uint32) if i in asked else next(rest) for i in range(len(texts))]
+        return np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
         sizes = []
         for text in texts:

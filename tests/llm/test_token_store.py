@@ -95,3 +95,16 @@ def test_store(encoder, frame):
     check(encoder, frame, rows, chunk_bytes=500)
     check(encoder, frame, rows[:5])
     check(encoder, frame, [])
+
+
+def test_added_tokens_are_found_as_the_file_says(encoder, frame):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["hi <|endoftext|> there", "plain text", "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "<|endoftext", "x y <|endoftext|>"]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [5303, 220, 50256, 612]
+    assert mine(encoder, texts) == want and mine(encoder, texts[:1]) == want[:1]
+    got = token_store.read_index(*token_store.write_tokens(frame(list(enumerate(texts))), tokenizer_path())).collect()
+    ends = [[*x, 2] for x in want]
+    assert [(r.n_tokens, r.ids_crc32) for r in sorted(got, key=lambda r: r.doc_id)] == [(len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for x in ends]
