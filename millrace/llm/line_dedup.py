@@ -72,6 +72,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> D
                     order = np.argsort(np.concatenate((2 * np.arange(len(words)), 2 * np.flatnonzero(~last) + 1)), kind="stable")
                     features = np.concatenate((words, pairs[~last[:-1]]))[order]
                     sim = majority_bits(features, 2 * n - 1).view(np.int64)
+                    size = np.add.reduceat((buf & 0xC0) != 0x80, ends - size, dtype=np.int64)  # code points, as alike() counts
                     of = np.array(docs_of)
                     if with_text:  # copies in one slice are one row: a hot line doesn't travel as often as it occurs
                         once = np.unique(whole, return_index=True)[1]
@@ -166,7 +167,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_
     few, many = sized.where(F.col("c") <= bucket_pairs), sized.where(F.col("c") > bucket_pairs)
     a = few.select("key", *[F.col(x).alias(f"{x}_u") for x in ("hash", "sim", "size")])
     b = few.select("key", *[F.col(x).alias(f"{x}_v") for x in ("hash", "sim", "size")])
-    near = f"hash_u < hash_v and bit_count(sim_u ^ sim_v) <= {max_bits} and least(size_u, size_v) >= {similarity} * greatest(size_u, size_v) - 4"
+    near = f"hash_u < hash_v and bit_count(sim_u ^ sim_v) <= {max_bits} and least(size_u, size_v) >= {similarity}D * greatest(size_u, size_v) - 1e-6D"
     near = near if similarity > 0 else near.rsplit(" and ", 1)[0]
     pairs = a.join(b.hint("merge"), "key").where(near).select(F.col("hash_u").alias("u"), F.col("hash_v").alias("v")).distinct()
     pairs = stored(pairs, "pairs")

@@ -95,3 +95,10 @@ def test_edges(spark, frame):
 def test_repeated_rows(frame):
     got = line_dedup.dedup_lines(frame([(1, "same line"), (1, "same line")])).collect()
     assert sorted(r.n_removed for r in got) == [0, 1]
+
+
+@pytest.mark.parametrize("bucket_pairs", [1, 32])
+def test_lengths_are_counted_in_characters(spark, frame, bucket_pairs):
+    line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(140))
+    got = line_dedup.dedup_lines(frame([(1, line), (2, line + " " + "\u65e5" * 200)]), bucket_pairs=bucket_pairs).collect()
+    assert {r.doc_id: r.removed for r in got} == {1: [], 2: [0]}
