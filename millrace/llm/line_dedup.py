@@ -4,6 +4,10 @@ Fingerprints of 64 bits within `max_bits` of each other agree in at least two of
 on the values of each pair of blocks. Candidate lines alone get their text back for the edit distance. Only distinct lines
 take part; copies of a line share a hash. A bucket of more than `bucket_pairs` distinct lines isn't paired up in the join:
 tasks compare tiles of it and return a spanning forest of its verified links, so no link is lost and no pairs pile up.
+
+A fingerprint this near is rare among lines that are merely alike. With `bands`, lines are joined as well on MinHash keys:
+band by band, the minima of three permutations of the line's byte n-grams (8 bytes, 4 in short lines), of which one equal
+band is enough to make two lines candidates. These links need the edit similarity only.
 """
 
 from __future__ import annotations
@@ -18,13 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import SPACES, _BYTE, rolling, slices, stored, text_bytes, word_hashes
+from millrace.llm._common import SPACES, _BYTE, mix64, rolling, slices, stored, text_bytes, word_hashes
 from millrace.llm._graph import connected_components
 from millrace.llm.simhash_dedup import majority_bits
 
 #: ASCII marks and controls to spaces, A-Z to a-z, digits to 0; other bytes stay.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LINE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("norm", pa.string())])
+#: MinHash bands of a line for op4; permutations, each of which serves two bands; n-gram bytes of long and short lines.
+BANDS, _PERMUTATIONS = 16, 24
+_LONG_GRAM, _SHORT_GRAM = 8, 4
+#: Code points up to which a line is short, and over which it is long; two lines that are 0.8 alike share a class.
+_SHORT, _LONG = 60, 47
+_ODD = np.random.Generator(np.random.PCG64(20240608)).integers(0, 2**32, _PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
+_TRIPLES = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)] + [(i, i + 8, i + 16) for i in range(8)]
 _DDL = "row long, doc_id long, n_lines int, line int, hash long, sim long, size int, norm string"
 
 
@@ -85,6 +96,43 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> D
     return rows.mapInArrow(run, _DDL)
 
 
+def band_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, bands: int) -> np.ndarray:
+    """MinHash keys of the lines buf[s:e], one column per band; a line shorter than an n-gram is one n-gram."""
+    count = np.maximum(ends - starts - gram + 1, 1)
+    first = np.cumsum(count) - count
+    at = np.repeat(starts - first, count) + np.arange(count.sum())
+    grams = (rolling(_BYTE[buf], at, np.minimum(at + gram, np.repeat(ends, count)), "byte") >> np.uint64(32)).astype(np.uint32)
+    least = [np.minimum.reduceat(grams * odd, first).astype(np.uint64) for odd in _ODD]
+    triples = _TRIPLES[:bands]
+    keys = [mix64(mix64((least[i] << np.uint64(32)) | least[j]) + least[k]) for i, j, k in triples]
+    return np.stack(keys, axis=1)
+
+
+def banded(docs: DataFrame, text_col: str, bands: int) -> DataFrame:
+    """(hash, size, key) of every line that has words, once per slice of rows and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lines = list({x for text in text_bytes(part["text"]) for x in normal_lines(text) if x})
+                if not lines:
+                    continue
+                ends = np.cumsum([len(x) for x in lines])
+                starts = np.concatenate(([0], ends[:-1]))
+                buf = np.frombuffer(b"".join(lines), dtype=np.uint8)
+                whole = rolling(_BYTE[buf], starts, ends, "byte").view(np.int64)
+                size = np.add.reduceat((buf & 0xC0) != 0x80, starts, dtype=np.int64)
+                for tag, gram, own in ((0, _LONG_GRAM, size > _LONG), (bands, _SHORT_GRAM, size <= _SHORT)):
+                    if own.any():
+                        keys = band_keys(buf, starts[own], ends[own], gram, bands)
+                        # Above the tags of the fingerprints' block keys.
+                        tags = (np.arange(bands, dtype=np.uint64) + np.uint64(tag + 16)) << np.uint64(58)
+                        keys = ((keys >> np.uint64(6)) | tags).view(np.int64).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole[own], bands)), pa.array(np.repeat(size[own], bands).astype(np.int32)), pa.array(keys)], ["hash", "size", "key"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, size int, key long")
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel (Myers, 1999)."""
     if not a or not b:
@@ -159,9 +207,12 @@ def _block_keys(blocks: int) -> Column:
     return F.expr(f"array({', '.join(keys)})")
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_bits: int, similarity: float, bucket_pairs: int, tile: int) -> DataFrame:
+def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_bits: int, similarity: float, bucket_pairs: int, tile: int, bands: int = 0) -> DataFrame:
     """Edges (u, v) between hashes of different lines; complete up to connectivity."""
     keyed = distinct.select("hash", "sim", "size", F.explode(_block_keys(max_bits + 2)).alias("key"))
+    if bands:  # fingerprint 0 for all: in these buckets the edit similarity alone decides
+        keyed = keyed.unionByName(banded(docs, text_col, bands).withColumn("sim", F.lit(0).cast("long"))).repartition("key")
+        keyed = keyed.groupBy("key", "hash").agg(F.first("sim").alias("sim"), F.first("size").alias("size"))
     sized = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     sized = stored(sized, "blocks")
     few, many = sized.where(F.col("c") <= bucket_pairs), sized.where(F.col("c") > bucket_pairs)
@@ -186,11 +237,11 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_
     return good.unionByName(hot).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, similarity: float = 0.8, bucket_pairs: int = 32, tile: int = 2000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, similarity: float = 0.8, bucket_pairs: int = 32, tile: int = 2000, bands: int = 0) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
 
     Of each group of lines linked by edit similarity (1 - distance / longer length, of normalised lines, at least
-    `similarity`) and fingerprint, and of all copies of a line, the occurrence with the smallest (doc_id, row, line)
+    `similarity`) and fingerprint or, with `bands` (16 at most), a MinHash band, and of all copies of a line, the occurrence with the smallest (doc_id, row, line)
     stays. Lines are separated by newlines; a line without words is never removed. Null and empty texts have no lines. A
     null id comes after all others; rows that repeat an id are separate rows. No rows give no rows. Other columns are
     not read. A 64-bit hash stands for a normalised line.
@@ -199,7 +250,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = lines.where("hash is not null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     distinct = stored(own.groupBy("hash").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.min(place).alias("first")), "distinct")
-    roots = connected_components(links(docs, distinct, id_col, text_col, max_bits, similarity, bucket_pairs, tile)).withColumnRenamed("node", "hash")
+    roots = connected_components(links(docs, distinct, id_col, text_col, max_bits, similarity, bucket_pairs, tile, bands)).withColumnRenamed("node", "hash")
     rooted = distinct.select("hash", "first").join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
     keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     keep = stored(rooted.join(keep, "root").select("hash", F.col("keep.row").alias("keep_row"), F.col("keep.line").alias("keep_line")), "kept")

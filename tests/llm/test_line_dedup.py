@@ -102,3 +102,21 @@ def test_lengths_are_counted_in_characters(spark, frame, bucket_pairs):
     line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(140))
     got = line_dedup.dedup_lines(frame([(1, line), (2, line + " " + "\u65e5" * 200)]), bucket_pairs=bucket_pairs).collect()
     assert {r.doc_id: r.removed for r in got} == {1: [], 2: [0]}
+
+
+def test_registered_query_finds_lines_with_a_changed_word(spark, frame, tmp_path):
+    from millrace.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(rng.choice([6, 10, 20, 50]))]
+        other = list(words)
+        other[rng.randrange(len(words))] += "x"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    frame(rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert all(got[2 * i] == [] for i in range(60))
+    assert sum(got[2 * i + 1] == [0] for i in range(60)) >= 57
+    hot = line_dedup.dedup_lines(frame(rows), bands=line_dedup.BANDS, bucket_pairs=1, tile=2).collect()
+    assert {r.doc_id: r.removed for r in hot} == got
