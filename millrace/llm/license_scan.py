@@ -22,7 +22,19 @@ EQUIVALENT = (
     ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("per cent", "percent"), ("https", "http"),
 )
 
-COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t,:]*(?:[0-9]{4}|<year>|\[year\]|\[yyyy\]|<)[^\n]*$"
+#: Rest of a line that only states a copyright. A mark or year shows that the line isn't of a licence's body ("copyright
+#: notice", "(c) You must retain"), or its end does; the words before a later year have no digits ("adopted on 20 December 1996").
+_STATED = (
+    r"(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t,:]*(?:[0-9]{4}|<year>|\[year\]|\[yyyy\]|\{yyyy\}|<)[^\n]*",
+    r"copyright[ \t,:]*(?:\(c\)|©)[^\n]*",
+    r"©[^\n]*",
+    r"(?:\(c\)[ \t]*)?copyright[ \t,:]+(?:[^\s0-9]+[ \t]+){0,8}[0-9]{4}\b[^\n]*",
+    r"\(c\)[ \t]+(?:[^\s0-9]+[ \t]+){1,6}[0-9]{4}[ \t.]*",
+    r"(?:\(c\)[ \t]*)?copyright[ \t,:][^\n]*\ball rights reserved\.?[ \t]*",
+    r"(?:\(c\)[ \t]*)?copyright[ \t,:]+(?:[^\s]+[ \t]+){1,7}(?:inc|corp|corporation|ltd|llc|gmbh|foundation)\.?[ \t]*",
+    r"copyright[ \t,:]+(?:by[ \t]+)?the[ \t]+(?:[^\s]+[ \t]+){1,6}(?:authors|contributors|developers|project|team)\.?[ \t]*",
+)
+COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:" + "|".join(_STATED) + ")$"
 RIGHTS = r"(?m)^[ \t*#/;-]*all rights reserved\.?[ \t]*$"
 MARKS = r"[^\p{L}\p{N}]+"
 

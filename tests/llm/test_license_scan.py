@@ -39,3 +39,16 @@ def test_edges(spark, frame):
 def test_equal_digests_do_not_multiply_rows(spark, frame):
     known = license_scan.known_licenses(spark, [("b", "some licence"), ("a", "Some License!"), ("c", None), ("d", "...")])
     assert scan(spark, frame, [(1, "some license"), (2, "")], known) == [(1, "a"), (2, None)]
+
+
+def test_copyright_lines_without_a_year_first(spark, frame):
+    lines = ["Copyright (c) Microsoft Corporation.", "Copyright (c) Microsoft Corporation. All rights reserved.", "Copyright (c) Jane Doe 2020", "(c) Copyright 2020 X", "Copyright by 2020 X",
+             "Copyright Jane Doe 2020", "(c) Jane Doe 2020", "© Jane Doe", "Copyright Foo, Inc.", "Copyright The Foo Authors.", "Copyright {yyyy} {name of copyright owner}"]
+    rows = [(i, LICENSES[k].replace("Copyright (c) <year> <copyright holders>", x).replace("Copyright (c) <year> <owner>", x)) for k in ("MIT", "BSD-3-Clause", "ISC") for i, x in enumerate(lines)]
+    assert sorted(scan(spark, frame, rows)) == sorted((i, k) for k in ("MIT", "BSD-3-Clause", "ISC") for i in range(len(lines)))
+
+
+def test_body_lines_that_begin_with_copyright_stay(spark, frame):
+    bodies = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this list", "Copyright holders and contributors", "(c) You must retain all copyright", "copyright treaty adopted on 20 December 1996, or", "copyright law, including but not limited"]
+    known = license_scan.known_licenses(spark, [(x, f"some text\n{x}\nmore") for x in bodies] + [("bare", "some text more")])
+    assert [b for _, b in scan(spark, frame, [(i, f"Some text\n  {x}\nmore") for i, x in enumerate(bodies)], known)] == bodies
