@@ -6,7 +6,9 @@ rights reserved" are dropped; equivalent spellings become one; whatever is not a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +53,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest) of licence texts; by default of the short ones below."""
-    rows = spark.createDataFrame(list(LICENSES.items() if texts is None else texts), "license_id string, text string")
+    """(license_id, digest) of licence texts; by default of KNOWN."""
+    rows = spark.createDataFrame(list(KNOWN if texts is None else texts), "license_id string, text string")
     return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
 
 
@@ -93,6 +95,46 @@ LICENSES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
 }
+#: Titles that short licences are shipped under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "MIT", "License: MIT", "(The MIT License)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', 'The BSD 2-Clause "Simplified" License', "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD-2-Clause", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "The 3-Clause BSD License", "BSD-3-Clause", "BSD License", "The BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)", "Zlib"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0 Universal (CC0 1.0)"),
+}
+#: Full texts in the folder `licenses`.
+TEXTS = ("Apache-2.0", "Artistic-1.0-Perl", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")
+LICENSES |= {x: files("millrace.llm").joinpath("licenses", f"{x}.txt").read_text("utf-8") for x in TEXTS}
+
+
+def variants(name: str, text: str) -> list[str]:
+    """A text as it is shipped: under its usual titles, without numbers before its clauses, without what follows its terms."""
+    bodies = [text]
+    if name == "MIT":
+        bodies = [_MIT]
+    elif name == "CC0-1.0":
+        bodies.append(text[text.index("CREATIVE COMMONS CORPORATION") :])
+    elif name == "BSL-1.0":
+        bodies.append(text.partition("\n")[2])
+    elif name == "ISC":
+        bodies.append(text.replace("and/or distribute", "and distribute"))
+    elif name.startswith("BSD-"):
+        bodies.append(re.sub(r"(?m)^[0-9]\. ", "* ", text))
+    elif "END OF TERMS AND CONDITIONS" in text:
+        head = text.partition("END OF TERMS AND CONDITIONS")[0]
+        bodies += [head, f"{head}END OF TERMS AND CONDITIONS"]
+    if name == "Unlicense":
+        bodies.append(text.partition("For more information")[0])
+    return [text, *(f"{title}\n\n{body}" for title in ("", *TITLES.get(name, ())) for body in bodies if title or name != "MIT")]
+
+
+#: (id, text) of every form; an id stands once for each of its forms.
+KNOWN = [(name, form) for name, text in LICENSES.items() for form in dict.fromkeys(variants(name, text))]
 
 
 def canonical_sql(column: str) -> str:

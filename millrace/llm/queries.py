@@ -165,7 +165,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_oracle() -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.LICENSES.items())
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.KNOWN)
     return f"""
 WITH known AS (SELECT min(id) AS license_id, digest FROM (SELECT id, sha256({license_scan.canonical_sql("body")}) AS digest FROM (VALUES {rows}) AS t(id, body)) GROUP BY digest),
 d AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS digest FROM documents)

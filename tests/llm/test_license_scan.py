@@ -52,3 +52,15 @@ def test_body_lines_that_begin_with_copyright_stay(spark, frame):
     bodies = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this list", "Copyright holders and contributors", "(c) You must retain all copyright", "copyright treaty adopted on 20 December 1996, or", "copyright law, including but not limited"]
     known = license_scan.known_licenses(spark, [(x, f"some text\n{x}\nmore") for x in bodies] + [("bare", "some text more")])
     assert [b for _, b in scan(spark, frame, [(i, f"Some text\n  {x}\nmore") for i, x in enumerate(bodies)], known)] == bodies
+
+
+def test_full_texts_and_titles(spark, frame):
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    rows = [(i, (folder / f"{x}.txt").read_text()) for i, x in enumerate(license_scan.TEXTS)]
+    assert scan(spark, frame, rows) == sorted(enumerate(license_scan.TEXTS), key=str)
+    titled = [("MIT", "The MIT License (MIT)"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"), ("Zlib", "zlib License")]
+    rows = [(i, f"{title}\n\n" + LICENSES[k].removeprefix("MIT License\n\n").replace("<year>", "2020")) for i, (k, title) in enumerate(titled)]
+    rows += [(5, LICENSES["GPL-2.0"].partition("END OF TERMS")[0]), (6, LICENSES["GPL-3.0"][:-2000].replace("free", "fine")), (7, license_scan._MIT)]
+    assert scan(spark, frame, rows) == [*((i, k) for i, (k, _) in enumerate(titled)), (5, "GPL-2.0"), (6, None), (7, "MIT-body")]
