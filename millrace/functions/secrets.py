@@ -17,6 +17,8 @@ PATTERNS: dict[str, str] = {
 }
 MASK = "***REDACTED***"
 DEPTH = 3
+#: A percent sign that codes nothing; it stands for itself.
+_STRAY = r"%(?![0-9A-Fa-f]{2})"
 _BASE64 = r"[A-Za-z0-9+/]{24,}={0,2}"
 
 
@@ -36,7 +38,7 @@ def has_secrets(text: Column, depth: int = DEPTH, patterns: Mapping[str, str] =
     text = F.coalesce(text, F.lit(""))
     found, layer = _any(text, patterns), text
     for _ in range(depth):
-        plain = F.coalesce(F.when(layer.contains("%"), F.try_url_decode(layer)), F.lit(""))
+        plain = F.coalesce(F.when(layer.contains("%"), F.try_url_decode(F.regexp_replace(layer, _STRAY, "%25"))), F.lit(""))
         runs = F.when(F.length(layer) >= 24, F.regexp_extract_all(layer, F.lit(f"({_BASE64})"), 1)).otherwise(F.array().cast("array<string>"))
         decoded = F.transform(
             F.filter(runs, lambda x: ~x.startswith("AKIA")),

@@ -152,6 +152,14 @@ def test_secrets(spark):
     assert "secret-value" not in red["plain"] and red["benign"] == texts["benign"] and red["null"] is None
 
 
+def test_stray_percent_signs_hide_no_secret(spark):
+    coded = "password%3D" + "hunter22x"
+    texts = ["50% off " + coded, coded + " 100%", "%zz %4 " + coded.replace("%", "%25"), "50% off, %zz %4", "100%25 done"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = [r.s for r in df.select("n", secrets.has_secrets(F.col("t")).alias("s")).orderBy("n").collect()]
+    assert got == [True, True, True, False, False]
+
+
 def test_log_of_base():
     assert math.trunc(math.log(500) / math.log(sketches.LogHistogram().base)) == 44
 
