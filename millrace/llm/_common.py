@@ -5,11 +5,14 @@ Everything here is either a plan fragment or code that runs inside one task on a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ SLICE_BYTES = 2_000_000
 #: Text bytes of one id chunk (the unit that grouped tasks hold in memory); larger ones, up to LARGE_CHUNK_BYTES, keep a very
 #: large corpus to some MANY_CHUNKS of them.
 CHUNK_BYTES, LARGE_CHUNK_BYTES, MANY_CHUNKS = 8_000_000, 64_000_000, 100_000
-#: Quantiles asked of one sketch; finer chunks subdivide them.
+#: Quantiles asked of one sketch.
 MAX_QUANTILES = 4096
 
 
@@ -39,23 +42,33 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def id_chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
-    """Ascending lower bounds of id ranges that hold about chunk_bytes of text each; the first is the smallest id.
+    """Ascending lower bounds of id ranges that hold at most about 2 * chunk_bytes of text each, or one id.
 
-    The driver gets one row: a sketch's quantiles, at most MAX_QUANTILES longs; beyond that, ranges are subdivided evenly.
+    Quantiles of a sketch in which a row stands once, and once more per mean size of text that it has: no range then has
+    over twice the mean. Beyond MAX_QUANTILES ranges each range gets its own quantiles in a second job, so the bounds
+    follow the ids at any size. The driver gets the bounds alone, one long per chunk, 100,000 or so at most.
     """
-    size, n = df.agg(F.sum(F.octet_length(text_col)), F.count(id_col)).first()
-    chunk_bytes = max(chunk_bytes, min(LARGE_CHUNK_BYTES, (size or 0) // MANY_CHUNKS))
-    chunks = max(1, math.ceil((size or 0) / chunk_bytes))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    rows = df.where(F.col(id_col).isNotNull())
+    total, n = rows.agg(F.sum(size), F.count("*")).first()
+    chunk_bytes = max(chunk_bytes, min(LARGE_CHUNK_BYTES, (total or 0) // MANY_CHUNKS))
+    chunks = max(1, math.ceil((total or 0) / chunk_bytes))
     if not n or chunks == 1:
-        low = df.agg(F.min(id_col)).first()[0]
+        low = rows.agg(F.min(id_col)).first()[0]
         return np.array([] if low is None else [low], dtype=np.int64)
-    q = min(chunks, MAX_QUANTILES)
-    at = [i / q for i in range(q)]
-    row = df.agg(F.min(id_col), F.percentile_approx(id_col, at, 10_000 if q < 1000 else 100_000)).first()
-    bounds = np.array([row[0], *row[1][1:]], dtype=np.int64)
-    if chunks > q:
-        bounds = np.interp(np.arange(chunks) * q / chunks, np.arange(q), bounds.astype(np.float64)).astype(np.int64)
-    return np.unique(bounds)
+    often = F.least(size / F.lit(max(1.0, total / n)), F.lit(1e6)).cast("int") + 1
+    weighed = rows.select(F.col(id_col).alias("id"), F.explode(F.array_repeat(F.lit(0), often)))
+    coarse = min(chunks, MAX_QUANTILES)
+    low, inner = weighed.agg(F.min("id"), _quantiles("id", coarse)).first()
+    bounds = np.unique(np.array([low, *inner[1:]], dtype=np.int64))
+    if chunks > coarse:
+        fine = weighed.groupBy(chunk_of("id", bounds).alias("chunk")).agg(_quantiles("id", math.ceil(chunks / coarse)).alias("q"))
+        bounds = np.unique(np.concatenate([bounds, *(np.array(r["q"][1:], dtype=np.int64) for r in fine.collect())]))
+    return bounds
+
+
+def _quantiles(column: str, n: int) -> Column:
+    return F.percentile_approx(column, [i / n for i in range(n)], 10_000 if n < 1000 else 100_000)
 
 
 def chunks_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
@@ -77,7 +90,7 @@ def chunk_of(id_col: str, bounds: np.ndarray) -> Column:
 def slices(table: pa.Table | pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Consecutive row ranges of at most `limit` bytes of text (a longer text stands alone)."""
     table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
-    sizes = np.cumsum(np.array([len(x) if x is not None else 0 for x in _buffers(table[text_col])], dtype=np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(table[text_col]), 0).to_numpy().astype(np.int64))
     at, n = 0, table.num_rows
     while at < n:
         before = sizes[at - 1] if at else 0
@@ -86,6 +99,15 @@ def slices(table: pa.Table | pa.RecordBatch, text_col: str, limit: int = SLICE_B
         at = end
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Spark reuses workers, and their memory counts all the time."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _buffers(column: pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()
 

@@ -11,11 +11,7 @@ and CRC-32s of its words and of its ids (little-endian u32). The header lists ea
 
 from __future__ import annotations
 
-import itertools
 import json
-import os
-import re
-import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,175 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import CHUNK_BYTES, chunks_of, forget, id_chunks, slices, text_bytes, workspace
+from millrace.llm._common import CHUNK_BYTES, chunks_of, forget, give_back, id_chunks, slices, workspace
 from millrace.llm._files import RangeFile, write_file
+from millrace.llm.encoder import Encoder
 
 MAGIC = b"MRANS01\n"
-SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 512, 1 << 19, 512
+SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 1024, 1 << 19, 256
 _LOW = np.uint64(1 << 31)
-#: Pieces that one worker remembers the ids of.
-MEMORY = 450_000
-
-#: Stands before pieces that have no space in front: a surrogate, which no text from UTF-8 has.
-_OPENS = "\ud800"
-_MARKS = string.punctuation
-_BESIDE_SPACE = re.compile(r" (?:(?<=\s\s)|(?=\s))")
-_BESIDE_LINE = re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _lines(text: str) -> str:
-    """A lone newline is a piece of its own, and what follows it has no space in front: so written, blanks cut there too."""
-    return text if "\n" not in text or _BESIDE_LINE.search(text) else text.replace("\n", f" \n {_OPENS}")
-
-
-class _Symbols(dict):
-    """What the byte-level pre-tokenizer makes of each character, found on demand."""
-
-    def __init__(self, pre_tokenizer) -> None:
-        self.pre_tokenizer = pre_tokenizer
-
-    def __missing__(self, code: int) -> str:
-        self[code] = made = self.pre_tokenizer.pre_tokenize_str(chr(code))[0][0]
-        return made
-
-
-class Encoder:
-    """Ids of whole texts by a tokenizers file, word by word through a memory.
-
-    A byte-level pre-tokenizer never joins what stands before and after a lone space between two other characters: the
-    space opens the next piece; a lone newline is a piece. Texts are cut there only, and each distinct piece is encoded by
-    the library once. Pieces are keyed without their space; those without one by a mark in front, a lone newline as itself.
-    """
-
-    _made: dict[str, Encoder] = {}
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.size = self.tokenizer.get_vocab_size()
-        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
-        self.added = re.compile("|".join(added)) if added else None
-        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.space = self.bytes.pre_tokenize_str(" ")[0][0]
-        self.symbols = _Symbols(self.bytes)
-        if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # each piece is asked once
-        self.bare = Tokenizer(self.model)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.marks: dict[str, list[int]] = {}
-        self.place: dict[str, int] = {}
-        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.hits = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has. Texts that hold an added token's string go to the library whole."""
-        whole = [i for i, t in enumerate(texts) if self.added.search(t)] if self.cuts and self.added else []
-        if not whole:
-            return self._pieces(texts)
-        asked = set(whole)
-        flat, per_text = self._pieces([t for i, t in enumerate(texts) if i not in asked])
-        rest = iter(np.split(flat, np.cumsum(per_text)[:-1]))
-        found = iter(self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))
-        ids = [np.array(next(found).ids, dtype=np.uint32) if i in asked else next(rest) for i in range(len(texts))]
-        return np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64)
-
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces: list[str] = []
-        sizes = []
-        for text in texts:
-            own = [text] if not self.cuts else _LONE_SPACE.split(text) if _BESIDE_SPACE.search(text) else _lines(text).split(" ")
-            sizes.append(len(own))
-            pieces += own
-        at = np.cumsum([0, *sizes[:-1]]) if sizes else []
-        for i in at:
-            pieces[i] = _OPENS + pieces[i]
-        codes = np.fromiter(map(self.place.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
-        new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(codes < 0).tolist()))
-        if len(self.place) + len(new) > MEMORY:
-            codes = self._shed(codes)
-            new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(codes < 0).tolist()))
-        if new:
-            self._learn(new)
-            missing = np.flatnonzero(codes < 0)
-            codes[missing] = [self.place[pieces[i]] for i in missing.tolist()]
-        self.hits += np.bincount(codes, minlength=len(self.hits))
-        counts = self.count[codes]
-        ends = np.cumsum(counts)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[codes] - (ends - counts), counts)
-        per_text = np.add.reduceat(counts, at) if len(counts) else np.zeros(0, dtype=np.int64)
-        return self.flat[take].astype(np.uint32), per_text
-
-    def _shed(self, codes: np.ndarray) -> np.ndarray:
-        """Forget the pieces met once; all if that leaves too many. codes, renumbered (-1: forgotten)."""
-        keep = self.hits > 1
-        if keep.sum() > MEMORY // 2:
-            keep[:] = False
-        moved = np.where(keep, np.cumsum(keep) - 1, -1)
-        counts = self.count[keep]
-        take = np.arange(counts.sum()) + np.repeat(self.first[keep] - (np.cumsum(counts) - counts), counts)
-        self.place = {k: i for i, k in enumerate(itertools.compress(self.place, keep.tolist()))}
-        self.flat, self.count, self.first = self.flat[take], counts, np.cumsum(counts) - counts
-        self.hits = np.zeros(len(counts), dtype=np.int64)
-        return np.where(codes >= 0, moved[codes], -1) if len(moved) else codes
-
-    def _learn(self, keys: list[str]) -> None:
-        """Ids of new pieces. A run of letters, and marks after it, are pre-tokens on their own and go straight to the model."""
-        plain = [k for k in keys if self.cuts and k.isalpha()]
-        if plain:
-            symbols = [self.space + (k if k.isascii() else k.translate(self.symbols)) for k in plain]
-            groups = [symbols[i : i + 1000] for i in range(0, len(symbols), 1000)]
-            found = self.bare.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
-            counts = [np.bincount(np.array(x.word_ids), minlength=len(g)) for x, g in zip(found, groups)]
-            self._add(plain, np.concatenate(counts), np.concatenate([np.array(x.ids, dtype=self.flat.dtype) for x in found]))
-        ids: list[list[int] | None] = []
-        rest = [k for k in keys if not (self.cuts and k.isalpha())]
-        other = []
-        for key in rest:
-            opens = key[:1] == _OPENS
-            body = key[1:] if opens else key
-            word = body.rstrip(_MARKS)
-            if self.cuts and word.isalpha():
-                known = None if opens else self.place.get(word)
-                own = self._word("" if opens else " ", word) if known is None else self.flat[self.first[known] : self.first[known] + self.count[known]].tolist()
-                ids.append(own + self._after(body[len(word) :]) if len(word) < len(body) else own)
-            else:
-                ids.append(None)
-                other.append(body if opens or key == "\n" else " " + body)
-        whole = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
-        ids = [next(whole).ids if x is None else x for x in ids]
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self._add(rest, counts, np.fromiter(itertools.chain.from_iterable(ids), self.flat.dtype, counts.sum()))
-
-    def _add(self, keys: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
-        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(counts) - counts))
-        self.count = np.concatenate((self.count, counts))
-        self.hits = np.concatenate((self.hits, np.zeros(len(keys), dtype=np.int64)))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def _word(self, space: str, word: str) -> list[int]:
-        symbols = (self.space if space else "") + (word if word.isascii() else word.translate(self.symbols))
-        return [x.id for x in self.model.tokenize(symbols)]
-
-    def _after(self, marks: str) -> list[int]:
-        if marks not in self.marks:
-            self.marks[marks] = [x.id for x in self.model.tokenize(self.bytes.pre_tokenize_str(marks)[0][0])]
-        return self.marks[marks]
+#: Text bytes that the tokenizer gets at once: the more, the fewer pieces are new.
+ENCODE_BYTES = 8_000_000
 
 
 class Table:
@@ -348,21 +184,24 @@ _ROW = "chunk int, doc_ids array<bigint>, counts array<int>, n long, ids binary"
 def _tokenize(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, counts = encoder.encode([x.decode() for x in text_bytes(part["text"])])
-                ends = np.cumsum(counts)
-                flat = np.insert(flat, ends, np.uint32(end_id))
-                counts = counts + 1
-                chunks = chunks_of(part["doc_id"].combine_chunks(), bounds)
-                doc_ids = part["doc_id"].to_pylist()
-                of = np.repeat(chunks, counts)
-                rows = []
-                for c in np.unique(chunks):
-                    mine = np.flatnonzero(chunks == c)
-                    own = flat[of == c]
-                    rows.append({"chunk": int(c), "doc_ids": [doc_ids[i] for i in mine], "counts": counts[mine].tolist(), "n": len(own), "ids": _pack(own)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n", pa.int64()), ("ids", pa.binary())]))
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", ENCODE_BYTES):
+                    flat, counts = encoder.encode(part["text"])
+                    flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+                    counts = counts + 1
+                    chunks = chunks_of(part["doc_id"].combine_chunks(), bounds)
+                    doc_ids = part["doc_id"].to_pylist()
+                    of = np.repeat(chunks, counts)
+                    rows = []
+                    for c in np.unique(chunks):
+                        mine = np.flatnonzero(chunks == c)
+                        own = flat[of == c]
+                        rows.append({"chunk": int(c), "doc_ids": [doc_ids[i] for i in mine], "counts": counts[mine].tolist(), "n": len(own), "ids": _pack(own)})
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n", pa.int64()), ("ids", pa.binary())]))
+        finally:
+            Encoder.release()
+            give_back()
 
     return run
 
