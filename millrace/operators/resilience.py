@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import concurrent.futures
 import random
+import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -78,61 +80,111 @@ def classify(exc: BaseException) -> tuple[str, str]:
     return PERMANENT, "TransformError"
 
 
+def within(fn: Callable[..., Any], timeout_s: float | None, *args: Any) -> Any:
+    """fn(*args), or a TimeoutError after timeout_s of its own time.
+
+    The call has a thread of its own, so one that hangs holds up nothing after it; its late result is thrown away. A
+    thread can't be killed: it ends with the call or with the worker.
+    """
+    if not timeout_s:
+        return fn(*args)
+    box: list[tuple[Any, BaseException | None]] = []
+
+    def work() -> None:
+        try:
+            box.append((fn(*args), None))
+        except BaseException as exc:  # raised in the caller's thread
+            box.append((None, exc))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(timeout_s)
+    if not box:
+        raise TimeoutError(f"Timed out after {timeout_s:.1f}s")
+    made, exc = box[0]
+    if exc is not None:
+        raise exc
+    return made
+
+
 @dataclass(frozen=True)
 class Attempted:
     """Runs a Python function on each row, in Arrow batches, with a time limit and retries inside the task.
 
-    fn(row: dict, attempt: int) returns a dict of payload columns or raises. Adds `attempts`. Waits are the policy's if
-    sleep is true. A task that Spark repeats runs the function again: it has to be idempotent.
+    fn(row: dict, attempt: int) gets the payload columns and returns a dict of them or raises. Adds `attempts` and, if
+    timed, `elapsed_ms`, the row's whole time with all attempts. Without a policy or a timeout of its own it takes the
+    pipeline's (a timeout of 0 is none); budget_col holds a row's own number of retries (null or -1: the policy's). Waits
+    are the policy's if sleep is true. A task that Spark repeats runs the function again: it has to be idempotent.
     """
 
     fn: Callable[[dict, int], dict]
-    policy: RetryPolicy = RetryPolicy()
+    policy: RetryPolicy | None = None
     timeout_s: float | None = None
     sleep: bool = False
     category: str | None = None
+    budget_col: str | None = None
+    timed: bool = False
+
+    def with_defaults(self, policy: RetryPolicy, timeout_s: float) -> Attempted:
+        return replace(self, policy=self.policy or policy, timeout_s=timeout_s if self.timeout_s is None else self.timeout_s)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        names = [c for c in payload_of(df) if c != "attempts"]
-        df = df.drop("attempts")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", attempts int"
-        me = self
+        added = {"attempts": "int"} | ({"elapsed_ms": "double"} if self.timed else {})
+        names = [c for c in payload_of(df) if c not in added]
+        df = df.drop(*added)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{k} {v}" for k, v in added.items())])
+        me = replace(self, policy=self.policy or RetryPolicy())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pool = concurrent.futures.ThreadPoolExecutor(1) if me.timeout_s else None
             for batch in batches:
-                rows = batch.to_pylist()
-                for row in rows:
-                    row["attempts"] = 0
-                    if row[ERROR] is None:
-                        me._one(row, names, pool)
-                yield pa.RecordBatch.from_pylist(rows, batch.schema.append(pa.field("attempts", pa.int32())))
+                good = np.flatnonzero(batch[ERROR].is_null().to_numpy(zero_copy_only=False)).tolist()
+                payload = batch.select(names).take(pa.array(good, pa.int64())).to_pylist() if good else []
+                attempts, elapsed = [0] * batch.num_rows, [0.0] * batch.num_rows
+                changes: dict[str, dict[int, Any]] = {}
+                for i, row in zip(good, payload):
+                    began = time.perf_counter()
+                    attempts[i], made, failure = me._one(row)
+                    elapsed[i] = (time.perf_counter() - began) * 1000
+                    for name, value in made.items():
+                        if name in names:
+                            changes.setdefault(name, {})[i] = value
+                    if failure:
+                        changes.setdefault(ERROR, {})[i] = failure
+                columns = [_patched(batch[f.name], changes.get(f.name)) for f in batch.schema] + [pa.array(attempts, pa.int32())]
+                columns += [pa.array(elapsed)] if me.timed else []
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
         return df.mapInArrow(run, schema)
 
-    def _one(self, row: dict, names: list[str], pool: Any) -> None:
-        payload = {k: row[k] for k in names}
+    def _one(self, payload: dict) -> tuple[int, dict, dict | None]:
+        """(attempts, changed columns, failure)"""
+        own = payload[self.budget_col] if self.budget_col else None
+        most = self.policy.max_retries if own is None or own == -1 else own
         attempt = 0
         while True:
             attempt += 1
-            row["attempts"] = attempt
             try:
-                made = self.fn(payload, attempt) if pool is None else pool.submit(self.fn, payload, attempt).result(self.timeout_s)
-                row.update({k: v for k, v in made.items() if k in names})
-                return
+                return attempt, within(self.fn, self.timeout_s, dict(payload), attempt), None
             except Exception as exc:  # errors are data here
                 kind, category = classify(exc)
-                text = f"Timed out after {self.timeout_s:.1f}s" if category == "Timeout" and self.timeout_s else str(exc)
-                failure = {"message": text, "type": kind, "category": self.category or category, "exception": type(exc).__name__}
-            if attempt > self.policy.max_retries or not self.policy.wants(failure):
-                row[ERROR] = failure
-                return
+                failure = {"message": str(exc), "type": kind, "category": self.category or category, "exception": type(exc).__name__}
+            if attempt > most or not self.policy.wants(failure):
+                return attempt, {}, failure
             if self.policy.on_retry:
                 self.policy.on_retry(attempt, failure)
             if self.sleep:
                 time.sleep(self.policy.delay(attempt) / 1000 * (0.75 + random.randrange(101) / 100 * 0.25))
 
 
+def _patched(column: pa.Array, changes: dict[int, Any] | None) -> pa.Array:
+    if not changes:
+        return column
+    values = column.to_pylist()
+    for i, value in changes.items():
+        values[i] = value
+    return pa.array(values, column.type)
+
+
 def dead_letters(df: DataFrame, attempts: str | None = None) -> DataFrame:
     """Failures (filtered rows apart) as dead-letter rows: trace_id, is_success, value, error, attempts."""
     bad = failed(df)
@@ -162,7 +214,10 @@ def failure_ratio(df: DataFrame, ok_col: str, ts_col: str, seconds: int, keys: t
 
 
 class CircuitBreaker:
-    """The breaker's state machine on event time (seconds): Closed, Open, HalfOpen, Isolated."""
+    """The breaker's state machine on event time (seconds): Closed, Open, HalfOpen, Isolated.
+
+    Half-open probes that neither close nor reopen it are renewed after another break_s: it never stays half-open for good.
+    """
 
     def __init__(self, failure_ratio: float = 0.5, sampling_s: float = 30.0, least: int = 10, break_s: float = 30.0, half_open: int = 3) -> None:
         self.failure_ratio, self.sampling_s, self.least, self.break_s, self.half_open = failure_ratio, sampling_s, least, break_s, half_open
@@ -196,8 +251,8 @@ class CircuitBreaker:
 
     def allow(self, now: float) -> bool:
         self._expire(now)
-        if self.state == "Open" and now - self.opened >= self.break_s:
-            self.state = "HalfOpen"
+        if now - self.opened >= self.break_s and (self.state == "Open" or self.state == "HalfOpen" and self.probes >= self.half_open):
+            self.state, self.opened = "HalfOpen", now
             self._probe()
         if self.state == "HalfOpen":
             self.probes += 1
@@ -246,4 +301,4 @@ def breaker_replay(df: DataFrame, key: str, ts_col: str, order_col: str, ok_col:
     return rows.groupBy(key).applyInPandas(run, schema)
 
 
-__all__ = ["ERROR_DDL", "Attempted", "CircuitBreaker", "RetryPolicy", "breaker_replay", "budget", "classify", "dead_letters", "failure_ratio", "jittered", "replay", "route", "schedule"]
+__all__ = ["ERROR_DDL", "Attempted", "CircuitBreaker", "RetryPolicy", "breaker_replay", "budget", "classify", "dead_letters", "failure_ratio", "jittered", "replay", "route", "schedule", "within"]

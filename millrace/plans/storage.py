@@ -9,12 +9,27 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder under the shared folder named by spark.checkpoint.dir (a temporary one only if that is unset)."""
+    """A new folder under the shared folder named by spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is taken, if the master is local; on a cluster it would be another folder on
+    every machine, so there it is an error.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = sc._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="millrace-")
+        if kept.isDefined():
+            base = kept.get()
+        elif (sc.master or "").startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}/{label}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that no later plan reads."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

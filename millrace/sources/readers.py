@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.resilience import replay
 
 
+_log = logging.getLogger(__name__)
+
+
 class Source(Protocol):
     def read(self, spark: SparkSession) -> DataFrame: ...
 
@@ -150,24 +154,49 @@ class TableSource:
 class DeadLetterSource:
     """Payloads of dead letters in JSON: lines, an array or a single object. Only failures with a value are given.
 
-    Names are matched without regard to case; a missing IsSuccess counts as a failure.
+    Names, those of the payload and its nested records included, are matched without regard to case (of names that
+    differ in case alone, the first); a missing IsSuccess counts as a failure. The first line of the input tells lines
+    from whole files; an array file is one row of text before it is taken apart. Malformed input raises.
     """
 
     path: str
     schema: T.StructType | str
 
     def read(self, spark: SparkSession) -> DataFrame:
-        ddl = self.schema if isinstance(self.schema, str) else _ddl(self.schema)
-        value = f"struct<{ddl}>" if not isinstance(self.schema, str) else f"struct<{self.schema}>"
-        text = spark.read.text(self.path, wholetext=True).select(F.trim("value").alias("value"))
-        lines = text.select(F.when(F.col("value").startswith("[") | F.try_parse_json(F.split("value", "\n")[0]).isNull(), F.array("value")).otherwise(F.split("value", "\n")).alias("parts"))
-        parts = lines.select(F.explode("parts").alias("value")).where("trim(value) <> ''")
-        norm = F.regexp_replace(F.regexp_replace(F.col("value"), r'(?i)"is_?success"\s*:', '"is_success":'), r'(?i)"value"\s*:', '"value":')
-        parts = parts.select(norm.alias("value"))
-        # A single object is an array of one, so that one parser reads both.
-        one = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-        rows = parts.select(F.explode(F.from_json(one, f"array<struct<value:{value},is_success:boolean>>", {"mode": "FAILFAST"})).alias("v"))
-        return replay(rows.select("v.value", "v.is_success"))
+        kind = self.schema if isinstance(self.schema, T.StructType) else spark.createDataFrame([], self.schema).schema
+        lines = spark.read.text(self.path).where(F.col("value").rlike(r"\S"))
+        first = lines.head()
+        text = first[0].strip() if first else ""
+        if text.startswith("{") and spark.range(1).select(F.try_parse_json(F.lit(text)).isNotNull()).first()[0]:
+            letters = lines.select(F.parse_json("value").alias("v"))
+        else:
+            whole = spark.read.text(self.path, wholetext=True).where(F.col("value").rlike(r"\S")).select(F.parse_json("value").alias("v"))
+            many = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v").cast("array<variant>")).otherwise(F.array("v"))
+            letters = whole.select(F.explode(many).alias("v"))
+        fields = _fields(F.col("v"))
+        good = F.coalesce(_member(fields, "is_success", "issuccess").cast("boolean"), F.lit(False))
+        rows = letters.where("v is not null").select(_member(fields, "value").alias("value"), good.alias("is_success"))
+        return replay(rows.select(_picked(F.col("value"), kind).alias("value"), "is_success"))
+
+
+def _fields(value: Column) -> Column:
+    """Names and values of a variant that is an object; null for any other."""
+    return F.map_entries(F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>")))
+
+
+def _member(fields: Column, *names: str) -> Column:
+    return F.get(F.filter(fields, lambda e: F.lower(e["key"]).isin(*names)), 0)["value"]
+
+
+def _picked(value: Column, kind: T.DataType) -> Column:
+    """A variant as `kind`, fields found by name without regard to case."""
+    absent = value.isNull() | F.is_variant_null(value)
+    if isinstance(kind, T.StructType):
+        fields = _fields(value)
+        return F.when(~absent, F.struct(*[_picked(_member(fields, f.name.lower()), f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.when(~absent, F.transform(value.cast("array<variant>"), lambda x: _picked(x, kind.elementType)))
+    return value.cast(kind)
 
 
 @dataclass(frozen=True)
@@ -192,20 +221,27 @@ class FnSource:
 
 @dataclass(frozen=True)
 class Concat:
-    """Several sources one after the other; `order_col` numbers them. A source that can't be planned is skipped on demand."""
+    """Several sources one after the other; `order_col` numbers them.
+
+    skip_failing: a source that can't be planned is left out, logged as a warning and given to on_skip(number, error).
+    """
 
     sources: tuple[Source, ...]
     order_col: str | None = None
     skip_failing: bool = False
+    on_skip: Callable[[int, Exception], None] | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
         parts = []
         for i, source in enumerate(self.sources):
             try:
                 df = source.read(spark)
-            except Exception:
+            except Exception as exc:
                 if not self.skip_failing:
                     raise
+                _log.warning("source %d (%s) is left out: %s", i, type(source).__name__, exc)
+                if self.on_skip:
+                    self.on_skip(i, exc)
                 continue
             parts.append(df.withColumn(self.order_col, F.lit(i)) if self.order_col else df)
         if not parts:

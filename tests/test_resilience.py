@@ -131,3 +131,54 @@ def test_breaker_replay(spark):
         want.append((i, allowed, b.state))
     assert [(r.i, r.allowed, r.cb_state) for r in got] == want
     assert {"Closed", "Open"} <= {r.cb_state for r in got}
+
+
+def test_a_hung_row_holds_up_no_other(spark):
+    import pathlib
+    import tempfile
+
+    calls = pathlib.Path(tempfile.mkdtemp())
+
+    def fn(row, attempt):
+        (calls / f"{row['id']}-{attempt}").touch()
+        if row["id"] == 0:
+            time.sleep(1.2)
+        return {"v": row["v"] + 1}
+
+    df = failing(spark, 4).coalesce(1)
+    rows = {r.id: r for r in Attempted(fn, RetryPolicy(1, retry_on=lambda _: False), timeout_s=0.4).apply(df).collect()}
+    assert rows[0]["_error"]["message"] == "Timed out after 0.4s"
+    assert [rows[i].v for i in range(4)] == [0, 2, 3, 4] and all(rows[i]["_error"] is None for i in (1, 2, 3))
+    assert sorted(p.name for p in calls.iterdir()) == ["0-1", "1-1", "2-1", "3-1"]
+
+
+def test_a_rows_own_budget(spark):
+    def never(row, attempt):
+        raise TimeoutError("no")
+
+    df = failing(spark, 4).withColumn("budget", F.expr("case id when 0 then 0 when 1 then 5 when 2 then -1 end"))
+    rows = {r.id: r for r in Attempted(never, RetryPolicy(2), budget_col="budget", timed=True).apply(df).collect()}
+    assert [rows[i].attempts for i in range(4)] == [1, 6, 3, 3] and all(r.elapsed_ms >= 0 for r in rows.values())
+
+
+def test_failed_rows_are_not_attempted(spark):
+    df = envelope.fail_where(failing(spark), F.col("id") < 3, envelope.error("before"))
+    rows = {r.id: r for r in Attempted(lambda row, _: {"v": None, "unknown": 1}).apply(df).collect()}
+    assert [rows[i].attempts for i in range(6)] == [0, 0, 0, 1, 1, 1]
+    assert [rows[i].v for i in range(6)] == [0, 1, 2, None, None, None] and rows[0]["_error"]["message"] == "before"
+
+
+def test_half_open_is_left_in_the_end():
+    b = CircuitBreaker(least=10, break_s=5, sampling_s=5)
+    for t in range(10):
+        b.record(0.0, False)
+    assert b.state == "Open" and b.allow(6)
+    for t, good in ((6, False), (6.5, True), (7, False)):
+        b.record(t, good)
+    assert b.state == "HalfOpen"
+    assert [b.allow(t) for t in (7, 8, 9)] == [True, True, False]
+    assert b.allow(11.5)  # renewed probes
+    b.record(11.5, True)
+    b.allow(12)
+    b.record(12, True)
+    assert b.state == "Closed"

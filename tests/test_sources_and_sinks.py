@@ -161,3 +161,32 @@ def test_fan_out_order(spark):
     seen = []
     fan_out(flow(spark), [FnSink(lambda d: seen.append(("a", d.count()))), FnSink(lambda d: seen.append(("b", d.count())))])
     assert seen == [("a", 3), ("b", 3)]
+
+
+def test_dead_letter_names_at_every_depth(spark, tmp_path):
+    text = "\n".join(map(json.dumps, [
+        {"Value": {"Name": "a", "id": 1}},
+        {"value": {"id": 2, "Value": "x", "NAME": "b", "Inner": {"Deep": [{"A": 1}, {"a": 2}, None]}}},
+        {"VALUE": {"isSuccess": "kept", "id": 3}, "ISSUCCESS": False},
+        {"Value": {"id": 4}, "is_success": True},
+        {"Value": {"id": None, "name": None}},
+    ]))
+    rows = DeadLetterSource(write(tmp_path / "d.json", text), "id int, name string, Value string, isSuccess string, inner struct<deep:array<struct<a:int>>>").read(spark).collect()
+    assert [(r["id"], r["name"], r["Value"], r["isSuccess"]) for r in rows] == [(1, "a", None, None), (2, "b", "x", None), (3, None, None, "kept"), (None, None, None, None)]
+    assert [x and x["a"] for x in rows[1]["inner"]["deep"]] == [1, 2, None] and rows[0]["inner"] is None
+
+
+@pytest.mark.parametrize("text, want", [("", 0), (" \n", 0), ("[]", 0), ("null", 0), ('[{"Value":{"id":1}},null]', 1)])
+def test_dead_letter_edges(spark, tmp_path, text, want):
+    assert DeadLetterSource(write(tmp_path / "d.json", text), "id int").read(spark).count() == want
+
+
+def test_malformed_dead_letters_raise(spark, tmp_path):
+    with pytest.raises(Exception):
+        DeadLetterSource(write(tmp_path / "d.json", '{"Value":{"id":1}}\n{"Value":'), "id int").read(spark).collect()
+
+
+def test_skipped_sources_are_told(spark, caplog):
+    told = []
+    Concat((FnSource(lambda s: s.range(1)), ParquetSource("/nowhere/at/all")), skip_failing=True, on_skip=lambda i, e: told.append(i)).read(spark)
+    assert told == [1] and "source 1 (ParquetSource) is left out" in caplog.text
