@@ -68,7 +68,7 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 of a string array without nulls, and the offsets of its texts in it."""
     edges = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if texts.buffers()[2] is None or not len(texts):
@@ -77,7 +77,7 @@ def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kinds(pieces: pa.Array) -> np.ndarray:
-    data, edges = _offsets(pieces)
+    data, edges = offsets(pieces)
     if not len(data):
         return np.full(len(pieces), _OTHER)
     blank = np.add.reduceat(blanks(data), edges[:-1], dtype=np.int64)
@@ -138,7 +138,7 @@ class Encoder:
         if not self.cuts:
             ids = self._each(texts.to_pylist())
             return _joined(ids, self.flat.dtype).astype(np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
-        data, edges = _offsets(texts)
+        data, edges = offsets(texts)
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         starts = cuts(data, edges)
@@ -148,13 +148,13 @@ class Encoder:
         if whole.any():
             of = np.searchsorted(edges, starts, side="right") - 1
             starts = starts[~whole[of] | (starts == edges[of])]
-        offsets = np.concatenate((starts, [len(data)])).astype(np.int32)
-        met = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        at = np.concatenate((starts, [len(data)])).astype(np.int32)
+        met = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
         codes = met.indices.to_numpy()
         counts, ids = self._ids(met.dictionary, np.bincount(codes, minlength=len(met.dictionary)), bool(whole.any()))
         wide = self.flat.dtype.itemsize
-        offsets = np.concatenate(([0], np.cumsum(counts * wide))).astype(np.int32)
-        taken = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).take(met.indices)
+        at = np.concatenate(([0], np.cumsum(counts * wide))).astype(np.int32)
+        taken = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids)]).take(met.indices)
         ends = np.frombuffer(taken.buffers()[1], dtype=np.int32)[taken.offset : taken.offset + len(taken) + 1] // wide
         ids = np.frombuffer(taken.buffers()[2], dtype=self.flat.dtype)[ends[0] : ends[-1]].astype(np.uint32)
         return ids, np.diff((ends - ends[0])[np.searchsorted(starts, edges)]).astype(np.int64)

@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import SLICE_BYTES, slices, text_bytes
+from millrace.llm._common import SLICE_BYTES, give_back, slices, text_bytes
+from millrace.llm.encoder import blanks, offsets
 
 BITS = 15
 NONE = "und"
-#: Words (and their letters) that one worker remembers the scores of.
-MEMORY, MEMORY_CHARS = 300_000, 10_000_000
+#: Words that one worker remembers the scores of, and the longest of them.
+MEMORY, LONGEST = 200_000, 48
+#: Words of a segment of a chain; labels up to which chains are cut into segments.
+SEGMENT, SCAN_LABELS = 256, 12
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _EDGE = 10
 
@@ -77,7 +81,7 @@ class Model:
         self._clear()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "rows", "chars")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "rows", "hits")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -85,55 +89,79 @@ class Model:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.labels)), dtype=np.float32)
-        self.chars = 0
+        self.rows, self.hits = np.zeros((0, len(self.labels)), dtype=np.float32), np.zeros(0, dtype=np.int64)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         grams, starts, more = self.features.of(words)
         sums = np.add.reduceat(self.weights[grams], starts[:-1], axis=0) / np.diff(starts)[:, None]
         return sums + self.weights[more].sum(axis=1)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """exp(emission) of raw words, largest 1; rows of words without a letter are 0."""
+    def scores(self, words: list[str], often: np.ndarray | None = None) -> np.ndarray:
+        """exp(emission) of distinct raw words, largest 1; rows of words without a letter are 0. often: their numbers in the texts."""
+        often = np.ones(len(words), dtype=np.int64) if often is None else often
         codes = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
-        new = list(dict.fromkeys(words[i] for i in np.flatnonzero(codes < 0).tolist()))
-        if len(self.place) + len(new) > MEMORY or self.chars > MEMORY_CHARS:
-            self._clear()
-            codes[:] = -1
-            new = list(dict.fromkeys(words))
-        if new:
-            plain = [letters(w) for w in new]
-            full = np.array([bool(w) for w in plain])
-            rows = np.zeros((len(new), len(self.labels)), dtype=np.float32)
-            if full.any():
-                e = self.emissions([w for w in plain if w])
-                rows[full] = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30.0))
-            known = len(self.place)
-            self.place.update(zip(new, range(known, known + len(new))))
-            self.rows = np.concatenate((self.rows[:known], rows))
-            self.chars += sum(map(len, new))
-            missing = np.flatnonzero(codes < 0)
-            codes[missing] = [self.place[words[i]] for i in missing.tolist()]
-        return self.rows[codes]
+        known = codes >= 0
+        rows = np.zeros((len(words), len(self.labels)), dtype=np.float32)
+        rows[known] = self.rows[codes[known]]
+        self.hits[codes[known]] += often[known]
+        new = np.flatnonzero(~known)
+        plain = [letters(words[i]) for i in new.tolist()]
+        full = np.fromiter(map(bool, plain), dtype=bool, count=len(plain))
+        if full.any():
+            e = self.emissions([w for w in plain if w])
+            rows[new[full]] = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30.0))
+        short = new[np.fromiter((len(words[i]) <= LONGEST for i in new.tolist()), dtype=bool, count=len(new))]
+        if len(self.place) + len(short) > MEMORY:
+            self._shed()
+        if len(self.place) + len(short) <= MEMORY:
+            self.place.update(zip((words[i] for i in short.tolist()), range(len(self.place), len(self.place) + len(short))))
+            self.rows, self.hits = np.concatenate((self.rows, rows[short])), np.concatenate((self.hits, often[short]))
+        return rows
+
+    def _shed(self) -> None:
+        """Forget the words met once since the last time; all of them if that leaves more than half."""
+        keep = self.hits > 1
+        if keep.sum() > MEMORY // 2:
+            return self._clear()
+        words = list(itertools.compress(self.place, keep.tolist()))
+        self.place = dict(zip(words, range(len(words))))
+        self.rows, self.hits = self.rows[keep], np.zeros(len(words), dtype=np.int64)
 
     def posteriors(self, emitted: np.ndarray, counts: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
-        """Forward-backward over consecutive chains of `counts` words (each at least 1), all chains a word at a time.
+        """Forward-backward over consecutive chains of `counts` words (each at least 1).
 
-        moved: gets the expected number of moves from label to label added.
+        Chains are cut into segments, all of which go a word at a time together; what enters a segment from either side
+        comes from the products of the other segments' transition matrices, so a chain of a million words takes some
+        thousand steps. With many labels, where products would cost more than steps, a chain is one segment.
+        moved: gets the expected number of moves from label to label added (chains are then one segment each).
         """
-        order = np.argsort(-counts, kind="stable")
-        n, first = counts[order], (np.cumsum(counts) - counts)[order]
-        alive = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # chains with more than t words
-        move = np.exp(self.moves - self.moves.max())
-        forward = np.empty_like(emitted, dtype=np.float64)
-        a = np.ones((len(n), len(self.labels)))
+        size, move = len(self.labels), np.exp(self.moves - self.moves.max())
+        span = int(SEGMENT if moved is None and size <= SCAN_LABELS else counts.max())
+        parts = -(-counts // span)
+        ends = np.cumsum(parts)
+        number = np.arange(ends[-1]) - np.repeat(ends - parts, parts)
+        first = np.repeat(np.cumsum(counts) - counts, parts) + number * span
+        n = np.minimum(span, np.repeat(counts, parts) - number * span)
+        order = np.argsort(-n, kind="stable")
+        n, first, opens = n[order], first[order], (number == 0)[order]
+        alive = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # segments with more than t words
+        into, back = np.ones((len(n), size)), np.ones((len(n), size))
+        if span < counts.max():
+            product = np.empty((len(n), size, size))
+            product[order] = self._products(emitted, first, n, opens, alive, move)
+            into, back = _ends(product, ends, parts, number)
+            into, back = into[order], back[order]
+        forward = np.empty(emitted.shape, dtype=np.float64)
+        a = into
         for t in range(n[0]):
             k = alive[t]
             at = first[:k] + t
-            a = (a[:k] @ move if t else a[:k]) * emitted[at]
+            a = (np.where(opens[:, None], a, a @ move) if t == 0 else a[:k] @ move) * emitted[at]
             a /= a.sum(axis=1, keepdims=True)
             forward[at] = a
-        b = np.ones((len(n), len(self.labels)))
+        b = back
+        last = first + n - 1
+        forward[last] *= b
         for t in range(n[0] - 2, -1, -1):
             k = alive[t + 1]
             ahead = emitted[first[:k] + t + 1] * b[:k]
@@ -146,18 +174,24 @@ class Model:
             forward[first[:k] + t] *= x
         return forward / forward.sum(axis=1, keepdims=True)
 
+    def _products(self, emitted: np.ndarray, first: np.ndarray, n: np.ndarray, opens: np.ndarray, alive: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Of each segment: the product of its words' matrices move * diag(emitted), scaled; a chain's first word has no move."""
+        size = len(move)
+        p = np.where(opens[:, None, None], np.eye(size), move) * emitted[first][:, None, :]
+        for t in range(1, n[0]):
+            k = alive[t]
+            x = (p[:k].reshape(-1, size) @ move).reshape(k, size, size) * emitted[first[:k] + t][:, None, :]
+            p[:k] = x / x.max(axis=(1, 2), keepdims=True)
+        return p
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
         """Label and score of each text, and runs (start, end, label) of words with letters that have the same label."""
-        words, sizes = [], []
-        for text in texts:
-            own = text.lower().split()
-            sizes.append(len(own))
-            words += own
+        words, codes, sizes = split_words([x.lower() for x in texts])
         label, score, runs = [NONE] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-        rows = self.scores(words)
+        rows = self.scores(words, np.bincount(codes, minlength=len(words)))[codes]
         heard = rows.any(axis=1)
         of = np.repeat(np.arange(len(texts)), sizes)[heard]
-        place = (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[heard]
+        place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[heard]
         if len(of):
             docs, begins, counts = np.unique(of, return_index=True, return_counts=True)
             p = self.posteriors(rows[heard], counts)
@@ -173,6 +207,41 @@ class Model:
         return label, score, runs
 
 
+def _ends(product: np.ndarray, ends: np.ndarray, parts: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each segment gets from the segments before it in its chain, and from those behind it."""
+    into, back = np.ones(product.shape[:2]), np.ones(product.shape[:2])
+    begin = ends - parts
+    for k in range(1, parts.max()):
+        at = begin[parts > k] + k
+        x = np.einsum("si,sij->sj", into[at - 1], product[at - 1])
+        into[at] = x / x.sum(axis=1, keepdims=True)
+    for k in range(parts.max() - 2, -1, -1):
+        at = begin[parts > k + 1] + k
+        x = np.einsum("sij,sj->si", product[at + 1], back[at + 1])
+        back[at] = x / x.sum(axis=1, keepdims=True)
+    return into, back
+
+
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What str.split() makes of the texts: the distinct words, the number of each word in order, and how many each text has."""
+    data, edges = offsets(pa.array(texts, pa.string()))
+    if not len(data):
+        return [], np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    blank = blanks(data)
+    begins = np.concatenate(([True], blank[:-1]))
+    begins[edges[:-1][edges[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins & ~blank)
+    if not len(starts):
+        return [], np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    # A piece goes on to the next word's first byte: the white space behind a word is cut off each distinct piece.
+    at = np.concatenate((starts, [len(data)])).astype(np.int32)
+    met = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+    words = [x.rstrip() for x in met.dictionary.to_pylist()]
+    distinct = {x: i for i, x in enumerate(dict.fromkeys(words))}
+    number = np.fromiter(map(distinct.__getitem__, words), dtype=np.int64, count=len(words))
+    return list(distinct), number[met.indices.to_numpy()], np.diff(np.searchsorted(starts, edges))
+
+
 def train(samples: list[tuple[str, str]], epochs: int = 6, span: int = 60, lexicon_words: int = 4000, seed: int = 1) -> Model:
     """Fit on (text, label) pairs by AdaGrad on the conditional likelihood of their words' labels.
 
@@ -256,12 +325,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", as_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double,runs:array<struct<start:long,end:long,lang:string>>>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for part in slices(pa.table({"t": texts}), "t", 2 * SLICE_BYTES):
-            raw = [x.decode() for x in text_bytes(part["t"])]
-            label, score, runs = shared.value.predict(raw) if shared.value.labels else ([NONE] * len(raw), np.zeros(len(raw)), [[]] * len(raw))
-            out += [{"lang": x, "score": float(s), "runs": [{"start": a, "end": b, "lang": c} for a, b, c in r] if with_runs else None} for x, s, r in zip(label, score, runs)]
-        return pa.array(out, _FOUND)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        try:
+            for texts in batches:
+                out = []
+                for part in slices(pa.table({"t": texts}), "t", 2 * SLICE_BYTES):
+                    raw = [x.decode() for x in text_bytes(part["t"])]
+                    label, score, runs = model.predict(raw) if model.labels else ([NONE] * len(raw), np.zeros(len(raw)), [[]] * len(raw))
+                    out += [{"lang": x, "score": float(s), "runs": [{"start": a, "end": b, "lang": c} for a, b, c in r] if with_runs else None} for x, s, r in zip(label, score, runs)]
+                yield pa.array(out, _FOUND)
+        finally:
+            model._clear()
+            give_back()
 
     return docs.withColumn(as_col, run(F.col(text_col).cast("string")))

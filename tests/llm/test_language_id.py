@@ -36,6 +36,39 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(moved, joint)
 
 
+def test_segments_give_what_one_segment_gives(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b", "c", "d"], language_id.Features({}))
+    model.moves = rng.normal(size=(4, 4)) * 3
+    counts = np.array([1, 700, 3, 50, 10, 2, 333, 5, 64])
+    emitted = np.exp(-30 * rng.random((counts.sum(), 4)))
+    monkeypatch.setattr(language_id, "SEGMENT", 1000)
+    want = model.posteriors(emitted, counts)
+    for span in (1, 2, 5, 50, 64):
+        monkeypatch.setattr(language_id, "SEGMENT", span)
+        assert np.allclose(model.posteriors(emitted, counts), want)
+    monkeypatch.setattr(language_id, "SCAN_LABELS", 3)
+    assert np.allclose(model.posteriors(emitted, counts), want)
+
+
+def test_words_are_those_of_split():
+    texts = ["", " a  b\n", "x", "\t", "c\u2003d\x1ce\x85f\xa0g", "  ", "a b a\u3000", "é\n\nü"]
+    words, codes, sizes = language_id.split_words(texts)
+    assert [words[c] for c in codes] == [w for t in texts for w in t.split()] and len(set(words)) == len(words)
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+
+
+def test_word_memory_is_bounded(monkeypatch):
+    known = model()
+    texts = ["the cat and the dog " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    want = known.predict(texts)[1]
+    monkeypatch.setattr(language_id, "MEMORY", 100)
+    known._clear()
+    for at in range(0, 30, 2):
+        assert np.allclose(known.predict(texts[at : at + 2])[1], want[at : at + 2])
+        assert len(known.place) == len(known.rows) == len(known.hits) <= 100
+
+
 def test_held_out_accuracy(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     got = op1_language_id(spark, SF).collect()
