@@ -7,7 +7,7 @@ import random
 import threading
 import time
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -114,7 +114,8 @@ class Attempted:
     fn(row: dict, attempt: int) gets the payload columns and returns a dict of them or raises. Adds `attempts` and, if
     timed, `elapsed_ms`, the row's whole time with all attempts. Without a policy or a timeout of its own it takes the
     pipeline's (a timeout of 0 is none); budget_col holds a row's own number of retries (null or -1: the policy's). Waits
-    are the policy's if sleep is true. A task that Spark repeats runs the function again: it has to be idempotent.
+    are the policy's if sleep is true. breaker: settings of a CircuitBreaker that each task has on its own clock; while it
+    is open, rows fail as Transient / CircuitBreaker without a call. A task that Spark repeats runs the function again: it has to be idempotent.
     """
 
     fn: Callable[[dict, int], dict]
@@ -124,6 +125,7 @@ class Attempted:
     category: str | None = None
     budget_col: str | None = None
     timed: bool = False
+    breaker: Mapping[str, Any] | None = None
 
     def with_defaults(self, policy: RetryPolicy, timeout_s: float) -> Attempted:
         return replace(self, policy=self.policy or policy, timeout_s=timeout_s if self.timeout_s is None else self.timeout_s)
@@ -136,14 +138,20 @@ class Attempted:
         me = replace(self, policy=self.policy or RetryPolicy())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            guard = CircuitBreaker(**me.breaker) if me.breaker is not None else None
             for batch in batches:
                 good = np.flatnonzero(batch[ERROR].is_null().to_numpy(zero_copy_only=False)).tolist()
                 payload = batch.select(names).take(pa.array(good, pa.int64())).to_pylist() if good else []
                 attempts, elapsed = [0] * batch.num_rows, [0.0] * batch.num_rows
                 changes: dict[str, dict[int, Any]] = {}
                 for i, row in zip(good, payload):
+                    if guard and not guard.allow(time.monotonic()):
+                        changes.setdefault(ERROR, {})[i] = {"message": "Circuit breaker is open", "type": TRANSIENT, "category": "CircuitBreaker", "exception": None}
+                        continue
                     began = time.perf_counter()
                     attempts[i], made, failure = me._one(row)
+                    if guard:
+                        guard.record(time.monotonic(), failure is None)
                     elapsed[i] = (time.perf_counter() - began) * 1000
                     for name, value in made.items():
                         if name in names:

@@ -15,6 +15,14 @@ def _as_list(by: Sequence[str] | str | None) -> list[str]:
     return [] if by is None else [by] if isinstance(by, str) else list(by)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hll_registers(df: DataFrame, key: str, precision: int = 12, by: Sequence[str] | str | None = None) -> DataFrame:
     """The non-zero registers (by..., idx, rank) of a HyperLogLog sketch of a bigint key: a table that merges by max."""
     if not 4 <= precision <= 16:
@@ -82,13 +90,22 @@ class LogHistogram:
 
 def uniform_sample(df: DataFrame, k: int, seed: int) -> DataFrame:
     """k rows, each set equally likely: a top-k heap per task and one merge of k rows."""
-    return df.withColumn("_u", F.rand(seed)).orderBy("_u").limit(k).drop("_u")
+    u = spare(df, "_u")
+    return df.withColumn(u, F.rand(seed)).orderBy(u).limit(k).drop(u)
+
 
+def bottom_k(df: DataFrame, key: str, k: int, by: Sequence[str] | str | None = None) -> DataFrame:
+    """The k rows (of each group) with the smallest unsigned mix64 of a bigint key: a uniform sample that reruns alike.
 
-def bottom_k(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The k rows with the smallest unsigned mix64 of a bigint key: a uniform sample that reruns alike."""
+    Groups are cut to k rows before and after the shuffle.
+    """
     unsigned = mix64(key).bitwiseXOR(F.lit(-(2**63)))  # flips the sign bit: signed order is then unsigned order
-    return df.withColumn("_u", unsigned).orderBy("_u", key).limit(k).drop("_u")
+    u = spare(df, "_u")
+    if by is None:
+        return df.withColumn(u, unsigned).orderBy(u, key).limit(k).drop(u)
+    n = spare(df, "_n")
+    ranked = df.withColumn(u, unsigned).withColumn(n, F.row_number().over(Window.partitionBy(*_as_list(by)).orderBy(u, key)))
+    return ranked.where(F.col(n) <= k).drop(u, n)
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | None = None) -> DataFrame:
@@ -96,14 +113,16 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | No
     if order is None:
         return df.dropDuplicates(list(keys))
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    n = spare(df, "_n")
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The last n rows of each key in an order: what a bounded queue that drops its oldest rows would hold."""
     turned = [(F.col(c) if isinstance(c, str) else c).desc() for c in order]
     w = Window.partitionBy(*keys).orderBy(*turned)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    rank = spare(df, "_n")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
 
 
 def remove_keys(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,4 +151,5 @@ def shards(df: DataFrame, key: str, buckets: int, as_col: str = "shard") -> Data
 
 def reshard(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Shard i in partition i; no row is lost."""
-    return shards(df, key, buckets, "_shard").repartitionById(buckets, F.coalesce("_shard", F.lit(0))).drop("_shard")
+    shard = spare(df, "_shard")
+    return shards(df, key, buckets, shard).repartitionById(buckets, F.coalesce(shard, F.lit(0))).drop(shard)

@@ -98,7 +98,7 @@ class Validation:
         return fail_where(df, self.messages() != "", error(self.messages(), PERMANENT, "Validation"))
 
     def to_filter(self) -> Filter:
-        return Filter(self.messages() == "")
+        return Filter(reduce(lambda a, b: a & b, [c for c, _ in self.rules]) if self.rules else F.lit(True))
 
 
 @dataclass(frozen=True)

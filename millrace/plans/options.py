@@ -13,7 +13,9 @@ from millrace.operators.resilience import RetryPolicy
 class PipelineOptions:
     """How a pipeline runs. All of them are read when it runs, whenever they were set.
 
-    parallelism: partitions of shuffles; capacity: rows per Arrow batch (and files per trigger of a stream).
+    parallelism: partitions of shuffles; capacity: rows per Arrow batch; both hold while a run lasts. attempt_timeout_s
+    (0: none) and retry go for functions on rows that have none of their own. retry_table: where a stream's transient
+    failures wait. on_span gets a dict per step of a run: name, seconds, error.
     """
 
     parallelism: int | None = None
@@ -25,6 +27,8 @@ class PipelineOptions:
     dedup_watermark: tuple[str, str] | None = None
     dead_letter: Any = None
     retry: RetryPolicy = field(default_factory=RetryPolicy)
+    retry_table: str | None = None
+    on_span: Callable[[dict], None] | None = None
     on_metrics: Callable[[dict], None] | None = None
     on_state: Callable[[str, str], None] | None = None
     compact: bool = False

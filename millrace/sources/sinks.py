@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
@@ -15,9 +15,17 @@ from millrace.plans.envelope import as_result, succeeded
 
 
 class Sink(Protocol):
+    """write() takes a whole run's rows. A sink with write_batch(df, n) takes a stream's micro-batch n so that a batch that
+    Spark repeats replaces itself; others get write() for each micro-batch and see a repeated batch twice."""
+
     def write(self, df: DataFrame) -> None: ...
 
 
+def _of_batch(sink: Any, n: int) -> Any:
+    """The same sink for micro-batch n: a folder batch_id=n that is written as a whole, however often the batch runs."""
+    return replace(sink, path=f"{sink.path.rstrip('/')}/batch_id={n}", mode="overwrite")
+
+
 @dataclass(frozen=True)
 class FileSink:
     """Successful rows in any format that Spark writes, by partition."""
@@ -31,6 +39,9 @@ class FileSink:
     def write(self, df: DataFrame) -> None:
         succeeded(df).write.format(self.format).mode(self.mode).options(**self.options).partitionBy(*self.partition_by).save(self.path)
 
+    def write_batch(self, df: DataFrame, n: int) -> None:
+        _of_batch(self, n).write(df)
+
 
 def CsvSink(path: str, separator: str = ",", mode: str = "overwrite") -> FileSink:
     """Delimited text with a header."""
@@ -53,6 +64,9 @@ class JsonSink:
         else:
             rows.write.mode(self.mode).json(self.path)
 
+    def write_batch(self, df: DataFrame, n: int) -> None:
+        _of_batch(self, n).write(df)
+
 
 @dataclass(frozen=True)
 class JdbcSink:
@@ -131,6 +145,9 @@ class DeadLetterSink:
     def write(self, df: DataFrame) -> None:
         dead_letters(df, self.attempts if self.attempts in df.columns else None).write.format(self.format).mode(self.mode).save(self.path)
 
+    def write_batch(self, df: DataFrame, n: int) -> None:
+        _of_batch(self, n).write(df)
+
 
 @dataclass(frozen=True)
 class FnSink:
@@ -142,16 +159,20 @@ class FnSink:
         self.fn(df)
 
 
-def fan_out(df: DataFrame, sinks: Sequence[Sink], keep: bool = True) -> None:
-    """All rows to all sinks, in order. With several sinks the rows are persisted, so that sources are read once."""
+def fan_out(df: DataFrame, sinks: Sequence[Sink], keep: bool = True, batch: int | None = None) -> None:
+    """All rows to all sinks, in order. With several sinks the rows are persisted, so that sources are read once.
+
+    batch: the number of a stream's micro-batch, for sinks that write by it.
+    """
     many = keep and len(sinks) > 1 and not df.isStreaming
     if many:
         df = df.persist()
     try:
         for sink in sinks:
-            sink.write(df)
+            if batch is not None and hasattr(sink, "write_batch"):
+                sink.write_batch(df, batch)
+            else:
+                sink.write(df)
     finally:
         if many:
             df.unpersist()
-
-

@@ -17,20 +17,25 @@ KEYS = ("items_processed", "items_succeeded", "items_failed", "items_filtered",
 PREFIX = "millrace_"
 
 
-def counters() -> list[Column]:
+def counters(df: DataFrame | None = None) -> list[Column]:
+    """Aggregates over enveloped rows; with df, also retries and mean latency if it has `attempts` and `elapsed_ms`."""
     filtered = F.col(ERROR)["category"].eqNullSafe(F.lit(FILTERED))
+    have = set(df.columns) if df is not None else set()
+    more = [F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries")] if "attempts" in have else []
+    more += [F.avg(F.when(F.col("attempts") > 0, F.col("elapsed_ms"))).alias("avg_latency_ms")] if {"attempts", "elapsed_ms"} <= have else []
     return [
         F.count(F.lit(1)).alias("items_processed"),
         F.count_if(ok()).alias("items_succeeded"),
         F.count_if(~ok() & ~filtered).alias("items_failed"),
         F.count_if(filtered).alias("items_filtered"),
+        *more,
     ]
 
 
 def observed(df: DataFrame, name: str = "millrace") -> tuple[DataFrame, Observation]:
     """df that counts itself while an action runs; no second pass."""
     seen = Observation(name)
-    return df.observe(seen, *counters()), seen
+    return df.observe(seen, *counters(df)), seen
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -74,7 +79,9 @@ class ProgressListener(StreamingQueryListener):
     def onQueryProgress(self, event: Any) -> None:
         p = event.progress
         seen = p.observedMetrics.get("millrace") if p.observedMetrics else None
-        figures = {k: seen[k] for k in ("items_processed", "items_succeeded", "items_failed", "items_filtered")} if seen else {"items_processed": p.numInputRows}
+        figures = {k: v or 0 for k, v in seen.asDict().items()} if seen else {"items_processed": p.numInputRows}
+        waiting = [s.metrics.get("numFilesOutstanding") for s in p.sources if s.metrics]  # of file sources
+        figures |= {"queue_size": sum(int(w) for w in waiting if w)} if any(waiting) else {}
         self.on_metrics(figures | {"elapsed_ms": p.batchDuration, "batch": p.batchId})
 
     def onQueryIdle(self, event: Any) -> None: ...

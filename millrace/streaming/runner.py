@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.resilience import CircuitBreaker
+from millrace.plans.storage import forget
 from millrace.sources.sinks import Sink, fan_out
 
 STATES = ("NotStarted", "Running", "Paused", "Completed", "Faulted", "Cancelled")
@@ -36,15 +38,49 @@ def sessions(df: DataFrame, ts: str, delay: str, gap: str, by: Sequence[str], *a
     return event_time(df, ts, delay).groupBy(F.session_window(ts, gap), *by).agg(*aggs)
 
 
-def stream_ema(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """(key, n, level, velocity, prediction) per key and micro-batch; the state is three numbers a key."""
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, right_ts: str, delay: str, before: str, after: str = "0 seconds", how: str = "inner") -> DataFrame:
+    """Rows of both streams (or tables) with equal keys, the right one from `before` earlier to `after` later than the left.
+
+    Watermarks on both sides bound the state. Columns of the right side are prefixed by right_; null keys match nothing.
+    """
+    right = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
+    a, b = event_time(left, ts, delay), event_time(right, f"right_{right_ts}", delay)
+    when = F.col(f"right_{right_ts}").between(F.col(ts) - F.expr(f"interval {before}"), F.col(ts) + F.expr(f"interval {after}"))
+    same = [F.col(k) == F.col(f"right_{k}") for k in keys]
+    return a.join(b, reduce(lambda x, y: x & y, [*same, when]), how)
+
+
+def _timeout(state: GroupState, expire_s: float | None) -> bool:
+    """Whether the state is to be forgotten now; else its time starts anew."""
+    if expire_s is None:
+        return False
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    state.setTimeoutDuration(int(expire_s * 1000))
+    return False
+
+
+def _kind(expire_s: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if expire_s is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_ema(df: DataFrame, key: str, ts: str, value: str, order: Sequence[str] = (), expire_s: float | None = None) -> DataFrame:
+    """(key, n, level, velocity, prediction) per key and micro-batch; the state is three numbers a key.
+
+    Rows of a micro-batch go by ts, then by the columns `order`, then by value, so ties are settled; rows without a value
+    are left out. A key without rows for expire_s seconds is forgotten and starts anew (a stream with availableNow then
+    doesn't end by itself).
+    """
     kind = df.schema[key].dataType.simpleString()
     out = f"{key} {kind}, n long, level double, velocity double, prediction double"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _timeout(state, expire_s):
+            return
         n, level, velocity = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(ts)
-        for x in rows[value].astype(float):
+        rows = pd.concat(list(frames)).sort_values([ts, *order, value])
+        for x in rows[value].dropna().astype(float):
             old = level
             level = x if old < 0.001 else (0.8 if x > 3 * old else 0.2) * x + (0.2 if x > 3 * old else 0.8) * old
             change = level - old
@@ -53,23 +89,29 @@ def stream_ema(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
         state.update((n, level, velocity))
         yield pd.DataFrame([[k[0], n, level, velocity, max(0.0, level + velocity)]], columns=[key, "n", "level", "velocity", "prediction"])
 
-    return df.select(key, ts, value).groupBy(key).applyInPandasWithState(step, out, "n long, level double, velocity double", "update", GroupStateTimeout.NoTimeout)
+    return df.select(key, ts, value, *order).groupBy(key).applyInPandasWithState(step, out, "n long, level double, velocity double", "update", _kind(expire_s))
 
 
-def stream_breaker(df: DataFrame, key: str, ts: str, ok_col: str, **settings: Any) -> DataFrame:
-    """(key, seen, refused, cb_state, cb_ewma_failure_rate) per key and micro-batch, by a breaker whose state outlives batches."""
+def stream_breaker(df: DataFrame, key: str, ts: str, ok_col: str, order: Sequence[str] = (), expire_s: float | None = None, **settings: Any) -> DataFrame:
+    """(key, seen, refused, cb_state, cb_ewma_failure_rate) per key and micro-batch, by a breaker whose state outlives batches.
+
+    Rows of a micro-batch go by ts, then by the columns `order`, failures last among equals. A key without rows for
+    expire_s seconds is forgotten.
+    """
     kind = df.schema[key].dataType.simpleString()
     out = f"{key} {kind}, seen long, refused long, cb_state string, cb_ewma_failure_rate double"
     kept = "seen long, refused long, state string, ewma double, opened double, probes long, wins long, times array<double>, goods array<boolean>"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _timeout(state, expire_s):
+            return
         breaker, seen, refused = CircuitBreaker(**settings), 0, 0
         if state.exists:
             seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, times, goods = state.get
             for t, g in zip(times, goods):
                 breaker.window.append((t, g))
                 breaker.failures += not g
-        rows = pd.concat(list(frames)).sort_values("_t")
+        rows = pd.concat(list(frames)).sort_values(["_t", *order, "_good"], ascending=[True, *[True] * len(order), False])
         for t, good in rows[["_t", "_good"]].itertuples(index=False):
             seen += 1
             if breaker.allow(t):
@@ -79,14 +121,72 @@ def stream_breaker(df: DataFrame, key: str, ts: str, ok_col: str, **settings: An
         state.update((seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, [t for t, _ in breaker.window], [g for _, g in breaker.window]))
         yield pd.DataFrame([[k[0], seen, refused, breaker.state, breaker.ewma]], columns=[key, "seen", "refused", "cb_state", "cb_ewma_failure_rate"])
 
-    rows = df.select(key, F.col(ts).cast("timestamp").cast("double").alias("_t"), F.col(ok_col).alias("_good"))
-    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
+    rows = df.select(key, *order, F.col(ts).cast("timestamp").cast("double").alias("_t"), F.col(ok_col).alias("_good"))
+    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "update", _kind(expire_s))
+
+
+class DedupSet:
+    """A dedup set that outlives batches and gives keys back: a table of keys in the shared folder, one version per batch.
+
+    admit(batch, n) gives the batch's rows whose key is new, one per key, and remembers the keys; remove(keys, n) forgets
+    keys, so that they are new again. A batch that runs again reads the version before it and writes its own anew. Old
+    versions but one are deleted. Exact: no new key is taken for an old one; the join goes by shuffle, whatever the size.
+    """
+
+    def __init__(self, path: str, keys: Sequence[str]) -> None:
+        self.path, self.keys = path.rstrip("/"), list(keys)
+
+    def _version(self, n: int) -> str:
+        return f"{self.path}/version={n:012d}"
+
+    def _before(self, spark: SparkSession, n: int) -> tuple[int, DataFrame] | None:
+        have = [v for v in _versions(spark, self.path) if v < n]
+        return (max(have), spark.read.parquet(self._version(max(have)))) if have else None
+
+    def _save(self, keys: DataFrame, n: int) -> None:
+        spark = keys.sparkSession
+        keys.write.mode("overwrite").parquet(self._version(n))
+        for v in sorted(_versions(spark, self.path))[:-2]:
+            forget(spark, self._version(v))
+
+    def admit(self, batch: DataFrame, n: int) -> DataFrame:
+        spark, old = batch.sparkSession, self._before(batch.sparkSession, n)
+        first = batch.dropDuplicates(self.keys)
+        # The keys admitted are written first: what comes back is exactly the rows of those.
+        new = first if old is None else first.join(old[1], self.keys, "left_anti")
+        rows = f"{self.path}/admitted"
+        new.write.mode("overwrite").parquet(rows)
+        new = spark.read.schema(batch.schema).parquet(rows)
+        fresh = new.select(*self.keys)
+        self._save(fresh if old is None else old[1].unionByName(fresh), n)
+        return new
+
+    def remove(self, keys: DataFrame, n: int) -> None:
+        """As a step of its own number: forget the keys."""
+        old = self._before(keys.sparkSession, n)
+        if old is not None:
+            self._save(old[1].join(keys.select(*self.keys).distinct(), self.keys, "left_anti"), n)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(at)]
+    done = [x for x in names if x.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
+    return [int(x.removeprefix("version=")) for x in done]
 
 
 class StreamRun:
-    """A streaming pipeline: every micro-batch goes to every sink; pause and resume restart from the checkpoint."""
+    """A streaming pipeline: every micro-batch goes to every sink; pause and resume restart from the checkpoint.
+
+    Delivery: a batch that runs again after a failure replaces what it wrote in sinks that write by batch number (files,
+    JSON, dead letters), once in effect; other sinks get it at least once. prepare(batch, n) runs before the sinks.
+    """
 
-    def __init__(self, df: DataFrame, sinks: Sequence[Sink], checkpoint: str, on_state: Callable[[str, str], None] | None = None, **trigger: Any) -> None:
+    def __init__(self, df: DataFrame, sinks: Sequence[Sink], checkpoint: str, on_state: Callable[[str, str], None] | None = None, prepare: Callable[[DataFrame, int], DataFrame] | None = None, **trigger: Any) -> None:
+        self._prepare = prepare
         self._df, self._sinks, self._checkpoint, self._trigger = df, list(sinks), checkpoint, trigger or {"availableNow": True}
         self._on_state, self._query, self.state = on_state, None, "NotStarted"
 
@@ -99,7 +199,8 @@ class StreamRun:
         if self.state == "Running":
             raise RuntimeError("already running")
         sinks = self._sinks
-        writer = self._df.writeStream.foreachBatch(lambda batch, _: fan_out(batch, sinks))
+        prepare = self._prepare
+        writer = self._df.writeStream.foreachBatch(lambda batch, n: fan_out(prepare(batch, n) if prepare else batch, sinks, batch=n))
         self._query = writer.option("checkpointLocation", self._checkpoint).trigger(**self._trigger).start()
         self._to("Running")
         return self

@@ -82,8 +82,7 @@ def test_compact_plan_reaches_the_scan(spark, tmp_path):
 
 
 def test_background(spark, tmp_path):
-    thread = base().sink(FileSink(str(tmp_path / "o"))).run_background(spark)
-    thread.join(60)
+    base().sink(FileSink(str(tmp_path / "o"))).run_background(spark).join(60)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 7
 
 
@@ -132,15 +131,13 @@ def test_stream_windows(spark, tmp_path):
 def test_stream_state_equals_batch(spark, tmp_path):
     from millrace.operators import controllers
 
-    events(spark, tmp_path / "e", ROWS[:11])
-    df = events(spark, tmp_path / "e", ROWS[11:])
-    # Files may be read in any order; one file a batch keeps each key's times in order here.
-    got = drain(runner.stream_ema(df, "k", "ts", "v"), "se", "update")
-    last = {r.k: r for r in got.collect() if r.n == 10}
-    want = {r.k: r for r in controllers.ema(spark.read.parquet(str(tmp_path / "e")), "k", ["ts"], "v").collect()}
-    assert set(last) == {0, 1, 2}
-    if all(abs(last[k].level - want[k].level) < 1e-9 for k in last):
-        assert all(abs(last[k].velocity - want[k].velocity) < 1e-9 for k in last)
+    rows = ROWS + [(r[0], r[1], r[2] + 3, r[3]) for r in ROWS[:9]]  # ties go by value
+    df = events(spark, tmp_path / "e", rows)
+    got = {r.k: r for r in drain(runner.stream_ema(df, "k", "ts", "v"), "se", "update").collect()}
+    want = {r.k: r for r in controllers.ema(spark.read.parquet(str(tmp_path / "e")).withColumn("w", F.col("v")), "k", ["ts", "w"], "v").collect()}
+    assert set(got) == {0, 1, 2}
+    for k in got:
+        assert got[k].n == 13 and abs(got[k].level - want[k].level) < 1e-9 and abs(got[k].velocity - want[k].velocity) < 1e-9
 
 
 def test_stream_breaker(spark, tmp_path):
@@ -167,3 +164,142 @@ def test_stream_pipeline_life(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == good
     run.cancel()
     assert run.state == "Cancelled"
+
+
+def test_settings_are_given_back(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    seen = []
+    p = base().options(parallelism=3, capacity=7).sink(FnSink(lambda d: (seen.append([spark.conf.get(k) for k in before]), d.count())))
+    p.run(spark)
+    with pytest.raises(Exception):
+        base().options(parallelism=3).sink(FnSink(lambda d: 1 / 0)).run(spark)
+    assert seen == [["3", "7"]] and before == {k: spark.conf.get(k) for k in before}
+
+
+def test_options_reach_attempts_and_metrics(spark, tmp_path):
+    from millrace.operators.resilience import RetryPolicy
+
+    def flaky(row, attempt):
+        if row["id"] == 5:
+            time.sleep(1)
+        if attempt <= row["id"] % 3:
+            raise ConnectionError("later")
+        return {}
+
+    figures = []
+    p = Pipeline().source(numbers(6)).source(numbers(3)).source(ParquetSource("/nowhere/at/all")).keyed("id").attempt(flaky, timed=True)
+    p = p.options(retry=RetryPolicy(1), attempt_timeout_s=0.3, dedup_keys=("id",), on_metrics=figures.append)
+    out = p.to(spark, FileSink(str(tmp_path / "o"))).figures
+    assert out["items_processed"] == 6 and out["duplicates_filtered"] == 3 and out["sources_failed"] == 1
+    assert out["items_failed"] == 2 and out["retries"] == 4 and out["avg_latency_ms"] > 0  # 2 and 5 fail, 1 and 4 after a retry don't
+    one = p.process_one(spark, {"id": 5, "v": 1.0}, "id long, v double")
+    assert one["error"]["message"] == "Timed out after 0.3s" and figures[-1]["items_failed"] == 1
+
+
+def test_breaker_in_a_task(spark):
+    from millrace.operators.resilience import Attempted, RetryPolicy
+    from millrace.plans import envelope
+
+    def bad(row, attempt):
+        raise ValueError("no")
+
+    df = envelope.wrap(numbers(50).read(spark).coalesce(1), "id")
+    rows = Attempted(bad, RetryPolicy(1), breaker={"least": 5}).apply(df).groupBy("_error.category").count().collect()
+    got = {r["category"]: r["count"] for r in rows}
+    assert got["TransformError"] <= 5 and got["CircuitBreaker"] >= 45
+
+
+def test_background_outcome_and_error(spark, tmp_path):
+    run = base().sink(FileSink(str(tmp_path / "o"))).run_background(spark)
+    assert run.result(60).state == "Completed"
+    with pytest.raises(ZeroDivisionError):
+        base().sink(FnSink(lambda d: 1 / 0)).run_background(spark).result(60)
+
+
+def test_spans(spark, tmp_path):
+    spans = []
+    base().options(on_span=spans.append).to(spark, FileSink(str(tmp_path / "o")))
+    with pytest.raises(ZeroDivisionError):
+        base().options(on_span=spans.append).to(spark, FnSink(lambda d: 1 / 0))
+    assert [(s["name"], s["error"] is None) for s in spans] == [("plan", True), ("sink", True), ("plan", True), ("sink", False)]
+    assert spans[1]["sink"] == "FileSink" and spans[1]["pipeline"] == "t"
+
+
+def test_streams_keep_every_batch_once(spark, tmp_path):
+    for at in range(3):
+        events(spark, tmp_path / "e", ROWS[at * 10 : at * 10 + 10])
+    source = FnSource(lambda s: s.readStream.schema("k long, ts timestamp, v double, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e")))
+    p = Pipeline().source(source).keyed("k").transform(Validation().require(F.col("ok"), "not ok")).options(dead_letter=DeadLetterSink(str(tmp_path / "d")))
+    run = p.sink(FileSink(str(tmp_path / "o"))).stream(spark, str(tmp_path / "cp")).start()
+    assert run.wait(120)
+    good = sum(r[3] for r in ROWS)
+    out = spark.read.parquet(str(tmp_path / "o"))
+    assert out.count() == good and out.select("batch_id").distinct().count() == 3
+    assert spark.read.json(str(tmp_path / "d")).count() == len(ROWS) - good
+    # A batch that is run again replaces itself.
+    from millrace.plans import envelope
+    from millrace.sources.sinks import fan_out
+
+    again = envelope.wrap(out.where("batch_id = 1").drop("batch_id"), "k").cache()
+    again.count()
+    for _ in range(2):
+        fan_out(again, [FileSink(str(tmp_path / "o"))], batch=1)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == good
+
+
+def test_retry_table(spark, tmp_path):
+    from millrace.operators.resilience import RetryPolicy
+
+    spark.range(10).withColumn("v", F.col("id") * 1.0).coalesce(1).write.parquet(str(tmp_path / "e"))
+    source = FnSource(lambda s: s.readStream.schema("id long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e")))
+
+    def flaky(row, _):
+        if row["attempt"] <= row["id"] % 4:
+            raise ConnectionError("later")
+        return {"v": row["v"] + 100}
+
+    # The function itself is tried once a batch; the table brings its row back.
+    p = Pipeline().source(source).keyed("id").attempt(flaky, policy=RetryPolicy(1, retry_on=lambda _: False))
+    p = p.options(retry=RetryPolicy(2, delay_ms=1), retry_table=str(tmp_path / "r"), dead_letter=DeadLetterSink(str(tmp_path / "d"))).sink(FileSink(str(tmp_path / "o")))
+    for n in range(4):
+        if n:
+            spark.createDataFrame([(100 + 4 * n, 0.0)], "id long, v double").write.mode("append").parquet(str(tmp_path / "e"))
+            time.sleep(0.05)
+        assert p.stream(spark, str(tmp_path / "cp")).start().wait(120)
+    out = {r.id: r for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert sorted(out) == [0, 1, 2, 4, 5, 6, 8, 9, 104, 108, 112]
+    assert all(r.attempt == r.id % 4 + 1 and r.v == (r.id + 100.0 if r.id < 100 else 100.0) for r in out.values())
+    dead = spark.read.json(str(tmp_path / "d")).collect()
+    assert sorted(r.trace_id for r in dead) == [3, 7]
+    from millrace.streaming.retries import RetryTable
+
+    assert RetryTable(str(tmp_path / "r")).pending(spark).count() == 0
+
+
+def test_dedup_set_gives_keys_back(spark, tmp_path):
+    keys = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "k long, v string")
+    seen = runner.DedupSet(str(tmp_path / "s"), ["k"])
+    admitted = lambda n, *ids: sorted(r.k for r in seen.admit(keys(*ids), n).collect())
+    assert admitted(0, 1, 2, 2, 3) == [1, 2, 3]
+    assert admitted(1, 2, 4) == [4]
+    assert admitted(1, 2, 4) == [4]  # the same batch again
+    seen.remove(keys(2), 2)
+    assert admitted(3, 1, 2, 4) == [2]
+
+
+def test_interval_join(spark, tmp_path):
+    left = events(spark, tmp_path / "a", [(1, 10, 1, True), (1, 100, 2, True), (2, 10, 3, True)])
+    right = events(spark, tmp_path / "b", [(1, 5, 10, True), (1, 11, 20, True), (1, 95, 30, True), (2, 200, 40, True)])
+    got = drain(runner.interval_join(left, right, ["k"], "ts", "ts", "1 minute", "10 seconds"), "ij")
+    assert sorted((r.v, r.right_v) for r in got.collect()) == [(1.0, 10.0), (2.0, 30.0)]
+
+
+def test_state_expires(spark, tmp_path):
+    df = runner.stream_ema(events(spark, tmp_path / "e", ROWS), "k", "ts", "v", expire_s=0.001)
+    q = df.writeStream.format("memory").queryName("sx").outputMode("update").trigger(processingTime="100 milliseconds").start()
+    q.processAllAvailable()
+    time.sleep(1)  # all keys are forgotten
+    events(spark, tmp_path / "e", ROWS[:3])
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.n for r in spark.table("sx").collect()) == [1, 1, 1, 10, 10, 10]
