@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import workspace
+from millrace.llm._common import bounded, workspace
 from millrace.llm._files import RangeFile, write_file
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     archives; the manifest names those of the tasks that were counted only. No rows write no archives. Repeated rows get
     a record each.
     """
-    spark = pages.sparkSession
+    spark = bounded(pages).sparkSession
     folder, manifest = workspace(spark, "warc"), workspace(spark, "manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

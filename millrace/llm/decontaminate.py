@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import stored, text_bytes
+from millrace.llm._common import bounded, stored, text_bytes
 
 #: A word byte to itself, A-Z to a-z, any other byte to a space.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -149,7 +149,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_word
 
 
 def _matcher(docs: DataFrame, automaton: SuffixAutomaton):
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(automaton)
 
     @F.arrow_udf(_DDL)
     def found(texts: pa.Array) -> pa.Array:

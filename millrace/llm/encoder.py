@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of pieces that one worker remembers the ids of; longer pieces are not remembered.
-MEMORY_BYTES, LONGEST = 4_000_000, 64
+MEMORY_BYTES, LONGEST = 3_000_000, 64
 #: Pieces that the library gets as one text.
 GROUP = 1000
 
@@ -84,7 +84,7 @@ def _kinds(pieces: pa.Array) -> np.ndarray:
     return np.where(blank == 0, _BARE, np.where((blank == 1) & (data[edges[:-1]] == _SPACE) & (np.diff(edges) > 1), _SPACED, _OTHER))
 
 
-def _take(flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def take(flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)]
 
@@ -171,7 +171,7 @@ class Encoder:
         counts, first = np.empty(len(pieces), dtype=np.int64), np.empty(len(pieces), dtype=np.int64)
         first[known], counts[known] = self.first[codes[known]], self.count[codes[known]]
         first[missing], counts[missing] = len(self.flat) + np.cumsum(new_counts) - new_counts, new_counts
-        ids = _take(np.concatenate((self.flat, new_ids)), first, counts)
+        ids = take(np.concatenate((self.flat, new_ids)), first, counts)
         self._keep([pieces[i] for i in missing.tolist()], new_counts, new_ids, often[missing])
         return counts, ids
 
@@ -199,7 +199,7 @@ class Encoder:
         if (chars := sum(map(len, places))) > MEMORY_BYTES // 2:
             return self._clear()
         counts = self.count[keep]
-        self.flat = _take(self.flat, self.first[keep], counts)
+        self.flat = take(self.flat, self.first[keep], counts)
         self.place, self.chars = dict(zip(places, range(len(places)))), chars
         self.first, self.count, self.hits = np.cumsum(counts) - counts, counts, np.zeros(len(counts), dtype=np.int64)
 

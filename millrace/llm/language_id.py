@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import SLICE_BYTES, give_back, slices, text_bytes
+from millrace.llm._common import SLICE_BYTES, bounded, give_back, slices, text_bytes
 from millrace.llm.encoder import blanks, offsets
 
 BITS = 15
 NONE = "und"
 #: Words that one worker remembers the scores of, and the longest of them.
-MEMORY, LONGEST = 200_000, 48
+MEMORY, LONGEST = 150_000, 48
 #: Words of a segment of a chain; labels up to which chains are cut into segments.
 SEGMENT, SCAN_LABELS = 256, 12
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -322,7 +322,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", as_col: str
     `und` with score 0 for null texts and texts without a letter, and if the model has no labels. Word numbers in runs
     count all white-space separated words. Other columns pass through. Texts are labelled whole, as one chain each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double,runs:array<struct<start:long,end:long,lang:string>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -330,7 +330,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", as_col: str
         try:
             for texts in batches:
                 out = []
-                for part in slices(pa.table({"t": texts}), "t", 2 * SLICE_BYTES):
+                for part in slices(pa.table({"t": texts}), "t", SLICE_BYTES):
                     raw = [x.decode() for x in text_bytes(part["t"])]
                     label, score, runs = model.predict(raw) if model.labels else ([NONE] * len(raw), np.zeros(len(raw)), [[]] * len(raw))
                     out += [{"lang": x, "score": float(s), "runs": [{"start": a, "end": b, "lang": c} for a, b, c in r] if with_runs else None} for x, s, r in zip(label, score, runs)]

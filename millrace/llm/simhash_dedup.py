@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import slices, stored, text_bytes
+from millrace.llm._common import bounded, slices, stored, text_bytes
 from millrace.llm._graph import connected_components
 
 #: Byte value to eight byte-wide counters, lane k holding bit k.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = majority_bits(flat, counts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(fp)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import CHUNK_BYTES, chunk_of, id_chunks, slices, text_bytes, window_hashes, word_hashes
+from millrace.llm._common import CHUNK_BYTES, bounded, chunk_of, id_chunks, slices, text_bytes, window_hashes, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _BLOB = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and blank texts have no words; texts under `width` words have no window. Equal ids are not smaller, so repeated
     rows stay; a null id counts as larger than all others. No rows give no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = id_chunks(rows, "doc_id", "text", chunk_bytes)
     bits = max(0, math.ceil(math.log2(max(1, len(bounds)))))
     chunked = rows.withColumn("chunk", chunk_of("doc_id", bounds))

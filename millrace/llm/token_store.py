@@ -22,15 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import CHUNK_BYTES, chunks_of, forget, give_back, id_chunks, slices, workspace
+from millrace.llm._common import CHUNK_BYTES, bounded, chunks_of, forget, give_back, id_chunks, slices, workspace
 from millrace.llm._files import RangeFile, write_file
-from millrace.llm.encoder import Encoder
+from millrace.llm.encoder import Encoder, take
 
 MAGIC = b"MRANS01\n"
 SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 1024, 1 << 19, 256
 _LOW = np.uint64(1 << 31)
 #: Text bytes that the tokenizer gets at once: the more, the fewer pieces are new.
-ENCODE_BYTES = 8_000_000
+ENCODE_BYTES = 4_000_000
 
 
 class Table:
@@ -191,13 +191,15 @@ def _tokenize(path: str, end_id: int, bounds: np.ndarray):
                     flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
                     counts = counts + 1
                     chunks = chunks_of(part["doc_id"].combine_chunks(), bounds)
-                    doc_ids = part["doc_id"].to_pylist()
-                    of = np.repeat(chunks, counts)
+                    order = np.argsort(chunks, kind="stable")
+                    if (chunks[1:] < chunks[:-1]).any():
+                        flat = take(flat, (np.cumsum(counts) - counts)[order], counts[order])
+                    doc_ids, counts, ends = part["doc_id"].take(pa.array(order)).to_pylist(), counts[order], np.cumsum(counts[order])
+                    met, first = np.unique(chunks[order], return_index=True)
                     rows = []
-                    for c in np.unique(chunks):
-                        mine = np.flatnonzero(chunks == c)
-                        own = flat[of == c]
-                        rows.append({"chunk": int(c), "doc_ids": [doc_ids[i] for i in mine], "counts": counts[mine].tolist(), "n": len(own), "ids": _pack(own)})
+                    for c, a, b in zip(met.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+                        own = flat[ends[a] - counts[a] : ends[b - 1]]
+                        rows.append({"chunk": c, "doc_ids": doc_ids[a:b], "counts": counts[a:b].tolist(), "n": len(own), "ids": _pack(own)})
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n", pa.int64()), ("ids", pa.binary())]))
         finally:
             Encoder.release()
@@ -257,7 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     The driver gets one count per id of the vocabulary and one sum per shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = id_chunks(rows, "doc_id", "text", chunk_bytes)
     held, folder = workspace(spark, "ids"), workspace(spark, "shards")
     rows.mapInArrow(_tokenize(tokenizer, end_id, bounds), _ROW).write.option("compression", "none").parquet(held)
@@ -282,7 +284,7 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def read_index(manifest: DataFrame, table: Table) -> DataFrame:
     """Decode every shard: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian u32) per document."""
-    shared = manifest.sparkSession.sparkContext.broadcast(table)
+    shared = bounded(manifest).sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

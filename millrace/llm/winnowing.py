@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import CHUNK_BYTES, chunk_of, id_chunks, mix64, powers
+from millrace.llm._common import CHUNK_BYTES, bounded, chunk_of, id_chunks, mix64, powers
 
 K, W = 14, 24
 _TABLE_MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", as_col: str = "winnowe
             rows.append([{"hash": x, "position": p} for x, p in zip(h.tolist(), at.tolist())])
         return pa.array(rows, _PRINT)
 
-    return docs.withColumn(as_col, run(F.col(text_col).cast("string")))
+    return bounded(docs).withColumn(as_col, run(F.col(text_col).cast("string")))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -128,7 +128,7 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     followed by the first. Null texts are empty; equal ids go by text; null ids come last. A single row follows itself.
     No rows give no rows. Rows are dealt into ranges of ids; the first row of each range goes to the range before as well.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.withColumn("chunk", chunk_of("doc_id", id_chunks(rows, "doc_id", "text", chunk_bytes)))
     # One id per range reaches the driver, the smallest that occurs there.
     lows = sorted(r["low"] for r in dealt.groupBy("chunk").agg(F.min("doc_id").alias("low")).where("low is not null").collect())
