@@ -307,9 +307,9 @@ def mix64_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(sf_dir, "supplier").read(spark).select("s_suppkey", F.lpad(F.hex(mix64("s_suppkey")), 16, "0").alias("mixed"))
 
 
-@query()
+@query("""SELECT s_suppkey, upper(lpad(hex(list_reduce([14695981039346656037::UBIGINT] || [CAST((s_suppkey >> (8 * i)) & 255 AS UBIGINT) FOR i IN range(8)], lambda h, b: CAST((CAST(xor(h, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))), 16, '0')) AS fnv FROM supplier""")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(sf_dir, "supplier").read(spark).select("s_suppkey", F.hex(fnv1a64("s_suppkey")).alias("fnv"))
+    return table(sf_dir, "supplier").read(spark).select("s_suppkey", F.lpad(F.hex(fnv1a64("s_suppkey")), 16, "0").alias("fnv"))
 
 
 # Ordered recurrences
@@ -421,10 +421,27 @@ def retry_until_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Attempted(flaky, RetryPolicy(3)).apply(df).select("event_id", envelope.ok().alias("is_success"), "attempts", F.col("_error.type").alias("error_type"))
 
 
-@query()
+# The state machine event by event; the window is a list of (time, good).
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, false AS allowed, 'Closed' AS st, 0.0::DOUBLE AS ewma, 0.0::DOUBLE AS opened, 0 AS probes, 0 AS wins, []::STRUCT(t DOUBLE, g BOOLEAN)[] AS w FROM events
+UNION ALL
+SELECT user_id, i, event_id, allowed, CASE WHEN closes THEN 'Closed' WHEN opens THEN 'Open' ELSE st1 END, CASE WHEN closes THEN 0.0 ELSE ewma2 END, CASE WHEN opens THEN t ELSE opened1 END,
+  CASE WHEN closes OR opens THEN 0 ELSE probes2 END, CASE WHEN closes OR opens THEN 0 ELSE wins2 END, w3 FROM
+(SELECT *, allowed AND good AND st1 = 'HalfOpen' AND wins2 >= 2 AS closes,
+  allowed AND NOT good AND len(w3) >= 5 AND len(list_filter(w3, lambda x: NOT x.g))::DOUBLE / len(w3) >= 0.3::DOUBLE AND st1 IN ('Closed', 'HalfOpen') AS opens FROM
+(SELECT *, CASE WHEN allowed AND NOT good AND ewma2 > 1.5::DOUBLE * 0.3::DOUBLE THEN list_append(w2, {'t': t, 'g': false}) ELSE w2 END AS w3 FROM
+(SELECT *, CASE WHEN allowed THEN list_append(w1, {'t': t, 'g': good}) ELSE w1 END AS w2, wins1 + (allowed AND good AND st1 = 'HalfOpen')::INTEGER AS wins2,
+  CASE WHEN allowed THEN (1.0::DOUBLE - alpha) * ewma + CASE WHEN good THEN 0.0::DOUBLE ELSE alpha END ELSE ewma END AS ewma2 FROM
+(SELECT *, CASE WHEN st1 = 'HalfOpen' THEN probes2 <= 3 ELSE st1 = 'Closed' END AS allowed FROM
+(SELECT *, probes1 + (st1 = 'HalfOpen')::INTEGER AS probes2 FROM
+(SELECT *, CASE WHEN renew THEN 'HalfOpen' ELSE st END AS st1, CASE WHEN renew THEN t ELSE opened END AS opened1, CASE WHEN renew THEN 0 ELSE probes END AS probes1, CASE WHEN renew THEN 0 ELSE wins END AS wins1 FROM
+(SELECT o.*, f.st, f.ewma, f.opened, f.probes, f.wins, CASE WHEN f.ewma > 0.1 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS alpha, list_filter(f.w, lambda x: x.t >= o.t - 604800) AS w1,
+  o.t - f.opened >= 86400 AND (f.st = 'Open' OR f.st = 'HalfOpen' AND f.probes >= 3) AS renew FROM f JOIN o ON f.user_id = o.user_id AND o.i = f.i + 1))))))))
+SELECT user_id, event_id, allowed, st AS cb_state, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: NOT x.g))::DOUBLE / len(w) ELSE 0 END, 9) AS cb_failure_ratio, round(ewma, 9) AS cb_ewma_failure_rate, CAST(probes AS INTEGER) AS cb_half_open_attempts FROM f WHERE i > 0""")
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(sf_dir, "events").read(spark).withColumn("ok", F.col("event_type") != "error")
-    return resilience.breaker_replay(df, "user_id", "ts", "event_id", "ok", failure_ratio=0.3, sampling_s=7 * 86400, least=5, break_s=86400)
+    out = resilience.breaker_replay(df, "user_id", "ts", "event_id", "ok", failure_ratio=0.3, sampling_s=7 * 86400, least=5, break_s=86400)
+    return out.withColumns({c: F.round(c, 9) for c in ("cb_failure_ratio", "cb_ewma_failure_rate")})
 
 
 @query("""SELECT event_id, count(*) OVER w AS window_total, count(*) FILTER (WHERE event_type = 'error') OVER w AS window_failures, round((count(*) FILTER (WHERE event_type = 'error') OVER w) / (count(*) OVER w)::DOUBLE, 9) AS failure_ratio
@@ -552,11 +569,13 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT user_id, n, level, velocity FROM ({_EMA})")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each user's running state has seen after the last batch."""
-    out = _settled(runner.stream_ema(_arrived(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value"), "update")
-    return out.groupBy("user_id").agg(F.max("n").alias("n"))
+    """Each user's running state after the last batch: rows seen, level and velocity."""
+    events = _arrived(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _settled(runner.stream_ema(events, "user_id", "ts", "value", order=["event_id"]), "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "level", "velocity"), "n").alias("s"))
+    return last.select("user_id", "s.n", F.round("s.level", 6).alias("level"), F.round("s.velocity", 6).alias("velocity"))
 
 
 # SQL through the SQL source
@@ -583,6 +602,10 @@ lag(o_orderkey) OVER w AS previous FROM orders WINDOW w AS (PARTITION BY o_custk
     "sql_grouping_sets": ("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())", {}),
     "sql_distinct_agg": ("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY o_orderstatus", {}),
     "sql_set_ops": ("(SELECT c_nationkey AS k, 'both' AS w FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT c_nationkey, 'customers' FROM customer EXCEPT SELECT s_nationkey, 'customers' FROM supplier)", {}),
+    "sql_broadcast_hint": ("SELECT /*+ BROADCAST(n) */ n.n_name, count(*) AS n FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name", {}),
+    "sql_date_functions": ("SELECT o_orderkey, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR(10)) AS m, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(CAST(o_orderdate + INTERVAL 10 DAY AS DATE) AS VARCHAR(10)) AS later FROM orders", {}),
+    "sql_math_functions": ("SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, round(ln(p_retailprice), 6) AS log, CAST(floor(p_retailprice / 7) AS BIGINT) AS whole, CAST(p_size % 7 AS INTEGER) AS rest, greatest(p_size, 25) AS most, round(pow(p_size, 1.5), 4) AS power, CAST(sign(p_size - 25) AS INTEGER) AS s FROM part", {}),
+    "sql_text_functions": ("SELECT c_custkey, upper(c_mktsegment) AS u, length(c_name) AS n, replace(c_name, '#', '-') AS r, substring(c_name, 1, 5) AS h, lpad(CAST(c_nationkey AS VARCHAR(9)), 4, '0') AS p, concat_ws('/', c_mktsegment, c_name) AS j FROM customer", {}),
     "sql_cte_subquery": ("WITH spent AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, total FROM spent WHERE total > (SELECT avg(total) * 1.5 FROM spent)", {}),
     "sql_correlated": ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem l WHERE l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)", {}),
 }
@@ -610,6 +633,14 @@ def asof_last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SqlSource("SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events", views={"events": f"{sf_dir}/events.parquet"}).read(spark)
 
 
+@query("""SELECT o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') AS orders, CAST(len(list_distinct(list(o_orderstatus))) AS INTEGER) AS kinds, list_sum(list_transform(list_sort(list(o_orderkey))[1:3], lambda x: x * 2))::BIGINT AS doubled, list_contains(list(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY o_custkey""")
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.array_sort(F.collect_list("o_orderkey"))
+    grouped = table(sf_dir, "orders").read(spark).groupBy("o_custkey").agg(keys.alias("orders"), F.collect_set("o_orderstatus").alias("s"), F.collect_set("o_orderpriority").alias("p"))
+    doubled = F.aggregate(F.transform(F.slice("orders", 1, 3), lambda x: x * 2), F.lit(0).cast("long"), lambda a, x: a + x)
+    return grouped.select("o_custkey", F.array_join(F.col("orders").cast("array<string>"), ",").alias("orders"), F.size("s").alias("kinds"), doubled.alias("doubled"), F.array_contains("p", "1-URGENT").alias("urgent"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items checked, priced and enveloped: one result row per input row."""
     pipeline = Pipeline(name="flagship").source(table(sf_dir, "lineitem")).keyed("l_orderkey").transform(Validation().require(F.col("l_quantity") <= 45, "qty>45"), Middleware({"net": net()}))
