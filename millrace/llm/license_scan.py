@@ -24,6 +24,7 @@ EQUIVALENT = (
     ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("per cent", "percent"), ("https", "http"),
 )
 
+_SPACED = [tuple(f" {x.replace(' ', '  ')} " for x in pair) for pair in EQUIVALENT]
 #: Rest of a line that only states a copyright. A mark or year shows that the line isn't of a licence's body ("copyright
 #: notice", "(c) You must retain"), or its end does; the words before a later year have no digits ("adopted on 20 December 1996").
 _STATED = (
@@ -46,10 +47,11 @@ def canonical(text: Column) -> Column:
     out = F.lower(text)
     for pattern in (COPYRIGHT, RIGHTS):
         out = F.regexp_replace(out, pattern, "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, MARKS, " ")), F.lit(" "))
-    for old, new in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+    # Two spaces between words while spellings are replaced: neighbours don't share one.
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, MARKS, "  ")), F.lit(" "))
+    for old, new in _SPACED:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession, texts: Iterable[tuple[str, str]] | None = None) -> DataFrame:
@@ -142,7 +144,7 @@ def canonical_sql(column: str) -> str:
     out = f"lower({column})"
     for pattern in (COPYRIGHT, RIGHTS):
         out = f"regexp_replace({out}, '{pattern}', '', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{MARKS}', ' ', 'g'), ' ') || ' '"
-    for old, new in EQUIVALENT:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out}, ' ')"
+    out = f"' ' || trim(regexp_replace({out}, '{MARKS}', '  ', 'g'), ' ') || ' '"
+    for old, new in _SPACED:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"trim(replace({out}, '  ', ' '), ' ')"

@@ -64,3 +64,29 @@ def test_full_texts_and_titles(spark, frame):
     rows = [(i, f"{title}\n\n" + LICENSES[k].removeprefix("MIT License\n\n").replace("<year>", "2020")) for i, (k, title) in enumerate(titled)]
     rows += [(5, LICENSES["GPL-2.0"].partition("END OF TERMS")[0]), (6, LICENSES["GPL-3.0"][:-2000].replace("free", "fine")), (7, license_scan._MIT)]
     assert scan(spark, frame, rows) == [*((i, k) for i, (k, _) in enumerate(titled)), (5, "GPL-2.0"), (6, None), (7, "MIT-body")]
+
+
+def test_spellings_beside_each_other(spark, frame):
+    """Against the replacement of words in lists of words, one spelling after the other."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    words = [x for pair in license_scan.EQUIVALENT for x in pair] + ["sub", "licence", "per", "a"]
+    rows = [(0, "licence licence sub licence licence"), *((i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(1, 60))]
+    want = {}
+    for i, text in rows:
+        own = text.split()
+        for old, new in license_scan.EQUIVALENT:
+            old, new, out, at = old.split(), new.split(), [], 0
+            while at < len(own):
+                if own[at : at + len(old)] == old:
+                    out += new
+                    at += len(old)
+                else:
+                    out.append(own[at])
+                    at += 1
+            own = out
+        want[i] = hashlib.sha256(" ".join(own).encode()).hexdigest()
+    got = license_scan.scan(frame(rows), license_scan.known_licenses(spark, [])).collect()
+    assert {r.doc_id: r.digest for r in got} == want
