@@ -66,6 +66,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def longest_shared(a: np.ndarray, print_a: tuple[np.ndarray, np.ndarray], b: np.ndarray, print_b: tuple[np.ndarray, np.ndarray], k: int = K) -> int:
+    """Code points of the longest run that both texts have around a gram selected in both, found from the positions.
+
+    Grams of one hash at the same shift (place in b less place in a) lie in one run if no code point between them differs;
+    of a hash that stands several times in a text its first place is taken. Runs of w + k - 1 code points are always met.
+    """
+    (hash_a, at_a), (hash_b, at_b) = print_a, print_b
+    if not len(hash_a) or not len(hash_b):
+        return 0
+    hash_a, first_a = np.unique(hash_a, return_index=True)
+    hash_b, first_b = np.unique(hash_b, return_index=True)
+    _, i, j = np.intersect1d(hash_a, hash_b, assume_unique=True, return_indices=True)
+    shifts, best = at_b[first_b[j]] - at_a[first_a[i]], 0
+    for shift in np.unique(shifts).tolist() if len(shifts) else ():
+        low, high = max(0, -shift), min(len(a), len(b) - shift)
+        if high - low <= best:
+            continue
+        breaks = np.flatnonzero(a[low:high] != b[low + shift : high + shift]) + low
+        own = at_a[first_a[i[shifts == shift]]]
+        own = own[(own >= low) & (own < high)]
+        edges = np.concatenate(([low - 1], breaks, [high]))
+        right = np.searchsorted(edges, own, side="left")
+        right = np.where(edges[np.minimum(right, len(edges) - 1)] == own, right + 1, right)
+        run = edges[np.minimum(right, len(edges) - 1)] - edges[right - 1] - 1
+        inside = ~np.isin(own, breaks)
+        best = max(best, int(run[inside].max(initial=0)))
+    return best
+
+
 def as_text(hashes: np.ndarray) -> str:
     """The distinct selected hashes, ascending, 8 hexadecimal digits each."""
     return np.unique(hashes).astype(">u4").tobytes().hex()
@@ -88,8 +117,9 @@ def fingerprints(docs: DataFrame, text_col: str = "text", as_col: str = "winnowe
     return bounded(docs).withColumn(as_col, run(F.col(text_col).cast("string")))
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>, longest_shared long"
+_PLACES = pa.list_(pa.int32())
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("positions", _PLACES), ("edited_positions", _PLACES), ("longest_shared", pa.int64())])
 
 
 def _compare(k: int, w: int):
@@ -108,17 +138,20 @@ def _compare(k: int, w: int):
             after = _read(follows, k, w)
             cut = len(text) - len(text) // 4
             edited = text[:cut] + follows[: len(text) // 4]
-            theirs = winnow(np.concatenate((points[:cut], after[0][: len(text) // 4])), k, w)[0]
-            for name, value in zip(_SCHEMA.names, (ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine), as_text(theirs), likeness(mine, theirs), likeness(mine, after[1]))):
+            changed = np.concatenate((points[:cut], after[0][: len(text) // 4]))
+            theirs = winnow(changed, k, w)
+            digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+            values = (ids[i], len(text), digest, as_text(mine[0]), as_text(theirs[0]), likeness(mine[0], theirs[0]), likeness(mine[0], after[1][0]), mine[1].astype(np.int32), theirs[1].astype(np.int32), longest_shared(points, mine, changed, theirs, k))
+            for name, value in zip(_SCHEMA.names, values):
                 rows[name].append(value)
         return pa.table(rows, schema=_SCHEMA)
 
     return run
 
 
-def _read(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+def _read(text: str, k: int, w: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     points = code_points(text)
-    return points, winnow(points, k, w)[0]
+    return points, winnow(points, k, w)
 
 
 def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -126,7 +159,8 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The edit replaces the last floor(n / 4) code points by the first as many (or all) of the next text; the last row is
     followed by the first. Null texts are empty; equal ids go by text; null ids come last. A single row follows itself.
-    No rows give no rows. Rows are dealt into ranges of ids; the first row of each range goes to the range before as well.
+    No rows give no rows. positions and edited_positions: where the selected grams begin; longest_shared: code points of the
+    longest run that positions of one hash in both texts lead to. Rows are dealt into ranges of ids; the first row of each range goes to the range before as well.
     """
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.withColumn("chunk", chunk_of("doc_id", id_chunks(rows, "doc_id", "text", chunk_bytes)))
