@@ -2,8 +2,9 @@
 
 Each row's key is -ln(u) / w: u a uniform number from the MD5 of seed and id, w the document's quality weight. A source's
 target is spent on complete epochs first; the rest goes to the rows with the smallest keys, by prefix sums of sizes.
-Keys fall into `buckets` equal-probability bins per source; sums per (source, bin) give each bin's offset, so running sums
-sort one bin at a time and a source with a third of all rows spreads over all its bins.
+Keys fall into bins of a logarithmic scale, 1/`buckets` wide: whatever the weights, the logarithm of an exponential key has
+a density of at most 1/e, so no bin gets over 1/(e * buckets) of a source's rows. Sums per (source, bin) give each bin's
+offset, running sums sort one bin at a time, and a source with a third of all rows spreads over thousands of bins.
 """
 
 from __future__ import annotations
@@ -52,17 +53,18 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
-    buckets: int = 4096,
+    buckets: int = 1000,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row of docs.
 
     quality: rows (id, weight) with positive weights, averaged per id; ids without one, or a null or non-positive one,
     weigh 1. A null or blank text has size 0 and is never taken in part; a null source is a source of its own, ranked
-    last; null ids share one random number. Repeated rows are drawn apart. Ties go by id, then size. A source of size 0
+    last; rows without an id get their random number from the text. Repeated rows are drawn apart. Ties go by id, then size. A source of size 0
     has target 0. No rows give no rows. The row whose words cross the target is taken if that ends nearer to it. Reruns
-    agree: all randomness comes from ids.
+    agree: all randomness comes from ids, or texts where those are null.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    salt = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).otherwise("")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), salt.alias("salt"))
     rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()})
     rows = stored(rows, "sizes")
     if quality is not None:
@@ -72,10 +74,10 @@ def mix(
         rows = rows.join(q, rows["doc_id"] == q["q_id"], "left").drop("q_id")
     else:
         rows = rows.withColumn("q", F.lit(1.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "salt")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(2.0**52)
     rows = rows.withColumn("key", -F.log(u) / F.coalesce("q", F.lit(1.0)))
-    rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.drop("salt").withColumn("bin", F.floor(F.log(F.greatest("key", F.lit(1e-300))) * buckets).cast("int"))
 
     bins = rows.groupBy("s", "z", "bin").agg(F.sum("size").alias("bin_size"))
     bins = stored(bins, "bins")

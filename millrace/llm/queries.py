@@ -89,7 +89,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_mixing"] = r"""
 WITH q AS (SELECT doc_id, avg(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT documents.doc_id, coalesce(source, '') AS s, source IS NULL AS z, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-      -ln((('0x' || substr(md5('mix:' || coalesce(CAST(documents.doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(q.q, 1.0::DOUBLE) AS key
+      -ln((('0x' || substr(md5('mix:' || coalesce(CAST(documents.doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(q.q, 1.0::DOUBLE) AS key
       FROM documents LEFT JOIN q USING (doc_id)),
 src AS (SELECT s, z, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY z, s) AS rank FROM d GROUP BY s, z),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM src),

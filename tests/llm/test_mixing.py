@@ -24,14 +24,14 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
 
 
 def brute(rows, quality, seed="mix"):
-    sized = [(i, s, len((t or "").encode().split())) for i, s, t in rows]
+    sized = [(i, s, len((t or "").encode().split()), hashlib.md5((t or "").encode()).hexdigest() if i is None else i) for i, s, t in rows]
     total = {}
-    for _, s, n in sized:
+    for _, s, n, _ in sized:
         total[s] = total.get(s, 0) + n
     goal, out = brute_targets(total), []
     for s in total:
         def key(r):
-            u = (int(hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            u = (int(hashlib.md5(f"{seed}:{r[3]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             return (-math.log(u) / quality.get(r[0], 1.0), r[0] is not None, r[0] or 0, r[2])
 
         whole = math.floor(goal[s] / total[s]) if total[s] else 0
