@@ -121,7 +121,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = id_chunks(rows, "doc_id", "text", chunk_bytes)
-    bits = max(0, math.ceil(math.log2(max(1, len(bounds)))))
+    # Half as many buckets as chunks: hashes take about as many bytes as texts, and each blob holds the more of them.
+    bits = max(0, math.ceil(math.log2(max(1, len(bounds) / 2))))
     chunked = rows.withColumn("chunk", chunk_of("doc_id", bounds))
     kind = "bucket int, chunk int, hashes binary"
     blobs = chunked.groupBy("chunk").applyInArrow(_emit(width, bits), kind)
