@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm._common import stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, stored, with their number and a checksum of them, taken by the job that writes them."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    kept = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("sum")), "edges")
+    return kept, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,8 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins, whose skewed side (a hub's neighbours) adaptive execution splits. Raises if max_rounds don't suffice.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = stored(e, "edges")
-    mark = _mark(e)
+    e, mark = _marked(e)
     for _ in range(max_rounds if mark[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -31,8 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(down, "u")
         e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = e.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(e, "edges")
-        old, mark = mark, _mark(e)
+        old = mark
+        e, mark = _marked(e)
         if mark == old:
             break
     else:
