@@ -1,72 +1,83 @@
 """Ordered recurrences: level and velocity averages, prediction, parallelism and back-pressure controllers.
 
-The folds run per key over rows ordered by an explicit key with a tie-breaker. One group's values are one array in one
-row, so a key's rows must fit there; for longer ones use the streaming form, which keeps only the state.
+The folds run per key over rows in an explicit order with a tie-breaker; a task keeps the state of one key and no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import fold
+
 TINY = 0.001
 
 
-def level(old: Column, x: Column) -> Column:
+def level(old: float, x: float) -> float:
     """Level average: starts at the first value, follows spikes over three times the level fast."""
-    alpha = F.when((old > TINY) & (x > 3 * old), 0.8).otherwise(0.2)
-    return F.when(old < TINY, x).otherwise(alpha * x + (1 - alpha) * old)
+    if old < TINY:
+        return x
+    alpha = 0.8 if old > TINY and x > 3 * old else 0.2
+    return alpha * x + (1 - alpha) * old
+
 
+def velocity(old: float, change: float) -> float:
+    return change if old < TINY else 0.1 * change + 0.9 * old
 
-def velocity(old: Column, change: Column) -> Column:
-    return F.when(old < TINY, change).otherwise(0.1 * change + 0.9 * old)
 
+def ema(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """(key, n, level, velocity, prediction) after each key's last row; prediction is max(0, level + velocity).
 
-def ema(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(key, n, level, velocity, prediction) after each key's last row; prediction is max(0, level + velocity)."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"))))
-    start = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("velocity"))
+    Rows without a value are left out.
+    """
+
+    def step(state: tuple, x: float) -> tuple:
+        n, old, speed = state
+        new = level(old, x)
+        return n + 1, new, velocity(speed, new - old)
 
-    def step(acc: Column, row: Column) -> Column:
-        new = level(acc["level"], row["v"])
-        return F.struct(new.alias("level"), velocity(acc["velocity"], new - acc["level"]).alias("velocity"))
+    rows = df.where(F.col(value).isNotNull())
+    last = lambda s: (*s, max(0.0, s[1] + s[2]))
+    return fold(rows, key, order, [F.col(value).cast("double")], lambda: (0, 0.0, 0.0), step, "n int, level double, velocity double, prediction double", last)
 
-    out = df.groupBy(key).agg(rows.alias("rows")).select(key, F.size("rows").alias("n"), F.aggregate("rows", start, step).alias("s"))
-    return out.select(key, "n", "s.level", "s.velocity", F.greatest(F.lit(0.0), F.col("s.level") + F.col("s.velocity")).alias("prediction"))
 
+def throughput(df: DataFrame, key: str, order: Sequence[str], ts: str) -> DataFrame:
+    """(key, throughput): average of 1 / seconds between neighbours (0.2 new, 0.8 old); equal times are skipped.
 
-def throughput(df: DataFrame, key: str, order: list[str], ts: str) -> DataFrame:
-    """(key, throughput): average of 1 / seconds between neighbours (0.2 new, 0.8 old); equal times are skipped."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(ts).cast("timestamp").cast("double").alias("t"))))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("t"), F.lit(0.0).alias("tp"))
+    Rows without a time are left out.
+    """
 
-    def step(acc: Column, row: Column) -> Column:
-        gap = row["t"] - acc["t"]
-        now = F.lit(1.0) / gap
-        tp = F.when(gap > 0, F.when(acc["tp"] < TINY, now).otherwise(0.2 * now + 0.8 * acc["tp"])).otherwise(acc["tp"])
-        return F.struct(row["t"].alias("t"), F.coalesce(tp, acc["tp"]).alias("tp"))
+    def step(state: tuple, t: float) -> tuple:
+        before, rate = state
+        if before is None or t <= before:
+            return t, rate
+        now = 1.0 / (t - before)
+        return t, now if rate < TINY else 0.2 * now + 0.8 * rate
 
-    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.aggregate("rows", start, step)["tp"].alias("throughput"))
+    rows = df.where(F.col(ts).isNotNull())
+    return fold(rows, key, order, [F.col(ts).cast("timestamp").cast("double")], lambda: (None, 0.0), step, "throughput double", lambda s: (s[1],))
 
 
-def parallelism(df: DataFrame, key: str, order: list[str], latency_ms: str, cpu: int, low: int = 2, high: int = 32, target_ms: float = 10.0) -> DataFrame:
+def parallelism(df: DataFrame, key: str, order: Sequence[str], latency_ms: str, cpu: int, low: int = 2, high: int = 32, target_ms: float = 10.0) -> DataFrame:
     """(key, n, parallelism) after each key's last row of a proportional controller that starts at `cpu`.
 
-    An error (target less latency) within 5 ms changes nothing; else 1 to 3 steps, one per 20 ms, within the limits.
+    An error (target less latency) within 5 ms changes nothing; else 1 to 3 steps, one per 20 ms, within the limits. Rows
+    without a latency are left out.
     """
     low, high = max(1, min(low, high)), min(4 * cpu, max(low, high))
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(latency_ms).cast("double").alias("v"))))
 
-    def step(now: Column, row: Column) -> Column:
-        error = F.lit(target_ms) - row["v"]
-        size = F.greatest(F.lit(1), F.least(F.lit(3), (F.abs(error) / 20).cast("int")))
-        still = (F.abs(error) < 5) | ((now >= high) & (error > 0)) | ((now <= low) & (error < 0))
-        moved = F.greatest(F.lit(low), F.least(F.lit(high), now + F.when(error > 0, size).otherwise(-size)))
-        return F.when(still, now).otherwise(moved)
+    def step(state: tuple, latency: float) -> tuple:
+        n, now = state
+        error = target_ms - latency
+        if abs(error) < 5 or (now >= high and error > 0) or (now <= low and error < 0):
+            return n + 1, now
+        size = max(1, min(3, int(abs(error) / 20)))
+        return n + 1, max(low, min(high, now + (size if error > 0 else -size)))
 
-    start = F.lit(min(max(cpu, low), high))
-    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.size("rows").alias("n"), F.aggregate("rows", start, step).alias("parallelism"))
+    rows = df.where(F.col(latency_ms).isNotNull())
+    return fold(rows, key, order, [F.col(latency_ms).cast("double")], lambda: (0, min(max(cpu, low), high)), step, "n int, parallelism int", lambda s: s)
 
 
 def target_fill(throughput: Column, predicted_ms: Column) -> Column:

@@ -12,11 +12,11 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import fold
 from millrace.plans.envelope import ERROR, ERROR_DDL, PERMANENT, TRANSIENT, failed, ok, payload_of
 
 TICK_MS = 1e-4
@@ -292,21 +292,18 @@ class CircuitBreaker:
 def breaker_replay(df: DataFrame, key: str, ts_col: str, order_col: str, ok_col: str, **settings: Any) -> DataFrame:
     """Each row of each key in event-time order through a breaker: allowed, and the breaker's metrics after the row.
 
-    A row that isn't allowed is not recorded. One task holds one key's rows; choose a key that spreads.
+    A row that isn't allowed is not recorded. A task keeps the breaker of one key, not its rows.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {order_col} {df.schema[order_col].dataType.simpleString()}, allowed boolean, cb_state string, cb_failure_ratio double, cb_ewma_failure_rate double, cb_half_open_attempts int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        breaker, rows = CircuitBreaker(**settings), []
-        for k, o, t, good in pdf.sort_values(["_t", order_col])[[key, order_col, "_t", "_good"]].itertuples(index=False):
-            allowed = breaker.allow(t)
-            if allowed:
-                breaker.record(t, bool(good))
-            rows.append({key: k, order_col: o, "allowed": allowed, **breaker.metrics(t)})
-        return pd.DataFrame(rows)
-
-    rows = df.select(key, order_col, F.col(ts_col).cast("timestamp").cast("double").alias("_t"), F.col(ok_col).alias("_good"))
-    return rows.groupBy(key).applyInPandas(run, schema)
+
+    def step(breaker: CircuitBreaker, t: float, good: bool) -> tuple[CircuitBreaker, tuple]:
+        allowed = breaker.allow(t)
+        if allowed:
+            breaker.record(t, bool(good))
+        return breaker, (allowed, *breaker.metrics(t).values())
+
+    columns = [F.col(ts_col).cast("timestamp").cast("double"), F.col(ok_col)]
+    out = "allowed boolean, cb_state string, cb_failure_ratio double, cb_ewma_failure_rate double, cb_half_open_attempts int"
+    return fold(df, key, [ts_col, order_col], columns, lambda: CircuitBreaker(**settings), step, out, kept=[order_col])
 
 
 __all__ = ["ERROR_DDL", "Attempted", "CircuitBreaker", "RetryPolicy", "breaker_replay", "budget", "classify", "dead_letters", "failure_ratio", "jittered", "replay", "route", "schedule", "within"]
