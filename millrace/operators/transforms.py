@@ -64,7 +64,7 @@ class Filter:
         return Filter(self.predicate | other.predicate)
 
     def __invert__(self) -> Filter:
-        return Filter(~F.coalesce(self.predicate, F.lit(False)))
+        return Filter(~self.predicate | self.predicate.isNull())
 
     def apply(self, df: DataFrame) -> DataFrame:
         return fail_where(df, ~F.coalesce(self.predicate, F.lit(False)), error("Filtered out", PERMANENT, FILTERED))
@@ -224,7 +224,8 @@ def gunzip(values: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Guarded:
-    """A transform on at most so many rows' worth of trust: rows fail as Transient / CircuitBreaker where `open_when` is true."""
+    """A transform behind a breaker: rows fail as Transient / CircuitBreaker, untouched, where `open_when` is true (a column
+    that says so, from breaker_replay for one). Python functions get retries, time limits and a breaker by Attempted."""
 
     inner: Transform
     open_when: Column = field(default_factory=lambda: F.lit(False))

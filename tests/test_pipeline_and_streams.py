@@ -81,6 +81,19 @@ def test_compact_plan_reaches_the_scan(spark, tmp_path):
     assert "GreaterThan(id,97)" in plan and "unused" not in plan.split("ReadSchema")[-1]
 
 
+def test_negations_and_rules_reach_the_scan(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else float(i)) for i in range(100)]
+    spark.createDataFrame(rows, "id long, v double").write.parquet(str(tmp_path / "p"))
+    base = Pipeline().source(ParquetSource(str(tmp_path / "p"))).keyed("id").options(compact=True)
+    for keep, pushed, want in (
+        (~Filter(F.col("v") > 50), "Or(LessThanOrEqual(v,50.0),IsNull(v))", [i for i, v in rows if not (v is not None and v > 50)]),
+        (Validation().require(F.col("v") > 50, "small").require(F.col("id") < 90, "late").to_filter(), "GreaterThan(v,50.0)", [i for i, v in rows if v is not None and v > 50 and i < 90]),
+    ):
+        df = base.transform(keep).plan(spark)
+        assert pushed in df._jdf.queryExecution().toString()
+        assert sorted(r.id for r in df.collect()) == want
+
+
 def test_background(spark, tmp_path):
     base().sink(FileSink(str(tmp_path / "o"))).run_background(spark).join(60)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 7
