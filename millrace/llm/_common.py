@@ -29,14 +29,25 @@ BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 MAX_QUANTILES = 4096
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends here, lost executors don't matter."""
+def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: lineage ends here, lost executors don't matter.
+
+    scratch: gets the path, for forget_all() when no plan reads it any more.
+    """
     spark = df.sparkSession
     path = workspace(spark, label)
+    if scratch is not None:
+        scratch.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_all(spark: SparkSession, scratch: list[str]) -> None:
+    for path in scratch:
+        forget(spark, path)
+    scratch.clear()
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df, and its session's Arrow batches bound to BATCH_BYTES if they may be larger.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bounded, slices, stored, text_bytes
+from millrace.llm._common import bounded, forget_all, slices, stored, text_bytes
 from millrace.llm._graph import connected_components
 
 #: Byte value to eight byte-wide counters, lane k holding bit k.
@@ -74,14 +74,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame, bucket_pairs: int = 32) -> DataFrame:
+def links(fps: DataFrame, bucket_pairs: int = 32, scratch: list[str] | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints `fp` at 1 or 2 differing bits; complete up to connectivity."""
     seg = "(shiftrightunsigned(fp, 32 * (i div 32)) & 4294967295L)"
     keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(
         "fp", F.expr(f"shiftleft(cast(i as bigint), 32) | ({seg} & ~shiftleft(1L, i % 32))").alias("key")
     )
     sized = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    sized = stored(sized, "variants")
+    sized = stored(sized, "variants", scratch)
     few = sized.where(F.col("c") <= bucket_pairs)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     pairs = a.join(b.hint("merge"), "key").where("u < v and bit_count(u ^ v) <= 2").select("u", "v")
@@ -101,12 +101,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs, whatever their names, are not read. Exact copies meet in one fingerprint by partial aggregation before any
     shuffle of links; the join back splits hot fingerprints by adaptive execution.
     """
+    scratch: list[str] = []
     own = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = connected_components(links(fps, bucket_pairs)).withColumnRenamed("node", "fp")
+    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct", scratch)
+    roots = connected_components(links(fps, bucket_pairs, scratch)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    forget_all(docs.sparkSession, scratch)
     return own.join(classes.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
