@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, mixing, simhash_dedup, token_store
-from millrace.llm._common import workspace
+from millrace.llm._common import forget, workspace
 from millrace.llm.queries import language_model, quality_weights, table, tokenizer_path
 
 #: A document is rejected if no language has this mean posterior.
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = workspace(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs
