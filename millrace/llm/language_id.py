@@ -295,21 +295,26 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, span: int = 60, lexic
     return model
 
 
-def sample(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, chars: int = 2000, labels: int = 64) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, chars: int = 600, labels: int = 64) -> list[tuple[str, str]]:
     """At most per_label texts of each of at most `labels` labels, `chars` code points of each from a place hashed from its id.
 
     These are the bounds of the training sample: the driver gets labels * per_label * chars code points at most. Only rows
-    with a label, a text, an id and `allowed` true take part; those with the smallest hash of the id are taken.
+    with a label, a text, an id and `allowed` true take part; the most frequent labels (ties by name), and of each the rows
+    with the smallest hash of the id (ties by id and text). train() learns from the first 60 words of each.
     """
     rows = docs.where(F.coalesce(allowed, F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     mark = F.xxhash64(F.col(id_col).cast("string"))
-    ranked = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), mark.alias("h"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_label)
-    chosen = ranked.select("i", "l").limit(labels * per_label).collect()
-    if not chosen:
+    rows = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), mark.alias("h"), F.col(text_col).alias("t"))
+    most = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(labels).collect()]
+    if not most:
         return []
-    start = F.lit(1) + F.pmod(mark, F.greatest(F.lit(1), F.length(text_col) - chars)).cast("int")
-    taken = rows.where(F.col(id_col).isin([r["i"] for r in chosen])).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), start, F.lit(chars)).alias("t"), F.col(label_col).alias("l"))
+    rows = rows.where(F.col("l").isin(most))
+    first = lambda *ties: F.row_number().over(Window.partitionBy("l").orderBy("h", "i", *ties)) <= per_label
+    # Ids first, without texts: at most labels * per_label rows are broadcast.
+    chosen = rows.select("i", "l", "h").distinct().withColumn("r", first()).where("r").select("i", "l")
+    start = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("t") - chars)).cast("int")
+    taken = rows.join(F.broadcast(chosen), ["i", "l"]).select("i", "l", "h", F.substring("t", start, F.lit(chars)).alias("t"))
+    taken = taken.withColumn("r", first("t")).where("r")  # ids may repeat
     return [(r["t"], r["l"]) for r in sorted(taken.collect(), key=lambda r: (r["i"], r["l"], r["t"]))]
 
 

@@ -106,3 +106,13 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark, frame):
     got = language_id.sample(frame(rows), F.col("doc_id") % 2 == 0, per_label=10, chars=40)
     assert len(got) == 10 and all(len(t) <= 40 and lang == "en" for t, lang in got)
     assert language_id.sample(frame([]), F.lit(True)) == []
+
+
+def test_sample_bounds_hold_for_repeated_ids_and_many_labels(spark):
+    rows = [(7, f"hot {i}", "hot") for i in range(500)] + [(i, f"text {i}", f"l{i % 9}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    got = language_id.sample(docs, F.lit(True), per_label=5, labels=4)
+    assert sorted({lang for _, lang in got}) == ["hot", "l0", "l1", "l2"] and len(got) == 20
+    assert got == language_id.sample(docs.repartition(7), F.lit(True), per_label=5, labels=4)
