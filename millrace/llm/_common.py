@@ -55,7 +55,7 @@ def bounded(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if not 0 < now <= BATCH_BYTES:
+    if now > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df
 
