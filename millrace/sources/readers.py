@@ -52,7 +52,10 @@ class FileSource:
 
 @dataclass(frozen=True)
 class CsvSource:
-    """Delimited text with a header; columns are found by header name, missing ones and unreadable values are null."""
+    """Delimited text with a header; columns are found by header name, missing ones and unreadable values are null.
+
+    All files of a folder need the same header: one with other columns or another order raises instead of being misread.
+    """
 
     path: str
     schema: T.StructType | str
@@ -60,7 +63,7 @@ class CsvSource:
     locale: str = "en-US"
 
     def read(self, spark: SparkSession) -> DataFrame:
-        options = {"header": True, "sep": self.separator, "mode": "PERMISSIVE", "locale": self.locale}
+        options = {"header": True, "sep": self.separator, "mode": "PERMISSIVE", "locale": self.locale, "enforceSchema": False}
         head = spark.read.options(**options, inferSchema=False).csv(self.path)
         wanted = spark.createDataFrame([], self.schema).schema
         have = {c.lower(): c for c in head.columns}

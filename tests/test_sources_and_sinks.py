@@ -190,3 +190,15 @@ def test_skipped_sources_are_told(spark, caplog):
     told = []
     Concat((FnSource(lambda s: s.range(1)), ParquetSource("/nowhere/at/all")), skip_failing=True, on_skip=lambda i, e: told.append(i)).read(spark)
     assert told == [1] and "source 1 (ParquetSource) is left out" in caplog.text
+
+
+def test_csv_files_with_other_headers_raise(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    write(folder / "a.csv", "Name,Age\nAlice,30\n")
+    write(folder / "b.csv", "Name,Age\nBob,25\n")
+    assert sorted(values(CsvSource(str(folder), "Name string, Age int"), spark)) == [("Alice", 30), ("Bob", 25)]
+    assert sorted(values(CsvSource(str(folder), "Age int"), spark)) == [(25,), (30,)]
+    write(folder / "c.csv", "Age,Name\n7,Eve\n")
+    with pytest.raises(Exception):
+        values(CsvSource(str(folder), "Name string, Age int"), spark)
