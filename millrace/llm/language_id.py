@@ -309,12 +309,13 @@ def sample(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: s
     if not most:
         return []
     rows = rows.where(F.col("l").isin(most))
-    first = lambda *ties: F.row_number().over(Window.partitionBy("l").orderBy("h", "i", *ties)) <= per_label
-    # Ids first, without texts: at most labels * per_label rows are broadcast.
-    chosen = rows.select("i", "l", "h").distinct().withColumn("r", first()).where("r").select("i", "l")
+    first = lambda by, *ties: F.row_number().over(Window.partitionBy(*by).orderBy("h", "i", *ties)) <= per_label
+    # Ids first, without texts: at most labels * per_label rows are broadcast. A label's rows are cut down in 64 parts.
+    parted = rows.select("i", "l", "h", F.pmod("h", F.lit(64)).alias("part")).distinct().withColumn("r", first(["l", "part"])).where("r")
+    chosen = parted.withColumn("r", first(["l"])).where("r").select("i", "l")
     start = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("t") - chars)).cast("int")
     taken = rows.join(F.broadcast(chosen), ["i", "l"]).select("i", "l", "h", F.substring("t", start, F.lit(chars)).alias("t"))
-    taken = taken.withColumn("r", first("t")).where("r")  # ids may repeat
+    taken = taken.withColumn("r", first(["l"], "t")).where("r")  # ids may repeat
     return [(r["t"], r["l"]) for r in sorted(taken.collect(), key=lambda r: (r["i"], r["l"], r["t"]))]
 
 
