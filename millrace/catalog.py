@@ -292,6 +292,14 @@ def reservoir_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.bottom_k(table(sf_dir, "events").read(spark).select("event_id"), "event_id", 50)
 
 
+@query("""WITH k AS (SELECT event_type, event_id, CAST(event_id AS UBIGINT) AS x FROM events),
+a AS (SELECT event_type, event_id, CAST((CAST(xor(x, x >> 33) AS UHUGEINT) * 18397679294719823053) % 18446744073709551616 AS UBIGINT) AS x FROM k),
+b AS (SELECT event_type, event_id, CAST((CAST(xor(x, x >> 33) AS UHUGEINT) * 14181476777654086739) % 18446744073709551616 AS UBIGINT) AS x FROM a)
+SELECT event_type, event_id FROM b QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY xor(x, x >> 33), event_id) <= 20""")
+def reservoir_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.bottom_k(table(sf_dir, "events").read(spark).select("event_type", "event_id"), "event_id", 20, "event_type")
+
+
 @query("SELECT 50 AS n, 50 AS n_distinct, true AS all_members")
 def reservoir_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of any uniform sample of 50 events: its size, no repeats, members only."""
