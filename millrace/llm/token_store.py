@@ -27,10 +27,10 @@ from millrace.llm._files import RangeFile, write_file
 from millrace.llm.encoder import Encoder, take
 
 MAGIC = b"MRANS01\n"
-SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 1024, 1 << 19, 256
+SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 2048, 1 << 19, 128
 _LOW = np.uint64(1 << 31)
 #: Text bytes that the tokenizer gets at once: the more, the fewer pieces are new.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 8_000_000
 
 
 class Table:

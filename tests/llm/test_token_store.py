@@ -89,7 +89,7 @@ def test_other_tokenizers_get_texts_whole(name):
     assert mine(encoder, TRICKY) == library(fresh, TRICKY)
 
 
-@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000, 1024 * 256 + 1, token_store.BLOCK + 777])
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 2048, 2049, 5000, 2048 * 128 + 1, token_store.BLOCK + 777])
 def test_coder_round_trip(tmp_path, n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.001, n), 49999).astype(np.uint32)
