@@ -170,12 +170,15 @@ class Shard:
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    return zstandard.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Ids in two bytes if they fit, else in four, byte plane by byte plane."""
+    wide = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([wide]) + zstandard.compress(ids.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    wide = blob[0]
+    raw = np.frombuffer(zstandard.decompress(memoryview(blob)[1:]), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, -1).T).view(f"<u{wide}").ravel().astype(np.uint32)
 
 
 _ROW = "chunk int, doc_ids array<bigint>, counts array<int>, n long, ids binary"

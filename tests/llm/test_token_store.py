@@ -104,6 +104,14 @@ def test_coder_round_trip(tmp_path, n):
         assert np.array_equal(shard.ids(a, b), ids[a:b])
 
 
+def test_ids_are_packed_in_two_or_four_bytes():
+    for ids in ([], [0], [65535, 3], [65536, 1], [2**32 - 1, 7, 0]):
+        ids = np.array(ids, dtype=np.uint32)
+        blob = token_store._pack(ids)
+        back = token_store._unpack(blob)
+        assert back.dtype == np.uint32 and back.tolist() == ids.tolist() and blob[0] == (2 if ids.max(initial=0) < 65536 else 4)
+
+
 def test_damage_is_seen(tmp_path):
     ids = np.arange(3000, dtype=np.uint32)
     table = token_store.Table.counted(np.bincount(ids))
