@@ -8,6 +8,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,9 +62,14 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that are done: Spark deletes them when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of the shuffle files of plans that are done: Spark deletes them when the driver's garbage is collected.
+
+    What the first collection finds holds others, which go with the second; the deletion itself needs a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def id_chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:

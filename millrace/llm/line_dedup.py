@@ -2,8 +2,9 @@
 
 Fingerprints of 64 bits within `max_bits` of each other agree in at least two of max_bits + 2 blocks, so lines are joined
 on the values of each pair of blocks. Candidate lines alone get their text back for the edit distance. Only distinct lines
-take part; copies of a line share a hash. A bucket of more than `bucket_pairs` distinct lines isn't paired up in the join:
-tasks compare tiles of it and return a spanning forest of its verified links, so no link is lost and no pairs pile up.
+take part; copies of a line share a hash. Each bucket's lines are first compared with its smallest; where that leaves
+several components, lines of different components are compared pair by pair. Of more than `bucket_pairs` distinct lines
+tasks compare tiles and return a spanning forest of the verified links, so no link is lost and no pairs pile up.
 
 A fingerprint this near is rare among lines that are merely alike. With `bands`, lines are joined as well on MinHash keys:
 band by band, the minima of three permutations of the line's byte n-grams (8 bytes, 4 in short lines), of which one equal
@@ -13,124 +14,178 @@ band is enough to make two lines candidates. These links need the edit similarit
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import SPACES, _BYTE, mix64, rolling, slices, stored, text_bytes, word_hashes
+from millrace.llm._common import _BYTE, bounded, forget_all, free_shuffles, mix64, rolling, slices, stored
 from millrace.llm._graph import connected_components
+from millrace.llm.encoder import offsets
 from millrace.llm.simhash_dedup import majority_bits
 
-#: ASCII marks and controls to spaces, A-Z to a-z, digits to 0; other bytes stay.
-_NORMAL = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LINE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("norm", pa.string())])
+#: ASCII marks and controls to spaces, A-Z to a-z, digits to 0; other bytes and newlines stay.
+_NORMAL = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or b == 10 else 32 for b in range(256)], dtype=np.uint8)
+_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("lines", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+_DOC_DDL = "row long, doc_id long, n_lines int, lines array<int>, hashes array<long>"
+#: Code points from which on strings are compared one pair at a time.
+_LONG_ROWS = 1024
+#: Pairs from which on they are compared a column at a time; 3-grams are counted in so many cells.
+_MANY, _Q, _CELL_BITS = 200, 3, 10
+_CELLS = 1 << _CELL_BITS
+#: Text bytes that a task takes apart at once.
+_PART_BYTES = 4_000_000
 #: MinHash bands of a line for op4; permutations, each of which serves two bands; n-gram bytes of long and short lines.
 BANDS, _PERMUTATIONS = 16, 24
 _LONG_GRAM, _SHORT_GRAM = 8, 4
 #: Code points up to which a line is short, and over which it is long; two lines that are 0.8 alike share a class.
 _SHORT, _LONG = 60, 47
 _ODD = np.random.Generator(np.random.PCG64(20240608)).integers(0, 2**32, _PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
+_GRAM = np.uint64(0x9E3779B97F4A7C15)
 _TRIPLES = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)] + [(i, i + 8, i + 16) for i in range(8)]
-_DDL = "row long, doc_id long, n_lines int, line int, hash long, sim long, size int, norm string"
 
 
-def normal_lines(text: bytes) -> list[bytes]:
-    """Lower-case words of each line, joined by a space; empty for lines without any."""
-    return [b" ".join(x.translate(_NORMAL).split()) for x in text.split(b"\n")]
+class Lines:
+    """The lines with words of a slice of texts: distinct normalised lines, and where each line stands."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        data, edges = offsets(pc.fill_null(pa.concat_arrays(texts.chunks).cast(pa.string()), ""))
+        t = _NORMAL[data]
+        word = (t != 32) & (t != 10)
+        before = np.concatenate(([False], word[:-1]))[: len(word)]
+        before[edges[:-1][edges[:-1] < len(data)]] = False
+        starts = np.flatnonzero(word & ~before)
+        newlines = np.concatenate(([0], np.cumsum(t == 10)))
+        text, line = np.searchsorted(edges, starts, side="right") - 1, newlines[starts]
+        opens = np.concatenate(([True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])))[: len(starts)]
+        word[starts[~opens] - 1] = True  # one space between words of a line
+        at = np.concatenate((np.cumsum(word)[starts[opens]] - 1, [word.sum()])).astype(np.int32)
+        met = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(t[word])).dictionary_encode()
+        #: Distinct lines; of each line its number there, its text and its number in the text; lines of each text.
+        self.distinct, self.code = met.dictionary, met.indices.to_numpy()
+        self.text = text[opens]
+        self.number = line[opens] - newlines[edges[self.text]]
+        self.per_text = np.where(np.diff(edges) > 0, newlines[edges[1:]] - newlines[edges[:-1]] + 1, 0)
+        self.data, self.edges = offsets(self.distinct)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the distinct lines."""
+        return rolling(_BYTE[self.data], self.edges[:-1], self.edges[1:], "byte")
+
+    def fingerprints(self) -> np.ndarray:
+        """SimHash of each distinct line; words, and pairs of neighbours, are the features."""
+        if not len(self.distinct):
+            return np.zeros(0, dtype=np.uint64)
+        blank = self.data == 32
+        before, after = np.concatenate(([True], blank[:-1])), np.concatenate((blank[1:], [True]))
+        before[self.edges[:-1]], after[self.edges[1:] - 1] = True, True
+        starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+        words = rolling(_BYTE[self.data], starts, ends, "byte")
+        first = np.searchsorted(starts, self.edges)
+        n, i = np.diff(first), np.arange(len(words))
+        place = 2 * i - np.repeat(np.arange(len(n)), n)
+        features = np.empty(2 * len(words) - len(n), dtype=np.uint64)
+        features[place] = words
+        inner = np.ones(len(words), dtype=bool)
+        inner[first[1:] - 1] = False
+        features[place[inner] + 1] = rolling(words, i[inner], i[inner] + 2, "word")
+        return majority_bits(features, 2 * n - 1)
+
+
+def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_lines, lines, hashes) per row of docs: numbers and hashes of its lines that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            for part in slices(batch, "text", _PART_BYTES):
+                own = Lines(part["text"])
+                at = pa.array(np.searchsorted(own.text, np.arange(part.num_rows + 1)).astype(np.int32))
+                lines = pa.ListArray.from_arrays(at, pa.array(own.number.astype(np.int32)))
+                hashes = pa.ListArray.from_arrays(at, pa.array(own.hashes().view(np.int64)[own.code]))
+                yield pa.RecordBatch.from_arrays([pa.array(task + count + np.arange(part.num_rows)), part["doc_id"].combine_chunks(), pa.array(own.per_text.astype(np.int32)), lines, hashes], schema=_DOC)
+                count += part.num_rows
+
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, _DOC_DDL)
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """One row per line that has words, and one (line -1, hash null) per document.
+def _once(docs: DataFrame, text_col: str, columns: Callable[[Lines, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """Rows made of each task's distinct lines: a hot line doesn't travel as often as it occurs.
 
-    with_text: norm is filled, copies of a line within a slice of rows are given once, and there are no rows of documents.
+    columns(lines, hashes, new): new holds the numbers of the distinct lines that the task meets for the first time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId() << 40, 0
+        seen = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows, docs_of, counts, places, lines = part.num_rows, [], [], [], []
-                for i, text in enumerate(text_bytes(part["text"])):
-                    own = normal_lines(text) if text else []
-                    counts.append(len(own))
-                    for k, x in enumerate(own):
-                        if x:
-                            docs_of.append(i)
-                            places.append(k)
-                            lines.append(x)
-                ids, number = part["doc_id"].combine_chunks(), task + count + np.arange(rows)
-                count += rows
-                none = pa.nulls(rows, pa.int64())
-                if not with_text:
-                    yield pa.RecordBatch.from_arrays([pa.array(number), ids, pa.array(counts, pa.int32()), pa.array([-1] * rows, pa.int32()), none, none, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], schema=_LINE)
-                if lines:
-                    size = np.array([len(x) for x in lines])
-                    buf = np.frombuffer(b"".join(lines), dtype=np.uint8)
-                    ends = np.cumsum(size)
-                    whole = rolling(_BYTE[buf], ends - size, ends, "byte").view(np.int64)
-                    words, first = word_hashes(lines, SPACES)
-                    first = np.asarray(first)
-                    # Words, and pairs of neighbours, are the features.
-                    pairs = rolling(words, np.arange(len(words) - 1), np.arange(1, len(words)) + 1, "word") if len(words) > 1 else words[:0]
-                    last = np.zeros(len(words), dtype=bool)
-                    last[first[1:] - 1] = True
-                    n = np.diff(first)
-                    order = np.argsort(np.concatenate((2 * np.arange(len(words)), 2 * np.flatnonzero(~last) + 1)), kind="stable")
-                    features = np.concatenate((words, pairs[~last[:-1]]))[order]
-                    sim = majority_bits(features, 2 * n - 1).view(np.int64)
-                    size = np.add.reduceat((buf & 0xC0) != 0x80, ends - size, dtype=np.int64)  # code points, as alike() counts
-                    of = np.array(docs_of)
-                    if with_text:  # copies in one slice are one row: a hot line doesn't travel as often as it occurs
-                        once = np.unique(whole, return_index=True)[1]
-                        of, whole, sim, size = of[once], whole[once], sim[once], size[once]
-                        places, lines = [places[i] for i in once.tolist()], [lines[i] for i in once.tolist()]
-                    norm = pa.array(lines, pa.binary()).cast(pa.string()) if with_text else pa.nulls(len(lines), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(number[of]), ids.take(pa.array(of)), pa.array(np.array(counts, dtype=np.int32)[of]), pa.array(places, pa.int32()), pa.array(whole), pa.array(sim), pa.array(size.astype(np.int32)), norm], schema=_LINE)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _DDL)
-
-
-def band_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, bands: int) -> np.ndarray:
-    """MinHash keys of the lines buf[s:e], one column per band; a line shorter than an n-gram is one n-gram."""
+            for part in slices(batch, "text", _PART_BYTES):
+                own = Lines(part["text"])
+                hashes = own.hashes()
+                new = np.flatnonzero(~np.isin(hashes, seen))
+                if len(new):
+                    seen = np.concatenate((seen, hashes[new]))
+                    yield from columns(own, hashes, new)
+
+    return bounded(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+
+
+def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(hash, norm) of each line that has words."""
+
+    def columns(own: Lines, hashes: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), own.distinct.take(pa.array(new))], ["hash", "norm"])
+
+    return _once(docs, text_col, columns, "hash long, norm string")
+
+
+def block_keys(sim: np.ndarray, blocks: int) -> np.ndarray:
+    """Keys of all pairs of blocks of each fingerprint, one column per pair."""
+    cut = [64 * i // blocks for i in range(blocks + 1)]
+    part = [(sim >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in itertools.pairwise(cut)]
+    pairs = itertools.combinations(range(blocks), 2)
+    return np.stack([np.uint64(n << 58) | (part[i] << np.uint64(cut[j + 1] - cut[j])) | part[j] for n, (i, j) in enumerate(pairs)], axis=1)
+
+
+def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, bands: int) -> np.ndarray:
+    """MinHash keys of the lines data[s:e], one column per band; a line shorter than an n-gram is one n-gram."""
     count = np.maximum(ends - starts - gram + 1, 1)
     first = np.cumsum(count) - count
     at = np.repeat(starts - first, count) + np.arange(count.sum())
-    grams = (rolling(_BYTE[buf], at, np.minimum(at + gram, np.repeat(ends, count)), "byte") >> np.uint64(32)).astype(np.uint32)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    grams = np.ndarray(len(data), dtype=f"<u{gram}", buffer=padded, strides=(1,))[at].astype(np.uint64)
+    short = np.flatnonzero(ends - starts < gram)
+    grams[first[short]] &= (np.uint64(1) << (8 * (ends - starts)[short]).astype(np.uint64)) - np.uint64(1)
+    grams = (mix64(grams * _GRAM) >> np.uint64(32)).astype(np.uint32)
     least = [np.minimum.reduceat(grams * odd, first).astype(np.uint64) for odd in _ODD]
-    triples = _TRIPLES[:bands]
-    keys = [mix64(mix64((least[i] << np.uint64(32)) | least[j]) + least[k]) for i, j, k in triples]
-    return np.stack(keys, axis=1)
+    return np.stack([mix64(mix64((least[i] << np.uint64(32)) | least[j]) + least[k]) for i, j, k in _TRIPLES[:bands]], axis=1)
 
 
-def banded(docs: DataFrame, text_col: str, bands: int) -> DataFrame:
-    """(hash, size, key) of every line that has words, once per slice of rows and key."""
+def keyed_lines(docs: DataFrame, text_col: str, max_bits: int, bands: int) -> DataFrame:
+    """(key, hash, sim) of each line: keys of its fingerprint's pairs of blocks, and of its MinHash bands with sim 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = list({x for text in text_bytes(part["text"]) for x in normal_lines(text) if x})
-                if not lines:
-                    continue
-                ends = np.cumsum([len(x) for x in lines])
-                starts = np.concatenate(([0], ends[:-1]))
-                buf = np.frombuffer(b"".join(lines), dtype=np.uint8)
-                whole = rolling(_BYTE[buf], starts, ends, "byte").view(np.int64)
-                size = np.add.reduceat((buf & 0xC0) != 0x80, starts, dtype=np.int64)
-                for tag, gram, own in ((0, _LONG_GRAM, size > _LONG), (bands, _SHORT_GRAM, size <= _SHORT)):
-                    if own.any():
-                        keys = band_keys(buf, starts[own], ends[own], gram, bands)
-                        # Above the tags of the fingerprints' block keys.
-                        tags = (np.arange(bands, dtype=np.uint64) + np.uint64(tag + 16)) << np.uint64(58)
-                        keys = ((keys >> np.uint64(6)) | tags).view(np.int64).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole[own], bands)), pa.array(np.repeat(size[own], bands).astype(np.int32)), pa.array(keys)], ["hash", "size", "key"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, size int, key long")
+    def columns(own: Lines, hashes: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(which: np.ndarray, keys: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+            n = keys.shape[1]
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(hashes[which], n).view(np.int64)), pa.array(np.repeat(sim, n).view(np.int64))], ["key", "hash", "sim"])
+
+        sim = own.fingerprints()[new]
+        yield rows(new, block_keys(sim, max_bits + 2), sim)
+        if bands:
+            size = np.add.reduceat((own.data & 0xC0) != 0x80, own.edges[:-1], dtype=np.int64)[new]
+            for tag, gram, which in ((0, _LONG_GRAM, new[size > _LONG]), (bands, _SHORT_GRAM, new[size <= _SHORT])):
+                if len(which):
+                    keys = band_keys(own.data, own.edges[which], own.edges[which + 1], gram, bands)
+                    # Above the tags of the fingerprints' block keys.
+                    tags = (np.arange(bands, dtype=np.uint64) + np.uint64(tag + 16)) << np.uint64(58)
+                    yield rows(which, (keys >> np.uint64(6)) | tags, np.zeros(len(which), dtype=np.uint64))
+
+    return _once(docs, text_col, columns, "key long, hash long, sim long")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -153,88 +208,194 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit similarity is `similarity` or more. What two lines share at both ends needs no comparing."""
-    most = (1 - similarity) * max(len(a), len(b)) + 1e-9
-    start = len(commonprefix((a, b)))
-    a, b = a[start:], b[start:]
-    end = len(commonprefix((a[::-1], b[::-1])))
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    if max(len(a), len(b)) <= most:
-        return True
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """edit_distance() of many pairs at once: words of 64 rows, all pairs a column at a time (Hyyro, 2003)."""
+    out = np.zeros(len(a), dtype=np.int64)
+    short = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    size = np.array([(len(x), len(y)) for x, y in short], dtype=np.int64).reshape(-1, 2)
+    out[size[:, 0] == 0] = size[size[:, 0] == 0, 1]
+    for i in np.flatnonzero(size[:, 0] > _LONG_ROWS).tolist():
+        out[i] = edit_distance(*short[i])
+    rest = np.flatnonzero((size[:, 0] > 0) & (size[:, 0] <= _LONG_ROWS))
+    rest = rest[np.argsort(-size[rest, 1], kind="stable")]
+    at = 0
+    while at < len(rest):
+        n = max(1, min(4096, 1_000_000 // int(size[rest[at], 1])))
+        own = rest[at : at + n]
+        out[own] = _columns([short[i] for i in own.tolist()], size[own, 0], size[own, 1])
+        at += n
+    return out
+
+
+def _columns(pairs: list[tuple[str, str]], m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distances of pairs in descending order of n, the lengths of the second strings; m, of the first, at least 1."""
+    points = [np.frombuffer("".join(x[side] for x in pairs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for side in (0, 1)]
+    alphabet, codes = np.unique(np.concatenate(points), return_inverse=True)
+    first, second = codes[: len(points[0])], codes[len(points[0]) :]
+    words, rows = int(m.max() - 1) // 64 + 1, np.arange(len(pairs))
+    one = np.uint64(1)
+    places = np.arange(len(first)) - np.repeat(np.cumsum(m) - m, m)
+    peq = np.zeros((words, len(pairs) * len(alphabet)), dtype=np.uint64)
+    np.bitwise_or.at(peq, (places // 64, np.repeat(rows, m) * len(alphabet) + first), one << (places % 64).astype(np.uint64))
+    up = np.full((words, len(pairs)), ~np.uint64(0))
+    down = np.zeros((words, len(pairs)), dtype=np.uint64)
+    score, top, bit = m.copy(), (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
+    begins, alive = np.cumsum(n) - n, np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")
+    for j in range(n[0]):
+        k = alive[j]
+        char = rows[:k] * len(alphabet) + second[begins[:k] + j]
+        plus, minus = np.ones(k, dtype=np.uint64), np.zeros(k, dtype=np.uint64)  # from the row above: its value is j
+        for w in range(words):
+            pv, mv, eq = up[w, :k], down[w, :k], peq[w][char]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            here = top[:k] == w
+            if here.any():
+                score[:k] += np.where(here, ((ph >> bit[:k]) & one).astype(np.int64) - ((mh >> bit[:k]) & one).astype(np.int64), 0)
+            next_plus, next_minus = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = (ph << one) | plus, (mh << one) | minus
+            up[w, :k], down[w, :k] = mh | ~(xv | ph), ph & xv
+            plus, minus = next_plus, next_minus
+    return score
+
+
+def gram_counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 3-grams of code points by hash cell, 255 at most, and which lines have a cell beyond that."""
+    size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(lines)), size)
+    at = np.flatnonzero(np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size) <= size[of] - _Q)
+    h = points[at]
+    for k in range(1, _Q):
+        h = (h * _GRAM) ^ points[at + k]
+    cells = of[at] * _CELLS + (mix64(h) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+    counts = np.bincount(cells, minlength=len(lines) * _CELLS).reshape(len(lines), _CELLS)
+    return np.minimum(counts, 255).astype(np.uint8), counts.max(axis=1, initial=0) > 255
+
+
+def least_common(size_a: np.ndarray, size_b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """3-grams that strings of these sizes have in common at the least if `most` edits lead from one to the other."""
+    return np.maximum(size_a, size_b) - _Q + 1 - _Q * np.floor(most).astype(np.int64)
+
+
+def _close(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distances are `most` at most. Few pairs go one by one: columns of few rows aren't worth it."""
+    if len(a) >= _MANY:
+        return edit_distances(a, b) <= most
+    out = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a, b)):
+        start = len(commonprefix((x, y)))
+        x, y = x[start:], y[start:]
+        end = len(commonprefix((x[::-1], y[::-1])))
+        x, y = x[: len(x) - end], y[: len(y) - end]
+        out[i] = max(len(x), len(y)) <= most[i] or edit_distance(x, y) <= most[i]
+    return out
+
+
+def alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
+    """Whether the edit similarity of each pair is `similarity` or more.
+
+    Pairs whose lengths or common 3-grams rule it out aren't compared further: an edit changes three 3-grams at most.
+    """
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64).reshape(-1, 2)
+    most = (1 - similarity) * size.max(axis=1, initial=0) + 1e-9
+    out = size.max(axis=1, initial=0) <= most
+    ask = np.flatnonzero(~out & (np.abs(size[:, 0] - size[:, 1]) <= most))
+    need, keep = least_common(size[ask, 0], size[ask, 1], most[ask]), []
+    for at in range(0, len(ask), 1000):
+        own, least = ask[at : at + 1000], need[at : at + 1000]
+        (x, full_x), (y, full_y) = (gram_counts([side[i] for i in own.tolist()]) for side in (a, b))
+        common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        keep.append(own[(common >= least) | full_x | full_y])
+    ask = np.concatenate(keep) if keep else ask
+    if len(ask):
+        out[ask] = _close([a[i] for i in ask.tolist()], [b[i] for i in ask.tolist()], most[ask])
+    return out
 
 
 def _verified(similarity: float):
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([alike(x, y, similarity) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+        return pa.array(alike(a.to_pylist(), b.to_pylist(), similarity))
 
     return run
 
 
 def _forest(max_bits: int, similarity: float):
-    """Spanning forest of the verified links between the lines of one tile of a hot bucket."""
+    """Spanning forest of the verified links between the lines of one tile of a hot bucket; lines of one root are linked already."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sim = table["sim"].to_numpy().view(np.uint64)
         hashes, norm, side = table["hash"].to_numpy(), table["norm"].to_pylist(), table["side"].to_numpy()
-        parent = list(range(len(sim)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        group = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        size = np.fromiter(map(len, norm), dtype=np.int64, count=len(norm))
+        counts, full = gram_counts(norm)
         out = []
         for i in range(len(sim)):
-            for j in (i + 1 + np.flatnonzero((np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= max_bits) & ((side[i + 1 :] | side[i]) == 3))).tolist():
-                x, y = root(i), root(j)
-                if x != y and alike(norm[i], norm[j], similarity):
-                    parent[x] = y
+            ask = np.flatnonzero((np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= max_bits) & ((side[i + 1 :] | side[i]) == 3) & (group[i + 1 :] != group[i])) + i + 1
+            most = (1 - similarity) * np.maximum(size[ask], size[i]) + 1e-9
+            near = np.abs(size[ask] - size[i]) <= most
+            ask, most = ask[near], most[near]
+            common = np.minimum(counts[ask], counts[i]).sum(axis=1, dtype=np.int64)
+            near = (common >= least_common(size[ask], size[i], most)) | full[ask] | full[i]
+            ask, most = ask[near], most[near]
+            # One line of each other group at a time, until none of a group is left.
+            while len(ask):
+                first = np.unique(group[ask], return_index=True)[1]
+                good = _close([norm[i]] * len(first), [norm[j] for j in ask[first].tolist()], most[first])
+                for j in ask[first[good]].tolist():
                     out.append((int(hashes[i]), int(hashes[j])))
+                    group[group == group[j]] = group[i]
+                rest = group[ask] != group[i]
+                rest[first] = False
+                ask, most = ask[rest], most[rest]
         return pa.table([[u for u, _ in out], [v for _, v in out]], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return run
 
 
-def _block_keys(blocks: int) -> Column:
-    """Keys of all pairs of blocks of the fingerprint `sim`."""
-    cut = [64 * i // blocks for i in range(blocks + 1)]
-    part = [f"(shiftrightunsigned(sim, {a}) & {(1 << (b - a)) - 1}L)" for a, b in itertools.pairwise(cut)]
-    keys = [f"shiftleft({n}L, 58) | shiftleft({part[i]}, {cut[j + 1] - cut[j]}) | {part[j]}" for n, (i, j) in enumerate(itertools.combinations(range(blocks), 2))]
-    return F.expr(f"array({', '.join(keys)})")
-
-
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, max_bits: int, similarity: float, bucket_pairs: int, tile: int, bands: int = 0) -> DataFrame:
-    """Edges (u, v) between hashes of different lines; complete up to connectivity."""
-    keyed = distinct.select("hash", "sim", "size", F.explode(_block_keys(max_bits + 2)).alias("key"))
-    if bands:  # fingerprint 0 for all: in these buckets the edit similarity alone decides
-        keyed = keyed.unionByName(banded(docs, text_col, bands).withColumn("sim", F.lit(0).cast("long"))).repartition("key")
-        keyed = keyed.groupBy("key", "hash").agg(F.first("sim").alias("sim"), F.first("size").alias("size"))
-    sized = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    sized = stored(sized, "blocks")
-    few, many = sized.where(F.col("c") <= bucket_pairs), sized.where(F.col("c") > bucket_pairs)
-    a = few.select("key", *[F.col(x).alias(f"{x}_u") for x in ("hash", "sim", "size")])
-    b = few.select("key", *[F.col(x).alias(f"{x}_v") for x in ("hash", "sim", "size")])
-    near = f"hash_u < hash_v and bit_count(sim_u ^ sim_v) <= {max_bits} and least(size_u, size_v) >= {similarity}D * greatest(size_u, size_v) - 1e-6D"
-    near = near if similarity > 0 else near.rsplit(" and ", 1)[0]
-    pairs = a.join(b.hint("merge"), "key").where(near).select(F.col("hash_u").alias("u"), F.col("hash_v").alias("v")).distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("hash")).unionByName(many.select("hash")).distinct()
-    texts = line_rows(docs, id_col, text_col, True).select("hash", "norm").join(wanted.hint("merge"), "hash", "left_semi")
-    texts = stored(texts.groupBy("hash").agg(F.min("norm").alias("norm")), "texts")
+def links(docs: DataFrame, text_col: str, max_bits: int, similarity: float, bucket_pairs: int, tile: int, bands: int = 0, scratch: list[str] | None = None) -> DataFrame:
+    """Edges (u, v) between hashes of different lines; complete up to connectivity.
+
+    A line sends its keys once per task that meets it; keys of a single line go before anything else is done with them.
+    Each bucket's lines are first compared with its smallest. Only buckets that this leaves in several components are
+    compared pair by pair, and there only lines of different components: the others are linked already.
+    """
+    spark, by_key = docs.sparkSession, Window.partitionBy("key")
+    keyed = keyed_lines(docs, text_col, max_bits, bands).withColumn("n", F.count("*").over(by_key)).where("n > 1")
+    # In a bucket of sim 0 the edit similarity alone decides.
+    sized = keyed.groupBy("key", "hash").agg(F.first("sim").alias("sim")).withColumn("c", F.count("*").over(by_key))
+    sized = stored(sized.where("c > 1"), "blocks", scratch)
+    free_shuffles(spark)
+    texts = line_texts(docs, text_col).join(sized.select("hash").distinct().hint("merge"), "hash", "left_semi")
+    texts = stored(texts.groupBy("hash").agg(F.min("norm").alias("norm")), "texts", scratch)
+    free_shuffles(spark)
     left, right = texts.toDF("u", "norm_u"), texts.toDF("v", "norm_v")
-    good = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(_verified(similarity)("norm_u", "norm_v")).select("u", "v")
+    good = lambda pairs: pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(_verified(similarity)("norm_u", "norm_v")).select("u", "v")
+
+    least = sized.withColumn("least", F.min(F.struct("hash", "sim")).over(by_key))
+    stars = least.where(f"hash <> least.hash and bit_count(sim ^ least.sim) <= {max_bits}").select(F.col("least.hash").alias("u"), F.col("hash").alias("v"))
+    stars = stored(good(stars.distinct()), "stars", scratch)
+    free_shuffles(spark)
+    roots = connected_components(stars).withColumnRenamed("node", "hash")
+    left_over = sized.join(roots.hint("merge"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    left_over = left_over.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low <> high").drop("low", "high")
+    left_over = stored(left_over, "open", scratch)
+    free_shuffles(spark)
+    few, many = left_over.where(F.col("c") <= bucket_pairs), left_over.where(F.col("c") > bucket_pairs)
+    a = few.select("key", *[F.col(x).alias(f"{x}_u") for x in ("hash", "sim", "root")])
+    b = few.select("key", *[F.col(x).alias(f"{x}_v") for x in ("hash", "sim", "root")])
+    pairs = a.join(b.hint("merge"), "key").where(f"hash_u < hash_v and root_u <> root_v and bit_count(sim_u ^ sim_v) <= {max_bits}")
+    pairs = good(pairs.select(F.col("hash_u").alias("u"), F.col("hash_v").alias("v")).distinct())
     # Tiles of hot buckets: each line of part p goes to the tiles (p, q) and (q, p) of all parts q.
     parts = F.ceil(F.col("c") / tile).cast("int")
     own = F.pmod(F.xxhash64("hash"), parts).cast("int")
     tiled = many.withColumn("parts", parts).withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("hash", "sim", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.when(F.col("p") == F.col("q"), 3).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"))
-    tiled = tiled.join(texts.hint("merge"), "hash")
-    hot = tiled.groupBy("key", "x", "y").applyInArrow(_forest(max_bits, similarity), "u long, v long")
-    return good.unionByName(hot).distinct()
+    tiled = tiled.select("hash", "sim", "root", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.when(F.col("p") == F.col("q"), 3).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"))
+    hot = tiled.join(texts.hint("merge"), "hash").groupBy("key", "x", "y").applyInArrow(_forest(max_bits, similarity), "u long, v long")
+    return stars.unionByName(pairs).unionByName(hot).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, similarity: float = 0.8, bucket_pairs: int = 32, tile: int = 2000, bands: int = 0) -> DataFrame:
@@ -246,15 +407,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id comes after all others; rows that repeat an id are separate rows. No rows give no rows. Other columns are
     not read. A 64-bit hash stands for a normalised line.
     """
-    lines = stored(line_rows(docs, id_col, text_col, False).drop("norm"), "lines")
-    own = lines.where("hash is not null")
+    scratch: list[str] = []
+    own = stored(document_lines(docs, id_col, text_col), "lines")
+    lines = own.select("row", "doc_id", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("hashes").alias("hash"))))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
-    distinct = stored(own.groupBy("hash").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.min(place).alias("first")), "distinct")
-    roots = connected_components(links(docs, distinct, id_col, text_col, max_bits, similarity, bucket_pairs, tile, bands)).withColumnRenamed("node", "hash")
-    rooted = distinct.select("hash", "first").join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
-    keep = stored(rooted.join(keep, "root").select("hash", F.col("keep.row").alias("keep_row"), F.col("keep.line").alias("keep_line")), "kept")
-    judged = lines.join(keep.hint("merge"), "hash", "left")
-    gone = F.when((F.col("keep_row") != F.col("row")) | (F.col("keep_line") != F.col("line")), F.col("line"))
-    out = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.array_sort(F.collect_list(gone)).alias("removed"))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+    distinct = stored(lines.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct", scratch)
+    roots = connected_components(links(docs, text_col, max_bits, similarity, bucket_pairs, tile, bands, scratch)).withColumnRenamed("node", "hash")
+    # Lines that occur once and are linked to none stay anyway.
+    rooted = distinct.join(roots, "hash", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "hash"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("keep"))
+    keep = stored(rooted.join(least, "root").select("hash", F.col("keep.row").alias("keep_row"), F.col("keep.line").alias("keep_line")), "kept")
+    forget_all(docs.sparkSession, scratch)
+    judged = lines.select("row", "line", "hash").join(keep.hint("merge"), "hash").where("keep_row <> row or keep_line <> line")
+    gone = judged.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    out = own.select("row", "doc_id", "n_lines").join(gone.hint("merge"), "row", "left")
+    removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
+    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import line_dedup
@@ -17,19 +18,56 @@ def slow_edit(a, b):
 
 def test_edit_distance():
     rng = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 20))) for _ in "xy")
-        assert line_dedup.edit_distance(a, b) == slow_edit(a, b)
-        for least in (0.0, 0.5, 0.8, 1.0):
-            assert line_dedup.alike(a, b, least) == (slow_edit(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9)
+    pairs = [tuple("".join(rng.choice("abcé") for _ in range(rng.randint(0, 20))) for _ in "xy") for _ in range(300)]
+    for n in (63, 64, 65, 127, 128, 129, 200, 300):
+        for _ in range(6):
+            a = [rng.choice("abcdé\u65e5") for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(0, n // 2)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+            pairs.append(("".join(a), "".join(b)))
+    want = [slow_edit(a, b) for a, b in pairs]
+    assert [line_dedup.edit_distance(a, b) for a, b in pairs] == want
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert line_dedup.edit_distances(a, b).tolist() == line_dedup.edit_distances(b, a).tolist() == want
+    a, b = a + [x * 300 for x in a[:20]], b + [x * 300 for x in a[:20]]  # cells beyond 255
+    pairs, want = [*zip(a, b)], want + [0] * 20
+    for least in (0.0, 0.5, 0.8, 1.0):
+        assert line_dedup.alike(a, b, least).tolist() == [d <= (1 - least) * max(len(x), len(y)) + 1e-9 for x, y, d in zip(a, b, want)]
+        assert [bool(line_dedup.alike([x], [y], least)[0]) for x, y in pairs] == line_dedup.alike(a, b, least).tolist()
+    assert line_dedup.alike([], [], 0.8).tolist() == []
+
+
+def test_long_lines_are_compared(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_LONG_ROWS", 100)
+    a, b = ["x" * 150 + "abc", "y" * 90], ["x" * 150 + "abd", "y" * 80 + "z" * 10]
+    assert line_dedup.edit_distances(a, b).tolist() == [1, 10]
+
+
+def normal_lines(text):
+    """Lower-case letters, 0 for digits, words joined by a space; one string a line."""
+    out = []
+    for line in text.split("\n") if text else []:
+        chars = [c.lower() if c.isascii() and c.isalpha() else "0" if c.isascii() and c.isdigit() else " " if c.isascii() else c for c in line]
+        out.append(" ".join(x for x in "".join(chars).split(" ") if x))
+    return out
 
 
-def brute(spark, frame, rows, max_bits=3, similarity=0.8):
-    """Groups by all pairs of distinct lines, from the operator's own fingerprints."""
-    from pyspark.sql import functions as F
+def simhash(line):
+    """Bit by bit, from 64-bit hashes of the words and of pairs of neighbours, each hashed by itself."""
+    words = [line_dedup.rolling(line_dedup._BYTE[np.frombuffer(w.encode(), dtype=np.uint8)], np.array([0]), np.array([len(w.encode())]), "byte")[0] for w in line.split(" ")]
+    features = words + [line_dedup.rolling(np.array(p, dtype=np.uint64), np.array([0]), np.array([2]), "word")[0] for p in itertools.pairwise(words)]
+    return sum(1 << b for b in range(64) if 2 * sum(int(f) >> b & 1 for f in features) > len(features))
+
 
-    lines = line_dedup.line_rows(frame(rows), "doc_id", "text", True).where("hash is not null").select("norm", F.col("sim")).distinct().collect()
-    sims = {r.norm: r.sim & (2**64 - 1) for r in lines}
+def brute(spark, frame, rows, max_bits=3, similarity=0.8):
+    """Groups by all pairs of distinct lines."""
+    sims = {}
+    for _, t in rows:
+        for line in normal_lines(t):
+            if line:
+                sims[line] = simhash(line)
     parent = {x: x for x in sims}
 
     def root(x):
@@ -42,9 +80,9 @@ def brute(spark, frame, rows, max_bits=3, similarity=0.8):
             parent[root(a)] = root(b)
     places = []
     for n, (i, t) in enumerate(rows):
-        for k, x in enumerate(line_dedup.normal_lines((t or "").encode()) if t else []):
+        for k, x in enumerate(normal_lines(t)):
             if x:
-                places.append(((i is None, i or 0, n, k), root(x.decode())))
+                places.append(((i is None, i or 0, n, k), root(x)))
     least = {}
     for p, r in places:
         least[r] = min(p, least.get(r, p))
@@ -76,6 +114,20 @@ def rows_of(seed):
     return rows
 
 
+def test_lines_of_a_slice():
+    import pyarrow as pa
+
+    texts = ["One, two\n\n  three 42\n", None, "", "!!\n..", "x", "one TWO", "Ä ö\r\nü\n", "\n", "a\tb"]
+    own = line_dedup.Lines(pa.chunked_array([texts[:4], texts[4:]]))
+    got = [(int(t), int(k), own.distinct[int(c)].as_py()) for t, k, c in zip(own.text, own.number, own.code)]
+    assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(normal_lines(t)) if x]
+    assert own.per_text.tolist() == [len(t.split("\n")) if t else 0 for t in texts]
+    assert len(set(own.distinct.to_pylist())) == len(own.distinct) == len(set(own.hashes().tolist()))
+    assert own.fingerprints().tolist() == [simhash(x) for x in own.distinct.to_pylist()]
+    none = line_dedup.Lines(pa.chunked_array([[None, "", " \n"]], pa.string()))
+    assert none.per_text.tolist() == [0, 0, 2] and len(none.code) == len(none.hashes()) == len(none.fingerprints()) == 0
+
+
 @pytest.mark.parametrize("options", [{}, {"bucket_pairs": 1, "tile": 2}, {"bucket_pairs": 2}])
 def test_matches_brute_force(spark, frame, options):
     check(spark, frame, rows_of(4), **options)
@@ -120,3 +172,57 @@ def test_registered_query_finds_lines_with_a_changed_word(spark, frame, tmp_path
     assert sum(got[2 * i + 1] == [0] for i in range(60)) >= 57
     hot = line_dedup.dedup_lines(frame(rows), bands=line_dedup.BANDS, bucket_pairs=1, tile=2).collect()
     assert {r.doc_id: r.removed for r in hot} == got
+
+
+def candidates(lines):
+    """Pairs that share a key of op4, counted from the keys themselves."""
+    import pyarrow as pa
+
+    own = line_dedup.Lines(pa.chunked_array([lines]))
+    assert own.distinct.to_pylist() == lines
+    keys = [line_dedup.block_keys(own.fingerprints(), 5)]
+    size = np.array(list(map(len, lines)))
+    met, sims = {}, own.fingerprints()
+    for tag, gram, which in ((100, 8, np.flatnonzero(size > 47)), (200, 4, np.flatnonzero(size <= 60))):
+        bands = line_dedup.band_keys(own.data, own.edges[which], own.edges[which + 1], gram, line_dedup.BANDS)
+        for n, row in zip(which.tolist(), bands.tolist()):
+            for b, k in enumerate(row):
+                met.setdefault((tag + b, k), []).append(n)
+    found = {p for group in met.values() for p in itertools.combinations(group, 2)}
+    met = {}
+    for n, row in enumerate(keys[0].tolist()):
+        for k in row:
+            met.setdefault(k, []).append(n)
+    return found | {(i, j) for group in met.values() for i, j in itertools.combinations(group, 2) if (int(sims[i]) ^ int(sims[j])).bit_count() <= 3}
+
+
+def alike_pairs(lines, asked, similarity=0.8):
+    """Pairs of the asked lines and any others at the similarity or more; pairs whose letters alone differ too much are left out at once."""
+    size = np.array(list(map(len, lines)))
+    counts = np.zeros((len(lines), 40), dtype=np.int16)
+    for i, x in enumerate(lines):
+        for c in x:
+            counts[i, ord(c) % 40] += 1
+    out = set()
+    for i in asked:
+        most = (1 - similarity) * np.maximum(size, size[i]) + 1e-9
+        bound = np.maximum(np.maximum(counts - counts[i], 0).sum(axis=1), np.maximum(counts[i] - counts, 0).sum(axis=1))
+        ask = [j for j in np.flatnonzero(bound <= most).tolist() if j != i]
+        out |= {(min(i, j), max(i, j)) for j, good in zip(ask, line_dedup.alike([lines[i]] * len(ask), [lines[j] for j in ask], similarity)) if good}
+    return out
+
+
+def test_recall_on_real_lines():
+    """Share of the pairs of all-pairs edit similarity that op4 compares, by the shorter line's words."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = list(dict.fromkeys(x for t in texts for x in normal_lines(t) if x))
+    pairs, found = alike_pairs(lines, range(0, len(lines), 16)), candidates(lines)
+    assert len(pairs) > 20
+    recall = len(pairs & found) / len(pairs)
+    for low, high in ((0, 5), (6, 10), (11, 20), (21, 50), (51, 10**6)):
+        own = [p for p in pairs if low <= min(len(lines[i].split()) for i in p) <= high]
+        print(low, high, len(own), sum(p in found for p in own))
+    print(len(pairs), recall)
+    assert recall >= 0.95
