@@ -4,8 +4,10 @@ A byte-level pre-tokenizer scans from left to right and never joins what stands
 - a lone space between two other characters (the space opens the next piece),
 - a lone newline (a piece of its own), and
 - a letter and an ASCII mark behind it.
-Texts are cut there and nowhere else, so the pieces' ids in a row are the text's. Pieces are cut, and repeats among them
-found, in Arrow and numpy; the library gets each distinct piece of a slice that isn't remembered.
+Texts are cut there and nowhere else, so the pieces' ids in a row are the text's. A tokenizer that drops white space and looks
+at each word by itself is cut before each word and between a letter and an ASCII mark instead, A-Z in lower case, and new words of
+Latin letters go straight to its model, as its normalizer would leave them. Pieces are cut, and repeats among them found, in Arrow and numpy; the
+library gets each distinct piece of a slice that isn't remembered.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,17 @@ _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 #: The UTF-8 of Unicode's white space beyond ASCII.
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _LEADS = {size: np.isin(np.arange(256), [x[0] for x in _WIDE_BLANKS if len(x) == size]) for size in (2, 3)}
-#: Kinds of pieces: a space and no other white space after it; no white space; all others.
-_SPACED, _BARE, _OTHER = 0, 1, 2
+#: White space of one byte that every pattern of words stops at.
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Kinds of pieces: a space and no other white space after it; no white space; all others; words and what follows them; those of Latin letters alone.
+_SPACED, _BARE, _OTHER, _WORD, _LATIN = 0, 1, 2, 3, 4
+#: Letters whose composed form and small letter stand in Latin-1.
+_latin = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[ \t-\r]*").fullmatch
+
+#: Of the bytes of those letters, the three that a byte-level vocabulary doesn't write as themselves, by its rule: the bytes
+#: outside 21-7E, A1-AC and AE-FF get U+0100 and on, in order.
+_MOVED = {chr(x): chr(0x100 + sum(not (0x21 <= y < 0x7F or 0xA1 <= y < 0xAD or y >= 0xAE) for y in range(x))) for x in (0x9F, 0xA0, 0xAD)}
 
 
 def blanks(data: np.ndarray) -> np.ndarray:
@@ -68,6 +80,16 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def word_cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """First bytes of pieces of a word, or of marks, and the white space behind it."""
+    gap, letter = _GAP[data], _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out = np.zeros(len(data) + 1, dtype=bool)
+    out[edges] = True
+    out[1:-1] |= (gap[:-1] & ~gap[1:]) | (letter[:-1] & _MARK[data[1:]])
+    return np.flatnonzero(out[:-1])
+
+
 def offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 of a string array without nulls, and the offsets of its texts in it."""
     edges = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -113,10 +135,20 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.words = _by_words(spec)
         self.size = self.tokenizer.get_vocab_size()
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # each piece is asked once
+        if self.words:
+            from tokenizers import pre_tokenizers
+
+            mark, end = self.added[0], self.tokenizer.model.end_of_word_suffix
+            self.mark, self.mark_id = f" {mark} ", self.tokenizer.token_to_id(mark)
+            self.raw = Tokenizer(self.tokenizer.model)
+            self.raw.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.ends = np.zeros(self.size, dtype=bool)
+            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(end)]] = True
         if self.cuts:
             space, line = (self.tokenizer.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in " \n")
             self.opens = np.zeros(self.size, dtype=bool)
@@ -135,16 +167,19 @@ class Encoder:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not self.cuts:
+        if not self.cuts and not self.words:
             ids = self._each(texts.to_pylist())
             return _joined(ids, self.flat.dtype).astype(np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
         data, edges = offsets(texts)
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        starts = cuts(data, edges)
         whole = np.zeros(len(texts), dtype=bool)
         for token in self.added:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if self.words:
+            small = (data >= 0x41) & (data <= 0x5A) & np.repeat(~whole, np.diff(edges))
+            data = np.where(small, data | 0x20, data).astype(np.uint8)
+        starts = cuts(data, edges) if self.cuts else word_cuts(data, edges)
         if whole.any():
             of = np.searchsorted(edges, starts, side="right") - 1
             starts = starts[~whole[of] | (starts == edges[of])]
@@ -166,7 +201,8 @@ class Encoder:
         known = codes >= 0
         self.hits[codes[known]] += often[known]
         missing = np.flatnonzero(~known)
-        order, new_counts, new_ids = self._learn([pieces[i] for i in missing.tolist()], _kinds(distinct)[missing], added)
+        kinds = _kinds(distinct) if self.cuts else np.array([_LATIN if _latin(x) else _WORD for x in pieces])
+        order, new_counts, new_ids = self._learn([pieces[i] for i in missing.tolist()], kinds[missing], added)
         missing = missing[order]
         counts, first = np.empty(len(pieces), dtype=np.int64), np.empty(len(pieces), dtype=np.int64)
         first[known], counts[known] = self.first[codes[known]], self.count[codes[known]]
@@ -208,20 +244,23 @@ class Encoder:
         if added:
             kinds = np.where([any(x in p for x in self.added) for p in pieces], _OTHER, kinds) if pieces else kinds
         order, counts, parts = [], [np.zeros(0, dtype=np.int64)], [self.flat[:0]]
-        for kind in (_SPACED, _BARE, _OTHER):
+        for kind in (_SPACED, _BARE, _OTHER, _WORD, _LATIN):
             which = np.flatnonzero(kinds == kind)
             order.append(which)
             size = 1 if kind == _OTHER else GROUP
             groups = [[pieces[i] for i in which[at : at + size].tolist()] for at in range(0, len(which), size)]
-            between = "\n" if kind == _BARE else ""
-            for own, ids in zip(groups, self._each([between.join(g) for g in groups])):
+            between = "\n" if kind == _BARE else self.mark if kind == _WORD else ""
+            joined = self._latin(groups) if kind == _LATIN else self._each([between.join(g) for g in groups])
+            for own, ids in zip(groups, joined):
                 flat = np.array(ids, dtype=self.flat.dtype)
                 if kind == _OTHER:
                     count = np.array([len(flat)])
-                elif kind == _BARE:
-                    gaps = np.flatnonzero(flat == self.line)
+                elif kind in (_BARE, _WORD):
+                    gaps = np.flatnonzero(flat == (self.line if kind == _BARE else self.mark_id))
                     count = np.diff(np.concatenate(([-1], gaps, [len(flat)]))) - 1
                     flat = np.delete(flat, gaps)
+                elif kind == _LATIN:
+                    count = np.diff(np.concatenate(([-1], np.flatnonzero(self.ends[flat]))))
                 else:
                     count = np.diff(np.concatenate((np.flatnonzero(self.opens[flat]), [len(flat)])))
                 if len(count) != len(own):  # they can't be told apart
@@ -231,9 +270,27 @@ class Encoder:
                 parts.append(flat)
         return np.concatenate(order), np.concatenate(counts), np.concatenate(parts)
 
+    def _latin(self, groups: list[list[str]]) -> list[list[int]]:
+        """Ids of words of Latin letters, each word's last one closes it."""
+        texts = [" ".join([x.rstrip() for x in g]).lower().encode().decode("latin-1") for g in groups]
+        for x, y in _MOVED.items():
+            texts = [t.replace(x, y) for t in texts]
+        return [x.ids for x in self.raw.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
+def _by_words(spec: dict) -> bool:
+    """Whether white space is dropped and parts words, and an added token may stand between words as a mark."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    split, *rest = pre.get("pretokenizers") or [{}]
+    kinds = {x["type"] for x in norm.get("normalizers") or []}
+    keeps_words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s" in (split.get("pattern") or {}).get("Regex", "")
+    bytewise = [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in rest] == [("ByteLevel", False, False)]
+    added = [x for x in spec.get("added_tokens") or [] if x["special"] and not x["single_word"]]
+    return bool(keeps_words and bytewise and kinds <= {"NFC", "Replace", "Lowercase"} and added)
+
+
 def _joined(ids: list[list[int]], dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=dtype), *(np.array(x, dtype=dtype) for x in ids)])

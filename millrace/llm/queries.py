@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archive, decontaminate, language_id, license_scan, line_dedup, mixing, simhash_dedup, substring_dedup, token_store, winnowing
+from millrace.llm import archive, decontaminate, language_id, license_scan, line_dedup, mixing, packing, simhash_dedup, substring_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,3 +174,8 @@ SELECT d.doc_id, d.digest, known.license_id FROM d LEFT JOIN known ON d.digest =
 
 
 ORACLE_SQL["op7_license_scan"] = _license_oracle()
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
