@@ -138,6 +138,11 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole(a).astype(object) @ whole(b).astype(object).T
 
 
+def _first(found: list[tuple], k: int) -> list[tuple]:
+    """The first k of (score, id, hash)."""
+    return sorted(found, key=lambda x: (-x[0], *x[1:]))[:k]
+
+
 def _clip(x: object) -> int:
     return max(-(2**63), min(2**63 - 1, int(x)))
 
@@ -148,16 +153,19 @@ _POSITIVE_DDL = "vec_id long, h long, other long, other_h long, score long"
 
 def _join_positives(width: int, k: int):
     def run(key: tuple, anchors: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
+        out: list[tuple] = []
         if anchors.num_rows and rows.num_rows:
             rows = rows.sort_by([("vec_id", "ascending"), ("h", "ascending")])
             q, label, ids, hs = _unpack(anchors["v"], width), anchors["label"].to_numpy(), anchors["vec_id"].to_numpy(), anchors["h"].to_numpy()
+            found: dict[int, list] = {}
             for at in range(0, rows.num_rows, STEP):
                 part = rows.slice(at, STEP)
                 other, other_h = part["vec_id"].to_numpy(), part["h"].to_numpy()
                 keep = (label[:, None] == part["label"].to_numpy()) & ((ids[:, None] != other) | (hs[:, None] != other_h))
                 scores = _products(q, _unpack(part["v"], width))
-                out += [(int(ids[i]), int(hs[i]), int(other[j]), int(other_h[j]), _clip(scores[i, j])) for i, top in _best(scores, keep, k) for j in top.tolist()]
+                for i, top in _best(scores, keep, k):
+                    found[i] = _first(found.get(i, []) + [(_clip(scores[i, j]), int(other[j]), int(other_h[j])) for j in top.tolist()], k)
+            out = [(int(ids[i]), int(hs[i]), other, h, score) for i, best in found.items() for score, other, h in best]
         return pa.table([list(c) for c in zip(*out)] if out else [[]] * 5, schema=_POSITIVE)
 
     return run
@@ -169,10 +177,11 @@ _PAIR_DDL = "vec_id long, h long, positive_id long, positive_h long, positive_sc
 
 def _join_negatives(width: int, k: int, low: int, high: int):
     def run(key: tuple, anchors: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
+        out: list[tuple] = []
         if anchors.num_rows and rows.num_rows:
             rows = rows.sort_by([("vec_id", "ascending"), ("h", "ascending")])
             q, label, ids, hs = _unpack(anchors["v"], width), anchors["label"].to_numpy(), anchors["vec_id"].to_numpy(), anchors["h"].to_numpy()
+            found: dict[tuple, list] = {}
             positives = [x or [] for x in anchors["positives"].to_pylist()]
             for at in range(0, rows.num_rows, STEP):
                 part = rows.slice(at, STEP)
@@ -183,8 +192,10 @@ def _join_negatives(width: int, k: int, low: int, high: int):
                     p = np.array([x[n]["score"] if n < len(x) else -1 for x in positives], dtype=scores.dtype)[:, None]  # below 0: no row fits
                     keep = differ & (100 * scores <= high * p) & (100 * scores >= low * p)
                     for i, top in _best(scores, keep.astype(bool), k):
-                        x = positives[i][n]
-                        out += [(int(ids[i]), int(hs[i]), x["other"], x["other_h"], x["score"], int(other[j]), int(other_h[j]), _clip(scores[i, j])) for j in top.tolist()]
+                        found[i, n] = _first(found.get((i, n), []) + [(_clip(scores[i, j]), int(other[j]), int(other_h[j])) for j in top.tolist()], k)
+            for (i, n), best in found.items():
+                x = positives[i][n]
+                out += [(int(ids[i]), int(hs[i]), x["other"], x["other_h"], x["score"], other, h, score) for score, other, h in best]
         return pa.table([list(c) for c in zip(*out)] if out else [[]] * 8, schema=_PAIR)
 
     return run
