@@ -207,10 +207,10 @@ def dedup_documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("digest").alias("digest")).select("doc_id", "digest")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0)")
 def dedup_remove_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(sf_dir, "events").read(spark)
-    return sketches.remove_keys(df, df.where("event_type = 'error'"), ["user_id"]).select("event_id", "user_id")
+    return sketches.remove_keys(df, df.where("event_type = 'error' AND user_id % 3 = 0"), ["user_id"]).select("event_id", "user_id")
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -375,10 +375,11 @@ def backpressure_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Failure handling
 
 
-@query("""SELECT p.name AS policy, a.i AS attempt, least(greatest(CASE p.name WHEN 'fixed' THEN 1000 WHEN 'linear' THEN 1000 * a.i ELSE 1000 * pow(2.0::DOUBLE, a.i - 1) END, 0.0001), 30000)::DOUBLE AS delay_ms, a.i <= CASE WHEN a.i % 2 = 0 THEN 4 ELSE 3 END AS allowed
-FROM (VALUES ('fixed'), ('linear'), ('exponential')) p(name), range(1, 11) a(i)""")
+@query("""SELECT p.name AS policy, o_orderkey, a.i AS attempt, least(greatest(CASE p.name WHEN 'fixed' THEN 1000 WHEN 'linear' THEN 1000 * a.i ELSE 1000 * pow(2.0::DOUBLE, a.i - 1) END, 0.0001), 30000)::DOUBLE AS delay_ms, a.i <= CASE WHEN a.i % 2 = 0 THEN 4 ELSE 3 END AS allowed
+FROM (VALUES ('fixed'), ('linear'), ('exponential')) p(name), (SELECT o_orderkey, o_orderkey % 10 + 1 AS i FROM orders) a""")
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.range(1, 11).select(F.col("id").alias("attempt"), F.when(F.col("id") % 2 == 0, 4).otherwise(-1).alias("budget"))
+    attempt = F.col("o_orderkey") % 10 + 1
+    base = table(sf_dir, "orders").read(spark).select("o_orderkey", attempt.alias("attempt"), F.when(attempt % 2 == 0, 4).otherwise(-1).alias("budget"))
     parts = [resilience.schedule(base, "attempt", RetryPolicy(backoff=b), "budget").withColumn("policy", F.lit(b)) for b in ("fixed", "linear", "exponential")]
     return merge(*parts).drop("budget")
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import concurrent.futures
+import multiprocessing
+import os
+import queue
 import random
+import signal
 import threading
 import time
 from collections import deque
@@ -16,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.intervals import interval_sums
 from millrace.operators.ordered import fold
 from millrace.plans.envelope import ERROR, ERROR_DDL, PERMANENT, TRANSIENT, failed, ok, payload_of
 
@@ -80,33 +85,122 @@ def classify(exc: BaseException) -> tuple[str, str]:
     return PERMANENT, "TransformError"
 
 
+class _Late(BaseException):
+    """The time limit of a call; no `except Exception` of the call's own code catches it."""
+
+
+def _ring(*_: Any) -> None:
+    raise _Late
+
+
+class _Helper:
+    """One thread that makes calls for another, which may leave it behind."""
+
+    def __init__(self) -> None:
+        self.asked: queue.SimpleQueue = queue.SimpleQueue()
+        self.done: queue.SimpleQueue = queue.SimpleQueue()
+        threading.Thread(target=self._work, daemon=True).start()
+
+    def _work(self) -> None:
+        while (job := self.asked.get()) is not None:
+            fn, args = job
+            try:
+                self.done.put((fn(*args), None))
+            except BaseException as exc:  # raised in the caller's thread
+                self.done.put((None, exc))
+
+
+_helpers = threading.local()
+
+
 def within(fn: Callable[..., Any], timeout_s: float | None, *args: Any) -> Any:
     """fn(*args), or a TimeoutError after timeout_s of its own time.
 
-    The call has a thread of its own, so one that hangs holds up nothing after it; its late result is thrown away. A
-    thread can't be killed: it ends with the call or with the worker.
+    In a process's main thread, as in Spark's Python workers, an alarm ends the call where it stands: no thread is made and
+    none is left. Code inside an extension module sees the alarm when it comes back; Attempted(isolate=True) kills that too. In other
+    threads a helper thread makes the calls; one that hangs is left to its call and replaced.
     """
     if not timeout_s:
         return fn(*args)
-    box: list[tuple[Any, BaseException | None]] = []
-
-    def work() -> None:
+    if threading.current_thread() is threading.main_thread():
+        before = signal.signal(signal.SIGALRM, _ring)
         try:
-            box.append((fn(*args), None))
-        except BaseException as exc:  # raised in the caller's thread
-            box.append((None, exc))
-
-    thread = threading.Thread(target=work, daemon=True)
-    thread.start()
-    thread.join(timeout_s)
-    if not box:
-        raise TimeoutError(f"Timed out after {timeout_s:.1f}s")
-    made, exc = box[0]
+            signal.setitimer(signal.ITIMER_REAL, timeout_s)
+            try:
+                return fn(*args)
+            finally:
+                signal.setitimer(signal.ITIMER_REAL, 0)
+        except _Late:
+            raise TimeoutError(f"Timed out after {timeout_s:.1f}s") from None
+        finally:
+            signal.signal(signal.SIGALRM, before)
+    helper = getattr(_helpers, "own", None)
+    if helper is None:
+        helper = _helpers.own = _Helper()
+    helper.asked.put((fn, args))
+    try:
+        made, exc = helper.done.get(timeout=timeout_s)
+    except queue.Empty:
+        helper.asked.put(None)  # it ends after the call that hangs
+        _helpers.own = None
+        raise TimeoutError(f"Timed out after {timeout_s:.1f}s") from None
     if exc is not None:
         raise exc
     return made
 
 
+class Isolated:
+    """Calls of fn in a process of its own, which is killed and replaced when a call takes too long.
+
+    The process is a fork: fn needs no pickling, its arguments and results do. One serves all calls of a task; close() ends it.
+    """
+
+    def __init__(self, fn: Callable[..., Any]) -> None:
+        self.fn, self._process, self._link = fn, None, None
+
+    def _serve(self, link: Any) -> None:
+        while True:
+            try:
+                args = link.recv()
+            except EOFError:
+                os._exit(0)
+            try:
+                answer: tuple[Any, BaseException | None] = (self.fn(*args), None)
+            except BaseException as exc:  # raised in the caller's process
+                answer = (None, exc)
+            try:
+                link.send(answer)
+            except Exception as exc:  # what can't be pickled
+                link.send((None, RuntimeError(f"{type(exc).__name__}: {exc}")))
+
+    def __call__(self, timeout_s: float | None, *args: Any) -> Any:
+        if self._process is None:
+            fork = multiprocessing.get_context("fork")
+            self._link, theirs = fork.Pipe()
+            self._process = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self._process.start()
+            theirs.close()
+        self._link.send(args)
+        try:
+            if not self._link.poll(timeout_s or None):
+                self.close()
+                raise TimeoutError(f"Timed out after {timeout_s:.1f}s")
+            made, exc = self._link.recv()
+        except EOFError:
+            self.close()
+            raise RuntimeError("the process of the call died") from None
+        if exc is not None:
+            raise exc
+        return made
+
+    def close(self) -> None:
+        if self._process is not None:
+            self._link.close()
+            self._process.kill()
+            self._process.join()
+            self._process = self._link = None
+
+
 @dataclass(frozen=True)
 class Attempted:
     """Runs a Python function on each row, in Arrow batches, with a time limit and retries inside the task.
@@ -115,7 +209,8 @@ class Attempted:
     timed, `elapsed_ms`, the row's whole time with all attempts. Without a policy or a timeout of its own it takes the
     pipeline's (a timeout of 0 is none); budget_col holds a row's own number of retries (null or -1: the policy's). Waits
     are the policy's if sleep is true. breaker: settings of a CircuitBreaker that each task has on its own clock; while it
-    is open, rows fail as Transient / CircuitBreaker without a call. A task that Spark repeats runs the function again: it has to be idempotent.
+    is open, rows fail as Transient / CircuitBreaker without a call. isolate: calls are made in a process of the task's own, which
+    is killed when one is late, whatever it is doing. A task that Spark repeats runs the function again: it has to be idempotent.
     """
 
     fn: Callable[[dict, int], dict]
@@ -126,6 +221,7 @@ class Attempted:
     budget_col: str | None = None
     timed: bool = False
     breaker: Mapping[str, Any] | None = None
+    isolate: bool = False
 
     def with_defaults(self, policy: RetryPolicy, timeout_s: float) -> Attempted:
         return replace(self, policy=self.policy or policy, timeout_s=timeout_s if self.timeout_s is None else self.timeout_s)
@@ -139,6 +235,15 @@ class Attempted:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             guard = CircuitBreaker(**me.breaker) if me.breaker is not None else None
+            apart = Isolated(me.fn) if me.isolate else None
+            call = (lambda *args: apart(me.timeout_s, *args)) if apart else (lambda *args: within(me.fn, me.timeout_s, *args))
+            try:
+                yield from attempt(batches, guard, call)
+            finally:
+                if apart:
+                    apart.close()
+
+        def attempt(batches: Iterator[pa.RecordBatch], guard: CircuitBreaker | None, call: Callable[..., Any]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.flatnonzero(batch[ERROR].is_null().to_numpy(zero_copy_only=False)).tolist()
                 payload = batch.select(names).take(pa.array(good, pa.int64())).to_pylist() if good else []
@@ -149,7 +254,7 @@ class Attempted:
                         changes.setdefault(ERROR, {})[i] = {"message": "Circuit breaker is open", "type": TRANSIENT, "category": "CircuitBreaker", "exception": None}
                         continue
                     began = time.perf_counter()
-                    attempts[i], made, failure = me._one(row)
+                    attempts[i], made, failure = me._one(row, call)
                     if guard:
                         guard.record(time.monotonic(), failure is None)
                     elapsed[i] = (time.perf_counter() - began) * 1000
@@ -164,7 +269,7 @@ class Attempted:
 
         return df.mapInArrow(run, schema)
 
-    def _one(self, payload: dict) -> tuple[int, dict, dict | None]:
+    def _one(self, payload: dict, call: Callable[..., Any]) -> tuple[int, dict, dict | None]:
         """(attempts, changed columns, failure)"""
         own = payload[self.budget_col] if self.budget_col else None
         most = self.policy.max_retries if own is None or own == -1 else own
@@ -172,7 +277,7 @@ class Attempted:
         while True:
             attempt += 1
             try:
-                return attempt, within(self.fn, self.timeout_s, dict(payload), attempt), None
+                return attempt, call(dict(payload), attempt), None
             except Exception as exc:  # errors are data here
                 kind, category = classify(exc)
                 failure = {"message": str(exc), "type": kind, "category": self.category or category, "exception": type(exc).__name__}
@@ -213,8 +318,16 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("route", where)
 
 
-def failure_ratio(df: DataFrame, ok_col: str, ts_col: str, seconds: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """df with failures, total and ratio of the rows of the last `seconds` (both ends included) of the same key."""
+def failure_ratio(df: DataFrame, ok_col: str, ts_col: str, seconds: int, keys: tuple[str, ...] = (), row_key: tuple[str, ...] = ()) -> DataFrame:
+    """df with failures, total and ratio of the rows of the last `seconds` (both ends included) of the same key.
+
+    row_key: columns that tell rows apart; with them the counts come from bins of time, so neither a hot key nor the want of
+    any keys puts all rows into one task. Rows without a key or a time then count nothing, and have no ratio.
+    """
+    if row_key:
+        bad = {"window_failures": (~F.col(ok_col)).cast("long")}
+        out = interval_sums(df, df.select(*keys, ts_col, ok_col), keys, row_key, ts_col, ts_col, seconds, sums=bad, count="window_total")
+        return out.withColumn("failure_ratio", F.when(F.col("window_total") > 0, F.col("window_failures") / F.col("window_total")))
     ts = F.col(ts_col).cast("timestamp").cast("double")
     w = Window.partitionBy(*keys).orderBy(ts).rangeBetween(-seconds, 0)
     out = df.withColumns({"window_total": F.count("*").over(w), "window_failures": F.sum((~F.col(ok_col)).cast("long")).over(w)})

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.resilience import dead_letters
@@ -81,6 +82,103 @@ class JdbcSink:
         succeeded(df).write.format("jdbc").mode(self.mode).options(url=self.url, dbtable=self.table, **self.options).save()
 
 
+@dataclass(frozen=True)
+class LedgerSink:
+    """Successful rows in a table of an external database, each micro-batch of a stream once, however often it runs.
+
+    Tasks write the rows to a staging table of the batch, each under a number of its own; then one transaction copies them
+    to the table and the batch's number to a ledger, so both are there or neither. A batch that the ledger knows is skipped; one that
+    failed on the way begins with a staging table of its own again. A task that ran twice left rows with equal numbers, of which one
+    is copied. `stream` names the stream in the ledger. The database does the copying; the driver sends it statements alone.
+    """
+
+    url: str
+    table: str
+    stream: str
+    options: Mapping[str, str] = field(default_factory=dict)
+    ledger: str = "millrace_ledger"
+
+    def write(self, df: DataFrame) -> None:
+        self.write_batch(df, -1)
+
+    def write_batch(self, df: DataFrame, n: int) -> None:
+        rows = succeeded(df)
+        spark, stage = df.sparkSession, f"{self.table}_stage_{n if n >= 0 else 'once'}"
+        with _connected(spark, self.url) as link:
+            if not self._table(link, self.ledger):
+                _run(link, f'CREATE TABLE {_quoted(self.ledger)} ("stream" VARCHAR(200) NOT NULL, "batch" BIGINT NOT NULL, PRIMARY KEY ("stream", "batch"))')
+                link.commit()
+            if self._known(link, n):
+                return
+            if not self._table(link, self.table):
+                self._save(rows.limit(0), self.table, "append")
+            copy = F.expr("reflect('java.util.UUID', 'randomUUID')").cast("varchar(40)")
+            self._save(rows.withColumns({"_row": F.monotonically_increasing_id(), "_copy": copy}), stage, "overwrite", {"createTableColumnTypes": "_copy VARCHAR(40)"})
+            names = ", ".join(_quoted(c) for c in rows.columns)
+            again = f'EXISTS (SELECT 1 FROM {_quoted(stage)} t WHERE t."_row" = s."_row" AND t."_copy" < s."_copy")'
+            try:
+                _run(link, f"INSERT INTO {_quoted(self.table)} ({names}) SELECT {names} FROM {_quoted(stage)} s WHERE NOT {again}")
+                self._remember(link, n)
+                link.commit()
+            except Exception:
+                link.rollback()
+                raise
+            _run(link, f"DROP TABLE {_quoted(stage)}")
+            link.commit()
+
+    def _save(self, rows: DataFrame, table: str, mode: str, more: Mapping[str, str] | None = None) -> None:
+        rows.write.format("jdbc").mode(mode).options(url=self.url, dbtable=_quoted(table), **self.options, **(more or {})).save()
+
+    def _table(self, link: Any, name: str) -> bool:
+        found = link.getMetaData().getTables(None, None, name, None)
+        try:
+            return found.next()
+        finally:
+            found.close()
+
+    def _known(self, link: Any, n: int) -> bool:
+        ask = link.prepareStatement(f'SELECT 1 FROM {_quoted(self.ledger)} WHERE "stream" = ? AND "batch" = ?')
+        try:
+            ask.setString(1, self.stream)
+            ask.setLong(2, n)
+            return ask.executeQuery().next()
+        finally:
+            ask.close()
+
+    def _remember(self, link: Any, n: int) -> None:
+        put = link.prepareStatement(f'INSERT INTO {_quoted(self.ledger)} VALUES (?, ?)')
+        try:
+            put.setString(1, self.stream)
+            put.setLong(2, n)
+            put.executeUpdate()
+        finally:
+            put.close()
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _run(link: Any, sql: str) -> None:
+    statement = link.createStatement()
+    try:
+        statement.execute(sql)
+    finally:
+        statement.close()
+
+
+@contextmanager
+def _connected(spark: SparkSession, url: str) -> Iterator[Any]:
+    """A connection of the driver's JVM, without commits of its own."""
+    link = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        link.setAutoCommit(False)
+        yield link
+    finally:
+        link.rollback()
+        link.close()
+
+
 @dataclass(frozen=True)
 class DbApiSink:
     """Successful rows through a DB-API connection: connect() is called in each task; sql has :name placeholders."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
@@ -13,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.resilience import CircuitBreaker
-from millrace.plans.storage import forget
 from millrace.sources.sinks import Sink, fan_out
+from millrace.streaming.keytable import KeyTable
 
 STATES = ("NotStarted", "Running", "Paused", "Completed", "Faulted", "Cancelled")
 
@@ -50,132 +51,122 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: st
     return a.join(b, reduce(lambda x, y: x & y, [*same, when]), how)
 
 
-def _timeout(state: GroupState, expire_s: float | None) -> bool:
-    """Whether the state is to be forgotten now; else its time starts anew."""
-    if expire_s is None:
-        return False
+def _expired(state: GroupState) -> bool:
+    """Whether the key's time is over: then its state is forgotten."""
     if state.hasTimedOut:
         state.remove()
-        return True
-    state.setTimeoutDuration(int(expire_s * 1000))
-    return False
+    return not state.exists and state.hasTimedOut
+
+
+def _expire_after(state: GroupState, newest_s: float, expire_s: float | None) -> None:
+    if expire_s is not None:
+        state.setTimeoutTimestamp(max(math.ceil((newest_s + expire_s) * 1000), state.getCurrentWatermarkMs() + 1))
 
 
-def _kind(expire_s: float | None) -> str:
-    return GroupStateTimeout.NoTimeout if expire_s is None else GroupStateTimeout.ProcessingTimeTimeout
+def _timed(df: DataFrame, ts: str, expire_s: float | None, delay: str) -> tuple[DataFrame, str]:
+    """The rows and the kind of timeout: by event time, so that a stream without news settles."""
+    return (df, GroupStateTimeout.NoTimeout) if expire_s is None else (event_time(df, ts, delay), GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ema(df: DataFrame, key: str, ts: str, value: str, order: Sequence[str] = (), expire_s: float | None = None) -> DataFrame:
+def stream_ema(df: DataFrame, key: str, ts: str, value: str, order: Sequence[str] = (), expire_s: float | None = None, delay: str = "0 seconds") -> DataFrame:
     """(key, n, level, velocity, prediction) per key and micro-batch; the state is three numbers a key.
 
     Rows of a micro-batch go by ts, then by the columns `order`, then by value, so ties are settled; rows without a value
-    are left out. A key without rows for expire_s seconds is forgotten and starts anew (a stream with availableNow then
-    doesn't end by itself).
+    are left out. With expire_s, a key whose next row is more than so many seconds of event time after its last starts anew,
+    and is forgotten when the watermark, `delay` behind the newest row, has passed that time; rows behind the watermark are
+    dropped. ordered_fold() of streaming.state gives results that don't depend on batches.
     """
+    df, wait = _timed(df, ts, expire_s, delay)
     kind = df.schema[key].dataType.simpleString()
     out = f"{key} {kind}, n long, level double, velocity double, prediction double"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _timeout(state, expire_s):
+        if _expired(state):
             return
-        n, level, velocity = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values([ts, *order, value])
-        for x in rows[value].dropna().astype(float):
+        n, level, velocity, last = state.get if state.exists else (0, 0.0, 0.0, None)
+        rows = pd.concat(list(frames)).sort_values([ts, *order, value]).dropna(subset=[value])
+        for x, t in zip(rows[value].astype(float), rows[ts].astype("datetime64[us]").astype("int64") / 1e6):
+            if expire_s is not None and last is not None and t - last > expire_s:
+                n, level, velocity = 0, 0.0, 0.0
+            last = t if last is None else max(last, t)
             old = level
             level = x if old < 0.001 else (0.8 if x > 3 * old else 0.2) * x + (0.2 if x > 3 * old else 0.8) * old
             change = level - old
             velocity = change if velocity < 0.001 else 0.1 * change + 0.9 * velocity
             n += 1
-        state.update((n, level, velocity))
+        if last is None:
+            return
+        state.update((n, level, velocity, last))
+        _expire_after(state, last, expire_s)
         yield pd.DataFrame([[k[0], n, level, velocity, max(0.0, level + velocity)]], columns=[key, "n", "level", "velocity", "prediction"])
 
-    return df.select(key, ts, value, *order).groupBy(key).applyInPandasWithState(step, out, "n long, level double, velocity double", "update", _kind(expire_s))
+    return df.select(key, ts, value, *order).groupBy(key).applyInPandasWithState(step, out, "n long, level double, velocity double, last double", "update", wait)
 
 
-def stream_breaker(df: DataFrame, key: str, ts: str, ok_col: str, order: Sequence[str] = (), expire_s: float | None = None, **settings: Any) -> DataFrame:
+def stream_breaker(df: DataFrame, key: str, ts: str, ok_col: str, order: Sequence[str] = (), expire_s: float | None = None, delay: str = "0 seconds", **settings: Any) -> DataFrame:
     """(key, seen, refused, cb_state, cb_ewma_failure_rate) per key and micro-batch, by a breaker whose state outlives batches.
 
-    Rows of a micro-batch go by ts, then by the columns `order`, failures last among equals. A key without rows for
-    expire_s seconds is forgotten.
+    Rows of a micro-batch go by ts, then by the columns `order`, failures last among equals. expire_s and delay: as of
+    stream_ema().
     """
+    df, wait = _timed(df, ts, expire_s, delay)
     kind = df.schema[key].dataType.simpleString()
     out = f"{key} {kind}, seen long, refused long, cb_state string, cb_ewma_failure_rate double"
-    kept = "seen long, refused long, state string, ewma double, opened double, probes long, wins long, times array<double>, goods array<boolean>"
+    kept = "seen long, refused long, state string, ewma double, opened double, probes long, wins long, times array<double>, goods array<boolean>, last double"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _timeout(state, expire_s):
+        if _expired(state):
             return
         breaker, seen, refused = CircuitBreaker(**settings), 0, 0
         if state.exists:
-            seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, times, goods = state.get
+            seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, times, goods, _ = state.get
             for t, g in zip(times, goods):
                 breaker.window.append((t, g))
                 breaker.failures += not g
         rows = pd.concat(list(frames)).sort_values(["_t", *order, "_good"], ascending=[True, *[True] * len(order), False])
+        last = None
         for t, good in rows[["_t", "_good"]].itertuples(index=False):
+            before = last if last is not None else (state.get[-1] if state.exists else None)
+            if expire_s is not None and before is not None and t - before > expire_s:
+                breaker, seen, refused = CircuitBreaker(**settings), 0, 0
+            last = t if before is None else max(before, t)
             seen += 1
             if breaker.allow(t):
                 breaker.record(t, bool(good))
             else:
                 refused += 1
-        state.update((seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, [t for t, _ in breaker.window], [g for _, g in breaker.window]))
+        state.update((seen, refused, breaker.state, breaker.ewma, breaker.opened, breaker.probes, breaker.probe_successes, [t for t, _ in breaker.window], [g for _, g in breaker.window], last))
+        _expire_after(state, last, expire_s)
         yield pd.DataFrame([[k[0], seen, refused, breaker.state, breaker.ewma]], columns=[key, "seen", "refused", "cb_state", "cb_ewma_failure_rate"])
 
-    rows = df.select(key, *order, F.col(ts).cast("timestamp").cast("double").alias("_t"), F.col(ok_col).alias("_good"))
-    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "update", _kind(expire_s))
+    rows = df.select(key, *order, *([ts] if expire_s is not None else []), F.col(ts).cast("timestamp").cast("double").alias("_t"), F.col(ok_col).alias("_good"))
+    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "update", wait)
 
 
 class DedupSet:
-    """A dedup set that outlives batches and gives keys back: a table of keys in the shared folder, one version per batch.
+    """A dedup set that outlives batches and gives keys back, kept in a KeyTable.
 
     admit(batch, n) gives the batch's rows whose key is new, one per key, and remembers the keys; remove(keys, n) forgets
-    keys, so that they are new again. A batch that runs again reads the version before it and writes its own anew. Old
-    versions but one are deleted. Exact: no new key is taken for an old one; the join goes by shuffle, whatever the size.
+    keys, so that they are new again. A batch that runs again sees the table as it was before it. Exact: no new key is taken
+    for an old one; a null is a key like others. A batch reads the buckets that its keys fall into and writes its keys alone.
     """
 
-    def __init__(self, path: str, keys: Sequence[str]) -> None:
+    def __init__(self, path: str, keys: Sequence[str], buckets: int = 64) -> None:
         self.path, self.keys = path.rstrip("/"), list(keys)
-
-    def _version(self, n: int) -> str:
-        return f"{self.path}/version={n:012d}"
-
-    def _before(self, spark: SparkSession, n: int) -> tuple[int, DataFrame] | None:
-        have = [v for v in _versions(spark, self.path) if v < n]
-        return (max(have), spark.read.parquet(self._version(max(have)))) if have else None
-
-    def _save(self, keys: DataFrame, n: int) -> None:
-        spark = keys.sparkSession
-        keys.write.mode("overwrite").parquet(self._version(n))
-        for v in sorted(_versions(spark, self.path))[:-2]:
-            forget(spark, self._version(v))
+        self._table = KeyTable(f"{self.path}/keys", keys, buckets)
 
     def admit(self, batch: DataFrame, n: int) -> DataFrame:
-        spark, old = batch.sparkSession, self._before(batch.sparkSession, n)
-        first = batch.dropDuplicates(self.keys)
-        # The keys admitted are written first: what comes back is exactly the rows of those.
-        new = first if old is None else first.join(old[1], self.keys, "left_anti")
+        spark = batch.sparkSession
+        # The rows admitted are written first: what comes back is exactly those.
         rows = f"{self.path}/admitted"
-        new.write.mode("overwrite").parquet(rows)
+        self._table.without(batch.dropDuplicates(self.keys), n).write.mode("overwrite").parquet(rows)
         new = spark.read.schema(batch.schema).parquet(rows)
-        fresh = new.select(*self.keys)
-        self._save(fresh if old is None else old[1].unionByName(fresh), n)
+        self._table.put(new, n)
         return new
 
     def remove(self, keys: DataFrame, n: int) -> None:
         """As a step of its own number: forget the keys."""
-        old = self._before(keys.sparkSession, n)
-        if old is not None:
-            self._save(old[1].join(keys.select(*self.keys).distinct(), self.keys, "left_anti"), n)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(at):
-        return []
-    names = [x.getPath().getName() for x in system.listStatus(at)]
-    done = [x for x in names if x.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
-    return [int(x.removeprefix("version=")) for x in done]
+        self._table.put(keys.select(*self.keys).distinct(), n, alive=False)
 
 
 class StreamRun:
@@ -185,8 +176,8 @@ class StreamRun:
     JSON, dead letters), once in effect; other sinks get it at least once. prepare(batch, n) runs before the sinks.
     """
 
-    def __init__(self, df: DataFrame, sinks: Sequence[Sink], checkpoint: str, on_state: Callable[[str, str], None] | None = None, prepare: Callable[[DataFrame, int], DataFrame] | None = None, **trigger: Any) -> None:
-        self._prepare = prepare
+    def __init__(self, df: DataFrame, sinks: Sequence[Sink], checkpoint: str, on_state: Callable[[str, str], None] | None = None, prepare: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append", **trigger: Any) -> None:
+        self._prepare, self._mode = prepare, mode
         self._df, self._sinks, self._checkpoint, self._trigger = df, list(sinks), checkpoint, trigger or {"availableNow": True}
         self._on_state, self._query, self.state = on_state, None, "NotStarted"
 
@@ -201,7 +192,7 @@ class StreamRun:
         sinks = self._sinks
         prepare = self._prepare
         writer = self._df.writeStream.foreachBatch(lambda batch, n: fan_out(prepare(batch, n) if prepare else batch, sinks, batch=n))
-        self._query = writer.option("checkpointLocation", self._checkpoint).trigger(**self._trigger).start()
+        self._query = writer.outputMode(self._mode).option("checkpointLocation", self._checkpoint).trigger(**self._trigger).start()
         self._to("Running")
         return self
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 import time
 
 import pytest
@@ -166,7 +167,7 @@ def test_stream_pipeline_life(spark, tmp_path):
     p = Pipeline().source(source).keyed("k").transform(Filter(F.col("ok"))).options(on_state=lambda a, b: states.append(b))
     p = p.sink(FileSink(str(tmp_path / "o"), mode="append"))
     run = p.stream(spark, str(tmp_path / "cp"), processingTime="200 milliseconds").start()
-    run.query.processAllAvailable()
+    settle(run.query)
     run.pause()
     assert run.state == "Paused"
     events(spark, tmp_path / "e", ROWS[:6])
@@ -307,12 +308,76 @@ def test_interval_join(spark, tmp_path):
     assert sorted((r.v, r.right_v) for r in got.collect()) == [(1.0, 10.0), (2.0, 30.0)]
 
 
-def test_state_expires(spark, tmp_path):
-    df = runner.stream_ema(events(spark, tmp_path / "e", ROWS), "k", "ts", "v", expire_s=0.001)
-    q = df.writeStream.format("memory").queryName("sx").outputMode("update").trigger(processingTime="100 milliseconds").start()
-    q.processAllAvailable()
-    time.sleep(1)  # all keys are forgotten
-    events(spark, tmp_path / "e", ROWS[:3])
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.n for r in spark.table("sx").collect()) == [1, 1, 1, 10, 10, 10]
+def settle(q, seconds=120):
+    """Wait until a running stream has nothing more to do, by its progress, and give up in time."""
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        if q.exception():
+            raise q.exception()
+        status = q.status
+        if q.lastProgress and not status["isDataAvailable"] and not status["isTriggerActive"]:
+            return
+        time.sleep(0.1)
+    raise TimeoutError("the stream doesn't settle")
+
+
+def test_state_expires_by_event_time(spark, tmp_path):
+    """Keys start anew after a gap of their own, whatever the batches, and streams with expiry end."""
+    rows = [(1, 0, 10, True), (1, 5, 10, True), (2, 5, 7, True), (1, 30, 10, True), (1, 500, 10, True), (2, 501, 7, True)]
+    for at in ((0, 3), (3, 4), (4, 6)):
+        df = events(spark, tmp_path / "e", rows[slice(*at)])
+        time.sleep(0.05)
+    got = drain(runner.stream_ema(df, "k", "ts", "v", expire_s=60, delay="10 seconds"), "sx", "update").collect()
+    assert sorted((r.k, r.n) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 1)]
+    got = drain(runner.stream_breaker(df, "k", "ts", "ok", expire_s=60, delay="10 seconds", least=5), "sbx", "update").collect()
+    assert sorted((r.k, r.seen) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 1)]
+
+
+def test_drain_returns_on_a_stream_that_expires(spark, tmp_path):
+    df = runner.stream_ema(events(spark, tmp_path / "e", ROWS), "k", "ts", "v", expire_s=5)
+    df = df.select(F.col("k"), F.col("n"))
+    run = runner.StreamRun(df, [FnSink(lambda d: d.count())], str(tmp_path / "cp"), prepare=lambda batch, n: __import__("millrace.plans.envelope", fromlist=["wrap"]).wrap(batch, "k"), mode="update", processingTime="100 milliseconds").start()
+    done = threading.Thread(target=run.drain, daemon=True)
+    done.start()
+    done.join(120)
+    try:
+        assert not done.is_alive() and run.state == "Completed"
+    finally:
+        run.query.stop()
+
+
+def fold_of(df, expire_s=60):
+    from millrace.streaming import state
+
+    step = lambda s, x: ((s[0] + 1, s[1] + x), (s[0] + 1, s[1] + x, x))
+    return state.ordered_fold(df, "k", "ts", "30 seconds", ["v"], {"x": F.col("v")}, "n long, total double", lambda: (0, 0.0), step, "n long, total double, x double", expire_s)
+
+
+def reference_fold(rows, expire_s=60):
+    out, states = [], {}
+    for k, s, v, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        n, total, last = states.get(k, (0, 0.0, None))
+        if last is not None and s - last > expire_s:
+            n, total = 0, 0.0
+        states[k] = (n + 1, total + v, s)
+        out.append((k, n + 1, total + v, float(v)))
+    return sorted(out, key=lambda r: (str(r[0]), r[1:]))
+
+
+def test_ordered_fold_goes_by_event_time_and_restarts(spark, tmp_path):
+    """Rows out of order within the delay, a late one, a null key, a restart from the checkpoint between batches."""
+    from millrace.streaming import state
+
+    batches = [[(1, 10, 1, True), (1, 5, 2, True), (2, 7, 3, True), (None, 8, 9, True)], [(1, 20, 4, True), (1, 12, 5, True), (2, 300, 1, True)], [(1, 25, 7, True), (1, 310, 8, True), (2, 1000, 0, True)]]
+    with state.rocksdb(spark):
+        for batch in batches:
+            df = fold_of(events(spark, tmp_path / "e", batch))
+            q = df.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+            try:
+                assert q.awaitTermination(120)
+            finally:
+                q.stop()
+    got = sorted(((r.k, r.n, r.total, r.x) for r in spark.read.parquet(str(tmp_path / "o")).collect()), key=lambda r: (str(r[0]), r[1:]))
+    on_time = [r for b in batches for r in b if r not in [(1, 25, 7, True), (2, 1000, 0, True)]]  # one is late, one still waits
+    assert got == reference_fold(on_time)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
