@@ -10,6 +10,7 @@ offset, running sums sort one bin at a time, and a source with a third of all ro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +64,21 @@ def mix(
     has target 0. No rows give no rows. The row whose words cross the target is taken if that ends nearer to it. Reruns
     agree: all randomness comes from ids, or texts where those are null.
     """
+    mixed = _mixed(docs, quality, id_col, text_col, source_col, source_weights, share, most, seed, buckets)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """What mix() knows of a row: rows alike in it are alike for the mix."""
     salt = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).otherwise("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), salt.alias("salt"))
+    return {"doc_id": F.col(id_col).cast("long"), "source": F.col(source_col).cast("string"), "size": word_count(F.col(text_col)), "salt": salt}
+
+
+def _mixed(
+    docs: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str, source_weights: Sequence[float], share: float, most: float, seed: str, buckets: int
+) -> DataFrame:
+    """mix() with the salt of rows without an id."""
+    rows = docs.select(*[c.alias(k) for k, c in _keys(id_col, text_col, source_col).items()])
     rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()})
     rows = stored(rows, "sizes")
     if quality is not None:
@@ -77,7 +91,7 @@ def mix(
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "salt")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(2.0**52)
     rows = rows.withColumn("key", -F.log(u) / F.coalesce("q", F.lit(1.0)))
-    rows = rows.drop("salt").withColumn("bin", F.floor(F.log(F.greatest("key", F.lit(1e-300))) * buckets).cast("int"))
+    rows = rows.withColumn("bin", F.floor(F.log(F.greatest("key", F.lit(1e-300))) * buckets).cast("int"))
 
     bins = rows.groupBy("s", "z", "bin").agg(F.sum("size").alias("bin_size"))
     bins = stored(bins, "bins")
@@ -92,15 +106,44 @@ def mix(
     rest = F.col("target") - whole * F.col("source_size")
     part = ((F.col("size") > 0) & (F.col("offset") + F.col("run") - F.col("size") / 2 <= rest)).cast("int")
     rows = rows.withColumn("copies", (whole + part).cast("int"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows
 
 
-def draw(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+def draw(
+    docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", source_weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+    most: float = 2.0, seed: str = "mix", buckets: int = 1000,
+) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as mix() takes it, all columns kept.
 
-    Rows that repeat an id are one document here: all get the most copies that any of them was dealt.
+    Of m rows alike in id, source and size (and text, where the id is null) that mix() takes C times in all, each is given
+    C div m times, and C mod m of them once more: the words drawn are the words taken, whatever ids are null or repeat.
     """
-    plan = mix(docs, quality, id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    plan = plan.where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    out = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(plan["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    keys = _keys(id_col, text_col, source_col)
+    plan = _mixed(docs, quality, id_col, text_col, source_col, source_weights, share, most, seed, buckets)
+    plan = plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.sum("copies").alias("__c")).where("__c > 0")
+    plan = stored(plan.select(*[F.col(k).alias(f"__{k}") for k in keys], "__m", "__c"), "copies")
+    uneven = (F.col("__m") > 1) & (F.col("__c") % F.col("__m") > 0)
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"__{k}")) for k, c in keys.items()])
+    own = [docs[c] for c in docs.columns]
+
+    def given(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*own)
+
+    whole = docs.join(plan.where(~uneven).hint("merge"), same)
+    out = given(whole, (F.col("__c") / F.col("__m")).cast("int"))
+    if plan.where(uneven).isEmpty():
+        return out
+    # Rows alike are counted per task, so that any number of them is ranked in parts.
+    part = F.shiftright("__at", 33)
+    alike = [F.col(f"__{k}") for k in keys]
+    rest = stored(docs.join(plan.where(uneven).hint("merge"), same).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", part), "alike")
+    ahead = Window.partitionBy(*alike).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rest.groupBy(*alike, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+    parts = parts.select(*[c.alias(f"_{c_name}") for c, c_name in zip(alike, [f"__{k}" for k in keys])], F.col("__part").alias("___part"), "__ahead")
+    on = reduce(lambda a, b: a & b, [F.col(f"__{k}").eqNullSafe(F.col(f"___{k}")) for k in keys]) & (F.col("__part") == F.col("___part"))
+    rank = F.row_number().over(Window.partitionBy(*alike, "__part").orderBy("__at")) + F.col("__ahead")
+    rest = rest.join(parts, on).withColumn("__rank", rank)
+    times = F.floor(F.col("__c") / F.col("__m")) + (F.col("__rank") <= F.col("__c") % F.col("__m")).cast("int")
+    rest = rest.withColumn("__times", times.cast("int")).where("__times > 0")
+    rest = rest.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return out.unionByName(rest)

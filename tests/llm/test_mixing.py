@@ -97,6 +97,22 @@ def test_draw(spark):
     assert seen == want
 
 
+def test_draw_takes_what_mix_takes_from_null_and_repeated_ids(spark):
+    """Per source the words drawn are the words taken, with most ids null or repeated and rows all alike among them."""
+    rows = [(None, "a", "w " * (1 + i % 9)) for i in range(200)] + [(i % 5, "b", "v " * (1 + i % 3)) for i in range(90)] + [(7, "c", "same words")] * 75 + [(None, None, "x y")] * 40
+    rows += [(1000 + i, "d", "u " * (i % 30)) for i in range(120)] + [(None, "d", None)] * 3
+    df = table(spark, rows).repartition(5)
+    size = mixing.word_count(F.col("text")).alias("n")
+    want = {r.source: r.taken for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    drawn = mixing.draw(df)
+    got = {r.source: r.taken for r in drawn.select("source", size).groupBy("source").agg(F.sum("n").alias("taken")).collect()}
+    assert {k: got.get(k, 0) for k in want} == want
+    per_key = lambda d: {(r.doc_id, r.source, r.n): r.c for r in d.groupBy("doc_id", "source", "n").agg(F.sum("c").alias("c")).where("c > 0").collect()}
+    assert per_key(drawn.select("doc_id", "source", size, F.lit(1).alias("c")).where("n > 0")) == per_key(mixing.mix(df).select("doc_id", "source", F.col("size").alias("n"), F.col("copies").alias("c")).where("n > 0"))
+    plan = drawn._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and drawn.columns == df.columns
+
+
 def test_plan_is_native(spark):
     plan = mixing.mix(table(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
