@@ -7,18 +7,22 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalog import EVENTS, SQL, query, table
+from millrace.catalog import EVENTS, ORACLE_SQL, SQL, query, table
 from millrace.catalog_io import _batches
 from millrace.operators import resilience
 from millrace.operators.intervals import interval_pairs, interval_sums
 from millrace.operators.resilience import Attempted, RetryPolicy
 from millrace.plans import envelope
+from millrace.plans.pipeline import Pipeline
 from millrace.plans.storage import workspace
 from millrace.sources.isolated import FAILURE, IsolatedFiles
+from millrace.sources.json_arrays import JsonArraySource
+from millrace.sources.pages import Pages
 from millrace.sources.readers import JdbcSource
-from millrace.sources.sinks import JsonSink, LedgerSink
-from millrace.streaming import runner, state
+from millrace.sources.sinks import FileSink, JsonSink, LedgerSink
+from millrace.streaming import metrics, runner, state
 from millrace.streaming.retries import RetryTable
+from millrace.streaming.sampling import StreamSample
 
 #: Events arrive up to six hours after their time, in four files; every 97th comes with the last file, however old it is.
 _LAST = 3
@@ -165,3 +169,62 @@ def attempt_is_killed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = envelope.wrap(table(sf_dir, "nation").read(spark), "n_nationkey").coalesce(1)
     done = Attempted(fn, RetryPolicy(1, retry_on=lambda _: False), timeout_s=0.4, isolate=True).apply(df)
     return done.select("n_nationkey", envelope.ok().alias("is_success"), "_error.message")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as committed pages by a streaming writer, then read two pages at a time by a stream that stops and resumes."""
+    spark.dataSource.register(Pages)
+    feed, out, marks = workspace(spark, "feed"), workspace(spark, "out"), workspace(spark, "marks")
+    _, arrivals = _batches(spark, sf_dir)
+    rows = arrivals.select("event_id", "user_id", "event_type")
+    rows.writeStream.format("millrace_pages").option("path", feed).option("rows", 2000).option("checkpointLocation", workspace(spark, "written")).trigger(availableNow=True).start().awaitTermination()
+    schema = "event_id long, user_id long, event_type string"
+    pages = spark.readStream.format("millrace_pages").schema(schema).option("pages", 2).load(feed)
+
+    first = runner.StreamRun(envelope.wrap(pages, "event_id"), [FileSink(out)], marks, processingTime="0 seconds").start()
+    while not first.query.recentProgress:
+        time.sleep(0.05)
+    first.pause()  # between any two batches
+    first.resume()
+    first.drain()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON arrays, read in ranges much smaller than the files."""
+    at = workspace(spark, "array")
+    rows = table(sf_dir, "orders").read(spark).select("o_orderkey", "o_custkey", "o_totalprice")
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",\n"), F.lit("]"))
+    part = F.floor(F.col("o_orderkey") / 5000)  # orders of an array
+    rows.groupBy(part.alias("array")).agg(body.alias("value")).repartition(2, "array").select("value").write.text(at)
+    return JsonArraySource(at, "o_orderkey long, o_custkey long, o_totalprice double", 20_000).read(spark)
+
+
+@query(ORACLE_SQL["reservoir_by_group"])
+def stream_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty events of each type by the smallest hashes, gathered over four micro-batches that each run twice."""
+    _, arrivals = _batches(spark, sf_dir)
+    sample = StreamSample(workspace(spark, "sample"), "event_id", 20, ["event_type"])
+
+    def twice(batch: DataFrame, n: int) -> None:
+        for _ in range(2):
+            sample.add(batch, n)
+
+    arrivals.writeStream.foreachBatch(twice).option("checkpointLocation", workspace(spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return sample.rows(spark).select("event_type", "event_id")
+
+
+@query("SELECT count(*) AS counted, true AS ordered, 'Open' AS breaker, count(*) FILTER (WHERE s_suppkey % 10 > 4) > 0 AS some_refused FROM supplier")
+def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run counts its latencies by buckets; a dashboard gets p99 and the breaker's state from its figures."""
+
+    def fails(row: dict, attempt: int) -> dict:
+        raise ConnectionError("down")
+
+    p = Pipeline().source(table(sf_dir, "supplier")).keyed("s_suppkey").attempt(fails, policy=RetryPolicy(1, retry_on=lambda _: False), timed=True, breaker={"least": 2, "break_s": 3600})
+    out = p.to(spark, FileSink(workspace(spark, "out"))).figures
+    board = metrics.dashboard("Completed", out)
+    ordered = 0 < out["p50_latency_ms"] <= out["p95_latency_ms"] <= board["p99_latency_ms"]
+    return spark.createDataFrame([(out["items_processed"], ordered, board["circuit_breaker"], out["items_refused"] > 0)], "counted long, ordered boolean, breaker string, some_refused boolean")

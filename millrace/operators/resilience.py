@@ -134,6 +134,11 @@ def within(fn: Callable[..., Any], timeout_s: float | None, *args: Any) -> Any:
             raise TimeoutError(f"Timed out after {timeout_s:.1f}s") from None
         finally:
             signal.signal(signal.SIGALRM, before)
+    return within_thread(fn, timeout_s, *args)
+
+
+def within_thread(fn: Callable[..., Any], timeout_s: float, *args: Any) -> Any:
+    """within() by the helper thread alone: for calls that an alarm must not cut short, as those into the JVM."""
     helper = getattr(_helpers, "own", None)
     if helper is None:
         helper = _helpers.own = _Helper()

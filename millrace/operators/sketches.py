@@ -62,7 +62,7 @@ class LogHistogram:
     """Buckets whose width grows by a constant factor; bucket of v is trunc(ln v / ln base), clamped."""
 
     def __init__(self, low: float = 0.1, high: float = 100_000.0, buckets: int = 100) -> None:
-        self.buckets, self.base = buckets, (high / low) ** (1.0 / buckets)
+        self.low, self.buckets, self.base = low, buckets, (high / low) ** (1.0 / buckets)
 
     def bucket(self, value: Column) -> Column:
         b = (F.log(value) / F.lit(math.log(self.base))).cast("int")

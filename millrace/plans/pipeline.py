@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.resilience import Attempted, within
+from millrace.operators.resilience import Attempted, within_thread
 from millrace.operators.transforms import Filter, Transform
 from millrace.plans import envelope
 from millrace.plans.options import PipelineOptions
@@ -149,7 +149,7 @@ class Pipeline:
                 timer.cancel()
                 for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
                     spark.sparkContext.setLocalProperty(name, None)
-        figures = _observed(seen) | {"elapsed_ms": (time.monotonic() - began) * 1000, "sources_failed": len(skipped)}
+        figures = metrics.RunningLatency().add(_observed(seen)) | {"elapsed_ms": (time.monotonic() - began) * 1000, "sources_failed": len(skipped)}
         if s.dedup_keys and not s.compact and figures.get("items_processed"):
             figures["duplicates_filtered"] = _observed(counted).get("rows_read", 0) - figures["items_processed"]
         if s.on_metrics:
@@ -217,7 +217,7 @@ class Background(threading.Thread):
 def _observed(seen: Observation, wait_s: float = 10.0) -> dict[str, Any]:
     """What was counted; nothing if no sink ran an action, for then there is nothing to wait for."""
     try:
-        return {k: v or 0 for k, v in within(lambda: seen.get, wait_s).items()}
+        return {k: v or 0 for k, v in within_thread(lambda: seen.get, wait_s).items()}
     except TimeoutError:
         return {}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -10,18 +11,29 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from millrace.operators.sketches import LogHistogram
 from millrace.plans.envelope import ERROR, FILTERED, ok
 
 #: Names of exported figures, in order.
 KEYS = ("items_processed", "items_succeeded", "items_failed", "items_filtered", "duplicates_filtered", "retries", "avg_latency_ms", "queue_size", "elapsed_ms")
 PREFIX = "millrace_"
+#: Buckets of the latencies that a run counts: a percentile is right to half a bucket, a seventh of its value.
+LATENCY, _LATENCY = LogHistogram(0.1, 100_000.0, 50), "latency_"
 
 
 def counters(df: DataFrame | None = None) -> list[Column]:
-    """Aggregates over enveloped rows; with df, also retries and mean latency if it has `attempts` and `elapsed_ms`."""
+    """Aggregates over enveloped rows; with df, also retries, refusals by a breaker and latencies if it has `attempts` and
+    `elapsed_ms`.
+
+    Latencies are counted by buckets, so that figures of tasks, batches and runs add up and percentiles come from the sums.
+    """
     filtered = F.col(ERROR)["category"].eqNullSafe(F.lit(FILTERED))
     have = set(df.columns) if df is not None else set()
-    more = [F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries")] if "attempts" in have else []
+    refused = F.count_if(F.col(ERROR)["category"].eqNullSafe(F.lit("CircuitBreaker"))).alias("items_refused")
+    more = [F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"), refused] if "attempts" in have else []
+    if {"attempts", "elapsed_ms"} <= have:
+        bucket = F.when((F.col("attempts") > 0) & (F.col("elapsed_ms") > 0), LATENCY.bucket(F.col("elapsed_ms") / F.lit(LATENCY.low)))
+        more += [F.count_if(bucket == i).alias(f"{_LATENCY}{i}") for i in range(LATENCY.buckets)]
     more += [F.avg(F.when(F.col("attempts") > 0, F.col("elapsed_ms"))).alias("avg_latency_ms")] if {"attempts", "elapsed_ms"} <= have else []
     return [
         F.count(F.lit(1)).alias("items_processed"),
@@ -43,6 +55,29 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(*counters())
 
 
+class RunningLatency:
+    """Latency counts that add up over batches and runs, and their percentiles."""
+
+    def __init__(self) -> None:
+        self.counts = [0] * LATENCY.buckets
+
+    def add(self, figures: dict[str, Any]) -> dict[str, Any]:
+        """Take the bucket counts out of figures; the rest with p50_latency_ms to p99_latency_ms, if any call was counted."""
+        for i in range(LATENCY.buckets):
+            self.counts[i] += figures.get(f"{_LATENCY}{i}") or 0
+        rest = {k: v for k, v in figures.items() if not (k.startswith(_LATENCY) and k.removeprefix(_LATENCY).isdigit())}
+        return rest | ({f"p{round(100 * p)}_latency_ms": self.percentile(p) for p in (0.5, 0.95, 0.99)} if any(self.counts) else {})
+
+    def percentile(self, p: float) -> float:
+        """The middle of the first bucket whose running count reaches p of all."""
+        rank, run = math.ceil(p * sum(self.counts)), 0
+        for i, n in enumerate(self.counts):
+            run += n
+            if n and run >= rank:
+                return LATENCY.low * LATENCY.base ** (i + 0.5)
+        return 0.0
+
+
 def complete(figures: dict[str, Any]) -> dict[str, Any]:
     return {k: figures.get(k, 0) for k in KEYS}
 
@@ -65,14 +100,21 @@ def liveness(paused: bool) -> str:
 
 
 def dashboard(state: str, figures: dict[str, Any], p99_ms: float | None = None, breaker: str | None = None) -> dict[str, Any]:
+    """What a dashboard shows of a run; p99 and the breaker's state come from the figures unless they are given.
+
+    The breaker counts as open in figures that tell of refused calls.
+    """
+    p99_ms = figures.get("p99_latency_ms") if p99_ms is None else p99_ms
+    if breaker is None and "items_refused" in figures:
+        breaker = "Open" if figures["items_refused"] else "Closed"
     return {"state": state, "current": figures.get("items_processed", 0), "elapsed_ms": figures.get("elapsed_ms", 0), "p99_latency_ms": p99_ms, "circuit_breaker": breaker or "N/A", "metrics": complete(figures)}
 
 
 class ProgressListener(StreamingQueryListener):
-    """Gives each micro-batch's figures to a callback."""
+    """Gives each micro-batch's figures to a callback; percentiles of latency are those of all batches so far."""
 
     def __init__(self, on_metrics: Callable[[dict], None]) -> None:
-        self.on_metrics = on_metrics
+        self.on_metrics, self.latency = on_metrics, RunningLatency()
 
     def onQueryStarted(self, event: Any) -> None: ...
 
@@ -81,6 +123,7 @@ class ProgressListener(StreamingQueryListener):
         seen = p.observedMetrics.get("millrace") if p.observedMetrics else None
         figures = {k: v or 0 for k, v in seen.asDict().items()} if seen else {"items_processed": p.numInputRows}
         waiting = [s.metrics.get("numFilesOutstanding") for s in p.sources if s.metrics]  # of file sources
+        figures = self.latency.add(figures)
         figures |= {"queue_size": sum(int(w) for w in waiting if w)} if any(waiting) else {}
         self.on_metrics(figures | {"elapsed_ms": p.batchDuration, "batch": p.batchId})
 
