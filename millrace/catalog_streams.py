@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sqlite3
+import threading
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +16,15 @@ from millrace.catalog_io import _batches
 from millrace.operators import resilience
 from millrace.operators.intervals import interval_pairs, interval_sums
 from millrace.operators.resilience import Attempted, RetryPolicy
+from millrace.operators.transforms import Validation
 from millrace.plans import envelope
 from millrace.plans.pipeline import Pipeline
 from millrace.plans.storage import workspace
 from millrace.sources.isolated import FAILURE, IsolatedFiles
 from millrace.sources.json_arrays import JsonArraySource
 from millrace.sources.pages import Pages
-from millrace.sources.readers import JdbcSource
-from millrace.sources.sinks import FileSink, JsonSink, LedgerSink
+from millrace.sources.readers import FnSource, JdbcSource
+from millrace.sources.sinks import DbApiSink, FileSink, JsonSink, LedgerSink
 from millrace.streaming import metrics, runner, state
 from millrace.streaming.retries import RetryTable
 from millrace.streaming.sampling import StreamSample
@@ -228,3 +233,45 @@ def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = metrics.dashboard("Completed", out)
     ordered = 0 < out["p50_latency_ms"] <= out["p95_latency_ms"] <= board["p99_latency_ms"]
     return spark.createDataFrame([(out["items_processed"], ordered, board["circuit_breaker"], out["items_refused"] > 0)], "counted long, ordered boolean, breaker string, some_refused boolean")
+
+
+@query("SELECT CAST(event_id % 4 AS BIGINT) AS batch, count(*) AS items_processed, count(*) FILTER (WHERE event_type = 'error') AS items_failed FROM events GROUP BY 1")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch's own figures, as a listener gets them."""
+    _, arrivals = _batches(spark, sf_dir)
+    seen: list[dict] = []
+    all_in = threading.Event()
+
+    def note(figures: dict) -> None:
+        seen.append(figures)
+        if len([f for f in seen if f["items_processed"]]) == 4:
+            all_in.set()
+
+    p = Pipeline().source(FnSource(lambda s: arrivals)).keyed("event_id").transform(Validation().require(F.col("event_type") != "error", "error"))
+    p.options(on_metrics=note).sink(FileSink(workspace(spark, "out"))).stream(spark, workspace(spark, "marks")).start().wait()
+    all_in.wait(60)  # listeners hear of a batch a little later
+    rows = [(f["batch"], f["items_processed"], f["items_failed"]) for f in seen if f["items_processed"]]
+    return spark.createDataFrame(rows, "batch long, items_processed long, items_failed long")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def db_api_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers from several tasks into a database file by its DB-API module, read back by one task. (One machine: the file is local.)"""
+    at = f"{workspace(spark, 'sqlite').removeprefix('file://')}.db"
+    rows = envelope.wrap(table(sf_dir, "customer").read(spark).select("c_custkey", "c_acctbal"), "c_custkey")
+    spark.createDataFrame([(0,)], "x int").write.parquet(at.rpartition("/")[0] + "/made")  # makes the folder
+    with sqlite3.connect(at) as link:
+        link.execute("CREATE TABLE customers (c_custkey INTEGER, c_acctbal REAL)")
+
+    def connect() -> sqlite3.Connection:
+        return sqlite3.connect(at, timeout=120)
+
+    DbApiSink(connect, table="customers").write(envelope.fail_where(rows, ~(F.col("c_acctbal") > 0), envelope.error("in debt")).repartition(3))
+
+    def read(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with sqlite3.connect(at) as link:
+            cursor = link.execute("SELECT c_custkey, c_acctbal FROM customers")
+            while part := cursor.fetchmany(10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.float64()))], ["c_custkey", "c_acctbal"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(read, "c_custkey long, c_acctbal double")

@@ -15,7 +15,7 @@ class PipelineOptions:
 
     parallelism: partitions of shuffles; capacity: rows per Arrow batch; both hold while a run lasts. attempt_timeout_s
     (0: none) and retry go for functions on rows that have none of their own. retry_table: where a stream's transient
-    failures wait. on_span gets a dict per step of a run: name, seconds, error.
+    failures wait. meter: gets counters and a histogram (streaming.meters). on_span gets a dict per step of a run: name, seconds, error.
     """
 
     parallelism: int | None = None
@@ -30,6 +30,7 @@ class PipelineOptions:
     retry_table: str | None = None
     on_span: Callable[[dict], None] | None = None
     on_metrics: Callable[[dict], None] | None = None
+    meter: Any = None
     on_state: Callable[[str, str], None] | None = None
     compact: bool = False
 

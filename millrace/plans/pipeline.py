@@ -20,6 +20,7 @@ from millrace.plans.options import PipelineOptions
 from millrace.sources.readers import Concat, Source
 from millrace.sources.sinks import Sink, fan_out
 from millrace.streaming import metrics
+from millrace.streaming.meters import Meters
 from millrace.streaming.retries import RetryTable
 from millrace.streaming.runner import StreamRun, stream_dedup
 from millrace.streaming.tracing import Spanned, span
@@ -149,11 +150,14 @@ class Pipeline:
                 timer.cancel()
                 for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
                     spark.sparkContext.setLocalProperty(name, None)
-        figures = metrics.RunningLatency().add(_observed(seen)) | {"elapsed_ms": (time.monotonic() - began) * 1000, "sources_failed": len(skipped)}
+        latency = metrics.RunningLatency()
+        figures = latency.add(_observed(seen)) | {"elapsed_ms": (time.monotonic() - began) * 1000, "sources_failed": len(skipped)}
         if s.dedup_keys and not s.compact and figures.get("items_processed"):
             figures["duplicates_filtered"] = _observed(counted).get("rows_read", 0) - figures["items_processed"]
         if s.on_metrics:
             s.on_metrics(figures)
+        if s.meter is not None:
+            Meters(s.meter, self.name).publish(figures, latency.counts)
         notify("Running", "Completed")
         return Outcome("Completed", figures)
 
@@ -176,8 +180,8 @@ class Pipeline:
         until they are due; the payload then has the column `attempt`.
         """
         s = self.settings
-        if s.on_metrics:
-            spark.streams.addListener(metrics.ProgressListener(s.on_metrics))
+        if s.on_metrics or s.meter is not None:
+            spark.streams.addListener(metrics.ProgressListener(s.on_metrics, Meters(s.meter, self.name).publish if s.meter is not None else None))
         if s.retry_table is None:
             df = self.plan(spark)
             return StreamRun(df.observe("millrace", *metrics.counters(df)), self._all_sinks(), checkpoint, s.on_state, **trigger)

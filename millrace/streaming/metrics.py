@@ -113,17 +113,25 @@ def dashboard(state: str, figures: dict[str, Any], p99_ms: float | None = None,
 class ProgressListener(StreamingQueryListener):
     """Gives each micro-batch's figures to a callback; percentiles of latency are those of all batches so far."""
 
-    def __init__(self, on_metrics: Callable[[dict], None]) -> None:
-        self.on_metrics, self.latency = on_metrics, RunningLatency()
+    def __init__(self, on_metrics: Callable[[dict], None] | None, publish: Callable[[dict, list[int]], None] | None = None, of: Callable[[str], bool] | None = None) -> None:
+        """publish: gets each batch's figures and latency counts; of: whether a query's id is one to listen to."""
+        self.on_metrics, self.publish, self.of, self.latency = on_metrics, publish, of, RunningLatency()
 
     def onQueryStarted(self, event: Any) -> None: ...
 
     def onQueryProgress(self, event: Any) -> None:
         p = event.progress
+        if self.of and not self.of(str(p.id)):
+            return
         seen = p.observedMetrics.get("millrace") if p.observedMetrics else None
         figures = {k: v or 0 for k, v in seen.asDict().items()} if seen else {"items_processed": p.numInputRows}
         waiting = [s.metrics.get("numFilesOutstanding") for s in p.sources if s.metrics]  # of file sources
+        before = list(self.latency.counts)
         figures = self.latency.add(figures)
+        if self.publish:
+            self.publish(figures, [b - a for a, b in zip(before, self.latency.counts)])
+        if self.on_metrics is None:
+            return
         figures |= {"queue_size": sum(int(w) for w in waiting if w)} if any(waiting) else {}
         self.on_metrics(figures | {"elapsed_ms": p.batchDuration, "batch": p.batchId})
 

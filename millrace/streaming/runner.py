@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
@@ -222,6 +223,22 @@ class StreamRun:
         self.query.stop()
         self._to("Completed")
 
+    def stop(self, grace_s: float = 30.0) -> None:
+        """As a host does when it shuts down: work off what has arrived for at most grace_s seconds, then stop anyway.
+
+        Completed if all was worked off, else Cancelled; the checkpoint keeps what is left for the next start.
+        """
+        end = time.monotonic() + grace_s
+        while self.query.isActive and time.monotonic() < end:
+            status = self.query.status
+            if self.query.lastProgress and not status["isDataAvailable"] and not status["isTriggerActive"]:
+                break
+            time.sleep(0.05)
+        idle = self.query.isActive and time.monotonic() < end
+        done = idle or not self.query.isActive and self.query.exception() is None
+        self.query.stop()
+        self._to("Completed" if done else "Cancelled")
+
     def wait(self, timeout_s: float | None = None) -> bool:
         """Wait for the end; True if it came. On a timeout the stream stops as Faulted, without raising."""
         try:

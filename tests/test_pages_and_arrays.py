@@ -122,3 +122,72 @@ def test_latencies_add_up_over_batches():
     assert metrics.RunningLatency().add({"x": 1}) == {"x": 1}
     board = metrics.dashboard("Running", second | {"items_refused": 1})
     assert board["p99_latency_ms"] == second["p99_latency_ms"] and board["circuit_breaker"] == "Open"
+
+
+class Meter:
+    def __init__(self):
+        self.made = {}
+
+    def _add(self, name):
+        def add(value, attributes):
+            self.made.setdefault(name, []).append((value, attributes["pipeline"]))
+
+        return type("Instrument", (), {"add": staticmethod(add), "record": staticmethod(add)})()
+
+    def create_counter(self, name, unit, description):
+        return self._add(name)
+
+    create_histogram = create_counter
+
+
+def flaky(row, attempt):
+    if row["id"] % 4 == 0 and attempt == 1:
+        raise ConnectionError("later")
+    if row["id"] % 10 == 3:
+        raise ValueError("never")
+    return {}
+
+
+def meters_of(p, run):
+    from millrace.operators.resilience import RetryPolicy
+
+    meter = Meter()
+    run(p.keyed("id").attempt(flaky, policy=RetryPolicy(1), timed=True).options(meter=meter))
+    return meter.made
+
+
+def test_a_meter_sees_processed_failed_retries_and_latency(spark, tmp_path):
+    from millrace.plans.pipeline import Pipeline
+    from millrace.sources.readers import FnSource
+    from millrace.sources.sinks import FileSink
+
+    made = meters_of(Pipeline(name="m").source(FnSource(lambda s: s.range(40))), lambda p: p.to(spark, FileSink(str(tmp_path / "o"))))
+    total = lambda name: sum(v for v, _ in made.get(name, []))
+    assert (total("millrace.items.processed"), total("millrace.items.failed"), total("millrace.calls")) == (40, 4, 40)
+    assert total("millrace.retries") == 10 and len(made["millrace.latency"]) == 40
+    assert {a for values in made.values() for _, a in values} == {"m"}
+
+    spark.range(40).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = FnSource(lambda s: s.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    made = meters_of(Pipeline(name="m").source(stream).sink(FileSink(str(tmp_path / "so"))), lambda p: p.stream(spark, str(tmp_path / "cp")).start().wait(120))
+    end = time.monotonic() + 30
+    while time.monotonic() < end and total("millrace.items.processed") < 40:
+        time.sleep(0.1)
+    assert (total("millrace.items.processed"), total("millrace.items.failed")) == (40, 4) and len(made["millrace.items.processed"]) == 2
+
+
+def test_a_host_stops_a_stream_with_grace(spark, tmp_path):
+    from millrace.plans.pipeline import Pipeline
+    from millrace.sources.readers import FnSource
+    from millrace.sources.sinks import FileSink, FnSink
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = FnSource(lambda s: s.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    run = Pipeline().source(source).keyed("id").sink(FileSink(str(tmp_path / "o"))).stream(spark, str(tmp_path / "cp"), processingTime="50 milliseconds").start()
+    run.stop(60)
+    assert run.state == "Completed" and spark.read.parquet(str(tmp_path / "o")).count() == 30
+    slow = Pipeline().source(source).keyed("id").sink(FnSink(lambda d: time.sleep(5))).stream(spark, str(tmp_path / "cp2"), processingTime="50 milliseconds").start()
+    began = time.monotonic()
+    slow.stop(0.5)
+    assert slow.state == "Cancelled" and time.monotonic() - began < 30
