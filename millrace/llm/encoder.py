@@ -243,9 +243,11 @@ class Encoder:
         """(order of the pieces, how many ids each has, their ids), the last two in that order."""
         if added:
             kinds = np.where([any(x in p for x in self.added) for p in pieces], _OTHER, kinds) if pieces else kinds
-        order, counts, parts = [], [np.zeros(0, dtype=np.int64)], [self.flat[:0]]
+        order, counts, parts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [self.flat[:0]]
         for kind in (_SPACED, _BARE, _OTHER, _WORD, _LATIN):
             which = np.flatnonzero(kinds == kind)
+            if not len(which):
+                continue
             order.append(which)
             size = 1 if kind == _OTHER else GROUP
             groups = [[pieces[i] for i in which[at : at + size].tolist()] for at in range(0, len(which), size)]
