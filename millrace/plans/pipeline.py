@@ -180,13 +180,16 @@ class Pipeline:
         until they are due; the payload then has the column `attempt`.
         """
         s = self.settings
-        if s.on_metrics or s.meter is not None:
-            spark.streams.addListener(metrics.ProgressListener(s.on_metrics, Meters(s.meter, self.name).publish if s.meter is not None else None))
         if s.retry_table is None:
             df = self.plan(spark)
-            return StreamRun(df.observe("millrace", *metrics.counters(df)), self._all_sinks(), checkpoint, s.on_state, **trigger)
-        table = RetryTable(s.retry_table, s.retry)
-        return StreamRun(self.read(spark), self._all_sinks(), checkpoint, s.on_state, lambda batch, n: table.run(batch, n, self.transformed, self.wrapped), **trigger)
+            run = StreamRun(df.observe("millrace", *metrics.counters(df)), self._all_sinks(), checkpoint, s.on_state, **trigger)
+        else:
+            table = RetryTable(s.retry_table, s.retry)
+            run = StreamRun(self.read(spark), self._all_sinks(), checkpoint, s.on_state, lambda batch, n: table.run(batch, n, self.transformed, self.wrapped), **trigger)
+        if s.on_metrics or s.meter is not None:
+            publish = Meters(s.meter, self.name).publish if s.meter is not None else None
+            spark.streams.addListener(metrics.ProgressListener(s.on_metrics, publish, lambda: run.starting))
+        return run
 
 
 class Background(threading.Thread):

@@ -113,15 +113,19 @@ def dashboard(state: str, figures: dict[str, Any], p99_ms: float | None = None,
 class ProgressListener(StreamingQueryListener):
     """Gives each micro-batch's figures to a callback; percentiles of latency are those of all batches so far."""
 
-    def __init__(self, on_metrics: Callable[[dict], None] | None, publish: Callable[[dict, list[int]], None] | None = None, of: Callable[[str], bool] | None = None) -> None:
-        """publish: gets each batch's figures and latency counts; of: whether a query's id is one to listen to."""
-        self.on_metrics, self.publish, self.of, self.latency = on_metrics, publish, of, RunningLatency()
+    def __init__(self, on_metrics: Callable[[dict], None] | None, publish: Callable[[dict, list[int]], None] | None = None, starting: Callable[[], bool] | None = None) -> None:
+        """publish: gets each batch's figures and latency counts; starting: whether a query that starts now is one to listen
+        to (all are, without it). Spark tells of a start while the start is being made."""
+        self.on_metrics, self.publish, self.starting, self.latency = on_metrics, publish, starting, RunningLatency()
+        self.ids: set[str] = set()
 
-    def onQueryStarted(self, event: Any) -> None: ...
+    def onQueryStarted(self, event: Any) -> None:
+        if self.starting and self.starting():
+            self.ids.add(str(event.id))
 
     def onQueryProgress(self, event: Any) -> None:
         p = event.progress
-        if self.of and not self.of(str(p.id)):
+        if self.starting and str(p.id) not in self.ids:
             return
         seen = p.observedMetrics.get("millrace") if p.observedMetrics else None
         figures = {k: v or 0 for k, v in seen.asDict().items()} if seen else {"items_processed": p.numInputRows}

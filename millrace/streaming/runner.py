@@ -180,7 +180,7 @@ class StreamRun:
     def __init__(self, df: DataFrame, sinks: Sequence[Sink], checkpoint: str, on_state: Callable[[str, str], None] | None = None, prepare: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append", **trigger: Any) -> None:
         self._prepare, self._mode = prepare, mode
         self._df, self._sinks, self._checkpoint, self._trigger = df, list(sinks), checkpoint, trigger or {"availableNow": True}
-        self._on_state, self._query, self.state = on_state, None, "NotStarted"
+        self._on_state, self._query, self.state, self.starting = on_state, None, "NotStarted", False
 
     def _to(self, state: str) -> None:
         old, self.state = self.state, state
@@ -193,7 +193,11 @@ class StreamRun:
         sinks = self._sinks
         prepare = self._prepare
         writer = self._df.writeStream.foreachBatch(lambda batch, n: fan_out(prepare(batch, n) if prepare else batch, sinks, batch=n))
-        self._query = writer.outputMode(self._mode).option("checkpointLocation", self._checkpoint).trigger(**self._trigger).start()
+        self.starting = True
+        try:
+            self._query = writer.outputMode(self._mode).option("checkpointLocation", self._checkpoint).trigger(**self._trigger).start()
+        finally:
+            self.starting = False
         self._to("Running")
         return self
 
