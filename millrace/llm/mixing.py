@@ -69,16 +69,17 @@ def mix(
 
 
 def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
-    """What mix() knows of a row: rows alike in it are alike for the mix."""
-    salt = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).otherwise("")
-    return {"doc_id": F.col(id_col).cast("long"), "source": F.col(source_col).cast("string"), "size": word_count(F.col(text_col)), "salt": salt}
+    """What tells rows apart in a mix: id, source and a hash of the text, without an id also its MD5."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    salt = F.when(F.col(id_col).isNull(), F.md5(text.cast("binary"))).otherwise("")
+    return {"doc_id": F.col(id_col).cast("long"), "source": F.col(source_col).cast("string"), "print": F.xxhash64(text), "salt": salt}
 
 
 def _mixed(
     docs: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str, source_weights: Sequence[float], share: float, most: float, seed: str, buckets: int
 ) -> DataFrame:
-    """mix() with the salt of rows without an id."""
-    rows = docs.select(*[c.alias(k) for k, c in _keys(id_col, text_col, source_col).items()])
+    """mix() with what tells its rows apart."""
+    rows = docs.select(*[c.alias(k) for k, c in _keys(id_col, text_col, source_col).items()], word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()})
     rows = stored(rows, "sizes")
     if quality is not None:
@@ -115,8 +116,8 @@ def draw(
 ) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as mix() takes it, all columns kept.
 
-    Of m rows alike in id, source and size (and text, where the id is null) that mix() takes C times in all, each is given
-    C div m times, and C mod m of them once more: the words drawn are the words taken, whatever ids are null or repeat.
+    Of m rows alike in id, source and text that mix() takes C times in all, each is given C div m times, and C mod m of them
+    once more: the words drawn are the words taken, whatever ids are null or repeat.
     """
     keys = _keys(id_col, text_col, source_col)
     plan = _mixed(docs, quality, id_col, text_col, source_col, source_weights, share, most, seed, buckets)
