@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language_id, mixing, simhash_dedup, token_store
+from millrace.llm import decontaminate, language_id, mixing, simhash_similar, token_store
 from millrace.llm._common import forget, workspace
 from millrace.llm.queries import language_model, quality_weights, table, tokenizer_path
 
@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return simhash_dedup.keep_one(docs)
+    """The document with the smallest id of each group of near copies: 5-word shingles alike to 0.8 or more."""
+    return simhash_similar.keep_one_similar(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
