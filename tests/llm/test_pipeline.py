@@ -8,7 +8,7 @@ from millrace.llm import token_store
 from millrace.llm.queries import op1_language_id, tokenizer_path
 from tests.llm.test_decontaminate import brute as brute_contamination
 from tests.llm.test_mixing import brute as brute_mix
-from tests.llm.test_simhash_dedup import brute_components, brute_fingerprint
+from tests.llm.test_simhash_similar import brute as brute_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,12 +23,7 @@ def test_run_equals_the_stages_by_brute_force(spark, docs):
     rows = {r.doc_id: r for r in docs.collect()}
     kept = {r.doc_id for r in op1_language_id(spark, SF).collect() if r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_SCORE}
 
-    fps = {i: brute_fingerprint(rows[i].text) for i in kept}
-    roots = brute_components(list(fps.values()))
-    least = {}
-    for i in sorted(kept):
-        least.setdefault(roots[fps[i]], i)
-    kept = set(least.values())
+    kept = {i for i, least in brute_copies([(i, rows[i].text) for i in sorted(kept)]) if i == least}
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {r[0] for r in brute_contamination([(i, rows[i].text) for i in kept], items, 13) if r[4]}
