@@ -66,15 +66,14 @@ def partitioned_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SUPPLIERS)
 def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through an embedded database beside the session (one machine: the database lives in this process)."""
+    """Through a database embedded in the driver, which loads and unloads files of the shared folder: tasks can't open it."""
     url = f"jdbc:derby:{workspace(spark, 'derby').removeprefix('file://')};create=true"
     driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    JdbcSink(url, "suppliers", "overwrite", driver).write(_suppliers(spark, sf_dir).coalesce(1))
+    files = workspace(spark, "files")
+    JdbcSink(url, "suppliers", "overwrite", driver, through=files).write(_suppliers(spark, sf_dir))
     names = ", ".join(f'"{x.split()[0]}"' for x in _SUPPLIER_DDL.split(", "))
-    rows = JdbcSource(url, f"SELECT {names} FROM suppliers", options=driver).read(spark)
-    back = workspace(spark, "back")  # the database may go before they are read
-    rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in _SUPPLIER_DDL.split(", ")]).write.parquet(back)
-    return spark.read.parquet(back)
+    rows = JdbcSource(url, f"SELECT {names} FROM suppliers", options=driver, through=files).read(spark)
+    return rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in _SUPPLIER_DDL.split(", ")])
 
 
 class _Server:

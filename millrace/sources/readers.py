@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.resilience import replay
+from millrace.sources import bulk
 
 
 _log = logging.getLogger(__name__)
@@ -122,16 +123,25 @@ class SqlSource:
 
 @dataclass(frozen=True)
 class JdbcSource:
-    """SQL run by an external database. partition = (column, low, high, n) reads ranges of a column in parallel."""
+    """SQL run by an external database. partition = (column, low, high, n) reads ranges of a column in parallel.
+
+    through: a folder that driver and executors share, into which an embedded Derby database, which the driver's process alone
+    can open, unloads the rows (without partition and time limit).
+    """
 
     url: str
     sql: str
     timeout_s: int = 30
     options: Mapping[str, str] = field(default_factory=dict)
     partition: tuple[str, int, int, int] | None = None
+    through: str | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
         reader = spark.read.format("jdbc").options(url=self.url, queryTimeout=self.timeout_s, **self.options)
+        if self.through is not None:
+            schema = reader.option("query", self.sql).load().schema  # asked by the driver
+            with bulk.connected(spark, self.url) as link:
+                return bulk.unload(link, spark, [self.sql], schema, self.through)
         if self.partition is None:
             return reader.option("query", self.sql).load()
         column, low, high, n = self.partition

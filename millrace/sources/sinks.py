@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.resilience import dead_letters
 from millrace.plans.envelope import as_result, succeeded
+from millrace.sources import bulk
 
 
 class Sink(Protocol):
@@ -71,15 +71,27 @@ class JsonSink:
 
 @dataclass(frozen=True)
 class JdbcSink:
-    """Successful rows appended to a table of an external database, in batches."""
+    """Successful rows appended to a table of an external database, in batches.
+
+    through: a folder that driver and executors share. An embedded Derby database can be opened by the driver's process alone;
+    it loads the rows from files there.
+    """
 
     url: str
     table: str
     mode: str = "append"
     options: Mapping[str, str] = field(default_factory=dict)
+    through: str | None = None
 
     def write(self, df: DataFrame) -> None:
-        succeeded(df).write.format("jdbc").mode(self.mode).options(url=self.url, dbtable=self.table, **self.options).save()
+        rows = succeeded(df)
+        into = lambda r: r.write.format("jdbc").mode(self.mode).options(url=self.url, dbtable=self.table, **self.options).save()
+        if self.through is None:
+            into(rows)
+            return
+        into(rows.limit(0))  # makes the table; no task
+        with bulk.connected(df.sparkSession, self.url) as link:
+            bulk.load(link, rows, self.table, self.through)
 
 
 @dataclass(frozen=True)
@@ -90,6 +102,7 @@ class LedgerSink:
     to the table and the batch's number to a ledger, so both are there or neither. A batch that the ledger knows is skipped; one that
     failed on the way begins with a staging table of its own again. A task that ran twice left rows with equal numbers, of which one
     is copied. `stream` names the stream in the ledger. The database does the copying; the driver sends it statements alone.
+    through: as of JdbcSink; files hold what each task wrote once.
     """
 
     url: str
@@ -97,6 +110,7 @@ class LedgerSink:
     stream: str
     options: Mapping[str, str] = field(default_factory=dict)
     ledger: str = "millrace_ledger"
+    through: str | None = None
 
     def write(self, df: DataFrame) -> None:
         self.write_batch(df, -1)
@@ -104,7 +118,7 @@ class LedgerSink:
     def write_batch(self, df: DataFrame, n: int) -> None:
         rows = succeeded(df)
         spark, stage = df.sparkSession, f"{self.table}_stage_{n if n >= 0 else 'once'}"
-        with _connected(spark, self.url) as link:
+        with bulk.connected(spark, self.url) as link:
             if not self._table(link, self.ledger):
                 _run(link, f'CREATE TABLE {_quoted(self.ledger)} ("stream" VARCHAR(200) NOT NULL, "batch" BIGINT NOT NULL, PRIMARY KEY ("stream", "batch"))')
                 link.commit()
@@ -112,12 +126,14 @@ class LedgerSink:
                 return
             if not self._table(link, self.table):
                 self._save(rows.limit(0), self.table, "append")
-            copy = F.expr("reflect('java.util.UUID', 'randomUUID')").cast("varchar(40)")
-            self._save(rows.withColumns({"_row": F.monotonically_increasing_id(), "_copy": copy}), stage, "overwrite", {"createTableColumnTypes": "_copy VARCHAR(40)"})
-            names = ", ".join(_quoted(c) for c in rows.columns)
-            again = f'EXISTS (SELECT 1 FROM {_quoted(stage)} t WHERE t."_row" = s."_row" AND t."_copy" < s."_copy")'
+            names, once = ", ".join(_quoted(c) for c in rows.columns), ""
+            if self.through is None:
+                once = self._stage(rows, stage)
+            else:
+                self._save(rows.limit(0), stage, "overwrite")
+                bulk.load(link, rows, _quoted(stage), self.through)
             try:
-                _run(link, f"INSERT INTO {_quoted(self.table)} ({names}) SELECT {names} FROM {_quoted(stage)} s WHERE NOT {again}")
+                _run(link, f"INSERT INTO {_quoted(self.table)} ({names}) SELECT {names} FROM {_quoted(stage)} s{once}")
                 self._remember(link, n)
                 link.commit()
             except Exception:
@@ -126,6 +142,12 @@ class LedgerSink:
             _run(link, f"DROP TABLE {_quoted(stage)}")
             link.commit()
 
+    def _stage(self, rows: DataFrame, stage: str) -> str:
+        """Writes the staging table; gives the condition that leaves out copies by tasks that ran twice."""
+        copy = F.expr("reflect('java.util.UUID', 'randomUUID')").cast("varchar(40)")
+        self._save(rows.withColumns({"_row": F.monotonically_increasing_id(), "_copy": copy}), stage, "overwrite", {"createTableColumnTypes": "_copy VARCHAR(40)"})
+        return f' WHERE NOT EXISTS (SELECT 1 FROM {_quoted(stage)} t WHERE t."_row" = s."_row" AND t."_copy" < s."_copy")'
+
     def _save(self, rows: DataFrame, table: str, mode: str, more: Mapping[str, str] | None = None) -> None:
         rows.write.format("jdbc").mode(mode).options(url=self.url, dbtable=_quoted(table), **self.options, **(more or {})).save()
 
@@ -167,18 +189,6 @@ def _run(link: Any, sql: str) -> None:
         statement.close()
 
 
-@contextmanager
-def _connected(spark: SparkSession, url: str) -> Iterator[Any]:
-    """A connection of the driver's JVM, without commits of its own."""
-    link = spark._jvm.java.sql.DriverManager.getConnection(url)
-    try:
-        link.setAutoCommit(False)
-        yield link
-    finally:
-        link.rollback()
-        link.close()
-
-
 @dataclass(frozen=True)
 class DbApiSink:
     """Successful rows through a DB-API connection: connect() is called in each task; sql has :name placeholders."""

@@ -9,7 +9,7 @@ from millrace.operators.transforms import Filter
 from millrace.plans import envelope
 from millrace.sources.http import HttpSink, HttpSource
 from millrace.sources.readers import Concat, CsvSource, DeadLetterSource, DeadLetterTable, FileSource, FnSource, JdbcSource, JsonSource, ParquetSource, SqlSource, TableSource, merge
-from millrace.sources.sinks import CsvSink, DbApiSink, DeadLetterSink, FileSink, FnSink, JdbcSink, JsonSink, LoggerSink, fan_out
+from millrace.sources.sinks import CsvSink, DbApiSink, DeadLetterSink, FileSink, FnSink, JdbcSink, JsonSink, LedgerSink, LoggerSink, fan_out
 
 
 def write(path, text):
@@ -202,3 +202,23 @@ def test_csv_files_with_other_headers_raise(spark, tmp_path):
     write(folder / "c.csv", "Age,Name\n7,Eve\n")
     with pytest.raises(Exception):
         values(CsvSource(str(folder), "Name string, Age int"), spark)
+
+
+def test_an_embedded_database_loads_and_unloads_files(spark, tmp_path):
+    """Tasks of other processes can't open it, so none of them may: only files go between."""
+    import datetime
+
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    when = datetime.datetime(2024, 2, 29, 1, 2, 3, 456789)
+    words = [None, "", " ", "a", ' "b", ', "c\nd", "e\\", "é世", "null", "'", "tail  "]
+    rows = [(i, w, None if i == 3 else i / 3, i % 2 == 0, when) for i, w in enumerate(words)]
+    df = envelope.wrap(spark.createDataFrame(rows, "id long, word string, x double, even boolean, t timestamp").repartition(3), "id")
+    JdbcSink(url, "odd", "overwrite", driver, through=f"file://{tmp_path}/files").write(df)
+    LedgerSink(url, "odd2", "s", driver, through=f"file://{tmp_path}/files").write_batch(df, 0)
+    LedgerSink(url, "odd2", "s", driver, through=f"file://{tmp_path}/files").write_batch(df, 0)
+    for name in ("odd", '"odd2"'):
+        back = JdbcSource(url, f'SELECT "id", "word", "x", "even", "t" FROM {name}', options=driver, through=f"file://{tmp_path}/files").read(spark)
+        assert sorted(tuple(r) for r in back.collect()) == rows
+        assert "JDBC" not in back._jdf.queryExecution().toString().upper()
+    with pytest.raises(ValueError):
+        JdbcSink(url, "odd", "append", driver, through="hdfs://x/files").write(df)
