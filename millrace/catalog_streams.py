@@ -103,20 +103,19 @@ def stream_retry_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_jdbc_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four micro-batches to a database, each run twice, as after a failure: every row is there once. (The database is embedded in the driver.)"""
+    """Four micro-batches to a database, each run twice, as after a failure: every row is there once. (The database is
+    embedded in the driver, and loads and unloads files of the shared folder.)"""
     _, arrivals = _batches(spark, sf_dir)
     driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    url, back = f"jdbc:derby:{workspace(spark, 'derby').removeprefix('file://')};create=true", workspace(spark, "back")
-    sink = LedgerSink(url, "events", "events", driver)
+    url, files = f"jdbc:derby:{workspace(spark, 'derby').removeprefix('file://')};create=true", workspace(spark, "files")
+    sink = LedgerSink(url, "events", "events", driver, through=files)
 
     def twice(batch: DataFrame, n: int) -> None:
         for _ in range(2):
             sink.write_batch(envelope.wrap(batch.select("event_id", "user_id", "value"), "event_id"), n)
 
     arrivals.writeStream.foreachBatch(twice).option("checkpointLocation", workspace(spark, "marks")).trigger(availableNow=True).start().awaitTermination()
-    rows = JdbcSource(url, 'SELECT "event_id", "user_id", "value" FROM "events"', options=driver).read(spark)
-    rows.write.parquet(back)
-    return spark.read.parquet(back)
+    return JdbcSource(url, 'SELECT "event_id", "user_id", "value" FROM "events"', options=driver, through=files).read(spark)
 
 
 @query(SQL["sql_range_join"][0])
