@@ -14,7 +14,7 @@ from millrace.functions.hashing import fnv1a64, mix64
 from millrace.operators import controllers, resilience, sketches
 from millrace.operators.resilience import Attempted, RetryPolicy
 from millrace.operators.transforms import Composite, Compress, Conditional, CsvReshape, Filter, JsonReshape, MapFields, Middleware, PythonMiddleware, Validation, gunzip
-from millrace.operators.udf import PartitionTransform
+from millrace.operators.udf import PartitionTransform, spread
 from millrace.plans import envelope
 from millrace.plans.pipeline import Pipeline
 from millrace.plans.storage import workspace
@@ -543,7 +543,7 @@ class _Halver:
 @query("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE c_acctbal * 0.5 END, 4) AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'negative balance' END AS message FROM customer")
 def partition_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = start(spark, sf_dir, "customer", "c_custkey").select("c_custkey", "c_acctbal", *envelope.ENVELOPE)
-    return PartitionTransform(_Halver).apply(df).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"), F.col("_error.message").alias("message"))
+    return PartitionTransform(_Halver).apply(spread(df)).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"), F.col("_error.message").alias("message"))
 
 
 # Streams, run over all that has arrived, into the shared folder

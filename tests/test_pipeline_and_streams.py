@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.transforms import Filter, Middleware, PythonMiddleware, Validation
+from millrace.plans import envelope
 from millrace.plans.pipeline import Pipeline
 from millrace.sources.readers import FnSource, ParquetSource
 from millrace.sources.sinks import DeadLetterSink, FileSink, FnSink
@@ -381,3 +382,29 @@ def test_ordered_fold_goes_by_event_time_and_restarts(spark, tmp_path):
     on_time = [r for b in batches for r in b if r not in [(1, 25, 7, True), (2, 1000, 0, True)]]  # one is late, one still waits
     assert got == reference_fold(on_time)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+class _Counting:
+    """Refuses a batch with a negative number; each call leaves its size."""
+
+    def open(self):
+        self.sizes = []
+
+    def apply(self, batch):
+        self.sizes.append(len(batch))
+        if (batch["x"] < 0).any():
+            raise ValueError("negative")
+        return batch.assign(x=batch["x"] + 0 * len(self.sizes), calls=len(self.sizes))
+
+    def close(self): ...
+
+
+def test_a_batch_that_raises_is_halved(spark):
+    from millrace.operators.udf import PartitionTransform
+
+    for bad in ([], [0], [4999], [7, 8, 9, 2500], list(range(0, 5000, 11)), list(range(5000))):
+        df = spark.range(0, 5000, 1, 1).withColumns({"x": F.when(F.col("id").isin(bad), -1).otherwise(F.col("id")), "calls": F.lit(0).cast("long")})
+        got = PartitionTransform(_Counting).apply(envelope.wrap(df, "id")).select("id", "x", "calls", "_error.message").collect()
+        assert [r.id for r in got] == [*range(5000)]
+        assert [r.id for r in got if r.message == "negative"] == bad and all(r.x == (-1 if r.message else r.id) for r in got)
+        assert max(r.calls for r in got) <= 1 + 16 * len(bad) and max(r.calls for r in got) < 4000
