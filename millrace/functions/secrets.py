@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +26,7 @@ MASK = "***REDACTED***"
 DEPTH = 3
 #: A percent sign that codes nothing; it stands for itself.
 _STRAY = r"%(?![0-9A-Fa-f]{2})"
+_NOTHING = "\n"
 _BASE64 = r"[A-Za-z0-9+/]{24,}={0,2}"
 
 
@@ -46,18 +47,28 @@ def has_secrets(text: Column, depth: int = DEPTH, patterns: Mapping[str, str] =
     A Base64 run is looked into only if it decodes to valid UTF-8, so hexadecimal digests are no false alarms; key ids
     that begin with AKIA are never decoded.
     """
-    text = F.coalesce(text, F.lit(""))
-    found, layer = _any(text, patterns), text
-    for _ in range(depth):
-        plain = F.coalesce(F.when(layer.contains("%"), F.try_url_decode(F.regexp_replace(layer, _STRAY, "%25"))), F.lit(""))
-        runs = F.when(F.length(layer) >= 24, F.regexp_extract_all(layer, F.lit(f"({_BASE64})"), 1)).otherwise(F.array().cast("array<string>"))
-        decoded = F.transform(
-            F.filter(runs, lambda x: ~x.startswith("AKIA")),
-            lambda x: F.coalesce(F.try_validate_utf8(F.try_to_binary(F.substring(x, F.lit(1), (F.floor(F.length(x) / 4) * 4).cast("int")), F.lit("base64")).cast("string")), F.lit("")),
-        )
-        layer = F.concat_ws("\n", plain, F.array_join(decoded, "\n"))
-        found = found | _any(layer, patterns)
-    return found
+
+    def look(layer: Column, left: int) -> Column:
+        found = _any(layer, patterns)
+        return found if left == 0 else found | _once(_below(layer), lambda x: F.when(x == _NOTHING, _any(x, patterns)).otherwise(look(x, left - 1)))
+
+    return look(F.coalesce(text, F.lit("")), depth)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often `use` names it: a plan would repeat it at each place, a layer in a layer in a layer."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _below(layer: Column) -> Column:
+    """What a layer of coding hides; _NOTHING if there is none, as below that."""
+    plain = F.coalesce(F.when(layer.contains("%"), F.try_url_decode(F.regexp_replace(layer, _STRAY, "%25"))), F.lit(""))
+    runs = F.when(F.length(layer) >= 24, F.regexp_extract_all(layer, F.lit(f"({_BASE64})"), 1)).otherwise(F.array().cast("array<string>"))
+    decoded = F.transform(
+        F.filter(runs, lambda x: ~x.startswith("AKIA")),
+        lambda x: F.coalesce(F.try_validate_utf8(F.try_to_binary(F.substring(x, F.lit(1), (F.floor(F.length(x) / 4) * 4).cast("int")), F.lit("base64")).cast("string")), F.lit("")),
+    )
+    return F.concat_ws("\n", plain, F.array_join(decoded, "\n"))
 
 
 def has_plain_secrets(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:

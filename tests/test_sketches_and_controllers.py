@@ -170,3 +170,11 @@ def test_fnv(key):
     for b in key.to_bytes(8, "little"):
         h = (h ^ b) * 0x100000001B3 % 2**64
     assert int(hashing.fnv_array(np.array([key], dtype=np.uint64))[0]) == h
+
+
+def test_a_layer_of_coding_is_made_once(spark):
+    df = spark.createDataFrame([(1, "x")], "n int, t string")
+    plan = df.select(secrets.has_secrets(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= secrets.DEPTH
+    nested = df.select(secrets.has_secrets(F.col("t"), patterns={"line": "^\n$"}).alias("s"))
+    assert [r.s for r in nested.collect()] == [True]  # as ever: a layer without coding is a line end
