@@ -17,15 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.storage import forget, workspace
+from millrace.plans.storage import _BATCH, BATCH_BYTES, bounded, forget, workspace  # noqa: F401
 
 #: Text bytes that a task works on at once.
 SLICE_BYTES = 2_000_000
 #: Text bytes of one id chunk (the unit that grouped tasks hold in memory); larger ones, up to LARGE_CHUNK_BYTES, keep a very
 #: large corpus to some MANY_CHUNKS of them.
 CHUNK_BYTES, LARGE_CHUNK_BYTES, MANY_CHUNKS = 8_000_000, 64_000_000, 100_000
-#: Bytes of an Arrow batch.
-BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Quantiles asked of one sketch.
 MAX_QUANTILES = 4096
 
@@ -49,18 +47,6 @@ def forget_all(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, and its session's Arrow batches bound to BATCH_BYTES if they may be larger.
-
-    A batch is held by the JVM and by the Python worker at once. The setting stays: plans run after operators return.
-    """
-    spark = df.sparkSession
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if now > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-    return df
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that are done: Spark deletes them when the driver's garbage is collected.
 

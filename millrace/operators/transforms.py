@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.envelope import ENVELOPE, ERROR, FILTERED, PERMANENT, TRANSIENT, error, fail_where, ok, payload_of
+from millrace.plans.storage import bounded
 
 
 class Transform(Protocol):
@@ -186,7 +187,7 @@ class MapFields:
 
 @dataclass(frozen=True)
 class Compress:
-    """A binary column compressed in Arrow batches: gzip (always the same bytes), or brotli if that module is installed."""
+    """A binary column compressed in Arrow batches of bounded bytes: gzip (always the same bytes), or brotli if that module is installed."""
 
     column: str
     algorithm: str = "brotli"
@@ -214,7 +215,7 @@ class Compress:
         def run(values: pd.Series) -> pd.Series:
             return values.map(lambda x: None if x is None else squeeze(bytes(x)))
 
-        return _set(df, {self.column: run(F.col(self.column).cast("binary"))})
+        return _set(bounded(df), {self.column: run(F.col(self.column).cast("binary"))})
 
 
 @F.pandas_udf(T.BinaryType())

@@ -1,11 +1,14 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the size of the batches that go to Python."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of an Arrow batch.
+BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def workspace(spark: SparkSession, label: str) -> str:
@@ -33,3 +36,15 @@ def forget(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that no later plan reads."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, and its session's Arrow batches bound to BATCH_BYTES if they may be larger.
+
+    A batch is held by the JVM and by the Python worker at once. The setting stays: plans run after operators return.
+    """
+    spark = df.sparkSession
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df

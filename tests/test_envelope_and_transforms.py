@@ -154,3 +154,18 @@ def test_python_code_keeps_large_numbers_beside_nulls(spark):
     assert out == {1: (2**60 + 1, "a!", None), 2: (None, "b", ("even", "Transient")), 3: (None, "c", ("earlier", "Permanent")), 4: (2**60 + 3, None, ("even", "Transient"))}
     same = {r.id: r.big for r in PythonMiddleware(lambda row: {"name": "x"}).apply(df).collect()}
     assert same == {1: 2**60 + 1, 2: None, 3: None, 4: 2**60 + 3}
+
+
+def test_compress_bounds_its_batches(spark):
+    from millrace.operators.transforms import Compress, gunzip
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        df = envelope.wrap(spark.range(3).select("id", F.encode(F.lit("ab"), "utf-8").alias("data")), "id")
+        back = Compress("data", "gzip").apply(df).select(gunzip("data").alias("data"))
+        assert int(spark.conf.get(name).rstrip("b")) <= 16 << 20
+        assert [bytes(r.data) for r in back.collect()] == [b"ab"] * 3
+    finally:
+        spark.conf.set(name, before)
