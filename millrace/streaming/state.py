@@ -49,31 +49,33 @@ class _Ordered(StatefulProcessor):
         self.held = handle.getListState("held", self.held_ddl)
         self.fold = handle.getValueState("fold", f"{self.state_ddl}, _last long")
 
-    def _timer(self, at_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_ms)
-
+    # Each call of the handle is a message to Spark and back, so as few are made as will do.
     # Both handlers work at once instead of on demand: Spark has set the key whose state they meet for the call alone.
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first, waits = None, self.held.exists()
+        timers, new = list(self.handle.listTimers()), []
+        waits = bool(timers) and self.held.exists()
         for frame in rows:
             frame.columns = self.columns  # Spark renames some of them
-            frame = frame[["_us", *self.order, *self.names]].astype(object).where(frame.notna(), None)
-            self.held.appendList([tuple(x) for x in frame.itertuples(index=False)])
-            low = int(min(frame["_us"]))
-            first = low if first is None else min(first, low)
-        due = -(-first // 1000)
+            new += zip(*(_plain(frame[c]) for c in ("_us", *self.order, *self.names)))
+        if not new:
+            return iter([])
+        self.held.appendList(new)
+        due = -(-min(r[0] for r in new) // 1000)
         # The one timer is that of a waiting row, or else the key's end, which is put off.
-        self._timer(min([due, *self.handle.listTimers()]) if waits else due)
-        return iter([pd.DataFrame(columns=[self.key, *self.out])])
+        at = min([due, *timers]) if waits else due
+        for old in timers:
+            if old != at:
+                self.handle.deleteTimer(old)
+        if at not in timers:
+            self.handle.registerTimer(at)
+        return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.held.get(), key=lambda r: tuple((x is not None, x) for x in r[: 1 + len(self.order)])) if self.held.exists() else []
+        rows = sorted(self.held.get(), key=lambda r: tuple((x is not None, x) for x in r[: 1 + len(self.order)]))
         ready = [r for r in rows if r[0] <= limit]
         wait = rows[len(ready) :]
-        *state, last = self.fold.get() if self.fold.exists() else (*self.start(), None)
+        *state, last = self.fold.get() or (*self.start(), None)
         made = []
         for us, *rest in ready:
             if self.expire_ms is not None and last is not None and us - last > self.expire_ms * 1000:
@@ -83,20 +85,27 @@ class _Ordered(StatefulProcessor):
             made.append((key[0], *found))
         if ready:
             self.held.put(wait) if wait else self.held.clear()
+        # Spark deletes the timer that has expired, the key's only one, after this.
         if wait:
-            self._timer(-(-wait[0][0] // 1000))
+            self.handle.registerTimer(-(-wait[0][0] // 1000))
         elif self.expire_ms is not None and last is not None and last + self.expire_ms * 1000 > limit:
-            self._timer(-(-last // 1000) + self.expire_ms)
+            self.handle.registerTimer(-(-last // 1000) + self.expire_ms)
         elif self.expire_ms is not None:
             self.fold.clear()
             last = None
         if last is not None:
             self.fold.update((*state, last))
-        return iter([pd.DataFrame(made, columns=[self.key, *self.out])])
+        return iter([pd.DataFrame(made, columns=[self.key, *self.out])] if made else [])
 
     def close(self) -> None: ...
 
 
+def _plain(column: pd.Series) -> list:
+    """A column's values as Python's, with None for nulls."""
+    values, null = column.tolist(), column.isna().to_numpy()
+    return [None if n else x for x, n in zip(values, null)] if null.any() else values
+
+
 def ordered_fold(
     df: DataFrame, key: str, ts: str, delay: str, order: Sequence[str], columns: dict[str, Column], state: str, start: Callable[[], tuple], step: Callable[..., tuple], out: str, expire_s: float | None = None
 ) -> DataFrame:

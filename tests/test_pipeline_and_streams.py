@@ -408,3 +408,33 @@ def test_a_batch_that_raises_is_halved(spark):
         assert [r.id for r in got] == [*range(5000)]
         assert [r.id for r in got if r.message == "negative"] == bad and all(r.x == (-1 if r.message else r.id) for r in got)
         assert max(r.calls for r in got) <= 1 + 16 * len(bad) and max(r.calls for r in got) < 4000
+
+
+class _Handle:
+    """State of one key, whose calls are counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = [], [], []
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "registerTimer":
+                self.timers.append(given[0])
+            return self if name.startswith("get") else list(self.timers) if name == "listTimers" else bool(self.kept) if name == "exists" else self.kept.extend(*given)
+
+        return call
+
+
+def test_rows_that_arrive_cost_three_state_calls():
+    import pandas as pd
+
+    from millrace.streaming.state import _Ordered
+
+    fold = _Ordered("k", ["v"], ["x"], ["n"], "_us long, v long, x double", "n long", lambda: (0,), None, None)
+    fold.init(handle := _Handle())
+    handle.calls.clear()
+    frame = pd.DataFrame([[None, "+a", 2, 0.5, 7000], [None, "+a", 1, None, 5000]])
+    assert list(fold.handleInputRows(("+a",), iter([frame]), None)) == []  # no frame for a key without rows
+    assert handle.calls == ["listTimers", "appendList", "registerTimer"] and handle.timers == [5]
+    assert handle.kept == [(7000, 2, 0.5), (5000, 1, None)]
