@@ -421,7 +421,9 @@ class _Handle:
             self.calls.append(name)
             if name == "registerTimer":
                 self.timers.append(given[0])
-            return self if name.startswith("get") else list(self.timers) if name == "listTimers" else bool(self.kept) if name == "exists" else self.kept.extend(*given)
+            elif name == "appendList":
+                self.kept.extend(given[0])
+            return self if name.startswith("get") else list(self.timers) if name == "listTimers" else bool(self.kept)
 
         return call
 
