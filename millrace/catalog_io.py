@@ -17,6 +17,7 @@ from millrace.catalog import EVENTS, _settled, query, start, table
 from millrace.functions import user
 from millrace.operators import resilience
 from millrace.operators.resilience import Attempted, RetryPolicy
+from millrace.operators.udf import spread
 from millrace.operators.transforms import Filter, Guarded, Middleware, Validation
 from millrace.plans import envelope
 from millrace.plans.pipeline import Pipeline
@@ -362,8 +363,9 @@ def stream_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(event_id % 3 + 1 AS INTEGER) AS attempt FROM events WHERE event_id % 3 < 2")
 def stream_retry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events fail event_id mod 3 times; one retry is allowed and waits in a table until the next micro-batch."""
-    arrivals, _ = _batches(spark, sf_dir, 1)
-    out, held, marks = workspace(spark, "out"), workspace(spark, "retries"), workspace(spark, "marks")
+    arrivals, out, held, marks = workspace(spark, "arrivals"), workspace(spark, "out"), workspace(spark, "retries"), workspace(spark, "marks")
+
+    spread(table(sf_dir, "events").read(spark)).write.parquet(arrivals)
 
     def flaky(row: dict, _: int) -> dict:
         if row["attempt"] <= row["event_id"] % 3:

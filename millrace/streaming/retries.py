@@ -100,7 +100,10 @@ class RetryTable:
         delay = F.make_dt_interval(secs=(self.policy.delay_column(F.col(ATTEMPT)) / 1000).cast("decimal(18,6)"))
         waits = back.withColumn(DUE, F.timestamp_micros(F.lit(moment)) + delay).withColumn(ATTEMPT, F.col(ATTEMPT) + 1)
         waits = waits.withColumn(_SLOT, F.floor(F.unix_micros(DUE) / 1_000_000))
-        waits.repartition(_SLOT).write.mode("overwrite").partitionBy(_SLOT).parquet(self._at("waits", n))
+        # All rows may be due in one second: they are several tasks' then.
+        tasks = spark.sparkContext.defaultParallelism
+        waits = waits.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(tasks)))
+        waits.repartition(_SLOT, "_salt").drop("_salt").write.mode("overwrite").partitionBy(_SLOT).parquet(self._at("waits", n))
         self._tidy(spark, n)
         rest = F.map_filter(META, lambda k, _: ~k.isin(_ROW, _TRIED, _MOST))
         return out.where("not _again").drop("_again").withColumn(META, F.when(F.size(rest) > 0, rest))

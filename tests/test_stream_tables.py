@@ -179,3 +179,16 @@ def test_isolated_attempts_in_tasks(spark):
     got = Attempted(fn, RetryPolicy(1, retry_on=lambda _: False), timeout_s=0.3, isolate=True).apply(df).collect()
     assert {r.id for r in got if r._error is None} == {100 + i for i in range(20) if i % 5 != 2}
     assert {r._error.category for r in got if r._error} == {"Timeout"}
+
+
+def test_rows_due_in_one_second_are_written_by_several_tasks(spark, tmp_path):
+    held = RetryTable(str(tmp_path), RetryPolicy(1, delay_ms=1))
+    fails = lambda df: envelope.fail_where(df, F.lit(True), envelope.error("later", envelope.TRANSIENT))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held.run(spark.range(1000), 0, fails, lambda df: envelope.wrap(df, "id"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = [*tmp_path.glob("waits/batch=0/_slot=*/*.parquet")]
+    assert len(files) > len({f.parent for f in files})
+    assert sorted(r.id for r in held.pending(spark).collect()) == [*range(1000)]
