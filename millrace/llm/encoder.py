@@ -12,7 +12,6 @@ library gets each distinct piece of a slice that isn't remembered.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -22,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of pieces that one worker remembers the ids of; longer pieces are not remembered.
-MEMORY_BYTES, LONGEST = 4_000_000, 64
+MEMORY_BYTES, LONGEST = 6_000_000, 64
 #: Pieces that the library gets as one text.
 GROUP = 1000
 
@@ -39,6 +38,11 @@ _LEADS = {size: np.isin(np.arange(256), [x[0] for x in _WIDE_BLANKS if len(x) ==
 #: White space of one byte that every pattern of words stops at.
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: All of these, and a space and a newline, as bits of a byte's class: one look at a byte serves all questions.
+_IS_BLANK, _IS_SPACE, _IS_NEWLINE, _IS_LETTER, _IS_MARK, _OPENS_2, _OPENS_3 = (1 << i for i in range(7))
+_CLASS = (_BLANK * _IS_BLANK + _LETTER * _IS_LETTER + _MARK * _IS_MARK + _LEADS[2] * _OPENS_2 + _LEADS[3] * _OPENS_3).astype(np.uint8)
+_CLASS[_SPACE] |= _IS_SPACE
+_CLASS[_NEWLINE] |= _IS_NEWLINE
 #: Kinds of pieces: a space and no other white space after it; no white space; all others; words and what follows them; those of Latin letters alone.
 _SPACED, _BARE, _OTHER, _WORD, _LATIN = 0, 1, 2, 3, 4
 #: Letters whose composed form and small letter stand in Latin-1.
@@ -49,11 +53,13 @@ _latin = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[ \t-\r]*").fullmatch
 _MOVED = {chr(x): chr(0x100 + sum(not (0x21 <= y < 0x7F or 0xA1 <= y < 0xAD or y >= 0xAE) for y in range(x))) for x in (0x9F, 0xA0, 0xAD)}
 
 
-def blanks(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 belong to white space."""
-    out = _BLANK[data]
-    for size, lead in _LEADS.items():
-        at = np.flatnonzero(lead[data[: max(0, len(data) - size + 1)]])
+def blanks(data: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space; kind: their classes, if they are at hand."""
+    kind = _CLASS[data] if kind is None else kind
+    out = (kind & _IS_BLANK).view(bool)
+    wide = np.flatnonzero(kind >= _OPENS_2)
+    for size, opens in ((2, _OPENS_2), (3, _OPENS_3)):
+        at = wide[(kind[wide] & opens).astype(bool) & (wide <= len(data) - size)]
         if len(at):
             own = sum(data[at + i].astype(np.int32) << (8 * i) for i in range(size))
             at = at[np.isin(own, [int.from_bytes(x, "little") for x in _WIDE_BLANKS if len(x) == size])]
@@ -62,28 +68,38 @@ def blanks(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _latin_ends(data: np.ndarray, letter: np.ndarray) -> None:
+    """Adds to `letter` the two-byte letters C3 80 to C3 BF, without the signs of multiplication and division."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    letter[at[(data[at] != 0x97) & (data[at] != 0xB7)]] = True
+
+
 def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """First bytes of all pieces; edges: offsets of the texts (their first bytes and the end)."""
     n = len(data)
-    first, last = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
-    first[edges], last[edges] = True, True
-    first, last = first[:n], last[1:]
-    blank = blanks(data)
-    before, after = np.concatenate(([True], blank[:-1])), np.concatenate((blank[1:], [True]))
-    lone = blank & ~(before | first) & ~(after | last)
-    space, line = lone & (data == _SPACE), lone & (data == _NEWLINE)
-    letter = _LETTER[data]
-    # Two-byte letters C3 80 to C3 BF, without the signs of multiplication and division.
-    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    out = space | line | first
-    out[1:] |= line[:-1] | (letter[:-1] & _MARK[data[1:]])
+    kind = _CLASS[data]
+    blank = blanks(data, kind)
+    # Lone blanks: neither at an edge of a text nor beside another blank.
+    lone = blank.copy()
+    lone[1:] &= ~blank[:-1]
+    lone[:-1] &= ~blank[1:]
+    lone[edges[edges < n]] = False
+    lone[edges[edges > 0] - 1] = False
+    line = lone & (kind & _IS_NEWLINE).astype(bool)
+    out = lone & (kind & _IS_SPACE).astype(bool)
+    out |= line
+    out[1:] |= line[:-1]
+    letter = (kind & _IS_LETTER).astype(bool)
+    _latin_ends(data, letter)
+    out[1:] |= letter[:-1] & (kind[1:] & _IS_MARK).astype(bool)
+    out[edges[edges < n]] = True
     return np.flatnonzero(out)
 
 
 def word_cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """First bytes of pieces of a word, or of marks, and the white space behind it."""
     gap, letter = _GAP[data], _LETTER[data]
-    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    _latin_ends(data, letter)
     out = np.zeros(len(data) + 1, dtype=bool)
     out[edges] = True
     out[1:-1] |= (gap[:-1] & ~gap[1:]) | (letter[:-1] & _MARK[data[1:]])
@@ -157,11 +173,16 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.chars = 0
         self.first, self.count, self.hits = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.flat = np.zeros(0, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32)
 
+    @property
+    def place(self) -> list[str]:
+        """The pieces remembered, in the order of first, count and hits."""
+        return self.known.to_pylist()
+
     def encode(self, texts: pa.Array | pa.ChunkedArray | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has; null is empty. Texts that hold an added token's string aren't cut."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
@@ -196,33 +217,35 @@ class Encoder:
 
     def _ids(self, distinct: pa.StringArray, often: np.ndarray, added: bool) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each distinct piece has, and all of them. added: whether a piece may hold an added token's string."""
-        pieces = distinct.to_pylist()
-        codes = np.fromiter(map(self.place.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
+        codes = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
         known = codes >= 0
         self.hits[codes[known]] += often[known]
         missing = np.flatnonzero(~known)
-        kinds = _kinds(distinct) if self.cuts else np.array([_LATIN if _latin(x) else _WORD for x in pieces])
-        order, new_counts, new_ids = self._learn([pieces[i] for i in missing.tolist()], kinds[missing], added)
+        order, new, new_counts, new_ids = self._learn(distinct.take(pa.array(missing)), added)
         missing = missing[order]
-        counts, first = np.empty(len(pieces), dtype=np.int64), np.empty(len(pieces), dtype=np.int64)
+        counts, first = np.empty(len(codes), dtype=np.int64), np.empty(len(codes), dtype=np.int64)
         first[known], counts[known] = self.first[codes[known]], self.count[codes[known]]
         first[missing], counts[missing] = len(self.flat) + np.cumsum(new_counts) - new_counts, new_counts
         ids = take(np.concatenate((self.flat, new_ids)), first, counts)
-        self._keep([pieces[i] for i in missing.tolist()], new_counts, new_ids, often[missing])
+        self._keep(new, new_counts, new_ids, often[missing])
         return counts, ids
 
-    def _keep(self, pieces: list[str], counts: np.ndarray, ids: np.ndarray, often: np.ndarray) -> None:
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        short = size <= LONGEST
-        if not short.all():
-            pieces, ids = list(itertools.compress(pieces, short.tolist())), ids[np.repeat(short, counts)]
-            counts, often = counts[short], often[short]
-        more = int(size[short].sum())
-        if self.chars + more > MEMORY_BYTES:
-            self._shed()
-        if self.chars + more > MEMORY_BYTES:
+    def _keep(self, pieces: pa.StringArray, counts: np.ndarray, ids: np.ndarray, often: np.ndarray) -> None:
+        """Remember pieces; where there is no room for all of them, those that were met more than once."""
+        size = np.diff(offsets(pieces)[1])
+        for keep in (size <= LONGEST, often > 1):
+            keep = keep[: len(size)]
+            if not keep.all():
+                pieces, ids = pieces.filter(pa.array(keep)), ids[np.repeat(keep, counts)]
+                counts, often, size = counts[keep], often[keep], size[keep]
+            more = int(size.sum())
+            if self.chars + more > MEMORY_BYTES:
+                self._shed()
+            if self.chars + more <= MEMORY_BYTES:
+                break
+        else:
             return
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
+        self.known = pa.concat_arrays([self.known, pieces])
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(counts) - counts))
         self.count, self.hits = np.concatenate((self.count, counts)), np.concatenate((self.hits, often))
         self.flat = np.concatenate((self.flat, ids))
@@ -231,18 +254,19 @@ class Encoder:
     def _shed(self) -> None:
         """Forget the pieces met once since the last time; all of them if that leaves more than half of the memory full."""
         keep = self.hits > 1
-        places = list(itertools.compress(self.place, keep.tolist()))
-        if (chars := sum(map(len, places))) > MEMORY_BYTES // 2:
+        known = self.known.filter(pa.array(keep))
+        if (chars := len(offsets(known)[0])) > MEMORY_BYTES // 2:
             return self._clear()
         counts = self.count[keep]
         self.flat = take(self.flat, self.first[keep], counts)
-        self.place, self.chars = dict(zip(places, range(len(places)))), chars
+        self.known, self.chars = known, chars
         self.first, self.count, self.hits = np.cumsum(counts) - counts, counts, np.zeros(len(counts), dtype=np.int64)
 
-    def _learn(self, pieces: list[str], kinds: np.ndarray, added: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the pieces, how many ids each has, their ids), the last two in that order."""
-        if added:
-            kinds = np.where([any(x in p for x in self.added) for p in pieces], _OTHER, kinds) if pieces else kinds
+    def _learn(self, pieces: pa.StringArray, added: bool) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
+        """(order of the pieces, the pieces, how many ids each has, their ids), the last three in that order."""
+        kinds = _kinds(pieces) if self.cuts else np.array([_LATIN if _latin(x) else _WORD for x in pieces.to_pylist()], dtype=np.int64)
+        for token in self.added if added else []:
+            kinds = np.where(pc.match_substring(pieces, token).to_numpy(zero_copy_only=False), _OTHER, kinds)
         order, counts, parts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [self.flat[:0]]
         for kind in (_SPACED, _BARE, _OTHER, _WORD, _LATIN):
             which = np.flatnonzero(kinds == kind)
@@ -250,10 +274,15 @@ class Encoder:
                 continue
             order.append(which)
             size = 1 if kind == _OTHER else GROUP
-            groups = [[pieces[i] for i in which[at : at + size].tolist()] for at in range(0, len(which), size)]
-            between = "\n" if kind == _BARE else self.mark if kind == _WORD else ""
-            joined = self._latin(groups) if kind == _LATIN else self._each([between.join(g) for g in groups])
-            for own, ids in zip(groups, joined):
+            own = pieces.take(pa.array(which))
+            groups = [own.slice(at, size) for at in range(0, len(own), size)]
+            if kind in (_SPACED, _BARE):
+                joined = self._each(_texts(own, size, kind == _BARE))
+            elif kind == _LATIN:
+                joined = self._latin([g.to_pylist() for g in groups])
+            else:
+                joined = self._each([self.mark.join(g.to_pylist()) if kind == _WORD else g[0].as_py() for g in groups])
+            for group, ids in zip(groups, joined):
                 flat = np.array(ids, dtype=self.flat.dtype)
                 if kind == _OTHER:
                     count = np.array([len(flat)])
@@ -265,12 +294,13 @@ class Encoder:
                     count = np.diff(np.concatenate(([-1], np.flatnonzero(self.ends[flat]))))
                 else:
                     count = np.diff(np.concatenate((np.flatnonzero(self.opens[flat]), [len(flat)])))
-                if len(count) != len(own):  # they can't be told apart
-                    each = self._each(own)
+                if len(count) != len(group):  # they can't be told apart
+                    each = self._each(group.to_pylist())
                     count, flat = np.array([len(x) for x in each]), _joined(each, self.flat.dtype)
                 counts.append(count)
                 parts.append(flat)
-        return np.concatenate(order), np.concatenate(counts), np.concatenate(parts)
+        order = np.concatenate(order)
+        return order, pieces.take(pa.array(order)), np.concatenate(counts), np.concatenate(parts)
 
     def _latin(self, groups: list[list[str]]) -> list[list[int]]:
         """Ids of words of Latin letters, each word's last one closes it."""
@@ -283,6 +313,14 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
+def _texts(pieces: pa.StringArray, size: int, lines: bool) -> list[str]:
+    """The pieces joined, `size` of them a text, with newlines between them if `lines`."""
+    data, edges = offsets(pieces)
+    if lines:
+        data, edges = np.insert(data, edges[1:], _NEWLINE), edges + np.arange(len(edges))
+    return [data[edges[at] : edges[min(at + size, len(pieces))] - lines].tobytes().decode() for at in range(0, len(pieces), size)]
+
+
 def _by_words(spec: dict) -> bool:
     """Whether white space is dropped and parts words, and an added token may stand between words as a mark."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}

@@ -29,8 +29,8 @@ from millrace.llm.encoder import Encoder, take
 MAGIC = b"MRANS01\n"
 SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 2048, 1 << 19, 128
 _LOW = np.uint64(1 << 31)
-#: Text bytes that the tokenizer gets at once: the more, the fewer pieces are new.
-ENCODE_BYTES = 8_000_000
+#: Text bytes that are cut and looked up at once: the more, the fewer looks at the pieces remembered, and the more memory.
+ENCODE_BYTES = 4_000_000
 
 
 class Table:

@@ -81,6 +81,26 @@ def test_memory_limit(encoder, fresh, monkeypatch):
         assert encoder.chars <= 60 and encoder.chars == sum(map(len, encoder.place))
 
 
+def test_remembered_pieces_are_no_python_objects():
+    import tracemalloc
+
+    encoder, text = token_store.Encoder(tokenizer_path()), " ".join(f"w{i:06d}" for i in range(100_000))
+    tracemalloc.start()
+    encoder.encode([text])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encoder.first) == 100_000 and held < 60 * 100_000
+
+
+def test_without_room_for_all_the_pieces_met_again_are_remembered(fresh, monkeypatch):
+    encoder = token_store.Encoder(tokenizer_path())
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 60)
+    texts = [" ".join(f"q{i}x the" for i in range(100))]
+    assert mine(encoder, texts) == library(fresh, texts)
+    assert encoder.place == [" the"]
+    assert mine(encoder, texts) == library(fresh, texts)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
 def test_other_tokenizers_get_texts_whole(name):
     from tokenizers import Tokenizer
