@@ -30,7 +30,9 @@ MAGIC = b"MRANS01\n"
 SCALE_BITS, LANES, BLOCK, CHECK_ROWS = 20, 2048, 1 << 19, 128
 _LOW = np.uint64(1 << 31)
 #: Text bytes that are cut and looked up at once: the more, the fewer looks at the pieces remembered, and the more memory.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 2_000_000
+#: Bytes of an Arrow batch: workers hold a tokenizer and its pieces besides.
+TOKEN_BATCH = 4 << 20
 
 
 class Table:
@@ -262,7 +264,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     The driver gets one count per id of the vocabulary and one sum per shard.
     """
     spark = docs.sparkSession
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs, TOKEN_BATCH).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = id_chunks(rows, "doc_id", "text", chunk_bytes)
     held, folder = workspace(spark, "ids"), workspace(spark, "shards")
     rows.mapInArrow(_tokenize(tokenizer, end_id, bounds), _ROW).write.option("compression", "none").parquet(held)
@@ -287,7 +289,7 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def read_index(manifest: DataFrame, table: Table) -> DataFrame:
     """Decode every shard: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian u32) per document."""
-    shared = bounded(manifest).sparkSession.sparkContext.broadcast(table)
+    shared = bounded(manifest, TOKEN_BATCH).sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

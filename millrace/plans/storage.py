@@ -38,13 +38,14 @@ def forget(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, and its session's Arrow batches bound to BATCH_BYTES if they may be larger.
+def bounded(df: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
+    """df, and its session's Arrow batches bound to `limit` bytes if they may be larger.
 
-    A batch is held by the JVM and by the Python worker at once. The setting stays: plans run after operators return.
+    A batch is held by the JVM, as vectors and as the stream's bytes, and by the Python worker at once. The setting stays:
+    plans run after operators return.
     """
     spark = df.sparkSession
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if now > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if now > limit:
+        spark.conf.set(_BATCH, str(limit))
     return df

@@ -157,6 +157,16 @@ def check(fresh, frame, rows, **options):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda x: x[1]) == want
 
 
+def test_batches_of_the_store_are_small(spark, frame):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(16 << 20))
+    token_store.write_tokens(frame([(1, "a")]), tokenizer_path())
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, before)
+    assert now == 4 << 20
+
+
 def test_store(fresh, frame):
     rng = random.Random(1)
     rows = [(rng.randint(-50, 50), " ".join(rng.choice(TRICKY) for _ in range(rng.randint(0, 9)))) for _ in range(70)]
