@@ -12,6 +12,7 @@ are only ever added at the end. A stream's offset is the number of pages taken,
 from __future__ import annotations
 
 import json
+import math
 import urllib.request
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ class _Place:
         if not self.remote:
             self.system, self.root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
             self.root = self.root.rstrip("/")
+        #: Pages by manifest, as far as read: a manifest that is there stays as it is.
+        self.listed: dict[str, list[str]] = {}
 
     def get(self, name: str) -> bytes:
         if self.remote:
@@ -57,7 +60,10 @@ class _Place:
         if self.remote:
             return json.loads(self.get("index.json"))
         manifests = self.names(_MANIFESTS)
-        return [p for m in manifests for p in json.loads(self.get(f"{_MANIFESTS}/{m}"))] if manifests else self.names()
+        for m in manifests:
+            if m not in self.listed:
+                self.listed[m] = json.loads(self.get(f"{_MANIFESTS}/{m}"))
+        return [p for m in manifests for p in self.listed[m]] if manifests else self.names()
 
 
 @dataclass
@@ -69,7 +75,7 @@ class _Reading:
     def __init__(self, options: dict, names: list[str]) -> None:
         self.place = _Place(options["path"], float(options.get("timeout", 30)))
         self.fields = names
-        self.most = int(options.get("pages", 0))
+        self.most, self.share = int(options.get("pages", 0)), float(options.get("share", 0))
 
     def read(self, partition: Any) -> Iterator[tuple]:
         """Fields by name, whatever its case; null rows are left out."""
@@ -88,7 +94,9 @@ class _Batch(_Reading, DataSourceReader):
 
 
 class _Stream(_Reading, DataSourceStreamReader):
-    """Asked for its latest offset, it goes at most `pages` pages on (0: as far as there are any)."""
+    """Asked for its latest offset, it goes at most `pages` pages on (0: as far as there are any), or `share` of those that
+    wait, if that is more: a backlog takes a number of micro-batches that grows with its logarithm, and ends `pages` by `pages`.
+    """
 
     taken: int | None = None
 
@@ -96,11 +104,9 @@ class _Stream(_Reading, DataSourceStreamReader):
         return {"page": 0}
 
     def latestOffset(self) -> dict:
-        there = len(self.place.pages())
-        if not self.most or self.taken is None:
-            self.taken = min(there, self.most) if self.most else there
-        else:
-            self.taken = min(there, self.taken + self.most)
+        there, taken = len(self.place.pages()), self.taken or 0
+        step = max(self.most, math.floor(self.share * (there - taken)))
+        self.taken = max(taken, min(there, taken + step)) if self.most else there
         return {"page": self.taken}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -176,7 +182,7 @@ class _StreamWriter(_Writing, DataSourceStreamWriter):
 
 
 class Pages(DataSource):
-    """Options: path; pages (a stream's micro-batch takes so many), timeout (seconds of a GET), rows (of a page written)."""
+    """Options: path; pages (a stream's micro-batch takes so many), share (or this part of those that wait, if more), timeout (seconds of a GET), rows (of a page written)."""
 
     @classmethod
     def name(cls) -> str:

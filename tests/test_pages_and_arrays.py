@@ -191,3 +191,21 @@ def test_a_host_stops_a_stream_with_grace(spark, tmp_path):
     began = time.monotonic()
     slow.stop(0.5)
     assert slow.state == "Cancelled" and time.monotonic() - began < 30
+
+
+def test_a_backlog_is_taken_by_shares_and_manifests_are_read_once(tmp_path):
+    from millrace.sources.pages import _Stream
+
+    (tmp_path / "_manifests").mkdir()
+    for n in range(5):
+        (tmp_path / "_manifests" / f"{n}.json").write_text(json.dumps([f"page-{n}-{i:04d}.json" for i in range(1000)]))
+    stream = _Stream({"path": str(tmp_path), "pages": "2", "share": "0.03"}, ["k"])
+    read, get = [], stream.place.get
+    stream.place.get = lambda name: read.append(name) or get(name)
+    at, names, batches = 0, [], 0
+    while (end := stream.latestOffset()["page"]) > at:
+        assert end - at >= min(2, 5000 - at)
+        names += [x.name for x in stream.partitions({"page": at}, {"page": end})]
+        at, batches = end, batches + 1
+    assert names == [f"page-{n}-{i:04d}.json" for n in range(5) for i in range(1000)]
+    assert batches < 250 and len(read) == 5
