@@ -14,14 +14,15 @@ band is enough to make two lines candidates. These links need the edit similarit
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._common import _BYTE, bounded, forget_all, free_shuffles, mix64, rolling, slices, stored
@@ -31,25 +32,45 @@ from millrace.llm.simhash_dedup import majority_bits
 
 #: ASCII marks and controls to spaces, A-Z to a-z, digits to 0; other bytes and newlines stay.
 _NORMAL = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or b == 10 else 32 for b in range(256)], dtype=np.uint8)
-_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("lines", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
-_DOC_DDL = "row long, doc_id long, n_lines int, lines array<int>, hashes array<long>"
+_PARSED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("lines", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("hash", pa.int64()), ("norm", pa.string()), ("size", pa.int32())])
+_PARSED_DDL = "row long, doc_id long, n_lines int, lines array<int>, hashes array<long>, hash long, norm string, size int"
+#: Keys on their way to their bucket: of a pair of blocks (the fingerprint holds the key), of a MinHash band.
+_BLOCK = np.dtype([("sim", "<u8"), ("hash", "<u8"), ("size", "<u2")])
+_BAND = np.dtype([("key", "<u4"), ("hash", "<u8"), ("size", "<u2")])
+_BUCKETS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("c", pa.int32()), ("least", pa.int64()), ("star", pa.bool_())])
+_BUCKETS_DDL = "key long, hash long, sim long, size int, c int, least long, star boolean"
+#: Lines whose keys make up a part; n-grams and features that are worked on at once, so that they stay in a CPU's cache.
+_PART_LINES, _CACHED = 40_000, 1 << 15
+#: Sizes from here on aren't told apart in buckets.
+_MAX_SIZE = 65535
+#: Blocks' tags come first, then those of long lines' bands and of short lines' ones.
+_TAGS = 48
 #: Code points from which on strings are compared one pair at a time.
 _LONG_ROWS = 1024
 #: Pairs from which on they are compared a column at a time; 3-grams are counted in so many cells.
 _MANY, _Q, _CELL_BITS = 200, 3, 10
-_CELLS = 1 << _CELL_BITS
-#: Text bytes that a task takes apart at once.
-_PART_BYTES = 4_000_000
+#: Text bytes that a task takes apart at once, and bytes of lines that it makes keys of.
+_PART_BYTES, _LINE_BYTES = 1_000_000, 4_000_000
 #: MinHash bands of a line for op4; permutations, each of which serves two bands; n-gram bytes of long and short lines.
 BANDS, _PERMUTATIONS = 16, 24
 _LONG_GRAM, _SHORT_GRAM = 8, 4
 #: Code points up to which a line is short, and over which it is long; two lines that are 0.8 alike share a class.
 _SHORT, _LONG = 60, 47
 _ODD = np.random.Generator(np.random.PCG64(20240608)).integers(0, 2**32, _PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_GRAM = np.uint64(0x9E3779B97F4A7C15)
+_GRAM, _GRAM32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 _TRIPLES = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)] + [(i, i + 8, i + 16) for i in range(8)]
 
 
+def _cached(counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of groups, and of their members, of about _CACHED members or one group."""
+    ends = np.cumsum(counts)
+    a = low = 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, low + _CACHED, side="right")))
+        yield a, b, low, int(ends[b - 1])
+        a, low = b, int(ends[b - 1])
+
+
 class Lines:
     """The lines with words of a slice of texts: distinct normalised lines, and where each line stands."""
 
@@ -73,6 +94,13 @@ class Lines:
         self.per_text = np.where(np.diff(edges) > 0, newlines[edges[1:]] - newlines[edges[:-1]] + 1, 0)
         self.data, self.edges = offsets(self.distinct)
 
+    @classmethod
+    def of(cls, distinct: pa.Array) -> Lines:
+        """Ready lines, without places."""
+        own = cls.__new__(cls)
+        own.distinct, (own.data, own.edges) = distinct, offsets(distinct)
+        return own
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the distinct lines."""
         return rolling(_BYTE[self.data], self.edges[:-1], self.edges[1:], "byte")
@@ -94,62 +122,52 @@ class Lines:
         inner = np.ones(len(words), dtype=bool)
         inner[first[1:] - 1] = False
         features[place[inner] + 1] = rolling(words, i[inner], i[inner] + 2, "word")
-        return majority_bits(features, 2 * n - 1)
-
-
-def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, n_lines, lines, hashes) per row of docs: numbers and hashes of its lines that have words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            for part in slices(batch, "text", _PART_BYTES):
-                own = Lines(part["text"])
-                at = pa.array(np.searchsorted(own.text, np.arange(part.num_rows + 1)).astype(np.int32))
-                lines = pa.ListArray.from_arrays(at, pa.array(own.number.astype(np.int32)))
-                hashes = pa.ListArray.from_arrays(at, pa.array(own.hashes().view(np.int64)[own.code]))
-                yield pa.RecordBatch.from_arrays([pa.array(task + count + np.arange(part.num_rows)), part["doc_id"].combine_chunks(), pa.array(own.per_text.astype(np.int32)), lines, hashes], schema=_DOC)
-                count += part.num_rows
-
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _DOC_DDL)
+        n, out = 2 * n - 1, np.zeros(len(n), dtype=np.uint64)
+        for a, b, low, high in _cached(n):
+            out[a:b] = majority_bits(features[low:high], n[a:b])
+        return out
 
 
-def _once(docs: DataFrame, text_col: str, columns: Callable[[Lines, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """Rows made of each task's distinct lines: a hot line doesn't travel as often as it occurs.
+def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds, from one pass over the texts.
 
-    columns(lines, hashes, new): new holds the numbers of the distinct lines that the task meets for the first time.
+    Per row of docs (row, doc_id, n_lines, lines, hashes): numbers and hashes of its lines that have words. Without row:
+    (hash, norm, size) of each line that a task meets for the first time, size in code points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=np.uint64)
+        task, count, seen = TaskContext.get().partitionId() << 40, 0, np.zeros(0, dtype=np.uint64)
+
+        def rows(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _PARSED], schema=_PARSED)
+
         for batch in batches:
             for part in slices(batch, "text", _PART_BYTES):
                 own = Lines(part["text"])
                 hashes = own.hashes()
-                new = np.flatnonzero(~np.isin(hashes, seen))
+                at = pa.array(np.searchsorted(own.text, np.arange(part.num_rows + 1)).astype(np.int32))
+                lines = pa.ListArray.from_arrays(at, pa.array(own.number.astype(np.int32)))
+                of_lines = pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64)[own.code]))
+                yield rows(row=pa.array(task + count + np.arange(part.num_rows)), doc_id=part["doc_id"].combine_chunks(), n_lines=pa.array(own.per_text.astype(np.int32)), lines=lines, hashes=of_lines)
+                count += part.num_rows
+                at = np.searchsorted(seen, hashes)
+                new = np.flatnonzero(np.append(seen, np.uint64(0))[at] != hashes) if len(seen) else np.arange(len(hashes))
                 if len(new):
-                    seen = np.concatenate((seen, hashes[new]))
-                    yield from columns(own, hashes, new)
-
-    return bounded(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+                    seen = np.sort(np.concatenate((seen, hashes[new])))
+                    norm = own.distinct.take(pa.array(new))
+                    yield rows(hash=pa.array(hashes[new].view(np.int64)), norm=norm, size=pc.utf8_length(norm))
 
-
-def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(hash, norm) of each line that has words."""
-
-    def columns(own: Lines, hashes: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), own.distinct.take(pa.array(new))], ["hash", "norm"])
-
-    return _once(docs, text_col, columns, "hash long, norm string")
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, _PARSED_DDL)
 
 
-def block_keys(sim: np.ndarray, blocks: int) -> np.ndarray:
-    """Keys of all pairs of blocks of each fingerprint, one column per pair."""
+def block_keys(sim: np.ndarray, blocks: int, only: int | None = None) -> np.ndarray:
+    """Keys of all pairs of blocks of each fingerprint, or of one pair only, one column per pair."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
     part = [(sim >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in itertools.pairwise(cut)]
     pairs = itertools.combinations(range(blocks), 2)
-    return np.stack([np.uint64(n << 58) | (part[i] << np.uint64(cut[j + 1] - cut[j])) | part[j] for n, (i, j) in enumerate(pairs)], axis=1)
+    return np.stack([np.uint64(n << 58) | (part[i] << np.uint64(cut[j + 1] - cut[j])) | part[j] for n, (i, j) in enumerate(pairs) if only in (None, n)], axis=1)
 
 
 def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, bands: int) -> np.ndarray:
@@ -162,39 +180,134 @@ def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int,
     short = np.flatnonzero(ends - starts < gram)
     grams[first[short]] &= (np.uint64(1) << (8 * (ends - starts)[short]).astype(np.uint64)) - np.uint64(1)
     grams = (mix64(grams * _GRAM) >> np.uint64(32)).astype(np.uint32)
-    least = [np.minimum.reduceat(grams * odd, first).astype(np.uint64) for odd in _ODD]
+    least = np.empty((_PERMUTATIONS, len(starts)), dtype=np.uint64)
+    for a, b, low, high in _cached(count):
+        for k, odd in enumerate(_ODD):
+            least[k, a:b] = np.minimum.reduceat(grams[low:high] * odd, first[a:b] - low)
     return np.stack([mix64(mix64((least[i] << np.uint64(32)) | least[j]) + least[k]) for i, j, k in _TRIPLES[:bands]], axis=1)
 
 
-def keyed_lines(docs: DataFrame, text_col: str, max_bits: int, bands: int) -> DataFrame:
-    """(key, hash, sim) of each line: keys of its fingerprint's pairs of blocks, and of its MinHash bands with sim 0."""
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_keys(own: Lines, hashes: np.ndarray, size: np.ndarray, max_bits: int, bands: int, parts: int) -> pa.RecordBatch:
+    """(part, counts, blocks, bands): the lines' keys for each part, in order of their tags; counts holds keys by tag.
+
+    A part holds whole buckets. Keys travel as bytes: one of a pair of blocks is its line's fingerprint, one of a band 32
+    bits. Tag and part are the rest of a band's key; what lines meet by chance in it the edit similarity tells apart.
+    """
+    made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tag, part, row
+    few = np.minimum(size, _MAX_SIZE)
+    sim = own.fingerprints()
+    keys = block_keys(sim, max_bits + 2)
+    rows = np.empty(keys.size, dtype=_BLOCK)
+    n = keys.shape[1]
+    rows["sim"], rows["hash"], rows["size"] = np.tile(sim, n), np.tile(hashes, n), np.tile(few, n)
+    blocks = [(np.repeat(np.arange(n), len(hashes)), _parts_of(mix64(keys.T.ravel()), parts), rows)]
+    for tag, gram, which in ((16, _LONG_GRAM, np.flatnonzero(size > _LONG)), (32, _SHORT_GRAM, np.flatnonzero(size <= _SHORT))) if bands else ():
+        if len(which):
+            keys = band_keys(own.data, own.edges[which], own.edges[which + 1], gram, bands)
+            rows = np.empty(keys.size, dtype=_BAND)
+            flat = keys.T.ravel()
+            rows["key"], rows["hash"], rows["size"] = flat.astype(np.uint32), np.tile(hashes[which], bands), np.tile(few[which], bands)
+            made.append((np.repeat(np.arange(tag, tag + bands), len(which)), _parts_of(flat, parts), rows))
+    counts, columns = np.zeros((parts, _TAGS), dtype=np.int64), []
+    for kind, dtype in ((blocks, _BLOCK), (made, _BAND)):
+        tag, part = (np.concatenate([np.zeros(0, dtype=np.int64), *(x[i] for x in kind)]) for i in (0, 1))
+        rows = np.concatenate([np.zeros(0, dtype=dtype), *(x[2] for x in kind)])
+        rows = rows[np.argsort(part.astype(np.uint16), kind="stable")]
+        counts += np.bincount(part * _TAGS + tag, minlength=parts * _TAGS).reshape(parts, _TAGS)
+        edges = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts)))) * dtype.itemsize
+        columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), parts, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(rows.tobytes())]).cast(pa.binary()))
+    count = pa.ListArray.from_arrays(pa.array(np.arange(parts + 1, dtype=np.int32) * _TAGS), pa.array(counts.ravel().astype(np.int32)))
+    out = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), count, *columns], ["part", "counts", "blocks", "bands"])
+    return out.filter(pa.array(counts.any(axis=1)))
+
+
+def keyed_lines(texts: DataFrame, max_bits: int, bands: int, parts: int) -> DataFrame:
+    """packed_keys() of the lines (hash, norm, size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "norm", _LINE_BYTES):
+                own = Lines.of(pa.concat_arrays(part["norm"].chunks).cast(pa.string()))
+                yield packed_keys(own, part["hash"].to_numpy().view(np.uint64), part["size"].to_numpy().astype(np.int64), max_bits, bands, parts)
+
+    return bounded(texts).mapInArrow(run, "part int, counts array<int>, blocks binary, bands binary")
+
+
+def _buckets(max_bits: int, similarity: float):
+    """Lines of the buckets of one part that hold several lines.
 
-    def columns(own: Lines, hashes: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        def rows(which: np.ndarray, keys: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-            n = keys.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(hashes[which], n).view(np.int64)), pa.array(np.repeat(sim, n).view(np.int64))], ["key", "hash", "sim"])
+    star: another than the bucket's smallest, which its fingerprint and size let be alike to that one.
+    """
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        counts = table["counts"].combine_chunks().flatten().to_numpy().reshape(-1, _TAGS)
+        block = np.frombuffer(b"".join(table["blocks"].to_pylist()), dtype=_BLOCK)
+        band = np.frombuffer(b"".join(table["bands"].to_pylist()), dtype=_BAND)
+        tag = np.repeat(np.tile(np.arange(16), len(counts)), counts[:, :16].ravel())
+        key = np.empty(len(block) + len(band), dtype=np.uint64)
+        for i in np.unique(tag).tolist():
+            own = np.flatnonzero(tag == i)
+            key[own] = block_keys(block["sim"][own], max_bits + 2, i)[:, 0]
+        tag = np.repeat(np.tile(np.arange(16, _TAGS), len(counts)), counts[:, 16:].ravel()).astype(np.uint64)
+        # Within the part 32 bits suffice; beyond it the part tells equal ones apart.
+        key[len(block) :] = (tag << np.uint64(58)) | (np.uint64(group[0].as_py()) << np.uint64(32)) | band["key"]
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)]
+        key = key[order]
+        hashes, size = (np.concatenate((block[x], band[x]))[order] for x in ("hash", "size"))
+        sim = np.concatenate((block["sim"], np.zeros(len(band), dtype=np.uint64)))[order]
+        hashes = hashes.view(np.int64)
+        order = np.lexsort((hashes, key))
+        key, hashes, size, sim = key[order], hashes[order], size[order].astype(np.int64), sim[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1]))[: len(key)]
+        key, hashes, size, sim = key[once], hashes[once], size[once], sim[once]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        c = np.diff(np.append(first, len(key)))
+        least, c = np.repeat(first, c), np.repeat(c, c)
+        most = np.maximum(size, size[least])
+        star = (hashes != hashes[least]) & (np.bitwise_count(sim ^ sim[least]) <= max_bits)
+        star &= (np.abs(size - size[least]) <= (1 - similarity) * most + 1e-9) | (most >= _MAX_SIZE)
+        many = c > 1
+        columns = [key.view(np.int64), hashes, sim.view(np.int64), size.astype(np.int32), c.astype(np.int32), hashes[least], star]
+        return pa.table([pa.array(x[many]) for x in columns], schema=_BUCKETS)
+
+    return run
+
+
+@lru_cache(maxsize=64)
+def _places(a: str) -> dict[str, int]:
+    """Of each code point the bits of its places."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | (1 << i)
+    return at
 
-        sim = own.fingerprints()[new]
-        yield rows(new, block_keys(sim, max_bits + 2), sim)
-        if bands:
-            size = np.add.reduceat((own.data & 0xC0) != 0x80, own.edges[:-1], dtype=np.int64)[new]
-            for tag, gram, which in ((0, _LONG_GRAM, new[size > _LONG]), (bands, _SHORT_GRAM, new[size <= _SHORT])):
-                if len(which):
-                    keys = band_keys(own.data, own.edges[which], own.edges[which + 1], gram, bands)
-                    # Above the tags of the fingerprints' block keys.
-                    tags = (np.arange(bands, dtype=np.uint64) + np.uint64(tag + 16)) << np.uint64(58)
-                    yield rows(which, (keys >> np.uint64(6)) | tags, np.zeros(len(which), dtype=np.uint64))
 
-    return _once(docs, text_col, columns, "key long, hash long, sim long")
+def _in_common(a: str, b: str, least: float) -> bool:
+    """Whether the longest common subsequence has `least` code points or more, bit-parallel (Hyyro, 2004)."""
+    at, n = _places(a), len(a)
+    full = free = (1 << n) - 1
+    left = len(b)
+    for start in range(0, left, 32):
+        for c in b[start : start + 32]:
+            met = free & at.get(c, 0)
+            free = (free + met) | (free - met)
+        free &= full
+        if n - free.bit_count() + max(left - start - 32, 0) < least:
+            return False
+    return n - free.bit_count() >= least
 
 
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel (Myers, 1999)."""
     if not a or not b:
         return len(a) + len(b)
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | (1 << i)
+    at = _places(a)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
     for c in b:
@@ -220,7 +333,7 @@ def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
     rest = rest[np.argsort(-size[rest, 1], kind="stable")]
     at = 0
     while at < len(rest):
-        n = max(1, min(4096, 1_000_000 // int(size[rest[at], 1])))
+        n = max(1, min(512, 1_000_000 // int(size[rest[at], 1])))
         own = rest[at : at + n]
         out[own] = _columns([short[i] for i in own.tolist()], size[own, 0], size[own, 1])
         at += n
@@ -261,18 +374,30 @@ def _columns(pairs: list[tuple[str, str]], m: np.ndarray, n: np.ndarray) -> np.n
     return score
 
 
-def gram_counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_counts(lines: list[str], bits: int = _CELL_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of 3-grams of code points by hash cell, 255 at most, and which lines have a cell beyond that."""
+    cells_of = 1 << bits
     size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(lines)), size)
-    at = np.flatnonzero(np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size) <= size[of] - _Q)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    first = np.cumsum(size) - size
+    count = np.maximum(size - _Q + 1, 0)
+    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
     h = points[at]
     for k in range(1, _Q):
-        h = (h * _GRAM) ^ points[at + k]
-    cells = of[at] * _CELLS + (mix64(h) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
-    counts = np.bincount(cells, minlength=len(lines) * _CELLS).reshape(len(lines), _CELLS)
-    return np.minimum(counts, 255).astype(np.uint8), counts.max(axis=1, initial=0) > 255
+        h = (h * _GRAM32) ^ points[at + k]
+    cell = ((h * _GRAM32) >> np.uint32(32 - bits)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    counts, full = np.empty((len(lines), cells_of), dtype=np.uint8), np.zeros(len(lines), dtype=bool)
+    step = (1 << 15) // cells_of  # counters that stay in a CPU's cache
+    for i in range(0, len(lines), step):
+        n = len(counts[i : i + step])
+        low, high = ends[i], ends[i + n]
+        own = np.bincount(cell[low:high] + np.repeat(np.arange(n) * cells_of, count[i : i + n]), minlength=n * cells_of).reshape(n, cells_of)
+        if count[i : i + n].max() > 255:
+            full[i : i + n] = own.max(axis=1) > 255
+            own = np.minimum(own, 255)
+        counts[i : i + n] = own
+    return counts, full
 
 
 def least_common(size_a: np.ndarray, size_b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -280,12 +405,48 @@ def least_common(size_a: np.ndarray, size_b: np.ndarray, most: np.ndarray) -> np
     return np.maximum(size_a, size_b) - _Q + 1 - _Q * np.floor(most).astype(np.int64)
 
 
+def _bound(a: str, b: str, most: float) -> int:
+    """The edit distance or more, near it for texts that differ in few places; anything over `most` where it gives up.
+
+    The texts are followed side by side. Where they differ, the next 8 code points of the first that follow in the second
+    within reach go on, and what stands before them counts as edited.
+    """
+    x, y = (int.from_bytes(t.encode("utf-32-le", "surrogatepass"), "little") for t in (a, b))
+    i = j = cost = 0
+    while differs := x ^ y:
+        same = ((differs & -differs).bit_length() - 1) >> 5
+        i, j = i + same, j + same
+        left = cost + max(len(a) - i, len(b) - j)
+        if left <= most or i >= len(a) or j >= len(b):
+            return left
+        for skip in range(0, 48, 3):
+            gram = a[i + skip : i + skip + 8]
+            at = b.find(gram, j, j + skip + 40) if len(gram) == 8 else -1
+            if at >= 0:
+                break
+        else:
+            return left
+        while skip and at > j and a[i + skip - 1] == b[at - 1]:
+            skip, at = skip - 1, at - 1
+        cost += max(skip, at - j)
+        if cost > most:
+            return cost
+        x, y = x >> (32 * (same + skip)), y >> (32 * (same + at - j))
+        i, j = i + skip, at
+    return cost
+
+
 def _close(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distances are `most` at most. Few pairs go one by one: columns of few rows aren't worth it."""
-    if len(a) >= _MANY:
-        return edit_distances(a, b) <= most
+    """Whether the edit distances are `most` at most. Long or few pairs go one by one: columns of few rows aren't worth it."""
+    # Code points that aren't in common are edited.
+    ask = [i for i, m in enumerate(most.tolist()) if _in_common(b[i], a[i], max(len(a[i]), len(b[i])) - m)]
     out = np.zeros(len(a), dtype=bool)
-    for i, (x, y) in enumerate(zip(a, b)):
+    short = [i for i in ask if min(len(a[i]), len(b[i])) <= 64]
+    if len(short) >= _MANY:
+        out[short] = edit_distances([a[i] for i in short], [b[i] for i in short]) <= most[short]
+        ask = [i for i in ask if min(len(a[i]), len(b[i])) > 64]
+    for i in ask:
+        x, y = a[i], b[i]
         start = len(commonprefix((x, y)))
         x, y = x[start:], y[start:]
         end = len(commonprefix((x[::-1], y[::-1])))
@@ -303,13 +464,17 @@ def alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
     most = (1 - similarity) * size.max(axis=1, initial=0) + 1e-9
     out = size.max(axis=1, initial=0) <= most
     ask = np.flatnonzero(~out & (np.abs(size[:, 0] - size[:, 1]) <= most))
-    need, keep = least_common(size[ask, 0], size[ask, 1], most[ask]), []
-    for at in range(0, len(ask), 1000):
-        own, least = ask[at : at + 1000], need[at : at + 1000]
-        (x, full_x), (y, full_y) = (gram_counts([side[i] for i in own.tolist()]) for side in (a, b))
-        common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        keep.append(own[(common >= least) | full_x | full_y])
-    ask = np.concatenate(keep) if keep else ask
+    near = np.fromiter((_bound(a[i], b[i], m) <= m for i, m in zip(ask.tolist(), most[ask].tolist())), dtype=bool, count=len(ask))
+    out[ask[near]] = True
+    ask = ask[~near]
+    for bits in (_CELL_BITS - 3, _CELL_BITS):  # few cells do for most
+        need, keep = least_common(size[ask, 0], size[ask, 1], most[ask]), []
+        for at in range(0, len(ask), 1000):
+            own, least = ask[at : at + 1000], need[at : at + 1000]
+            (x, full_x), (y, full_y) = (gram_counts([side[i] for i in own.tolist()], bits) for side in (a, b))
+            common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep.append(own[(common >= least) | full_x | full_y])
+        ask = np.concatenate(keep) if keep else ask
     if len(ask):
         out[ask] = _close([a[i] for i in ask.tolist()], [b[i] for i in ask.tolist()], most[ask])
     return out
@@ -356,45 +521,62 @@ def _forest(max_bits: int, similarity: float):
     return run
 
 
-def links(docs: DataFrame, text_col: str, max_bits: int, similarity: float, bucket_pairs: int, tile: int, bands: int = 0, scratch: list[str] | None = None) -> DataFrame:
-    """Edges (u, v) between hashes of different lines; complete up to connectivity.
+def links(texts: DataFrame, lines: int, max_bits: int, similarity: float, bucket_pairs: int, tile: int, bands: int = 0, scratch: list[str] | None = None) -> DataFrame:
+    """Edges (u, v) between hashes of different lines (hash, norm, size; copies are fine); complete up to connectivity.
 
-    A line sends its keys once per task that meets it; keys of a single line go before anything else is done with them.
-    Each bucket's lines are first compared with its smallest. Only buckets that this leaves in several components are
-    compared pair by pair, and there only lines of different components: the others are linked already.
+    A line sends its keys once per task that meets it, packed by part; a task drops the keys of single lines. Each bucket's
+    lines are first compared with its smallest. Only buckets that this leaves in several components are compared pair by
+    pair, and there only lines of different components: the others are linked already.
     """
-    spark, by_key = docs.sparkSession, Window.partitionBy("key")
-    keyed = keyed_lines(docs, text_col, max_bits, bands).withColumn("n", F.count("*").over(by_key)).where("n > 1")
-    # In a bucket of sim 0 the edit similarity alone decides.
-    sized = keyed.groupBy("key", "hash").agg(F.first("sim").alias("sim")).withColumn("c", F.count("*").over(by_key))
-    sized = stored(sized.where("c > 1"), "blocks", scratch)
+    spark, by_key = texts.sparkSession, Window.partitionBy("key")
+    parts = max(1, min(65535, -(-lines // _PART_LINES)))
+    keyed = keyed_lines(texts, max_bits, bands, parts).groupBy("part").applyInArrow(_buckets(max_bits, similarity), _BUCKETS_DDL)
+    short_lived: list[str] = []
+    sized = stored(keyed, "blocks", short_lived)
+    del keyed
     free_shuffles(spark)
-    texts = line_texts(docs, text_col).join(sized.select("hash").distinct().hint("merge"), "hash", "left_semi")
+    asked = sized.where("c > 2 or star").select(F.explode(F.array("hash", "least")).alias("hash"))
+    texts = texts.select("hash", "norm").join(asked.distinct().hint("merge"), "hash", "left_semi")
     texts = stored(texts.groupBy("hash").agg(F.min("norm").alias("norm")), "texts", scratch)
+    del asked
     free_shuffles(spark)
-    left, right = texts.toDF("u", "norm_u"), texts.toDF("v", "norm_v")
-    good = lambda pairs: pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(_verified(similarity)("norm_u", "norm_v")).select("u", "v")
 
-    least = sized.withColumn("least", F.min(F.struct("hash", "sim")).over(by_key))
-    stars = least.where(f"hash <> least.hash and bit_count(sim ^ least.sim) <= {max_bits}").select(F.col("least.hash").alias("u"), F.col("hash").alias("v"))
-    stars = stored(good(stars.distinct()), "stars", scratch)
+    def good(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        left, right = texts.toDF("u", "norm_u"), texts.toDF("v", "norm_v")
+        return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(_verified(similarity)("norm_u", "norm_v")).select("u", "v")
+
+    stars = sized.where("star").select(F.col("least").alias("u"), F.col("hash").alias("v"))
+    stars = stored(good(stars.distinct(), texts), "stars", scratch)
     free_shuffles(spark)
     roots = connected_components(stars).withColumnRenamed("node", "hash")
-    left_over = sized.join(roots.hint("merge"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    # The one pair of a bucket of two is settled.
+    left_over = sized.where("c > 2").join(roots.hint("merge"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
     left_over = left_over.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low <> high").drop("low", "high")
     left_over = stored(left_over, "open", scratch)
+    forget_all(spark, short_lived)
     free_shuffles(spark)
     few, many = left_over.where(F.col("c") <= bucket_pairs), left_over.where(F.col("c") > bucket_pairs)
-    a = few.select("key", *[F.col(x).alias(f"{x}_u") for x in ("hash", "sim", "root")])
-    b = few.select("key", *[F.col(x).alias(f"{x}_v") for x in ("hash", "sim", "root")])
-    pairs = a.join(b.hint("merge"), "key").where(f"hash_u < hash_v and root_u <> root_v and bit_count(sim_u ^ sim_v) <= {max_bits}")
-    pairs = good(pairs.select(F.col("hash_u").alias("u"), F.col("hash_v").alias("v")).distinct())
+    a = few.select("key", *[F.col(x).alias(f"{x}_u") for x in ("hash", "sim", "root", "size")])
+    b = few.select("key", "least", "star", *[F.col(x).alias(f"{x}_v") for x in ("hash", "sim", "root", "size")])
+    pairs = a.join(b.hint("merge"), "key").where(f"hash_u < hash_v and root_u <> root_v and bit_count(sim_u ^ sim_v) <= {max_bits} and not (star and hash_u = least)")
+    pairs = pairs.where(f"abs(size_u - size_v) <= {1 - similarity!r}D * greatest(size_u, size_v) + 1e-9D or greatest(size_u, size_v) >= {_MAX_SIZE}")
+    pairs = stored(pairs.select(F.col("hash_u").alias("u"), F.col("hash_v").alias("v")).distinct(), "asked", scratch)
+    free_shuffles(spark)
+    # The texts that are still asked for are few; all of them move once more, not once per join.
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("hash")).unionByName(many.select("hash")).distinct()
+    texts = stored(texts.join(asked.hint("merge"), "hash", "left_semi"), "texts", scratch)
+    del asked
+    free_shuffles(spark)
+    pairs = stored(good(pairs, texts), "pairs", scratch)
+    free_shuffles(spark)
     # Tiles of hot buckets: each line of part p goes to the tiles (p, q) and (q, p) of all parts q.
     parts = F.ceil(F.col("c") / tile).cast("int")
     own = F.pmod(F.xxhash64("hash"), parts).cast("int")
     tiled = many.withColumn("parts", parts).withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.select("hash", "sim", "root", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.when(F.col("p") == F.col("q"), 3).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"))
     hot = tiled.join(texts.hint("merge"), "hash").groupBy("key", "x", "y").applyInArrow(_forest(max_bits, similarity), "u long, v long")
+    hot = stored(hot, "hot", scratch)
+    free_shuffles(spark)
     return stars.unionByName(pairs).unionByName(hot).distinct()
 
 
@@ -408,11 +590,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read. A 64-bit hash stands for a normalised line.
     """
     scratch: list[str] = []
-    own = stored(document_lines(docs, id_col, text_col), "lines")
+    seen = Observation()
+    both = stored(parsed(docs, id_col, text_col).observe(seen, F.count("norm").alias("n")), "lines")
+    own, texts = both.where("row is not null").select("row", "doc_id", "n_lines", "lines", "hashes"), both.where("row is null").select("hash", "norm", "size")
     lines = own.select("row", "doc_id", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("hashes").alias("hash"))))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     distinct = stored(lines.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct", scratch)
-    roots = connected_components(links(docs, text_col, max_bits, similarity, bucket_pairs, tile, bands, scratch)).withColumnRenamed("node", "hash")
+    roots = connected_components(links(texts, seen.get["n"], max_bits, similarity, bucket_pairs, tile, bands, scratch)).withColumnRenamed("node", "hash")
     # Lines that occur once and are linked to none stay anyway.
     rooted = distinct.join(roots, "hash", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "hash"))
     least = rooted.groupBy("root").agg(F.min("first").alias("keep"))

@@ -226,3 +226,60 @@ def test_recall_on_real_lines():
         print(low, high, len(own), sum(p in found for p in own))
     print(len(pairs), recall)
     assert recall >= 0.95
+
+
+def test_packed_keys_make_the_same_buckets():
+    """Keys of two tasks, packed for three parts, against a dictionary of the whole keys; 18 and 14 bytes a key travel."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    lines = list(dict.fromkeys(base + [x + rng.choice("xyz") for x in base] + [x + " more" for x in base]))
+    own = line_dedup.Lines.of(pa.array(lines))
+    hashes, size = own.hashes(), np.array(list(map(len, lines)))
+    want = {}
+    for n, row in enumerate(line_dedup.block_keys(own.fingerprints(), 5).tolist()):
+        for k in row:
+            want.setdefault(k, set()).add(int(hashes[n].view(np.int64)))
+    for tag, gram, which in ((100, 8, np.flatnonzero(size > 47)), (200, 4, np.flatnonzero(size <= 60))):
+        for n, row in zip(which.tolist(), line_dedup.band_keys(own.data, own.edges[which], own.edges[which + 1], gram, line_dedup.BANDS).tolist()):
+            for b, k in enumerate(row):
+                want.setdefault((tag + b, k), set()).add(int(hashes[n].view(np.int64)))
+    batches, keys = [], 0
+    for low, high in ((0, 70), (50, len(lines))):  # lines 50 to 69 are met by both
+        part = line_dedup.Lines.of(pa.array(lines[low:high]))
+        batches.append(line_dedup.packed_keys(part, hashes[low:high], size[low:high], 3, line_dedup.BANDS, 3))
+        keys += sum(10 + 16 * (int(s) > 47) + 16 * (int(s) <= 60) for s in size[low:high])
+    table = pa.Table.from_batches(batches)
+    assert sum(map(sum, table["counts"].to_pylist())) == keys
+    assert sum(len(x) for name in ("blocks", "bands") for x in table[name].to_pylist()) <= 18 * keys
+    got = []
+    for part in range(3):
+        out = line_dedup._buckets(3, 0.8)((pa.scalar(part),), table.filter(pa.compute.equal(table["part"], part))).to_pylist()
+        for _, rows in itertools.groupby(out, key=lambda r: r["key"]):
+            rows = list(rows)
+            assert {r["least"] for r in rows} == {min(r["hash"] for r in rows)} and {r["c"] for r in rows} == {len(rows)}
+            got.append(sorted(r["hash"] for r in rows))
+    assert sorted(got) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_bounds_of_the_edit_distance():
+    rng = random.Random(8)
+    for n in (1, 20, 70, 200):
+        for _ in range(20):
+            a = "".join(rng.choice("abcdefg 日") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randint(0, 1 + n // 8)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 3)] = rng.choice(["", "x", "yz"])
+            b = "".join(b)
+            row = [0] * (len(b) + 1)
+            for x in a:
+                old, row = row, [0] * (len(b) + 1)
+                for j, y in enumerate(b):
+                    row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+            assert [line_dedup._in_common(a, b, least) for least in (row[-1], row[-1] + 1)] == [True, False]
+            bound = line_dedup._bound(a, b, 0.2 * n)
+            assert bound > 0.2 * n or bound >= slow_edit(a, b)
+    line = " ".join(f"word{i}" for i in range(60))
+    assert line_dedup._bound(line, line.replace("word30 ", "other "), 20) <= 7
