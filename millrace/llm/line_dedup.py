@@ -49,6 +49,10 @@ _TAGS = 48
 _LONG_ROWS = 1024
 #: Pairs from which on they are compared a column at a time; 3-grams are counted in so many cells.
 _MANY, _Q, _CELL_BITS = 200, 3, 10
+#: Ends of lines: edits that a word of 64 rows rules out, words at most, symbols (code points modulo it), columns per row.
+_END_EDITS, _END_WORDS, _SYMBOLS, _REACH = 74, 12, 59, 1.6
+#: Pairs whose ends are compared at once, and from how many per word on that is worth it; pairs of a hot bucket that are looked at together.
+_END_PAIRS, _FEW, _BLOCK_PAIRS = 2048, 32, 1 << 18
 #: Text bytes that a task takes apart at once, and bytes of lines that it makes keys of.
 _PART_BYTES, _LINE_BYTES = 1_000_000, 4_000_000
 #: MinHash bands of a line for op4; permutations, each of which serves two bands; n-gram bytes of long and short lines.
@@ -455,18 +459,97 @@ def _close(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
-    """Whether the edit similarity of each pair is `similarity` or more.
+def _end_codes(lines: list[str], columns: int) -> np.ndarray:
+    """Symbols of the first code points of each line, then of its last ones, backwards; a column per line and end.
 
-    Pairs whose lengths or common 3-grams rule it out aren't compared further: an edit changes three 3-grams at most.
+    Beyond the line stands a symbol that no pattern has.
     """
+    ends = [x[:columns] for x in lines] + [x[: -columns - 1 : -1] for x in lines]
+    size = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends))
+    points = np.frombuffer("".join(x.ljust(columns) for x in ends).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = (points % np.uint32(_SYMBOLS)).astype(np.uint8).reshape(len(ends), columns).T
+    return np.where(np.arange(columns)[:, None] < size, codes, np.uint8(_SYMBOLS)).astype(np.intp)
+
+
+def end_bounds(lines: list[str], i: np.ndarray, j: np.ndarray, words: int) -> np.ndarray:
+    """A lower bound of the edit distances between lines i and lines j, from 64 * words code points of either end of i.
+
+    Its first and last code points (half of a shorter line each) take part in separate edits, each those to the nearest of all
+    beginnings or ends of j. Bit-parallel, all pairs a column at a time; code points that share a symbol count as equal.
+    """
+    rows = 64 * words
+    columns = int(_REACH * rows)
+    (left, i), (right, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    patterns, texts = [lines[k] for k in left.tolist()], _end_codes([lines[k] for k in right.tolist()], columns)
+    codes, one = _end_codes(patterns, rows), np.uint64(1)
+    base = np.arange(codes.shape[1]) * (_SYMBOLS + 1)
+    peq = np.zeros((words, len(base) * (_SYMBOLS + 1)), dtype=np.uint64)
+    for k in range(rows):
+        peq[k // 64][base + codes[k]] |= one << np.uint64(k % 64)
+    length = np.minimum(rows, np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns)) // 2)
+    length = np.tile(length[i], 2)
+    base, text = base[np.concatenate((i, i + len(left)))], np.concatenate((j, j + len(right)))
+    bit, score, best = ((length - 1) % 64).astype(np.uint64), length.copy(), length.copy()
+    up = [np.full(len(base), ~np.uint64(0)) for _ in range(words)]
+    down = [np.zeros(len(base), dtype=np.uint64) for _ in range(words)]
+    for column in texts:
+        at = column.take(text)
+        at += base
+        plus, minus = one, None
+        for w in range(words):
+            eq, pv, mv = peq[w].take(at), up[w], down[w]
+            xv = eq | mv
+            if minus is not None:
+                eq |= minus
+            mh = eq & pv
+            mh += pv
+            mh ^= pv
+            mh |= eq
+            ph = mh | pv
+            np.invert(ph, out=ph)
+            ph |= mv
+            mh &= pv
+            if w == words - 1:
+                score += ((ph >> bit) & one).view(np.int64)
+                score -= ((mh >> bit) & one).view(np.int64)
+                next_plus = next_minus = None
+            else:
+                next_plus, next_minus = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph <<= one
+            ph |= plus
+            mh <<= one
+            if minus is not None:
+                mh |= minus
+            down[w] = ph & xv
+            xv |= ph
+            np.invert(xv, out=xv)
+            xv |= mh
+            up[w], plus, minus = xv, next_plus, next_minus
+        np.minimum(best, score, out=best)
+    # Beginnings beyond the columns are longer than the pattern by more than that.
+    best = np.minimum(best, columns + 1 - length)
+    best[length <= rows - 64] = 0  # their last row stands in another word
+    return best[: len(i)] + best[len(i) :]
+
+
+def _near_ends(lines: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of lines their ends let be `most` edits apart: of unlike lines the ends alone take more."""
+    out = np.ones(len(i), dtype=bool)
+    words = np.maximum(1, np.ceil(most / _END_EDITS)).astype(np.int64)
+    for w in np.unique(words[words <= _END_WORDS]).tolist():
+        own = np.flatnonzero(words == w)
+        for at in range(0, len(own), _END_PAIRS):
+            part = own[at : at + _END_PAIRS]
+            if len(part) >= _FEW * w:
+                out[part] = end_bounds(lines, i[part], j[part], w) <= most[part]
+    return out
+
+
+def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distances are `most` at most; an edit changes three 3-grams at most."""
+    out = np.fromiter((_bound(x, y, m) <= m for x, y, m in zip(a, b, most.tolist())), dtype=bool, count=len(a))
+    ask = np.flatnonzero(~out)
     size = np.array([(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64).reshape(-1, 2)
-    most = (1 - similarity) * size.max(axis=1, initial=0) + 1e-9
-    out = size.max(axis=1, initial=0) <= most
-    ask = np.flatnonzero(~out & (np.abs(size[:, 0] - size[:, 1]) <= most))
-    near = np.fromiter((_bound(a[i], b[i], m) <= m for i, m in zip(ask.tolist(), most[ask].tolist())), dtype=bool, count=len(ask))
-    out[ask[near]] = True
-    ask = ask[~near]
     for bits in (_CELL_BITS - 3, _CELL_BITS):  # few cells do for most
         need, keep = least_common(size[ask, 0], size[ask, 1], most[ask]), []
         for at in range(0, len(ask), 1000):
@@ -480,6 +563,20 @@ def alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
     return out
 
 
+def alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
+    """Whether the edit similarity of each pair is `similarity` or more.
+
+    Pairs whose lengths, ends or common 3-grams rule it out aren't compared further.
+    """
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64).reshape(-1, 2)
+    most = (1 - similarity) * size.max(axis=1, initial=0) + 1e-9
+    out = size.max(axis=1, initial=0) <= most
+    ask = np.flatnonzero(~out & (np.abs(size[:, 0] - size[:, 1]) <= most))
+    ask = ask[_near_ends([*a, *b], ask, len(a) + ask, most[ask])]
+    out[ask] = _within([a[i] for i in ask.tolist()], [b[i] for i in ask.tolist()], most[ask])
+    return out
+
+
 def _verified(similarity: float):
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -496,26 +593,26 @@ def _forest(max_bits: int, similarity: float):
         hashes, norm, side = table["hash"].to_numpy(), table["norm"].to_pylist(), table["side"].to_numpy()
         group = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
         size = np.fromiter(map(len, norm), dtype=np.int64, count=len(norm))
-        counts, full = gram_counts(norm)
-        out = []
-        for i in range(len(sim)):
-            ask = np.flatnonzero((np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= max_bits) & ((side[i + 1 :] | side[i]) == 3) & (group[i + 1 :] != group[i])) + i + 1
-            most = (1 - similarity) * np.maximum(size[ask], size[i]) + 1e-9
-            near = np.abs(size[ask] - size[i]) <= most
-            ask, most = ask[near], most[near]
-            common = np.minimum(counts[ask], counts[i]).sum(axis=1, dtype=np.int64)
-            near = (common >= least_common(size[ask], size[i], most)) | full[ask] | full[i]
-            ask, most = ask[near], most[near]
-            # One line of each other group at a time, until none of a group is left.
-            while len(ask):
-                first = np.unique(group[ask], return_index=True)[1]
-                good = _close([norm[i]] * len(first), [norm[j] for j in ask[first].tolist()], most[first])
-                for j in ask[first[good]].tolist():
-                    out.append((int(hashes[i]), int(hashes[j])))
-                    group[group == group[j]] = group[i]
-                rest = group[ask] != group[i]
+        out, step = [], max(1, _BLOCK_PAIRS // max(1, len(sim)))
+        for low in range(0, len(sim), step):
+            own = slice(low, low + step)
+            ask = (np.bitwise_count(sim[own, None] ^ sim[low:]) <= max_bits) & ((side[own, None] | side[low:]) == 3) & (group[own, None] != group[low:])
+            i, j = np.nonzero(np.triu(ask & (np.abs(size[own, None] - size[low:]) <= (1 - similarity) * np.maximum(size[own, None], size[low:]) + 1e-9), 1))
+            i, j = i + low, j + low
+            most = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
+            near = _near_ends(norm, i, j, most)
+            i, j, most = i[near], j[near], most[near]
+            # One pair of lines of two groups at a time, until none of them is left.
+            while len(i):
+                first = np.unique(group[i] * len(sim) + group[j], return_index=True)[1]
+                good = _within([norm[x] for x in i[first].tolist()], [norm[x] for x in j[first].tolist()], most[first])
+                for x, y in zip(i[first[good]].tolist(), j[first[good]].tolist()):
+                    if group[x] != group[y]:
+                        out.append((int(hashes[x]), int(hashes[y])))
+                        group[group == group[y]] = group[x]
+                rest = group[i] != group[j]
                 rest[first] = False
-                ask, most = ask[rest], most[rest]
+                i, j, most = i[rest], j[rest], most[rest]
         return pa.table([[u for u, _ in out], [v for _, v in out]], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return run

@@ -283,3 +283,40 @@ def test_bounds_of_the_edit_distance():
             assert bound > 0.2 * n or bound >= slow_edit(a, b)
     line = " ".join(f"word{i}" for i in range(60))
     assert line_dedup._bound(line, line.replace("word30 ", "other "), 20) <= 7
+
+
+def test_ends_bound_the_edit_distance():
+    rng = random.Random(9)
+    lines, pairs = [], []
+    for n in (0, 1, 2, 9, 70, 130, 300):
+        for _ in range(12):
+            a = [rng.choice("abcdefg 0\0\u65e5") for _ in range(n)]
+            b = a if rng.random() < 0.7 else [rng.choice("abcdefg 0\0\u65e5") for _ in range(rng.randint(0, n + n // 5))]
+            b = list(b)
+            for _ in range(rng.randint(0, 1 + n // 10)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 3)] = rng.choice(["", "x", "yz"])
+            pairs.append((len(lines), len(lines) + 1))
+            lines += ["".join(a), "".join(b)]
+    i, j = np.array(pairs).T
+    want = np.array([slow_edit(lines[x], lines[y]) for x, y in pairs])
+    for words in (1, 2, 3):
+        for x, y in ((i, j), (j, i)):
+            assert (line_dedup.end_bounds(lines, x, y, words) <= want).all()
+
+
+def test_unlike_lines_of_a_hot_bucket_are_told_apart_by_their_ends(monkeypatch):
+    """Lines of one language that share a passage: letters and 3-grams alone leave most of their pairs to the exact distance."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    words = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    lines = ["the passage that all of them share " + " ".join(rng.choice(words) for _ in range(120)) for _ in range(60)]
+    lines += [x[:200] + "another" + x[200:] for x in lines[:5]]
+    asked = []
+    monkeypatch.setattr(line_dedup, "_in_common", lambda a, b, least, old=line_dedup._in_common: asked.append(1) or old(a, b, least))
+    n = len(lines)
+    table = pa.table({"hash": list(range(n)), "sim": [0] * n, "root": list(range(n)), "norm": lines, "side": [3] * n})
+    found = line_dedup._forest(3, 0.8)((), table).to_pylist()
+    assert [(r["u"], r["v"]) for r in found] == [(k, 60 + k) for k in range(5)]
+    assert len(asked) <= n
